@@ -134,11 +134,15 @@ def sequence_hashes(h: np.ndarray, w: int) -> np.ndarray:
 
 def gather(buf: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """The bytes of all spans on end."""
-    total = int(length.sum())
-    if not total:
-        return np.zeros(0, buf.dtype)
-    at = np.cumsum(length) - length
-    return buf[np.arange(total) + np.repeat(start - at, length)]
+    done = np.r_[0, np.cumsum(length, dtype=np.int64)]
+    out = np.empty(int(done[-1]), buf.dtype)
+    i = 0
+    while i < len(length):
+        j = max(i + 1, int(np.searchsorted(done, done[i] + BLOCK, "right")) - 1)
+        a, b = int(done[i]), int(done[j])
+        out[a:b] = buf[np.arange(b - a) + np.repeat(start[i:j] - (done[i:j] - a), length[i:j])]
+        i = j
+    return out
 
 
 def pack(*arrays: np.ndarray) -> bytes:

@@ -2,11 +2,27 @@
 
 from __future__ import annotations
 
+from .byte_bpe import op5_byte_bpe
+from .chat_format import OP3_SQL, op3_chat_format
+from .decontaminate import op1_decontaminate
+from .jaccard_join import op4_jaccard_join
+from .mtree_search import OP8_SQL, op8_mtree_search
 from .substring_dedup import op6_substring_dedup
 from .suffix_dedup import op2_suffix_dedup
+from .url_filter import OP10_SQL, op10_url_filter
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_chat_format": op3_chat_format,
+    "op4_jaccard_join": op4_jaccard_join,
+    "op5_byte_bpe": op5_byte_bpe,
     "op6_substring_dedup": op6_substring_dedup,
+    "op8_mtree_search": op8_mtree_search,
+    "op10_url_filter": op10_url_filter,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op3_chat_format": OP3_SQL,
+    "op8_mtree_search": OP8_SQL,
+    "op10_url_filter": OP10_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}

@@ -71,8 +71,23 @@ def gram_hashes(t: Texts, u: Units) -> np.ndarray:
     return A.gram_hashes(t.buf, u.gram)
 
 
-def runs_of(t: Texts, u: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First window, count of windows, owner and text of each run, and whether its owner occurs twice in it (words only)."""
+SLICE = 1 << 20
+
+
+def runs_of(t: Texts, u: Units) -> tuple[np.ndarray, ...]:
+    """First window, count of windows, owner and text of each run, and whether its owner occurs twice in it (words only). Texts are read some at a time."""
+    found, i = [], 0
+    while i < len(t.off) - 1:
+        j = max(i + 1, int(np.searchsorted(t.off, t.off[i] + SLICE, "right")) - 1)
+        a, b, x, y = t.off[i], t.off[j], t.units[i], t.units[j]
+        part = Texts(t.buf[a:b], t.off[i : j + 1] - a, t.start[x:y] - a if u.words else None, t.end[x:y] - a if u.words else None, t.units[i : j + 1] - x, t.ids[i:j])
+        lo, n, owner, text, twice = _runs(part, u)
+        found.append((lo + x, n, owner, text + i, twice))
+        i = j
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else _runs(t, u)
+
+
+def _runs(t: Texts, u: Units) -> tuple[np.ndarray, ...]:
     h = gram_hashes(t, u)
     m = A.sliding_min(h, u.reach)
     none = np.zeros(0, np.int64)
@@ -289,7 +304,7 @@ def covered(docs: DataFrame, units: Units, kernel: Kernel, finish, schema: str,
             lo, n = A.unpack(data, np.int64, np.uint8)
             np.add.at(edge, lo, 1)
             np.add.at(edge, lo + n + units.width - 1, -1)
-        return finish(left.drop_columns(["__b"]), t, np.cumsum(edge[:-1]) > 0)
+        return finish(left.drop_columns(["__b"]), t, np.cumsum(edge[:-1], dtype=np.int32) > 0)
 
     owners = dealt.groupBy("__b").applyInArrow(listing, "__h int, __b int, keys binary, several binary, count binary")
     answers = owners.groupBy("__h").applyInArrow(asking, "__b int, __h int, bits binary")

@@ -20,6 +20,7 @@ from . import arrays as A
 from .repeats import Texts, Units, covered
 
 WIDTH = 35
+SHARD = 256
 
 
 class SuffixAutomaton:
@@ -111,24 +112,33 @@ def _kernel(buf, off, ids, known, units):
     twin[:-1] |= twin[1:]
     some = np.zeros(len(n), bool)
     some[which[order[twin]]] = True  # only these can match anything: the rest need no automaton
-    # neighbours by content share an automaton: contexts of one connected group of windows stay together
     shard = np.flatnonzero(some)
     c, first, count = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    if len(shard) and (~known[shard]).any():
-        sequences = [words[at[i] : at[i + 1]].tolist() for i in shard.tolist()]
-        automaton = SuffixAutomaton()
-        for s in sequences:
-            automaton.add(s)
-        automaton.close()
-        for i, s in zip(shard.tolist(), sequences, strict=True):
-            if not known[i]:
-                hit = np.array(automaton.matching(s, 2)) >= units.width
-                if hit.any():
-                    edge = np.diff(np.r_[False, hit, False].astype(np.int8))
-                    a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-                    c.append(np.full(len(a), i))
-                    first.append(a - units.width + 1)
-                    count.append(b - a)
+    if len(shard):  # contexts that share a window share their owner, so the bucket splits into small reference shards by owner
+        grams = A.sequence_hashes(words, units.gram)
+        owner = np.minimum.reduceat(A.gather(grams, at[:-1][shard], np.full(len(shard), units.reach)), np.arange(len(shard)) * units.reach)
+        order = np.argsort(owner, kind="stable")
+        shard, owner = shard[order], owner[order]
+        ends = np.r_[np.flatnonzero(owner[1:] != owner[:-1]) + 1, len(owner)]
+        a = 0
+        while a < len(shard):
+            b = int(ends[min(np.searchsorted(ends, a + SHARD), len(ends) - 1)])
+            part, a = shard[a:b].tolist(), b
+            if all(known[i] for i in part):
+                continue
+            sequences = [words[at[i] : at[i + 1]].tolist() for i in part]
+            automaton = SuffixAutomaton()
+            for s in sequences:
+                automaton.add(s)
+            automaton.close()
+            for i, s in zip(part, sequences, strict=True):
+                if not known[i]:
+                    hit = np.array(automaton.matching(s, 2)) >= units.width
+                    if hit.any():
+                        turn = np.flatnonzero(np.diff(np.r_[False, hit, False].astype(np.int8)))
+                        c.append(np.full(len(turn) // 2, i))
+                        first.append(turn[::2] - units.width + 1)
+                        count.append(turn[1::2] - turn[::2])
     return np.concatenate(c), np.concatenate(first), np.concatenate(count)
 
 

@@ -20,6 +20,7 @@ from . import arrays as A
 from .repeats import Texts, Units, covered
 
 WIDTH = 50
+SORTED_AT_ONCE = 1 << 17
 
 
 def suffix_order(buf: np.ndarray, at: np.ndarray, end: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,16 +90,30 @@ def maximal_repeats(buf: np.ndarray, off: np.ndarray, ids: np.ndarray, least: in
     starts = np.maximum(size - least + 1, 0)
     which = np.repeat(np.arange(len(size)), starts)
     at = off[:-1][which] + np.arange(len(which)) - np.repeat(np.cumsum(starts) - starts, starts)
-    if len(at):  # suffixes whose first bytes occur once are no one's neighbours
-        h = A.gram_hashes(buf, least)[at]
-        order = np.argsort(h, kind="stable")
-        twin = np.r_[False, h[order][1:] == h[order][:-1]]
-        twin[:-1] |= twin[1:]
-        keep = np.sort(order[twin])
-        at, which = at[keep], which[keep]
+    none = np.zeros(0, np.int64)
     if not len(at):
-        none = np.zeros(0, np.int64)
         return none, none, none, none, none
+    # suffixes whose first bytes occur once are no one's neighbours; equal ones go into one array, which holds about SORTED_AT_ONCE
+    h = A.gram_hashes(buf, least)[at]
+    order = np.argsort(h, kind="stable")
+    new = np.r_[True, h[order][1:] != h[order][:-1]]
+    group = np.diff(np.r_[np.flatnonzero(new), len(order)])
+    order = order[np.repeat(group > 1, group)]
+    ends = np.cumsum(group[group > 1])
+    at, which = at[order], which[order]
+    del h, order, new, group
+    out, a, base = [], 0, 0
+    while a < len(at):
+        b = int(ends[min(np.searchsorted(ends, a + SORTED_AT_ONCE), len(ends) - 1)])
+        part = _tree_of(buf, off, ids, at[a:b], which[a:b], least, depth)
+        out.append((part[0] + base, *part[1:]))
+        base += int(part[0][-1]) + 1 if len(part[0]) else 0
+        a = b
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (none,) * 5
+
+
+def _tree_of(buf, off, ids, at, which, least, depth):
+    """The maximal repeats among some suffixes."""
     end = off[1:][which]
     order, lcp = suffix_order(buf, at, end, depth or int((end - at).max()))
     at, which = at[order], which[order]
@@ -125,8 +140,8 @@ def repeated_bytes(docs: DataFrame, finish, schema: str, id_col: str = "doc_id",
 
 
 def _digest(table: pa.Table, t: Texts, cover: np.ndarray) -> pa.Table:
-    kept = np.r_[0, np.cumsum(~cover)]
-    rise = np.r_[0, np.cumsum(cover & ~np.r_[False, cover[:-1]])] if len(cover) else np.zeros(1, np.int64)
+    kept = np.r_[np.int32(0), np.cumsum(~cover, dtype=np.int32)]
+    rise = np.r_[np.int32(0), np.cumsum(cover & ~np.r_[False, cover[:-1]], dtype=np.int32)] if len(cover) else np.zeros(1, np.int32)
     a, b = t.off[:-1], t.off[1:]
     joins = np.zeros(len(a), np.int64)  # a run that began in the text before counts here too
     inner = (a > 0) & (a < b)
