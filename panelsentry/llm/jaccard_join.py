@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import arrays as A
-from .components import components
+from .components import components, cut_lineage
 from .decontaminate import LOWER
 from .repeats import NO_ID, _sorted
 
@@ -180,8 +180,6 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return pa.table({"__b": pa.array(np.full(n, key[0].as_py()), pa.int32()), "i": pa.array(np.arange(n), pa.int32()), "id": pa.array(ids_in(table), pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()), "mark": pa.array(total, pa.int64())})
 
     rows = dealt.groupBy("__b").applyInArrow(summing, "__b int, i int, id long, n long, mark long")
-    from .components import cut_lineage
-
     rows = cut_lineage(rows)
     classes = rows.where("n > 0").groupBy("n", "mark").agg(F.min(F.struct("id", "__b", "i")).alias("r"))
     heads = classes.select("r.__b", "r.i", "n")

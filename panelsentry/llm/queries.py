@@ -5,8 +5,10 @@ from __future__ import annotations
 from .byte_bpe import op5_byte_bpe
 from .chat_format import OP3_SQL, op3_chat_format
 from .decontaminate import op1_decontaminate
+from .html_extract import op9_html_extract
 from .jaccard_join import op4_jaccard_join
 from .mtree_search import OP8_SQL, op8_mtree_search
+from .quality_classifier import op7_quality_classifier
 from .substring_dedup import op6_substring_dedup
 from .suffix_dedup import op2_suffix_dedup
 from .url_filter import OP10_SQL, op10_url_filter
@@ -18,7 +20,9 @@ QUERIES = {
     "op4_jaccard_join": op4_jaccard_join,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_mtree_search": op8_mtree_search,
+    "op9_html_extract": op9_html_extract,
     "op10_url_filter": op10_url_filter,
 }
 ORACLE_SQL: dict[str, str] = {

@@ -74,16 +74,23 @@ def gram_hashes(t: Texts, u: Units) -> np.ndarray:
 SLICE = 1 << 20
 
 
-def runs_of(t: Texts, u: Units) -> tuple[np.ndarray, ...]:
-    """First window, count of windows, owner and text of each run, and whether its owner occurs twice in it (words only). Texts are read some at a time."""
-    found, i = [], 0
+def slices(t: Texts):
+    """Some whole texts at a time, with the numbers of their first text and unit: what is made of a bucket needn't be held for all of it."""
+    i = 0
     while i < len(t.off) - 1:
         j = max(i + 1, int(np.searchsorted(t.off, t.off[i] + SLICE, "right")) - 1)
-        a, b, x, y = t.off[i], t.off[j], t.units[i], t.units[j]
-        part = Texts(t.buf[a:b], t.off[i : j + 1] - a, t.start[x:y] - a if u.words else None, t.end[x:y] - a if u.words else None, t.units[i : j + 1] - x, t.ids[i:j])
+        a, b, x, y = int(t.off[i]), int(t.off[j]), int(t.units[i]), int(t.units[j])
+        cut = (lambda v: None if v is None else v[x:y] - a)  # noqa: B023
+        yield Texts(t.buf[a:b], t.off[i : j + 1] - a, cut(t.start), cut(t.end), t.units[i : j + 1] - x, t.ids[i:j]), i, x
+        i = j
+
+
+def runs_of(t: Texts, u: Units) -> tuple[np.ndarray, ...]:
+    """First window, count of windows, owner and text of each run, and whether its owner occurs twice in it (words only). Texts are read some at a time."""
+    found = []
+    for part, i, x in slices(t):
         lo, n, owner, text, twice = _runs(part, u)
         found.append((lo + x, n, owner, text + i, twice))
-        i = j
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else _runs(t, u)
 
 
@@ -265,6 +272,8 @@ def covered(docs: DataFrame, units: Units, kernel: Kernel, finish, schema: str,
         if metas:
             ids, lo, n, size, elsewhere = (np.concatenate(x) for x in zip(*metas, strict=True))
             where, buf = np.concatenate(where), np.concatenate(texts)
+            metas.clear()
+            texts.clear()
             off = np.r_[0, np.cumsum(size, dtype=np.int64)]
             content = A.span_hashes(buf, off[:-1], off[1:])
             order = np.lexsort((lo, ids, content))
@@ -299,12 +308,20 @@ def covered(docs: DataFrame, units: Units, kernel: Kernel, finish, schema: str,
     def ending(key, left, right):
         left = _sorted(left, id_col, text_col)
         t = texts_of(left, id_col, text_col, units)
-        edge = np.zeros(t.count + 1, np.int32)
-        for data in right["spans"].to_pylist():
-            lo, n = A.unpack(data, np.int64, np.uint8)
-            np.add.at(edge, lo, 1)
-            np.add.at(edge, lo + n + units.width - 1, -1)
-        return finish(left.drop_columns(["__b"]), t, np.cumsum(edge[:-1], dtype=np.int32) > 0)
+        spans = [A.unpack(data, np.int64, np.uint8) for data in right["spans"].to_pylist()]
+        lo = np.concatenate([x for x, _ in spans] or [np.zeros(0, np.int64)])
+        n = np.concatenate([x for _, x in spans] or [np.zeros(0, np.uint8)])
+        order = np.argsort(lo, kind="stable")
+        lo, n = lo[order], n[order]
+        left = left.drop_columns(["__b"])
+        done = []
+        for part, i, x in slices(t):
+            a, b = np.searchsorted(lo, (x, x + part.count))
+            edge = np.zeros(part.count + 1, np.int32)
+            np.add.at(edge, lo[a:b] - x, 1)
+            np.add.at(edge, lo[a:b] - x + n[a:b] + units.width - 1, -1)
+            done.append(finish(left.slice(i, len(part.off) - 1), part, np.cumsum(edge[:-1], dtype=np.int32) > 0))
+        return pa.concat_tables(done) if done else finish(left, t, np.zeros(0, bool))
 
     owners = dealt.groupBy("__b").applyInArrow(listing, "__h int, __b int, keys binary, several binary, count binary")
     answers = owners.groupBy("__h").applyInArrow(asking, "__b int, __h int, bits binary")

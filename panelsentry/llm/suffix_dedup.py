@@ -11,6 +11,7 @@ the largest. Extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +21,12 @@ from . import arrays as A
 from .repeats import Texts, Units, covered
 
 WIDTH = 50
-SORTED_AT_ONCE = 1 << 17
+SORTED_AT_ONCE = 1 << 16
 
 
 def suffix_order(buf: np.ndarray, at: np.ndarray, end: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """The order of the suffixes that start at ``at`` and stop before ``end`` (``depth`` bytes at most), and the common prefix of neighbours."""
-    step = 1 << 16
+    step = 1 << 13
     padded = np.r_[buf, np.zeros(depth + 8, np.uint8)]
     words = -(-depth // 8)
     keys = np.empty((words, len(at)), np.uint64)
@@ -84,32 +85,30 @@ def interval_tree(lcp: np.ndarray, left: np.ndarray, ids: np.ndarray, least: int
     return out
 
 
-def maximal_repeats(buf: np.ndarray, off: np.ndarray, ids: np.ndarray, least: int, depth: int | None = None) -> tuple[np.ndarray, ...]:
-    """All maximal repeats of ``least`` bytes or more in the given strings: group, string, first byte, length and the group's least id, a row for each occurrence."""
+def maximal_repeats(buf: np.ndarray, off: np.ndarray, ids: np.ndarray, least: int, depth: int | None = None) -> Iterator[tuple[np.ndarray, ...]]:
+    """All maximal repeats of ``least`` bytes or more in the given strings, an array of suffixes at a time: group (counted anew each time), string, first byte,
+    length and the group's least id, a row for each occurrence."""
     size = np.diff(off)
     starts = np.maximum(size - least + 1, 0)
-    which = np.repeat(np.arange(len(size)), starts)
+    which = np.repeat(np.arange(len(size), dtype=np.int32), starts)
     at = off[:-1][which] + np.arange(len(which)) - np.repeat(np.cumsum(starts) - starts, starts)
-    none = np.zeros(0, np.int64)
     if not len(at):
-        return none, none, none, none, none
+        return
     # suffixes whose first bytes occur once are no one's neighbours; equal ones go into one array, which holds about SORTED_AT_ONCE
     h = A.gram_hashes(buf, least)[at]
     order = np.argsort(h, kind="stable")
-    new = np.r_[True, h[order][1:] != h[order][:-1]]
+    h = h[order]
+    new = np.r_[True, h[1:] != h[:-1]]
     group = np.diff(np.r_[np.flatnonzero(new), len(order)])
     order = order[np.repeat(group > 1, group)]
     ends = np.cumsum(group[group > 1])
     at, which = at[order], which[order]
     del h, order, new, group
-    out, a, base = [], 0, 0
+    a = 0
     while a < len(at):
         b = int(ends[min(np.searchsorted(ends, a + SORTED_AT_ONCE), len(ends) - 1)])
-        part = _tree_of(buf, off, ids, at[a:b], which[a:b], least, depth)
-        out.append((part[0] + base, *part[1:]))
-        base += int(part[0][-1]) + 1 if len(part[0]) else 0
+        yield _tree_of(buf, off, ids, at[a:b], which[a:b], least, depth)
         a = b
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (none,) * 5
 
 
 def _tree_of(buf, off, ids, at, which, least, depth):
@@ -128,10 +127,11 @@ def _tree_of(buf, off, ids, at, which, least, depth):
 
 def _kernel(buf, off, ids, known, units):
     """Windows that also start in a document with a smaller id."""
-    _, string, first, length, low = maximal_repeats(buf, off, ids, units.width)
-    mine = low < ids[string]
-    string, first, count = string[mine], first[mine], length[mine] - units.width + 1
-    return string, first, count
+    found = [(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32))]
+    for _, string, first, length, low in maximal_repeats(buf, off, ids, units.width):
+        mine = low < ids[string]
+        found.append((string[mine].astype(np.int32), first[mine].astype(np.int32), (length[mine] - units.width + 1).astype(np.int32)))
+    return tuple(np.concatenate(x).astype(np.int64) for x in zip(*found, strict=True))
 
 
 def repeated_bytes(docs: DataFrame, finish, schema: str, id_col: str = "doc_id", text_col: str = "text", columns=None, width: int = WIDTH) -> DataFrame:
