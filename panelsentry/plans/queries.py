@@ -1,4 +1,251 @@
-"""Registered panel queries and their SQL."""
+"""Registered panel queries, one or more for each job, and their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+from ..operators import adaptive as D
+from ..operators import charts as C
+from ..operators import evaluation as E
+from ..operators import incidents as I
+from ..operators import rules as R
+from ..params import ERROR_KINDS, METHODS
+from ..sources.io import clean_labels
+from . import oracle as O
+from .panels import FLOWS_A, FLOWS_B, A, B, panel_a, panel_b, series_a, series_b, series_c, table
 
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+SERIES = {"a": (series_a, A, FLOWS_A), "b": (series_b, B, FLOWS_B), "c": (series_c, A, FLOWS_A)}
+SHORT = {"fixed": "v2-fixed", "rolling": "v2-rolling", "naive": "v2-rolling-naive"}
+POINTS = "chart entity period ~value ~center ~lcl ~ucl ~sigma ~robust_z n_baseline rule severity"
+CHRON = "entity period ~level status ~value ~center ~lcl ~ucl ~sigma ~robust_z n_baseline n_held_out n_lifecycle_skipped baseline_span rule severity"
+INCIDENTS = "source incident_id entity first_period last_period n_alerts kind ~max_abs_z severity summary"
+ZEROS = "entity first_period last_period n_periods has_prior_activity reactivated_period ongoing other_flows_zero"
+
+
+def pick(columns: str) -> str:
+    """A select list; ~ rounds to six places."""
+    return ", ".join(f"round({c[1:]}, 6) AS {c[1:]}" if c[0] == "~" else c for c in columns.split())
+
+
+def rounded(df: DataFrame, columns: str | None = None) -> DataFrame:
+    names = [c.lstrip("~") for c in columns.split()] if columns else df.columns
+    doubles = {f.name for f in df.schema if isinstance(f.dataType, DoubleType)}
+    return df.select(*(F.round(c, 6).alias(c) if c in doubles else F.col(c) for c in names))
+
+
+def query(name: str, make, sql: str | None = None) -> None:
+    QUERIES[name] = make
+    if sql:
+        ORACLE_SQL[name] = sql
+
+
+# rules and coverage
+
+FLAGS = {
+    "R1_net_identity": "abs(net - (gross - repayments)) > 1.0", "R2_negative_gross": "gross < 0", "R3_negative_repayments": "repayments < 0",
+    "R4_duplicate_key": "count(*) OVER (PARTITION BY entity, grp, period) > 1", "R5_region_reassigned": "coalesce(min(region) OVER e <> max(region) OVER e, false)",
+    "R6_stale_gross": "coalesce(gross > 0 AND gross = lag(gross) OVER o AND lag(period) OVER o = period - 1, false)",
+}
+O.part("flagged", ["panel_a"], f"SELECT *, {', '.join(f'{v} AS flag_{k}' for k, v in FLAGS.items())}, period <= {A.last_complete} AS is_complete FROM panel_a WINDOW e AS (PARTITION BY entity), o AS (PARTITION BY entity, grp ORDER BY period)")
+query("rule_flags", lambda s, d: rounded(R.run_rules(panel_a(s, d), A)), O.sql("SELECT grp, entity, period, region, " + pick("~gross ~repayments ~net ~charges") + ", n_lines, " + ", ".join(f"flag_{k}" for k in FLAGS) + ", is_complete FROM flagged", "flagged"))
+query("rule_report", lambda s, d: R.rule_report(R.run_rules(panel_a(s, d), A)), O.sql(" UNION ALL ".join(f"SELECT '{k}' AS rule, count(*) FILTER (flag_{k}) AS n_rows_flagged, round_even(100.0 * count(*) FILTER (flag_{k}) / count(*), 3) AS pct_of_rows, '{O.NOTES[k]}' AS note FROM flagged" for k in FLAGS), "flagged"))
+query("rule_negative_gross", lambda s, d: panel_b(s, d).where(R.rule_negative_gross()).select("entity", "period", F.round("gross", 6).alias("gross")), O.sql("SELECT entity, period, round(gross, 6) AS gross FROM panel_b WHERE gross < 0", "panel_b"))
+query("rule_duplicate_key", lambda s, d: table(s, d, "lineitem").withColumn("dup", R.rule_duplicate_key("l_orderkey", "l_linenumber")).where("dup").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS n FROM lineitem) WHERE n > 1")
+
+
+def _order_regions(s, d):
+    place = table(s, d, "supplier").join(table(s, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_regionkey").alias("region"))
+    li = table(s, d, "lineitem").select("l_orderkey", "l_suppkey", (F.year("l_shipdate") * 12 + F.month("l_shipdate")).alias("period"))
+    return li.join(place, F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("l_orderkey").alias("entity"), "region", "period").withColumn("flag_R5_region_reassigned", R.rule_attribute_drift("region"))
+
+
+_ORDER_REGIONS = "WITH r AS (SELECT l_orderkey AS entity, n_regionkey AS region, year(l_shipdate) * 12 + month(l_shipdate) AS period FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey), f AS (SELECT *, min(region) OVER (PARTITION BY entity) <> max(region) OVER (PARTITION BY entity) AS flag FROM r) "
+query("rule_attribute_drift", lambda s, d: _order_regions(s, d).groupBy("flag_R5_region_reassigned").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("entity").alias("n_entities")), _ORDER_REGIONS + "SELECT flag AS flag_R5_region_reassigned, count(*) AS n_rows, count(DISTINCT entity) AS n_entities FROM f GROUP BY 1")
+query("drift_detail", lambda s, d: R.drift_detail(_order_regions(s, d)), _ORDER_REGIONS + "SELECT entity, region, CAST(min(period) AS INTEGER) AS first_period, CAST(max(period) AS INTEGER) AS last_period FROM f WHERE flag GROUP BY 1, 2")
+query("rule_stale_repeat", lambda s, d: panel_a(s, d).withColumn("stale", R.rule_stale_repeat("n_lines", "entity")).where("stale").select("entity", "period", "n_lines"), O.sql("SELECT entity, period, n_lines FROM (SELECT *, n_lines > 0 AND n_lines = lag(n_lines) OVER w AND lag(period) OVER w = period - 1 AS stale FROM panel_a WINDOW w AS (PARTITION BY entity ORDER BY period)) WHERE stale", "panel_a"))
+_COVERAGE = """SELECT grp, entity, min(period) AS first_period, max(period) AS last_period, count(*) AS n_periods, CAST(len(gaps) AS BIGINT) AS n_gaps, array_to_string(gaps, ',') AS gap_periods FROM (
+  SELECT p.*, list_filter(range(a, b + 1), lambda y: NOT list_contains(seen, y)) AS gaps FROM {t} p JOIN (SELECT grp, entity, CAST(min(period) AS BIGINT) AS a, CAST(max(period) AS BIGINT) AS b, list(DISTINCT CAST(period AS BIGINT)) AS seen FROM {t} WHERE period <= {l} GROUP BY ALL) USING (grp, entity) WHERE period <= {l}) GROUP BY grp, entity, gaps"""
+query("coverage_a", lambda s, d: R.coverage_report(panel_a(s, d), A), O.sql(_COVERAGE.format(t="panel_a", l=A.last_complete), "panel_a"))
+query("coverage_b", lambda s, d: R.coverage_report(panel_b(s, d), B), O.sql(_COVERAGE.format(t="panel_b", l=B.last_complete), "panel_b"))
+query("gappy_series", lambda s, d: R.gappy_series(R.coverage_report(panel_b(s, d), B), "events"), O.sql("SELECT * FROM (" + _COVERAGE.format(t="panel_b", l=B.last_complete) + ") WHERE n_gaps > 0", "panel_b"))
+
+# frozen charts
+
+for x, (series, p, flows) in SERIES.items():
+    if x == "c":
+        continue
+    grown = lambda s, d, f=series, p=p: C.yoy_log_growth_v1(f(s, d), p)
+    points = lambda s, d, f=series, p=p: C.build_charts(f(s, d), p)[0]
+    alerts = lambda s, d, f=points: C.select_alerts(f(s, d))
+    growth_alerts = lambda s, d, f=alerts: f(s, d).where("chart = 'B_growth'")
+    query(f"growth_v1_{x}", lambda s, d, f=grown: rounded(f(s, d), "entity period ~value ~growth"), O.sql(f"SELECT {pick('entity period ~value ~growth')} FROM growth_{x}", f"growth_{x}"))
+    query(f"fit_charts_{x}", lambda s, d, f=grown, p=p: rounded(C.fit_charts(f(s, d), "growth", p, False), "entity n_baseline ~center ~sigma ~lcl ~ucl reason"), O.sql(f"SELECT {pick('entity n_baseline ~center ~sigma ~lcl ~ucl reason')} FROM chart_{x} WHERE chart = 'B_growth'", f"chart_{x}"))
+    query(f"chart_points_{x}", lambda s, d, f=points: rounded(f(s, d), POINTS), O.sql(f"SELECT {pick(POINTS)} FROM points_{x}", f"points_{x}"))
+    query(f"not_charted_{x}", lambda s, d, f=series, p=p: C.build_charts(f(s, d), p)[1], O.sql(f"SELECT chart, entity, reason FROM chart_{x} WHERE reason <> ''", f"chart_{x}"))
+    query(f"refusal_counts_{x}", lambda s, d, f=series, p=p: C.refusal_counts(C.build_charts(f(s, d), p)[1]), O.sql(f"SELECT chart, split_part(reason, ' ', 1) AS word, count(*) AS entities FROM chart_{x} WHERE reason <> '' GROUP BY 1, 2", f"chart_{x}"))
+    query(f"chart_summary_{x}", lambda s, d, f=points: C.chart_summary(f(s, d)), O.sql(f"SELECT chart, count(DISTINCT entity) AS entities, count(*) AS points, count(*) FILTER (rule <> '') AS alerts, round_even(100.0 * count(*) FILTER (rule <> '') / count(*), 1) AS alert_pct FROM points_{x} GROUP BY 1", f"points_{x}"))
+    query(f"alerts_{x}", lambda s, d, f=alerts: rounded(C.rank_alerts(f(s, d)), POINTS + " ~abs_z explanation"), O.sql(f"SELECT {pick(POINTS + ' ~abs_z explanation')} FROM alerts_{x}", f"alerts_{x}"))
+    query(f"top_alerts_{x}", lambda s, d, f=alerts, p=p: rounded(C.top_alerts(f(s, d), p.top_n), POINTS), O.sql(f"SELECT {pick(POINTS)} FROM alerts_{x} WHERE chart = 'B_growth' ORDER BY abs_z DESC, entity, period LIMIT {p.top_n}", f"alerts_{x}"))
+    query(f"alert_incident_ids_{x}", lambda s, d, f=growth_alerts: I.attach_incident_id(f(s, d)).select("entity", "period", "incident_id"), O.sql(f"SELECT entity, period, entity || ' FY' || a || CASE WHEN b <> a THEN '-' || b ELSE '' END AS incident_id FROM grouped_{x}", f"grouped_{x}"))
+    query(f"incidents_{x}", lambda s, d, f=growth_alerts, p=p: rounded(I.incident_order(I.group_incidents(f(s, d), f"The FY{p.span} baseline", p)), INCIDENTS), O.sql(f"SELECT {pick(INCIDENTS)} FROM incidents_{x}", f"incidents_{x}"))
+    query(f"multi_period_incidents_{x}", lambda s, d, f=growth_alerts, p=p: I.multi_period_incidents(I.group_incidents(f(s, d), f"The FY{p.span} baseline", p)).groupBy("kind").agg(F.count(F.lit(1)).alias("n")), O.sql(f"SELECT kind, count(*) AS n FROM incidents_{x} WHERE kind <> 'single' GROUP BY 1", f"incidents_{x}"))
+    query(f"alert_load_{x}", lambda s, d, f=growth_alerts, p=p: E.alert_load(f(s, d), I.group_incidents(f(s, d), "", p), p), O.sql(f"SELECT (SELECT count(*) FROM alerts_{x} WHERE chart = 'B_growth') AS alerts, (SELECT round_even(count(*) / {p.monitor[1] - p.monitor[0] + 1}.0, 1) FROM alerts_{x} WHERE chart = 'B_growth') AS alerts_per_period, (SELECT count(*) FROM alerts_{x} WHERE chart = 'B_growth' AND severity = 'high') AS alerts_high, (SELECT count(*) FROM incidents_{x}) AS incidents, (SELECT round_even(count(*) / {p.monitor[1] - p.monitor[0] + 1}.0, 1) FROM incidents_{x}) AS incidents_per_period", f"incidents_{x}"))
+QUERIES["growth_alerts"] = lambda s, d: rounded(C.rank_alerts(C.select_alerts(C.build_chart(C.yoy_log_growth_v1(series_a(s, d), A), "growth", "B_growth", A, False, "growth"))), POINTS + " ~abs_z explanation")
+ORACLE_SQL["growth_alerts"] = O.sql(f"SELECT {pick(POINTS + ' ~abs_z explanation')} FROM alerts_a WHERE chart = 'B_growth'", "alerts_a")
+query("robust_center_sigma", lambda s, d: rounded(C.robust_center_sigma(table(s, d, "lineitem"), "l_extendedprice", ["l_suppkey"])), "WITH m AS (SELECT l_suppkey, median(l_extendedprice) AS center FROM lineitem GROUP BY 1) SELECT l_suppkey, count(*) AS n, round(any_value(center), 6) AS center, round(median(abs(l_extendedprice - center)) * 1.4826, 6) AS sigma FROM lineitem JOIN m USING (l_suppkey) GROUP BY 1")
+O.part("total_a", ["series_a"], "SELECT period, CAST(sum(CAST(round(value) AS BIGINT)) AS DOUBLE) AS value FROM series_a GROUP BY 1")
+_ERA = f"period BETWEEN {A.baseline[0]} AND {A.baseline[1]}"
+O.part("middle_t", ["total_a"], f"SELECT median(value) AS center FROM total_a WHERE {_ERA}")
+O.part("spread_t", ["total_a", "middle_t"], f"SELECT median(abs(value - center)) * 1.4826 AS sigma FROM total_a, middle_t WHERE {_ERA}")
+query("portfolio_totals", lambda s, d: rounded(C.portfolio_totals(series_a(s, d).withColumn("value", F.round(F.col("value")).cast("long").cast("double")), A)), O.sql(f"SELECT period, round(value, 6) AS value, round(center, 6) AS center, round(greatest(center - 3 * sigma, 0), 6) AS lcl, round(center + 3 * sigma, 6) AS ucl, period BETWEEN {A.monitor[0]} AND {A.monitor[1]} AND value > center + 3 * sigma AS above FROM total_a, middle_t, spread_t", "total_a", "middle_t", "spread_t"))
+query("partial_period_totals", lambda s, d: rounded(C.partial_period_totals(panel_a(s, d), A)), O.sql(f"SELECT period, round(sum(gross) / 1e9, 6) AS total_bn, period <= {A.last_complete} AS is_complete FROM panel_a GROUP BY period", "panel_a"))
+
+
+# chronological engine
+
+for x, (series, p, flows) in SERIES.items():
+    for short, method in SHORT.items():
+        query(f"points_{short}_{x}", lambda s, d, f=series, p=p, m=method: rounded(D.method_points(f(s, d), m, p), CHRON), O.sql(f"SELECT {pick(CHRON)} FROM pts_{short}_{x}", f"pts_{short}_{x}"))
+    if x != "a":
+        query(f"zero_periods_{x}", lambda s, d, f=series, w=flows: I.zero_periods(f(s, d), w), O.sql(f"SELECT {pick(ZEROS)} FROM zeros_{x}", f"zeros_{x}"))
+        query(f"lifecycle_incidents_{x}", lambda s, d, f=series, w=flows, p=p: rounded(I.lifecycle_incidents(I.zero_periods(f(s, d), w), p), INCIDENTS), O.sql(f"SELECT {pick(INCIDENTS)} FROM lifecycle_{x}", f"lifecycle_{x}"))
+O.part("era_a", ["facts_a"], f"SELECT * FROM facts_a WHERE has_growth AND NOT idle AND {_ERA}")
+O.part("era_c_a", ["era_a"], f"SELECT entity, greatest({A.c_floor}, {A.c_fraction} * median(x)) AS c FROM (SELECT entity, period, x FROM era_a UNION SELECT entity, period - 1, x_prev FROM era_a) GROUP BY 1")
+query("growth_history_a", lambda s, d: rounded(D.growth_history(series_a(s, d), A)), O.sql(f"SELECT entity, period, round(ln((x + c) / (x_prev + c)), 6) AS value FROM facts_a JOIN era_c_a USING (entity) WHERE has_growth AND period BETWEEN {A.baseline[0] + 1} AND {A.monitor[0] - 1}", "facts_a", "era_c_a"))
+query("chronological_incidents_c", lambda s, d: rounded(D.run_method(series_c(s, d), "v2-rolling", A, FLOWS_A)["incidents"].select("entity", "first_period", "last_period", "n_alerts", "kind", "max_abs_z", "severity", "source")), O.sql("""
+  SELECT entity, a AS first_period, b AS last_period, count(*) AS n_alerts, CASE WHEN count(*) >= 3 THEN 'persistent' WHEN count(*) = 2 AND sign(min(robust_z)) <> sign(max(robust_z)) THEN 'spike_and_reversal' WHEN count(*) = 2 THEN 'two_year_move' ELSE 'single' END AS kind,
+    round_even(max(abs(robust_z)), 1) AS max_abs_z, CASE max(CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS severity, 'statistical' AS source
+  FROM (SELECT *, min(period) OVER (PARTITION BY entity, island) AS a, max(period) OVER (PARTITION BY entity, island) AS b FROM (SELECT *, period - row_number() OVER (PARTITION BY entity ORDER BY period) AS island FROM pts_rolling_c WHERE rule <> '')) GROUP BY entity, a, b
+  UNION ALL SELECT entity, first_period, last_period, n_alerts, kind, max_abs_z, severity, source FROM lifecycle_c""", "pts_rolling_c", "lifecycle_c"))
+
+
+def _union(what, s, d):
+    return D.union_methods(series_c(s, d), what, A, FLOWS_A)
+
+
+query("method_alerts_c", lambda s, d: rounded(D.union_methods(series_c(s, d), "alerts", A, FLOWS_A).where("method <> 'v1.1-reference'"), "method entity period ~robust_z rule severity baseline_span"), O.sql(" UNION ALL ".join(f"SELECT '{m}' AS method, entity, period, round(robust_z, 6) AS robust_z, rule, severity, baseline_span FROM pts_{k}_c WHERE rule <> ''" for k, m in SHORT.items()), *(f"pts_{k}_c" for k in SHORT)))
+_DIFF = "SELECT {c} FROM (SELECT *, 'v2-fixed' AS only_in FROM pts_fixed_c WHERE rule <> '' AND (entity, period) NOT IN (SELECT (entity, period) FROM pts_rolling_c WHERE rule <> '') UNION ALL SELECT *, 'v2-rolling' FROM pts_rolling_c WHERE rule <> '' AND (entity, period) NOT IN (SELECT (entity, period) FROM pts_fixed_c WHERE rule <> ''))"
+_DIFF_COLUMNS = "entity period only_in rule severity ~robust_z ~value baseline_span"
+query("fixed_vs_rolling_c", lambda s, d: rounded(E.fixed_vs_rolling(_union("alerts", s, d)), _DIFF_COLUMNS), O.sql(_DIFF.format(c=pick(_DIFF_COLUMNS)), "pts_fixed_c", "pts_rolling_c"))
+query("classify_difference_c", lambda s, d: E.classify_difference(E.fixed_vs_rolling(_union("alerts", s, d)), _union("points", s, d)).groupBy("only_in", "why").agg(F.count(F.lit(1)).alias("n")), O.sql(f"SELECT only_in, CASE WHEN only_in = 'v2-rolling' AND entity NOT IN (SELECT entity FROM pts_fixed_c WHERE status = 'charted') THEN '{O.WHY[0]}' WHEN only_in = 'v2-rolling' THEN '{O.WHY[1]}' ELSE '{O.WHY[2]}' END AS why, count(*) AS n FROM (" + _DIFF.format(c="entity, only_in") + ") GROUP BY 1, 2", "pts_fixed_c", "pts_rolling_c"))
+O.part("allpts_c", [f"pts_{k}_c" for k in SHORT], " UNION ALL ".join(f"SELECT '{m}' AS method, entity, period, status, rule, severity FROM pts_{k}_c" for k, m in SHORT.items()))
+_V2 = [m for m in METHODS if m != "v1.1-reference"]
+query("method_coverage_c", lambda s, d: E.method_coverage(_union("points", s, d)).where("method <> 'v1.1-reference'"), O.sql("""
+  SELECT method, count(*) FILTER (n > 0) AS entities_monitored, CAST(sum(n) AS BIGINT) AS observations_monitored, count(*) FILTER (n = 0) AS entities_excluded, CAST(sum(d) AS BIGINT) AS dormant_observations, coalesce(any_value(excluded), '') AS excluded_reasons
+  FROM (SELECT method, entity, count(*) FILTER (status = 'charted') AS n, count(*) FILTER (status = 'dormant') AS d FROM allpts_c GROUP BY ALL)
+  LEFT JOIN (SELECT method, string_agg(reason || ': ' || k, ', ' ORDER BY k DESC, reason) AS excluded FROM (SELECT method, reason, count(*) AS k FROM (
+      SELECT method, entity, arg_min(reason, (-k, reason)) AS reason FROM (SELECT method, entity, split_part(status, ':', 1) AS reason, count(*) AS k FROM allpts_c GROUP BY ALL) GROUP BY ALL HAVING sum(CASE WHEN reason = 'charted' THEN 1 ELSE 0 END) = 0) GROUP BY ALL) GROUP BY ALL) USING (method)
+  GROUP BY method""", "allpts_c"))
+query("alarm_profile_c", lambda s, d: E.alarm_profile(_union("alerts", s, d), _union("incidents", s, d)).where("method <> 'v1.1-reference'").select("method", "alerts", "alerts_high", "shift_alerts", "recurring_entities", "lifecycle_incidents"), O.sql("""
+  SELECT method, count(*) AS alerts, count(*) FILTER (severity = 'high') AS alerts_high, count(*) FILTER (rule = 'sustained_shift') AS shift_alerts,
+    (SELECT count(*) FROM (SELECT entity FROM allpts_c b WHERE b.method = a.method AND rule <> '' GROUP BY 1 HAVING count(DISTINCT period) >= 3)) AS recurring_entities,
+    CASE WHEN method = 'v2-rolling-naive' THEN 0 ELSE (SELECT count(*) FROM lifecycle_c) END AS lifecycle_incidents FROM allpts_c a WHERE rule <> '' GROUP BY method""", "allpts_c", "lifecycle_c"))
+query("method_summary_c", lambda s, d: E.method_summary(_union("alerts", s, d), _union("incidents", s, d), _union("points", s, d)))
+
+# planted errors and scores
+
+SEED = A.seeds["holdout"]
+_KINDS = ", ".join(f"'{k}'" for k in ERROR_KINDS)
+
+
+def _md5(*more: str) -> str:
+    return f"md5('{SEED}|' || kind || '|' || trial" + "".join(f" || '|' || {m}" for m in more) + ")"
+
+
+O.part("cells_a", ["series_a"], "SELECT *, lag(value) OVER (PARTITION BY entity ORDER BY period) AS prev FROM series_a")
+O.part("picks_a", ["cells_a"], f"""
+  SELECT kind, trial, entity, period FROM (SELECT *, row_number() OVER (PARTITION BY kind, trial ORDER BY {_md5('entity')}, entity) AS n FROM (
+    SELECT kind, trial, entity, arg_min(period, {_md5('entity', 'period')}) AS period FROM cells_a, (SELECT unnest([{_KINDS}]) AS kind), (SELECT CAST(unnest(range({A.trials})) AS INTEGER) AS trial)
+    WHERE period BETWEEN {A.monitor[0]} AND {A.monitor[1]} AND value > 0 AND (kind <> 'stale_repeat' OR (prev > 0 AND prev <> value)) GROUP BY ALL)) WHERE n <= {A.planted}""")
+O.part("broken_a", ["cells_a", "picks_a"], f"""
+  SELECT kind, trial, c.entity, c.period, CASE WHEN kind = 'feed_stops' AND c.period BETWEEN p.period AND {A.monitor[1]} THEN 0.0 WHEN c.period <> p.period THEN value WHEN kind = 'spike_x10' THEN value * 10 WHEN kind = 'units_x1000' THEN value * 1000
+    WHEN kind = 'drop_to_zero' THEN 0.0 WHEN kind = 'misstate_25pct' THEN value * (1 + CASE WHEN substr({_md5('c.entity', 'c.period')}, 1, 1) < '8' THEN -0.25 ELSE 0.25 END) WHEN kind = 'stale_repeat' THEN prev ELSE value END AS value, repayments, charges
+  FROM cells_a c JOIN picks_a p USING (entity)""")
+
+
+def _picks(s, d, kinds=ERROR_KINDS):
+    f = series_a(s, d)
+    return f, E.pick_cells(f, E.scenarios(s, A, kinds), SEED, A)
+
+
+query("pick_cells", lambda s, d: _picks(s, d)[1], O.sql("SELECT * FROM picks_a", "picks_a"))
+for k in ERROR_KINDS:
+    query(f"inject_{k}", lambda s, d, k=k: rounded(E.break_series(*_picks(s, d, (k,)), SEED, A), "kind trial entity period ~value"), O.sql(f"SELECT kind, trial, entity, period, round(value, 6) AS value FROM broken_a WHERE kind = '{k}'", "broken_a"))
+_SCORES = "kind, trial, injected, charted, detected, collateral"
+O.part("series_k", ["broken_a"], "SELECT kind || '|' || trial || '|' || entity AS entity, kind, trial, entity AS e, period, value, repayments, charges FROM broken_a")
+O.chart_parts("k", A)
+O.engine_parts("k", A, "fixed", "fixed", True, False)
+O.engine_parts("k", A, "naive", "rolling", False, False)
+O.engine_parts("k", A, "rolling", "rolling", True, True)
+
+
+def _score_sql(points: str, charted: str, clean: str) -> list:
+    """Parts needed and the SQL of one method's trial scores."""
+    stale = "(SELECT entity, period, value > 0 AND value = lag(value) OVER w AND lag(period) OVER w = period - 1 AS s FROM {t} WINDOW w AS (PARTITION BY entity ORDER BY period))"
+    mon = f"period BETWEEN {A.monitor[0]} AND {A.monitor[1]}"
+    return f"""
+  SELECT kind, trial, count(*) FILTER (truth) AS injected, count(*) FILTER (truth AND covered) AS charted, count(*) FILTER (truth AND covered AND found) AS detected, count(*) FILTER (found AND NOT (truth AND covered) AND NOT clean) AS collateral FROM (
+    SELECT k.kind, k.trial, k.e, k.period, p.period IS NOT NULL AS truth, f.period IS NOT NULL AS found, c.period IS NOT NULL AS covered, g.period IS NOT NULL AS clean
+    FROM series_k k LEFT JOIN picks_a p ON p.kind = k.kind AND p.trial = k.trial AND p.entity = k.e AND p.period = k.period
+    LEFT JOIN (SELECT entity, period FROM {points} WHERE rule <> '' UNION SELECT entity, period FROM {stale.format(t='series_k')} WHERE s AND {mon}) f ON f.entity = k.entity AND f.period = k.period
+    LEFT JOIN (SELECT entity, period FROM {points} WHERE {charted}) c ON c.entity = k.entity AND c.period = k.period
+    LEFT JOIN (SELECT entity, period FROM {clean} WHERE rule <> '' UNION SELECT entity, period FROM {stale.format(t='series_a')} WHERE s AND {mon}) g ON g.entity = k.e AND g.period = k.period) GROUP BY ALL"""
+
+
+SCORE_SQL = {
+    "v1.1-reference": (_score_sql("(SELECT * FROM points_k WHERE chart = 'B_growth')", "true", "(SELECT * FROM points_a WHERE chart = 'B_growth')"), ["points_k", "points_a", "picks_a"]),
+    **{m: (_score_sql(f"pts_{k}_k", "status = 'charted'", f"pts_{k}_a"), [f"pts_{k}_k", f"pts_{k}_a", "picks_a"]) for k, m in SHORT.items()},
+}
+for m, (body, needs) in SCORE_SQL.items():
+    name = m.replace("v1.1-", "v1_").replace("v2-", "").replace("-", "_")
+    query(f"score_trials_{name}", lambda s, d, m=m: E.score_trials(*_picks(s, d), m, SEED, A, FLOWS_A).select("kind", "trial", "injected", "charted", "detected", "collateral"), O.sql(body, *needs))
+    r1 = lambda v: f"round_even({v}, 1)"
+    report = f"""SELECT kind, count(*) AS trials, {r1('avg(injected)')} AS injected_per_trial, {r1('avg(charted)')} AS charted_per_trial, {r1('avg(detected)')} AS detected_per_trial, {r1('avg(100.0 * detected / greatest(charted, 1))')} AS recall_pct_mean,
+      {r1('min(100.0 * detected / greatest(charted, 1))')} AS recall_pct_min, {r1('max(100.0 * detected / greatest(charted, 1))')} AS recall_pct_max, {r1('avg(100.0 * detected / greatest(injected, 1))')} AS e2e_recall_pct_mean, {r1('avg(collateral)')} AS collateral_per_trial FROM ({body}) GROUP BY kind"""
+    query(f"recall_report_{name}", lambda s, d, m=m: E.recall_report(E.score_trials(*_picks(s, d), m, SEED, A, FLOWS_A)).drop("method", "feed_silent_end_pct", "feed_surfaced_end_pct"), O.sql(report, *needs))
+query("feed_visibility_fixed", lambda s, d: rounded(E.score_trials(*_picks(s, d, ("feed_stops",)), "v2-fixed", SEED, A, FLOWS_A), "kind trial ~silent_pct ~surfaced_pct"))
+query("evaluate_methods", lambda s, d: E.evaluate_methods(series_a(s, d), "holdout", A, FLOWS_A, kinds=("spike_x10", "feed_stops")))
+query("evaluation_pivot", lambda s, d: E.evaluation_pivot(E.evaluate_methods(series_a(s, d), "holdout", A, FLOWS_A, kinds=("drop_to_zero",), methods=("v1.1-reference", "v2-fixed")), "recall_pct_mean", ("v1.1-reference", "v2-fixed")))
+_MISS = """SELECT kind, string_agg(e || ' FY' || period, '; ' ORDER BY trial, e, period) AS example_misses FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY trial, e, period) AS n FROM (
+  SELECT p.kind, p.trial, p.entity AS e, p.period FROM picks_a p JOIN (SELECT * FROM points_k WHERE chart = 'B_growth' AND rule = '') q ON q.entity = p.kind || '|' || p.trial || '|' || p.entity AND q.period = p.period WHERE p.kind <> 'stale_repeat')) WHERE n <= 5 GROUP BY 1"""
+query("example_misses", lambda s, d: E.example_misses(*_picks(s, d, tuple(k for k in ERROR_KINDS if k != "stale_repeat")), "v1.1-reference", SEED, A, FLOWS_A), O.sql(_MISS, "points_k", "picks_a"))
+
+# labels, ledger
+
+
+def _alerts_a(s, d):
+    return C.select_alerts(C.build_charts(series_a(s, d), A)[0]).where("chart = 'B_growth'")
+
+
+def _sheet(s, d, shift: int = 0):
+    """A label sheet made from the panel: md5 of each alert's key decides its label; ``shift`` moves periods, so some rows no longer alert."""
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", "entity", F.col("period").cast("string"))), 1, 4), 16, 10).cast("int") % 5
+    label = F.when(h == 0, " Investigate").when(h == 1, "explained").when(h == 2, "NOISE ").when(h == 3, F.lit(None)).otherwise("")
+    a = _alerts_a(s, d).withColumn("label", label)
+    return clean_labels(a.select("entity", (F.col("period") + F.when(h == 4, shift).otherwise(0)).alias("period"), F.bround("robust_z", 1).alias("robust_z"), "severity", F.lit(0.0).alias("change_pct"), "rule", F.lit(True).alias("currently_alerting"), "explanation", "label", F.lit(None).cast("string").alias("note")))
+
+
+O.part("ga", ["alerts_a"], "SELECT *, CAST('0x' || substr(md5(entity || '|' || period), 1, 4) AS BIGINT) % 5 AS h FROM alerts_a WHERE chart = 'B_growth'")
+O.part("sheet_a", ["ga"], "SELECT entity, CAST(period + CASE WHEN h = 4 THEN 100 ELSE 0 END AS INTEGER) AS period, round_even(robust_z, 1) AS robust_z, severity, 0.0 AS change_pct, rule, explanation, CASE h WHEN 0 THEN 'investigate' WHEN 1 THEN 'explained' WHEN 2 THEN 'noise' ELSE '' END AS label FROM ga")
+O.part("merged_a", ["ga", "sheet_a"], "SELECT g.entity, g.period, round_even(g.robust_z, 1) AS robust_z, g.severity, round_even((exp(value) - 1) * 100, 0) AS change_pct, g.rule, true AS currently_alerting, g.explanation, coalesce(s.label, '') AS label, '' AS note FROM ga g LEFT JOIN sheet_a s USING (entity, period) UNION ALL SELECT entity, period, robust_z, severity, CAST(change_pct AS DOUBLE), rule, false, explanation, label, '' FROM sheet_a s ANTI JOIN ga g USING (entity, period)")
+query("attach_labels", lambda s, d: rounded(E.attach_labels(_alerts_a(s, d), _sheet(s, d)), "entity period ~robust_z label note"), O.sql("SELECT entity, period, round(robust_z, 6) AS robust_z, CASE h WHEN 0 THEN 'investigate' WHEN 1 THEN 'explained' WHEN 2 THEN 'noise' ELSE '' END AS label, '' AS note FROM ga", "ga"))
+query("merge_label_sheet", lambda s, d: rounded(E.label_sheet_order(E.merge_label_sheet(_alerts_a(s, d), _sheet(s, d, 100)))), O.sql("SELECT * FROM merged_a", "merged_a"))
+query("label_progress", lambda s, d: E.label_progress(E.merge_label_sheet(_alerts_a(s, d), _sheet(s, d, 100))), O.sql("SELECT count(*) FILTER (currently_alerting) AS live, count(*) FILTER (currently_alerting AND label <> '') AS labelled, count(*) FILTER (currently_alerting AND label = '') AS to_do, " + ", ".join(f"count(*) FILTER (currently_alerting AND label = '{x}') AS n_{x}" for x in ("investigate", "explained", "noise")) + ", count(*) FILTER (NOT currently_alerting) AS kept FROM merged_a", "merged_a"))
+query("precision_report", lambda s, d: E.precision_report(E.attach_labels(_alerts_a(s, d), _sheet(s, d)), A), O.sql("""SELECT count(*) FILTER (h < 3) AS alerts_labelled, count(*) FILTER (h >= 3) AS alerts_unlabelled, round_even(100.0 * count(*) FILTER (h = 0) / nullif(count(*) FILTER (h < 3), 0), 1) AS precision_strict, round_even(100.0 * count(*) FILTER (h < 2) / nullif(count(*) FILTER (h < 3), 0), 1) AS precision_lenient,
+  (SELECT CASE WHEN count(*) = 10 AND count(*) FILTER (h < 3) = 10 THEN round_even(100.0 * count(*) FILTER (h = 0) / 10, 1) END FROM (SELECT * FROM ga ORDER BY abs(robust_z) DESC, entity, period LIMIT 10)) AS precision_at_10 FROM ga""", "ga"))
+
+
+def _ledger(s, d):
+    kinds = ("spike_x10", "drop_to_zero")
+    report = E.recall_report(E.score_trials(*_picks(s, d, kinds), "v1.1-reference", SEED, A, FLOWS_A))
+    return E.ledger_rows(report, "p1", "holdout", kinds), report, kinds
+
+
+query("ledger_upsert", lambda s, d: E.upsert_ledger(E.upsert_ledger(_ledger(s, d)[0].withColumn("recall_spike_x10", F.lit(-1.0)), _ledger(s, d)[0], ["version", "method", "split"]), _ledger(s, d)[0].withColumn("version", F.lit("p2")), ["version", "method", "split"]), O.sql("SELECT version, 'holdout' AS split, 'v1.1-reference' AS method, " + ", ".join(f"max({m}) FILTER (kind = '{k}') AS {n}_{k}" for k in ("spike_x10", "drop_to_zero") for n, m in (("recall", "recall_pct_mean"), ("e2e", "e2e_recall_pct_mean"), ("collateral", "collateral_per_trial"))) + f" FROM (SELECT kind, round_even(avg(100.0 * detected / greatest(charted, 1)), 1) AS recall_pct_mean, round_even(avg(100.0 * detected / greatest(injected, 1)), 1) AS e2e_recall_pct_mean, round_even(avg(collateral), 1) AS collateral_per_trial FROM ({SCORE_SQL['v1.1-reference'][0]}) GROUP BY kind), (SELECT unnest(['p1', 'p2']) AS version) GROUP BY version", *SCORE_SQL["v1.1-reference"][1]))
+query("ledger_matrix", lambda s, d: E.ledger_matrix(_ledger(s, d)[0], "recall", ("v1.1-reference",), _ledger(s, d)[2]))
+query("check_reproduction", lambda s, d: E.check_reproduction(_ledger(s, d)[1], _ledger(s, d)[0].withColumn("recall_spike_x10", F.col("recall_spike_x10") + 1), "p1", "holdout"))
