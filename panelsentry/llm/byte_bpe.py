@@ -158,9 +158,10 @@ def encode_with(docs: DataFrame, finish, schema, text_col: str = "text", path: s
 
 
 def bpe_encode(docs: DataFrame, text_col: str = "text", **files) -> DataFrame:
-    """The documents with their ids in a column ``ids``, and ``n_tokens``."""
+    """The documents with their ids in a column ``ids``, and ``n_tokens``; columns of those names are replaced."""
     from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
+    docs = docs.drop("ids", "n_tokens")
     names = docs.columns
     schema = StructType([*docs.schema.fields, StructField("ids", ArrayType(IntegerType())), StructField("n_tokens", LongType())])
 

@@ -178,8 +178,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """The documents that hold no test window, with all their columns; a document id is dropped if any row of it is hit."""
-    hit = contamination(docs, benchmark, id_col, text_col, width).where(F.size("items") > 0).select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hit, F.col(id_col) == F.col("__hit"), "left_anti")
+    hit = contamination(docs, benchmark, id_col, text_col, width).where(F.size("items") > 0).select(F.col("doc_id").alias("hit")).distinct()
+    return docs.join(hit, docs[id_col].eqNullSafe(hit["hit"]), "left_anti")
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -172,7 +172,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     ids_in = lambda t: t["doc_id"].fill_null(NO_ID).to_numpy()
 
     def summing(key, table):
-        table = _sorted(table, "doc_id", "text")
+        table = _sorted(table)
         sets = shingle_sets(table["text"], None, shingle)
         total = np.array([int(np.sum(A.mix(s), dtype=U64)) if len(s) else 0 for s in sets], U64)
         total = A.mix(total + np.array([len(s) for s in sets], U64)).astype(np.int64)
@@ -187,7 +187,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     boundary = choose_boundary(histogram, percent)
 
     def emitting(key, left, right):
-        left = _sorted(left, "doc_id", "text")
+        left = _sorted(left)
         mine = np.sort(right["i"].to_numpy())
         keys, owner, kind = keys_of(shingle_sets(left["text"], mine, shingle), boundary, percent)
         order = np.argsort(keys, kind="stable")
@@ -254,7 +254,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return pa.table({"__b": pa.array(out["__b"], pa.int32()), "kind": pa.array(out["kind"], pa.int32()), "data": pa.array(out["data"], pa.binary())})
 
     def sending(key, left, right):
-        left = _sorted(left, "doc_id", "text")
+        left = _sorted(left)
         ids = ids_in(left)
         pairs, homes = [np.zeros((0, 2), np.int64)], [np.zeros((0, 2), np.int64)]
         for k, data in zip(right["kind"].to_pylist(), right["data"].to_pylist(), strict=True):
@@ -277,7 +277,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return pa.table({"__b": pa.array(out["__b"], pa.int32()), "kind": pa.array(out["kind"], pa.int32()), "data": pa.array(out["data"], pa.binary())})
 
     def checking(key, left, right):
-        left = _sorted(left, "doc_id", "text")
+        left = _sorted(left)
         ids = ids_in(left)
         got, groups = [], {}
         for k, data in zip(right["kind"].to_pylist(), right["data"].to_pylist(), strict=True):
@@ -310,8 +310,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The documents that are the least of their component, with all their columns."""
     found = similar_documents(docs, id_col, text_col, shingle, percent)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone, docs[id_col] == gone["gone"], "left_anti")
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

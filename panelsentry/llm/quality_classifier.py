@@ -242,13 +242,24 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score_documents(docs: DataFrame, heads: dict[str, Head | None], id_col: str = "doc_id", text_col: str = "text", meta=META) -> DataFrame:
-    """All columns of docs with p_quality, p_toxic, score (their product of good) and keep."""
+    """All columns of docs with p_quality, p_toxic, score (their product of good) and keep; columns of those names are replaced."""
     from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
+    docs = docs.drop("p_quality", "p_toxic", "score", "keep")
     names = docs.columns
-    own = [c for c in meta if c in names]
     schema = StructType([*docs.schema.fields, *(StructField(c, DoubleType()) for c in ("p_quality", "p_toxic", "score")), StructField("keep", BooleanType())])
-    light = {h: None if x is None else (x.views[0].weight.astype(np.float32), x.views[0].bias, x.views[0].slope, x.views[0].shift, x.views[1].weight.astype(np.float32), x.views[1].bias, x.views[1].slope, x.views[1].shift, x.prior) for h, x in heads.items()}
+
+    def finish(batch, good, bad, keep):
+        return pa.record_batch([*(batch[c] for c in names), pa.array(good), pa.array(bad), pa.array(good * (1 - bad)), pa.array(keep)], [*names, "p_quality", "p_toxic", "score", "keep"])
+
+    return _score(docs, heads, finish, schema, text_col, meta)
+
+
+def _score(docs: DataFrame, heads: dict[str, Head | None], finish, schema, text_col: str, meta) -> DataFrame:
+    """finish(batch, quality, toxicity, keep) for all documents."""
+    own = [c for c in meta if c in docs.columns]
+    flat = lambda v: (v.weight.astype(np.float32), v.bias, v.slope, v.shift)
+    light = {h: None if x is None else (*flat(x.views[0]), *flat(x.views[1]), x.prior) for h, x in heads.items()}
     sent = docs.sparkSession.sparkContext.broadcast(light)  # fixed size: a weight a feature number
 
     def score(batches):
@@ -264,17 +275,14 @@ def score_documents(docs: DataFrame, heads: dict[str, Head | None], id_col: str
         for batch in pieces(batches, text_col):
             content, m = content_features(batch[text_col], active), meta_features(batch, own)
             p = {h: np.full(len(batch), 1.0 if h == "quality" else 0.0) if x is None else 1 / (1 + np.exp(-np.clip(x.logit(content, m), -30, 30))) for h, x in ready.items()}
-            good, bad = p["quality"], p["toxic"]
-            keep = (good >= 0.5) & (bad <= 0.5)
-            yield pa.record_batch([*(batch[c] for c in names), pa.array(good), pa.array(bad), pa.array(good * (1 - bad)), pa.array(keep)], schema=None, names=[*names, "p_quality", "p_toxic", "score", "keep"])
+            yield finish(batch, p["quality"], p["toxic"], (p["quality"] >= 0.5) & (p["toxic"] <= 0.5))
 
     return docs.mapInArrow(score, schema)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier keeps, with their own columns."""
-    scored = score_documents(docs, train(docs, labels))
-    return scored.where("keep").select(*docs.columns)
+    return _score(docs, train(docs, labels), lambda batch, good, bad, keep: batch.filter(pa.array(keep)), docs.schema, "text", META)
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

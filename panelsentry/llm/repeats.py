@@ -56,9 +56,9 @@ class Texts:
         return int(self.units[-1])
 
 
-def texts_of(table: pa.Table, id_col: str, text_col: str, u: Units) -> Texts:
-    buf, off = A.flat(table[text_col])
-    ids = table[id_col].cast(pa.int64()).fill_null(NO_ID).to_numpy() if len(table) else np.zeros(0, np.int64)
+def texts_of(table: pa.Table, u: Units) -> Texts:
+    buf, off = A.flat(table["text"])
+    ids = table["doc_id"].fill_null(NO_ID).to_numpy() if len(table) else np.zeros(0, np.int64)
     if not u.words:
         return Texts(buf, off, None, None, off, ids)
     start, end, units = A.words_of(buf, off, ~A.SPACE)
@@ -131,8 +131,8 @@ def _runs(t: Texts, u: Units) -> tuple[np.ndarray, ...]:
     return lo, n, owner, text, twice
 
 
-def _sorted(table: pa.Table, id_col: str, text_col: str) -> pa.Table:
-    return table.sort_by([(id_col, "ascending"), (text_col, "ascending")]) if len(table) else table
+def _sorted(table: pa.Table) -> pa.Table:
+    return table.sort_by([("doc_id", "ascending"), ("text", "ascending")]) if len(table) else table
 
 
 def _listed(t: Texts, u: Units, runs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -154,18 +154,19 @@ Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, "Units"], tup
 
 
 def covered(docs: DataFrame, units: Units, kernel: Kernel, finish, schema: str, id_col: str = "doc_id", text_col: str = "text", columns: list[str] | None = None, hot: int = 200_000) -> DataFrame:
-    """finish(table, texts, covered) for each bucket of documents; covered has a boolean for each unit: a repeated window lies over it.
+    """finish(table, texts, covered) for some documents at a time; covered has a boolean for each unit: a repeated window lies over it. The table has
+    doc_id, text and, with ``columns``, a struct ``row`` of those.
 
     kernel(buf, offsets, least id, occurs elsewhere, units) gets distinct contexts and returns windows to cover: context, first, count.
     """
     spark = docs.sparkSession
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keep = list(dict.fromkeys([id_col, text_col, *(columns or [])]))
-    dealt = docs.select(*keep, F.pmod(F.xxhash64(F.col(id_col)), F.lit(buckets)).cast("int").alias("__b"))
+    whole = [F.struct(*(docs[c] for c in columns)).alias("row")] if columns else []  # so that no name can clash
+    dealt = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), *whole, F.pmod(F.xxhash64(docs[id_col]), F.lit(buckets)).cast("int").alias("__b"))
 
     def listing(key, table):
-        table = _sorted(table, id_col, text_col)
-        t = texts_of(table, id_col, text_col, units)
+        table = _sorted(table)
+        t = texts_of(table, units)
         keys, count, several = _listed(t, units, runs_of(t, units))
         edges = A.bucket_edges(keys, buckets)
         rows = [(i, a, b) for i, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if b > a]
@@ -201,8 +202,8 @@ def covered(docs: DataFrame, units: Units, kernel: Kernel, finish, schema: str,
         return pa.table({"__b": table["__b"], "__h": table["__h"], "bits": pa.array(out, pa.binary())})
 
     def sending(key, left, right):
-        left = _sorted(left, id_col, text_col)
-        t = texts_of(left, id_col, text_col, units)
+        left = _sorted(left)
+        t = texts_of(left, units)
         lo, n, owner, text, twice = runs_of(t, units)
         keys, _, _ = _listed(t, units, (lo, n, owner, text, twice))
         edges = A.bucket_edges(keys, buckets)
@@ -306,8 +307,8 @@ def covered(docs: DataFrame, units: Units, kernel: Kernel, finish, schema: str,
         return pa.table({"__b": pa.array(out["__b"], pa.int32()), "spans": pa.array(out["spans"], pa.binary())})
 
     def ending(key, left, right):
-        left = _sorted(left, id_col, text_col)
-        t = texts_of(left, id_col, text_col, units)
+        left = _sorted(left)
+        t = texts_of(left, units)
         spans = [A.unpack(data, np.int64, np.uint8) for data in right["spans"].to_pylist()]
         lo = np.concatenate([x for x, _ in spans] or [np.zeros(0, np.int64)])
         n = np.concatenate([x for _, x in spans] or [np.zeros(0, np.uint8)])

@@ -170,9 +170,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def finish(table: pa.Table, t: Texts, cover: np.ndarray) -> pa.Table:
         hit = np.r_[0, np.cumsum(cover)]
         changed = hit[t.units[1:]] > hit[t.units[:-1]]
-        old = table[text_col].to_pylist()
+        old = table["text"].to_pylist()
         new = [x.decode() if yes else o for yes, x, o in zip(changed.tolist(), kept_texts(t, cover), old, strict=True)]
-        return pa.table({c: pa.array(new, pa.string()) if c == text_col else table[c] for c in names})
+        row = pa.concat_arrays(table["row"].chunks) if table["row"].num_chunks else pa.array([], table["row"].type)
+        return pa.table([pa.array(new, pa.string()) if c == text_col else row.field(k) for k, c in enumerate(names)], names)
 
     return repeated_words(docs, finish, schema, id_col, text_col, names, width)
 
