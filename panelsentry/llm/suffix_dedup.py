@@ -95,8 +95,11 @@ def maximal_repeats(buf: np.ndarray, off: np.ndarray, ids: np.ndarray, least: in
     if not len(at):
         return
     # suffixes whose first bytes occur once are no one's neighbours; equal ones go into one array, which holds about SORTED_AT_ONCE
-    h = A.gram_hashes(buf, least)[at]
-    order = np.argsort(h, kind="stable")
+    h = np.empty(len(at), np.uint64)
+    for a in range(0, len(at), A.BLOCK):
+        some = at[a : a + A.BLOCK]
+        h[a : a + A.BLOCK] = A.gram_hashes(buf[some[0] : some[-1] + least], least)[some - some[0]]
+    order = np.argsort(h, kind="stable").astype(np.int32 if len(at) < 2**31 else np.int64)
     h = h[order]
     new = np.r_[True, h[1:] != h[:-1]]
     group = np.diff(np.r_[np.flatnonzero(new), len(order)])
@@ -127,11 +130,21 @@ def _tree_of(buf, off, ids, at, which, least, depth):
 
 def _kernel(buf, off, ids, known, units):
     """Windows that also start in a document with a smaller id."""
-    found = [(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32))]
+    n = np.maximum(np.diff(off) - units.width + 1, 0)
+    base = np.r_[0, np.cumsum(n)]
+    edge = np.zeros(int(base[-1]) + 1, np.int32)
     for _, string, first, length, low in maximal_repeats(buf, off, ids, units.width):
         mine = low < ids[string]
-        found.append((string[mine].astype(np.int32), first[mine].astype(np.int32), (length[mine] - units.width + 1).astype(np.int32)))
-    return tuple(np.concatenate(x).astype(np.int64) for x in zip(*found, strict=True))
+        at = base[string[mine]] + first[mine]
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + length[mine] - units.width + 1, -1)
+    hit = np.cumsum(edge[:-1], dtype=np.int32) > 0
+    new = np.zeros(len(hit) + 1, bool)
+    new[base] = True
+    begins = np.flatnonzero(hit & (new[:-1] | ~np.r_[False, hit[:-1]])) if len(hit) else base[:0]
+    ends = np.flatnonzero(hit & (new[1:] | ~np.r_[hit[1:], False])) + 1 if len(hit) else base[:0]
+    string = np.searchsorted(base, begins, "right") - 1
+    return string, begins - base[string], ends - begins
 
 
 def repeated_bytes(docs: DataFrame, finish, schema: str, id_col: str = "doc_id", text_col: str = "text", columns=None, width: int = WIDTH) -> DataFrame:
