@@ -3,9 +3,9 @@
 Documents with equal sets are one class, found by an aggregate; only the least document of each class goes on. Sets of at most ``boundary``
 shingles are light: at a similarity of 0.9 two of them can only differ by one element, so each emits itself and its subsets of one element
 less, and equal keys are links. Larger sets are heavy: two of size a and b that link differ in at most (a + b) / 19 elements, so if shingles are
-dealt by hash into more parts than that, some part is the same in both: each set emits its parts as keys for its size class and the one below,
-and inverted lists of keys are scanned for candidates. Parts may be empty, so ``SPARE`` more are made; empty ones are emitted only by sets with
-more than that. The boundary is where the histogram of set sizes makes the keys of both kinds cheapest.
+dealt by hash into ``SPARE`` + 1 parts more than that, so many parts are the same in both: each set emits its parts as keys for its size class and the
+one below, inverted lists of keys are scanned, and pairs that meet often enough are candidates. Empty parts are emitted only by sets with more than
+``SPARE`` of them; a set with fewer needs as many meetings less. The boundary is where the histogram of set sizes makes the keys of both kinds cheapest.
 
 Candidates are checked on whole sets: a set travels once to each bucket that holds partners of it. Lists longer than ``LIST`` are checked as blocks
 by one matrix product in place of pairs, long ones by pairs of blocks, and return a spanning star of each group found. Components come from alternating
@@ -28,7 +28,8 @@ from .decontaminate import LOWER
 from .repeats import NO_ID, _sorted
 
 SHINGLE, PERCENT = 3, 90
-LIGHT, SPARE, LIST, CHECK_COST = 18, 2, 24, 8
+LIGHT, SPARE, LIST, CHECK_COST = 18, 3, 24, 8
+SURE = 1000
 U64 = np.uint64
 
 
@@ -65,10 +66,10 @@ def parts_of(edges: list[int], j: int, percent: int) -> int:
     return most * (100 - percent) // (100 + percent) + 1 + SPARE
 
 
-def keys_of(sets: list[np.ndarray], boundary: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All keys of the sets, the index of the set of each, and its kind: 0 part, 1 whole, 2 subset."""
+def keys_of(sets: list[np.ndarray], boundary: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All keys of the sets, the index of the set of each, and its kind: 0 part, 1 whole, 2 subset; and in how few lists a heavy set must meet a partner."""
     size = np.array([len(s) for s in sets], np.int64)
-    keys, owner, kind = [], [], []
+    keys, owner, kind, meet = [], [], [], np.ones(len(sets), np.int64)
     for i in np.flatnonzero((size > 0) & (size <= boundary + 1)).tolist():
         s = A.mix(sets[i])
         whole = np.sum(s, dtype=U64)
@@ -87,6 +88,7 @@ def keys_of(sets: list[np.ndarray], boundary: int, percent: int) -> tuple[np.nda
         flat = np.concatenate([sets[i] for i in heavy.tolist()])
         where = np.repeat(np.arange(len(heavy)), size[heavy])
         value = A.mix(flat ^ U64(0x5851F42D4C957F2D))
+        most = np.zeros(len(heavy), np.int64)
         for below in (0, 1):
             scheme = np.maximum(cls - below, 0)
             parts = np.array([parts_of(edges, int(j), percent) for j in scheme], np.int64)
@@ -98,14 +100,24 @@ def keys_of(sets: list[np.ndarray], boundary: int, percent: int) -> tuple[np.nda
             of = np.repeat(np.arange(len(heavy)), parts)
             part = np.arange(len(total)) - base[of]
             empties = np.bincount(of, weights=full == 0, minlength=len(heavy)).astype(np.int64)
+            most = np.maximum(most, empties)
             emit = ((full > 0) | (empties[of] > SPARE)) & ~((below == 1) & (cls[of] == 0))
             key = A.mix(total + A.mix((scheme[of].astype(U64) << U64(32)) + part.astype(U64) + U64(1)))
             keys.append(key[emit])
             owner.append(heavy[of[emit]])
             kind.append(np.zeros(int(emit.sum()), np.uint8))
+        meet[heavy] = np.maximum(SPARE + 1 - most, 1)
     if not keys:
-        return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
-    return np.concatenate(keys), np.concatenate(owner), np.concatenate(kind)
+        return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.uint8), meet
+    return np.concatenate(keys), np.concatenate(owner), np.concatenate(kind), meet
+
+
+def _summed(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs and their summed weights."""
+    order = np.lexsort((b, a))
+    a, b, weight = a[order], b[order], weight[order]
+    first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, np.int64)
+    return a[first], b[first], np.add.reduceat(weight, first) if len(a) else weight
 
 
 def choose_boundary(histogram: dict[int, int], percent: int) -> int:
@@ -189,20 +201,20 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def emitting(key, left, right):
         left = _sorted(left)
         mine = np.sort(right["i"].to_numpy())
-        keys, owner, kind = keys_of(shingle_sets(left["text"], mine, shingle), boundary, percent)
+        keys, owner, kind, _ = keys_of(shingle_sets(left["text"], mine, shingle), boundary, percent)
         order = np.argsort(keys, kind="stable")
         keys, owner, kind = keys[order], mine[owner[order]], kind[order]
         edges = A.bucket_edges(keys, buckets)
-        six = A.six_bytes(keys)
+        low = keys.astype("<u4")  # the high bits are in the bucket's number; a chance collision is one meeting too many
         spans = [(h, int(edges[h]), int(edges[h + 1])) for h in np.flatnonzero(np.diff(edges)).tolist()]
         return pa.table({
             "__h": pa.array([h for h, _, _ in spans], pa.int32()), "__b": pa.array([key[0].as_py()] * len(spans), pa.int32()),
-            "keys": pa.array([six[6 * a : 6 * b].tobytes() for _, a, b in spans], pa.binary()),
+            "keys": pa.array([low[a:b].tobytes() for _, a, b in spans], pa.binary()),
             "rest": pa.array([A.pack(owner[a:b].astype(np.int32), kind[a:b]) for _, a, b in spans], pa.binary()),
         })
 
     def pairing(key, table):
-        parts = [A.from_six(np.frombuffer(x, np.uint8)) for x in table["keys"].to_pylist()]
+        parts = [np.frombuffer(x, "<u4") for x in table["keys"].to_pylist()]
         rest = [A.unpack(x, np.int32, np.uint8) for x in table["rest"].to_pylist()]
         bucket = np.repeat(table["__b"].to_numpy(), [len(p) for p in parts]).astype(np.int64)
         keys, at, kind = np.concatenate(parts), np.concatenate([x[0] for x in rest]).astype(np.int64), np.concatenate([x[1] for x in rest])
@@ -211,7 +223,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         keys, node, kind = keys[order], node[order], kind[order]
         first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         count = np.diff(np.r_[first, len(keys)])
-        a, b, homes, members = [], [], [], []
+        a, b, weight, homes, members, seen = [], [], [], [], [], []
         for f, c in zip(first[count > 1].tolist(), count[count > 1].tolist(), strict=True):
             x, k = node[f : f + c], kind[f : f + c]
             if k.any():  # a whole set and the subsets of larger ones that equal it
@@ -219,12 +231,16 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                     others = x[k == 2]
                     a.append(np.full(len(others), whole))
                     b.append(others)
+                    weight.append(np.full(len(others), SURE))
                 x = x[k == 0]
             x = np.unique(x)
+            if len(x) > 1:
+                seen.append(x)
             if 2 <= len(x) <= LIST:
                 i, j = np.triu_indices(len(x), 1)
                 a.append(x[i])
                 b.append(x[j])
+                weight.append(np.ones(len(i), np.int64))
             elif len(x) > LIST:
                 blocks = np.array_split(x, -(-len(x) // 512))
                 for i in range(len(blocks)):
@@ -244,24 +260,33 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 out["data"].append(A.pack(*(c[order[s:e]] for c in cols)))
 
         if a:
-            both = np.unique(np.c_[np.minimum(np.concatenate(a), np.concatenate(b)), np.maximum(np.concatenate(a), np.concatenate(b))], axis=0)
-            both = both[both[:, 0] < both[:, 1]]
-            if len(both):
-                put(both[:, 0] >> 32, 0, both[:, 0] & 0xFFFFFFFF, both[:, 1])
+            x, y, times = _summed(np.minimum(np.concatenate(a), np.concatenate(b)), np.maximum(np.concatenate(a), np.concatenate(b)), np.concatenate(weight))
+            put(x >> 32, 0, x & 0xFFFFFFFF, y, times)
         if homes:
             m = np.concatenate(members)
-            put(m >> 32, 1, m & 0xFFFFFFFF, np.concatenate(homes))
+            put(m >> 32, 1, m & 0xFFFFFFFF, np.concatenate(homes), np.ones(len(m), np.int64))
+            m, _, times = _summed(*(2 * [np.concatenate(seen)]), np.ones(sum(map(len, seen)), np.int64))
+            put(m >> 32, 2, m & 0xFFFFFFFF, m, times)
         return pa.table({"__b": pa.array(out["__b"], pa.int32()), "kind": pa.array(out["kind"], pa.int32()), "data": pa.array(out["data"], pa.binary())})
 
     def sending(key, left, right):
         left = _sorted(left)
         ids = ids_in(left)
-        pairs, homes = [np.zeros((0, 2), np.int64)], [np.zeros((0, 2), np.int64)]
+        got = [[np.zeros((3, 0), np.int64)] for _ in range(3)]
         for k, data in zip(right["kind"].to_pylist(), right["data"].to_pylist(), strict=True):
-            (homes if k else pairs).append(np.stack(A.unpack(data, np.int64, np.int64), 1))
-        pairs, homes = np.unique(np.concatenate(pairs), axis=0), np.unique(np.concatenate(homes), axis=0)
-        need = np.unique(np.r_[pairs[:, 0], homes[:, 0]])
-        sets = dict(zip(need.tolist(), shingle_sets(left["text"], need, shingle) if len(need) else [], strict=True))
+            got[k].append(np.stack(A.unpack(data, np.int64, np.int64, np.int64)))
+        (i, j, times), (member, home, _), (one, _, met) = (np.concatenate(x, 1) for x in got)
+        i, j, times = _summed(i, j, times)
+        need = np.unique(np.r_[i, member])
+        found = shingle_sets(left["text"], need, shingle) if len(need) else []
+        sets = dict(zip(need.tolist(), found, strict=True))
+        # partners meet in many lists: fewer meetings can't be a link (a pair that shares a long list is checked there)
+        meet = np.ones(len(left) + 1, np.int64)
+        meet[need] = keys_of(found, boundary, percent)[3] if len(need) else 1
+        enough = times >= meet[i]
+        pairs = np.stack([i[enough], j[enough]], 1)
+        lists = np.bincount(one, weights=met, minlength=len(left) + 1).astype(np.int64)
+        homes = np.unique(np.stack([member, home], 1)[lists[member] >= meet[member]], axis=0)
         out = {"__b": [], "kind": [], "data": []}
 
         def put(bucket, kind, mine, other):
