@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from . import arrays as A
 
 RUN = 192
+SMALL = 48  # more buckets than twice the shuffle partitions, so that few partitions don't mean large buckets
 NO_ID = np.iinfo(np.int64).max
 U64 = np.uint64
 
@@ -160,7 +161,7 @@ def covered(docs: DataFrame, units: Units, kernel: Kernel, finish, schema: str,
     kernel(buf, offsets, least id, occurs elsewhere, units) gets distinct contexts and returns windows to cover: context, first, count.
     """
     spark = docs.sparkSession
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions")) + SMALL
     whole = [F.struct(*(docs[c] for c in columns)).alias("row")] if columns else []  # so that no name can clash
     dealt = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), *whole, F.pmod(F.xxhash64(docs[id_col]), F.lit(buckets)).cast("int").alias("__b"))
 
@@ -291,6 +292,7 @@ def covered(docs: DataFrame, units: Units, kernel: Kernel, finish, schema: str,
                 sure = order[same & (ids[order] > ids[leads][group])]
             ctx_buf = A.gather(buf, off[leads], size[leads])
             ctx_off = np.r_[0, np.cumsum(size[leads], dtype=np.int64)]
+            del buf, content
             c, first, count = kernel(ctx_buf, ctx_off, ids[leads], known, units)
             peers = ids[order] == ids[leads][group]  # the least document may hold a context more than once
             peer, its = order[peers], group[peers]
