@@ -8,12 +8,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import BASELINE_NOTE, explain_alert
 from ..params import METHODS, Method, Params
-from .charts import build_chart, clip_level, not_charted, robust_z, select_alerts, yoy_log_growth_v1
+from .charts import build_chart, classify_rule, clip_level, not_charted, robust_z, select_alerts, yoy_log_growth_v1
 from .incidents import attach_incident_id, build_incidents, zero_periods
 
 CHARTED, NO_PRIOR, DORMANT, NONE, FEW, FLAT = range(6)
@@ -77,7 +77,7 @@ def judge_set_based(series: DataFrame, p: Params, baseline: str, lifecycle: bool
     shift = on & (F.size("run") == p.run_length) & (F.forall(gaps, lambda d: d > 0) | F.forall(gaps, lambda d: d < 0))
     apart = F.array_sort(F.transform("run", lambda s: F.abs(growth(s) - F.col("center"))))
     middle = (F.try_element_at(apart, F.lit(p.run_length // 2)) + F.try_element_at(apart, F.lit(p.run_length // 2 + 1))) / 2 if p.run_length % 2 == 0 else F.try_element_at(apart, F.lit(p.run_length // 2 + 1))
-    rule = F.when(on & beyond, "beyond_limits").when(shift, "sustained_shift").otherwise("")
+    rule = classify_rule(on & beyond, shift)
     keep = lambda x: F.when(on, F.col(x))
     return j.select("entity", "period", "level", "code", "value", keep("center").alias("center"), keep("sigma").alias("sigma"), F.coalesce("n_baseline", F.lit(0)).cast("long").alias("n_baseline"), F.lit(0).cast("long").alias("n_held_out"), "n_lifecycle_skipped", "base_first", "base_last", rule.alias("rule"), F.when(rule == "sustained_shift", middle / F.col("sigma")).alias("run_z"))
 
@@ -172,13 +172,18 @@ def judge_walking(series: DataFrame, p: Params, m: Method) -> DataFrame:
     return series.select("entity", "period", "value").groupBy("entity").applyInPandas(walk, RAW)
 
 
+def point_status(p: Params) -> Column:
+    """The status of a raw verdict, from its code."""
+    few = F.format_string(f"insufficient_history: only %d baseline years (<{p.min_points})", F.col("n_baseline"))
+    is_ = lambda k: F.col("code") == k
+    return F.when(is_(NO_PRIOR), "no_prior_year").when(is_(DORMANT), "dormant").when(is_(NONE), "insufficient_history: no eligible baseline years").when(is_(FEW), few).when(is_(FLAT), "zero_mad: zero baseline variation (MAD = 0)").otherwise("charted")
+
+
 def finish_points(raw: DataFrame, p: Params) -> DataFrame:
     """Statuses, limits, severities and sentences of raw verdicts."""
     n, s = F.col("n_baseline"), F.col("sigma")
-    few = F.format_string(f"insufficient_history: only %d baseline years (<{p.min_points})", n)
-    status = F.when(F.col("code") == NO_PRIOR, "no_prior_year").when(F.col("code") == DORMANT, "dormant").when(F.col("code") == NONE, "insufficient_history: no eligible baseline years").when(F.col("code") == FEW, few).when(F.col("code") == FLAT, "zero_mad: zero baseline variation (MAD = 0)").otherwise("charted")
     span = F.when(F.col("base_first").isNotNull(), F.concat_ws("-", F.col("base_first").cast("string"), F.col("base_last").cast("string"))).otherwise("")
-    df = raw.withColumns({"status": status, "lcl": F.col("center") - p.sigmas * s, "ucl": F.col("center") + p.sigmas * s, "robust_z": robust_z(F.col("value"), F.col("center"), s), "baseline_span": span})
+    df = raw.withColumns({"status": point_status(p), "lcl": F.col("center") - p.sigmas * s, "ucl": F.col("center") + p.sigmas * s, "robust_z": robust_z(F.col("value"), F.col("center"), s), "baseline_span": span})
     severity = F.when(F.col("rule") == "beyond_limits", F.when(F.abs("robust_z") >= p.high_z, "high").otherwise("medium")).when(F.col("rule") == "sustained_shift", F.when(F.col("run_z") >= p.shift_medium_z, "medium").otherwise("low")).otherwise("")
     note = F.when(F.col("n_held_out") + F.col("n_lifecycle_skipped") > 0, F.format_string(BASELINE_NOTE, n, "n_held_out", "n_lifecycle_skipped")).otherwise("")
     text = F.when(F.col("rule") == "", "").otherwise(F.concat(explain_alert(p, "growth", F.col("baseline_span")), note))

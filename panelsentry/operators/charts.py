@@ -17,6 +17,20 @@ def in_order():
     return by_entity().orderBy("period")
 
 
+def window_filter(window: tuple[int, int]) -> Column:
+    """The period lies in a window, both ends included."""
+    return F.col("period").between(*window)
+
+
+def beyond_limits(value: Column, low: Column, high: Column) -> Column:
+    """Strictly outside; false where anything is missing."""
+    return F.coalesce((value > high) | (value < low), F.lit(False))
+
+
+def classify_rule(beyond: Column, shifted: Column) -> Column:
+    return F.when(beyond, "beyond_limits").when(shifted, "sustained_shift").otherwise("")
+
+
 def clip_level(c: Column) -> Column:
     return F.when(c.isNotNull(), F.greatest(c, F.lit(0.0)))
 
@@ -43,7 +57,7 @@ def robust_center_sigma(df: DataFrame, value: str, keys: list[str], p: Params =
 
 def with_chart(df: DataFrame, value: str, p: Params, floor: bool) -> DataFrame:
     """df with n_baseline, center, sigma, lcl, ucl and reason of its entity's chart."""
-    base = F.when(F.col("period").between(*p.baseline), F.col(value))
+    base = F.when(window_filter(p.baseline), F.col(value))
     df = df.withColumn("n_baseline", F.count(base).over(by_entity())).withColumn("center", F.median(base).over(by_entity()))
     df = df.withColumn("sigma", F.median(F.abs(base - F.col("center"))).over(by_entity()) * p.mad_scale)
     low, high = control_limits(F.col("center"), F.col("sigma"), p, floor)
@@ -59,7 +73,7 @@ def fit_charts(df: DataFrame, value: str, p: Params, floor: bool = True) -> Data
 def stabiliser(p: Params) -> Column:
     """5 % of the typical level in the baseline, or of all levels without one; never below the floor."""
     x = clip_level(F.col("value"))
-    typical = F.coalesce(F.median(F.when(F.col("period").between(*p.baseline), x)).over(by_entity()), F.median(x).over(by_entity()))
+    typical = F.coalesce(F.median(F.when(window_filter(p.baseline), x)).over(by_entity()), F.median(x).over(by_entity()))
     return F.greatest(F.lit(p.c_floor), p.c_fraction * typical)
 
 
@@ -86,8 +100,8 @@ def classify_severity(z: Column, rule: Column, p: Params) -> Column:
 def build_chart(df: DataFrame, value: str, name: str, p: Params, floor: bool, kind: str) -> DataFrame:
     """Judged points of the monitor window of fitted entities."""
     v = F.col(value)
-    judged = run_rule_retroactive(with_chart(df, value, p, floor).where("reason = ''"), value, p).where(F.col("period").between(*p.monitor))
-    rule = F.when((v > F.col("ucl")) | (v < F.col("lcl")), "beyond_limits").when(F.col("in_run"), "sustained_shift").otherwise("")
+    judged = run_rule_retroactive(with_chart(df, value, p, floor).where("reason = ''"), value, p).where(window_filter(p.monitor))
+    rule = classify_rule(beyond_limits(v, F.col("lcl"), F.col("ucl")), F.col("in_run"))
     out = judged.select(F.lit(name).alias("chart"), "entity", "period", v.alias("value"), "center", "lcl", "ucl", "sigma", robust_z(v, F.col("center"), F.col("sigma")).alias("robust_z"), "n_baseline", rule.alias("rule"))
     return out.withColumn("severity", classify_severity(F.col("robust_z"), F.col("rule"), p)).withColumn("explanation", explain_alert(p, kind))
 
@@ -128,7 +142,7 @@ def chart_summary(points: DataFrame) -> DataFrame:
 def portfolio_totals(series: DataFrame, p: Params) -> DataFrame:
     """Totals by period with one chart over all of them; a row a period."""
     total = series.groupBy("period").agg(F.sum("value").alias("value")).withColumn("entity", F.lit("all"))
-    return with_chart(total, "value", p, True).select("period", "value", "center", "lcl", "ucl", (F.col("period").between(*p.monitor) & F.coalesce(F.col("value") > F.col("ucl"), F.lit(False))).alias("above"))
+    return with_chart(total, "value", p, True).select("period", "value", "center", "lcl", "ucl", (window_filter(p.monitor) & F.coalesce(F.col("value") > F.col("ucl"), F.lit(False))).alias("above"))
 
 
 def partial_period_totals(df: DataFrame, p: Params) -> DataFrame:

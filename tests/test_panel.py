@@ -303,3 +303,12 @@ def test_custom_method_walks(spark):
     s[2021] = 0.0
     got = {r.period: r for r in D.method_points(frame(spark, {"x": s}), "mine", P, m).collect()}
     assert got[2023].n_lifecycle_skipped == 2 and got[2023].n_held_out == 0
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    from panelsentry.streaming.verdicts import replay
+
+    series = frame(spark, {f"e{k}": {y: v for y, v in wavy(seed=k).items() if (y + k) % 9} for k in range(4)})
+    m = METHODS["v2-rolling"]
+    got = sorted(replay(series, str(tmp_path / "s"), P, m, 6).collect(), key=str)
+    assert got == sorted(D.judge_walking(series, P, m).collect(), key=str) and got
