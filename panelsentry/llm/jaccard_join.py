@@ -3,9 +3,9 @@
 Documents with equal sets are one class, found by an aggregate; only the least document of each class goes on. Sets of at most ``boundary``
 shingles are light: at a similarity of 0.9 two of them can only differ by one element, so each emits itself and its subsets of one element
 less, and equal keys are links. Larger sets are heavy: two of size a and b that link differ in at most (a + b) / 19 elements, so if shingles are
-dealt by hash into ``SPARE`` + 1 parts more than that, so many parts are the same in both: each set emits its parts as keys for its size class and the
-one below, inverted lists of keys are scanned, and pairs that meet often enough are candidates. Empty parts are emitted only by sets with more than
-``SPARE`` of them; a set with fewer needs as many meetings less. The boundary is where the histogram of set sizes makes the keys of both kinds cheapest.
+dealt by hash into a good many parts more than that, so many parts are the same in both: each set emits its parts as keys for its size class and the
+one below, inverted lists of keys are scanned, and pairs that meet often enough are candidates. Empty parts are emitted only by sets with more of them
+than there are spare parts; a set with fewer needs as many meetings less. The boundary is where the histogram of set sizes makes the keys of both kinds cheapest.
 
 Candidates are checked on whole sets: a set travels once to each bucket that holds partners of it. Lists longer than ``LIST`` are checked as blocks
 by one matrix product in place of pairs, long ones by pairs of blocks, and return a spanning star of each group found. Components come from alternating
@@ -17,6 +17,8 @@ A null doc_id is larger than all others and comes back as null. Extra columns ar
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +30,7 @@ from .decontaminate import LOWER
 from .repeats import NO_ID, _sorted
 
 SHINGLE, PERCENT = 3, 90
-LIGHT, SPARE, LIST, CHECK_COST = 18, 3, 24, 8
+LIGHT, SPARE, LIST, BLOCK, CHECK_COST = 18, 3, 24, 512, 8
 SURE = 1000
 U64 = np.uint64
 
@@ -60,10 +62,13 @@ def size_classes(largest: int, percent: int) -> list[int]:
     return edges
 
 
-def parts_of(edges: list[int], j: int, percent: int) -> int:
-    """Parts of scheme j, for pairs whose smaller set is in class j: one more than they can differ by, and the spare ones."""
+def parts_of(edges: list[int], j: int, percent: int) -> tuple[int, int]:
+    """Parts of scheme j, for pairs whose smaller set is in class j: one more than they can differ by, and the spare ones. Spare are well over as many as a
+    set of that class is likely to leave empty."""
     most = edges[j + 1] - 1 + edges[j + 2] - 1
-    return most * (100 - percent) // (100 + percent) + 1 + SPARE
+    parts = most * (100 - percent) // (100 + percent) + 1
+    spare = SPARE + math.ceil(2.5 * (parts + SPARE) * math.exp(-edges[j] / (parts + SPARE)))
+    return parts + spare, spare
 
 
 def keys_of(sets: list[np.ndarray], boundary: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -88,10 +93,11 @@ def keys_of(sets: list[np.ndarray], boundary: int, percent: int) -> tuple[np.nda
         flat = np.concatenate([sets[i] for i in heavy.tolist()])
         where = np.repeat(np.arange(len(heavy)), size[heavy])
         value = A.mix(flat ^ U64(0x5851F42D4C957F2D))
-        most = np.zeros(len(heavy), np.int64)
+        least = np.full(len(heavy), np.iinfo(np.int64).max)
         for below in (0, 1):
             scheme = np.maximum(cls - below, 0)
-            parts = np.array([parts_of(edges, int(j), percent) for j in scheme], np.int64)
+            plan = [parts_of(edges, j, percent) for j in range(int(scheme.max()) + 1)]
+            parts, spare = np.array(plan, np.int64)[scheme].T
             base = np.cumsum(parts) - parts
             slot = base[where] + (flat % parts[where].astype(U64)).astype(np.int64)
             total = np.zeros(int(parts.sum()), U64)
@@ -100,13 +106,13 @@ def keys_of(sets: list[np.ndarray], boundary: int, percent: int) -> tuple[np.nda
             of = np.repeat(np.arange(len(heavy)), parts)
             part = np.arange(len(total)) - base[of]
             empties = np.bincount(of, weights=full == 0, minlength=len(heavy)).astype(np.int64)
-            most = np.maximum(most, empties)
-            emit = ((full > 0) | (empties[of] > SPARE)) & ~((below == 1) & (cls[of] == 0))
+            least = np.minimum(least, spare + 1 - empties)
+            emit = ((full > 0) | (empties > spare)[of]) & ~((below == 1) & (cls[of] == 0))
             key = A.mix(total + A.mix((scheme[of].astype(U64) << U64(32)) + part.astype(U64) + U64(1)))
             keys.append(key[emit])
             owner.append(heavy[of[emit]])
             kind.append(np.zeros(int(emit.sum()), np.uint8))
-        meet[heavy] = np.maximum(SPARE + 1 - most, 1)
+        meet[heavy] = np.maximum(least, 1)
     if not keys:
         return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.uint8), meet
     return np.concatenate(keys), np.concatenate(owner), np.concatenate(kind), meet
@@ -127,7 +133,7 @@ def choose_boundary(histogram: dict[int, int], percent: int) -> int:
 
     def heavy(n):
         j = int(np.searchsorted(edges, n, "right")) - 1
-        return parts_of(edges, j, percent) + parts_of(edges, max(j - 1, 0), percent) + CHECK_COST
+        return parts_of(edges, j, percent)[0] + parts_of(edges, max(j - 1, 0), percent)[0] + CHECK_COST
 
     cost = {b: sum(c * (n + 1 if n <= b else heavy(n)) for n, c in histogram.items() if n <= LIGHT) for b in range(most + 1)}
     return min(cost, key=lambda b: (cost[b], -b))
@@ -242,12 +248,14 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 b.append(x[j])
                 weight.append(np.ones(len(i), np.int64))
             elif len(x) > LIST:
-                blocks = np.array_split(x, -(-len(x) // 512))
+                blocks = np.array_split(x, -(-len(x) // BLOCK))
                 for i in range(len(blocks)):
                     for j in range(i + 1, len(blocks)) if len(blocks) > 1 else (i,):
                         both = np.unique(np.r_[blocks[i], blocks[j]])
+                        # lists of like members meet under their least one; blocks of a longer list have homes of their own
+                        home = int(x[0]) if len(blocks) == 1 else int(keys[f]) + (key[0].as_py() << 40) + i * 65537 + j
                         members.append(both)
-                        homes.append(np.full(len(both), int(A.mix(np.array([int(keys[f]) + (key[0].as_py() << 48) + i * 65537 + j], U64))[0] >> U64(1))))
+                        homes.append(np.full(len(both), int(A.mix(np.array([home], U64))[0] >> U64(1))))
         out = {"__b": [], "kind": [], "data": []}
 
         def put(of, kind, *cols):
@@ -317,7 +325,11 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         mine = dict(zip(need.tolist(), shingle_sets(left["text"], need, shingle) if len(need) else [], strict=True))
         links = [(i, int(ids[o])) for i, s, o in got if linked(s, mine[o], percent)]
         for members in groups.values():
-            links += block_links(np.array([m[0] for m in members]), [m[1] for m in members], percent)
+            parts = [members[x : x + 2 * BLOCK] for x in range(0, len(members), 2 * BLOCK)]
+            for x in range(len(parts)):
+                for y in range(x + 1, len(parts)) if len(parts) > 1 else (x,):
+                    both = parts[x] + parts[y] if x < y else parts[x]
+                    links += block_links(np.array([m[0] for m in both]), [m[1] for m in both], percent)
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
     postings = dealt.groupBy("__b").cogroup(heads.groupBy("__b")).applyInArrow(emitting, "__h int, __b int, keys binary, rest binary")

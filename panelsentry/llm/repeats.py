@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from . import arrays as A
 
 RUN = 192
+SHARD = 8192  # contexts that a kernel sees at once, or all of one owner
 SMALL = 48  # more buckets than twice the shuffle partitions, so that few partitions don't mean large buckets
 NO_ID = np.iinfo(np.int64).max
 U64 = np.uint64
@@ -333,6 +334,21 @@ def covered(docs: DataFrame, units: Units, kernel: Kernel, finish, schema: str,
     return dealt.groupBy("__b").cogroup(spans.groupBy("__b")).applyInArrow(ending, schema)
 
 
+def owners_of(buf: np.ndarray, start: np.ndarray, size: np.ndarray, u: Units) -> np.ndarray:
+    """The owner of each context: all its windows have the same, so the first one's."""
+    out = [np.zeros(0, U64)]
+    for a in range(0, len(start), 4096):
+        n = size[a : a + 4096]
+        text, off = A.gather(buf, start[a : a + 4096], n), np.r_[0, np.cumsum(n, dtype=np.int64)]
+        if u.words:
+            s, e, off = A.words_of(text, off, ~A.SPACE)
+            grams = A.sequence_hashes(A.span_hashes(text, s, e), u.gram)
+        else:
+            grams = A.gram_hashes(text, u.gram)
+        out.append(np.minimum.reduceat(A.gather(grams, off[:-1], np.full(len(n), u.reach)), np.arange(len(n)) * u.reach))
+    return np.concatenate(out)
+
+
 def _bytes_of(t: Texts, u: Units, lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where the context of each run starts and ends in the bytes."""
     last = lo + n + u.width - 2
