@@ -223,6 +223,7 @@ def run_method(series: DataFrame, name: str, p: Params, flows: list[str], method
 
 
 def union_methods(series: DataFrame, what: str, p: Params, flows: list[str], methods: dict[str, Method] = METHODS) -> DataFrame:
+    series = series.persist()  # every method reads it
     parts = [run_method(series, name, p, flows, methods)[what] for name in methods]
     out = parts[0]
     for x in parts[1:]:

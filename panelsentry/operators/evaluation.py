@@ -76,7 +76,8 @@ def system_found(series: DataFrame, points: DataFrame, p: Params) -> DataFrame:
 
 def score_trials(series: DataFrame, picks: DataFrame, method: str, seed: int, p: Params, flows: list[str], whole: bool = False) -> DataFrame:
     """method, kind, trial: injected, charted, detected, collateral, silent_pct, surfaced_pct."""
-    broken = keyed(break_series(series, picks, seed, p, whole))
+    series, picks = series.persist(), picks.persist()  # read for the panels, the truth and the clean run
+    broken = keyed(break_series(series, picks, seed, p, whole)).persist()
     res = run_method(broken, method, p, flows)
     clean = system_found(series, method_points(series, method, p), p).withColumn("clean", F.lit(True))
     mark = lambda df, name: df.select(*SCENARIO, *KEY).withColumn(name, F.lit(True))
