@@ -176,10 +176,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("matches")).alias("matches")).drop("row")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """The documents that hold no test window, with all their columns; a document id is dropped if any row of it is hit."""
-    hit = contamination(docs, benchmark, id_col, text_col, width).where(F.size("items") > 0).select(F.col("doc_id").alias("hit")).distinct()
-    return docs.join(hit, docs[id_col].eqNullSafe(hit["hit"]), "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", width: int = WIDTH, test_bytes: int = TEST_BYTES) -> DataFrame:
+    """The documents that hold no test window, with all their columns; each row is judged on its own, and nothing is shuffled."""
+    for part in _parts(benchmark, test_bytes):
+        sent = docs.sparkSession.sparkContext.broadcast(part)
+
+        def drop(batches, sent=sent):
+            tests = TestSet(sent.value, width)
+            for batch in pieces(batches, text_col):
+                h, at = word_hashes(batch[text_col])
+                clean = np.ones(len(batch), bool)
+                if len(tests.rows) and len(h):
+                    clean[np.searchsorted(at, matches(h, at, tests)[0], "right") - 1] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(drop, docs.schema)
+    return docs
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

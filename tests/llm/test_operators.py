@@ -93,7 +93,7 @@ def test_1_decontaminate(spark, docs, tmp_path):
     assert rows_of(op1_decontaminate(spark, d), *COLUMNS_1) == want
     clean = {x[0] for x in want} - {x[0] for x in want if x[5]}
     assert {r.doc_id for r in decontaminate(docs, bench).collect()} == clean
-    assert decontaminate(docs, bench).columns == docs.columns
+    assert decontaminate(docs, bench).columns == docs.columns and decontaminate(docs, bench, test_bytes=200).count() == decontaminate(docs, bench).count()
     split = contamination(docs, bench, test_bytes=200).collect()  # the benchmark in parts
     assert sorted((str(r.doc_id), r.n_words, len(r["items"])) for r in split) == sorted((str(x[0]), x[1], x[3]) for x in want)
 
