@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from .byte_bpe import op5_byte_bpe
 from .chat_format import OP3_SQL, op3_chat_format
-from .decontaminate import op1_decontaminate
+from .decontaminate import OP1_SQL, op1_decontaminate
 from .html_extract import op9_html_extract
-from .jaccard_join import op4_jaccard_join
+from .jaccard_join import OP4_SQL, op4_jaccard_join
 from .mtree_search import OP8_SQL, op8_mtree_search
 from .quality_classifier import op7_quality_classifier
-from .substring_dedup import op6_substring_dedup
+from .substring_dedup import OP6_SQL, op6_substring_dedup
 from .suffix_dedup import op2_suffix_dedup
 from .url_filter import OP10_SQL, op10_url_filter
 
@@ -26,7 +26,10 @@ QUERIES = {
     "op10_url_filter": op10_url_filter,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_decontaminate": OP1_SQL,
     "op3_chat_format": OP3_SQL,
+    "op4_jaccard_join": OP4_SQL,
+    "op6_substring_dedup": OP6_SQL,
     "op8_mtree_search": OP8_SQL,
     "op10_url_filter": OP10_SQL,
 }

@@ -188,3 +188,12 @@ def _digest(table: pa.Table, t: Texts, cover: np.ndarray) -> pa.Table:
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return repeated_words(docs, _digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+OP6_SQL = f"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, s, md5(array_to_string(w[s:s + {WIDTH - 1}], ' ')) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WIDTH} + 2)) AS s FROM dw WHERE len(w) >= {WIDTH})),
+twice AS (SELECT k FROM win GROUP BY 1 HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + {WIDTH})) AS p FROM win SEMI JOIN twice USING (k)),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n FROM (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM dw) ANTI JOIN gone USING (doc_id, p) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM dw LEFT JOIN kept USING (doc_id)"""
