@@ -126,6 +126,11 @@ def _summed(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> tuple[np.ndarra
     return a[first], b[first], np.add.reduceat(weight, first) if len(a) else weight
 
 
+def _rows(out: dict[int, dict[str, bytes]], kinds: tuple[str, ...]) -> pa.Table:
+    """A row a bucket, with a packed column a kind."""
+    return pa.table({"__b": pa.array(list(out), pa.int32()), **{k: pa.array([x.get(k) for x in out.values()], pa.binary()) for k in kinds}})
+
+
 def choose_boundary(histogram: dict[int, int], percent: int) -> int:
     """The size up to which sets are light, where keys and checks cost least; at most the sizes that can differ by one element."""
     most = min(LIGHT, 2 * 100 // (100 - percent) - 2)
@@ -256,34 +261,30 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                         home = int(x[0]) if len(blocks) == 1 else int(keys[f]) + (key[0].as_py() << 40) + i * 65537 + j
                         members.append(both)
                         homes.append(np.full(len(both), int(A.mix(np.array([home], U64))[0] >> U64(1))))
-        out = {"__b": [], "kind": [], "data": []}
+        out: dict[int, dict[str, bytes]] = {}
 
         def put(of, kind, *cols):
             order = np.argsort(of, kind="stable")
             of = of[order]
             cut = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
             for s, e in zip(cut.tolist(), np.r_[cut[1:], len(of)].tolist(), strict=True):
-                out["__b"].append(int(of[s]))
-                out["kind"].append(kind)
-                out["data"].append(A.pack(*(c[order[s:e]] for c in cols)))
+                out.setdefault(int(of[s]), {})[kind] = A.pack(*(c[order[s:e]] for c in cols))
 
         if a:
             x, y, times = _summed(np.minimum(np.concatenate(a), np.concatenate(b)), np.maximum(np.concatenate(a), np.concatenate(b)), np.concatenate(weight))
-            put(x >> 32, 0, x & 0xFFFFFFFF, y, times)
+            put(x >> 32, "pairs", x & 0xFFFFFFFF, y, times)
         if homes:
             m = np.concatenate(members)
-            put(m >> 32, 1, m & 0xFFFFFFFF, np.concatenate(homes), np.ones(len(m), np.int64))
+            put(m >> 32, "homes", m & 0xFFFFFFFF, np.concatenate(homes), np.ones(len(m), np.int64))
             m, _, times = _summed(*(2 * [np.concatenate(seen)]), np.ones(sum(map(len, seen)), np.int64))
-            put(m >> 32, 2, m & 0xFFFFFFFF, m, times)
-        return pa.table({"__b": pa.array(out["__b"], pa.int32()), "kind": pa.array(out["kind"], pa.int32()), "data": pa.array(out["data"], pa.binary())})
+            put(m >> 32, "lists", m & 0xFFFFFFFF, m, times)
+        return _rows(out, ("pairs", "homes", "lists"))
 
     def sending(key, left, right):
         left = _sorted(left)
         ids = ids_in(left)
-        got = [[np.zeros((3, 0), np.int64)] for _ in range(3)]
-        for k, data in zip(right["kind"].to_pylist(), right["data"].to_pylist(), strict=True):
-            got[k].append(np.stack(A.unpack(data, np.int64, np.int64, np.int64)))
-        (i, j, times), (member, home, _), (one, _, met) = (np.concatenate(x, 1) for x in got)
+        got = [np.concatenate([np.zeros((3, 0), np.int64), *(np.stack(A.unpack(x, np.int64, np.int64, np.int64)) for x in right[c].to_pylist() if x)], 1) for c in ("pairs", "homes", "lists")]
+        (i, j, times), (member, home, _), (one, _, met) = got
         i, j, times = _summed(i, j, times)
         need = np.unique(np.r_[i, member])
         found = shingle_sets(left["text"], need, shingle) if len(need) else []
@@ -295,28 +296,26 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         pairs = np.stack([i[enough], j[enough]], 1)
         lists = np.bincount(one, weights=met, minlength=len(left) + 1).astype(np.int64)
         homes = np.unique(np.stack([member, home], 1)[lists[member] >= meet[member]], axis=0)
-        out = {"__b": [], "kind": [], "data": []}
+        out: dict[int, dict[str, bytes]] = {}
 
         def put(bucket, kind, mine, other):
             for b in np.unique(bucket).tolist():
                 m, o = mine[bucket == b], other[bucket == b]
                 sent, index = np.unique(m, return_inverse=True)
-                out["__b"].append(int(b))
-                out["kind"].append(kind)
-                out["data"].append(A.pack(ids[sent], np.array([len(sets[i]) for i in sent.tolist()], np.int64), np.concatenate([sets[i] for i in sent.tolist()]), index.astype(np.int64), o))
+                out.setdefault(int(b), {})[kind] = (A.pack(ids[sent], np.array([len(sets[i]) for i in sent.tolist()], np.int64), np.concatenate([sets[i] for i in sent.tolist()]), index.astype(np.int64), o))
 
-        put(pairs[:, 1] >> 32, 0, pairs[:, 0], pairs[:, 1] & 0xFFFFFFFF)
-        put(homes[:, 1] % buckets, 1, homes[:, 0], homes[:, 1])
-        return pa.table({"__b": pa.array(out["__b"], pa.int32()), "kind": pa.array(out["kind"], pa.int32()), "data": pa.array(out["data"], pa.binary())})
+        put(pairs[:, 1] >> 32, "pairs", pairs[:, 0], pairs[:, 1] & 0xFFFFFFFF)
+        put(homes[:, 1] % buckets, "homes", homes[:, 0], homes[:, 1])
+        return _rows(out, ("pairs", "homes"))
 
     def checking(key, left, right):
         left = _sorted(left)
         ids = ids_in(left)
         got, groups = [], {}
-        for k, data in zip(right["kind"].to_pylist(), right["data"].to_pylist(), strict=True):
+        for c, data in ((c, x) for c in ("pairs", "homes") for x in right[c].to_pylist() if x):
             i, n, flat, index, other = A.unpack(data, np.int64, np.int64, U64, np.int64, np.int64)
             sets = np.split(flat, np.cumsum(n)[:-1])
-            if k:
+            if c == "homes":
                 for x, home in zip(index.tolist(), other.tolist(), strict=True):
                     groups.setdefault(home, []).append((int(i[x]), sets[x]))
             else:
@@ -333,8 +332,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
     postings = dealt.groupBy("__b").cogroup(heads.groupBy("__b")).applyInArrow(emitting, "__h int, __b int, keys binary, rest binary")
-    candidates = postings.groupBy("__h").applyInArrow(pairing, "__b int, kind int, data binary")
-    sets = dealt.groupBy("__b").cogroup(candidates.groupBy("__b")).applyInArrow(sending, "__b int, kind int, data binary")
+    candidates = postings.groupBy("__h").applyInArrow(pairing, "__b int, pairs binary, homes binary, lists binary")
+    sets = dealt.groupBy("__b").cogroup(candidates.groupBy("__b")).applyInArrow(sending, "__b int, pairs binary, homes binary")
     links = dealt.groupBy("__b").cogroup(sets.groupBy("__b")).applyInArrow(checking, "a long, b long")
     labels = components(links)
     classes = classes.select("n", "mark", F.col("r.id").alias("class_id"))
