@@ -21,7 +21,7 @@ from . import arrays as A
 from .repeats import Texts, Units, covered
 
 WIDTH = 50
-SORTED_AT_ONCE = 1 << 16
+SORTED_AT_ONCE, LISTED_AT_ONCE = 1 << 16, 1 << 17
 
 
 def suffix_order(buf: np.ndarray, at: np.ndarray, end: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,7 +86,7 @@ def interval_tree(lcp: np.ndarray, left: np.ndarray, ids: np.ndarray, least: int
 
 
 def maximal_repeats(buf: np.ndarray, off: np.ndarray, ids: np.ndarray, least: int, depth: int | None = None) -> Iterator[tuple[np.ndarray, ...]]:
-    """All maximal repeats of ``least`` bytes or more in the given strings, an array of suffixes at a time: group (counted anew each time), string, first byte,
+    """All maximal repeats of ``least`` bytes or more in the given strings, some at a time: group (counted anew each time), string, first byte,
     length and the group's least id, a row for each occurrence."""
     size = np.diff(off)
     starts = np.maximum(size - least + 1, 0)
@@ -110,22 +110,29 @@ def maximal_repeats(buf: np.ndarray, off: np.ndarray, ids: np.ndarray, least: in
     a = 0
     while a < len(at):
         b = int(ends[min(np.searchsorted(ends, a + SORTED_AT_ONCE), len(ends) - 1)])
-        yield _tree_of(buf, off, ids, at[a:b], which[a:b], least, depth)
+        yield from _tree_of(buf, off, ids, at[a:b], which[a:b], least, depth)
         a = b
 
 
 def _tree_of(buf, off, ids, at, which, least, depth):
-    """The maximal repeats among some suffixes."""
+    """The maximal repeats among some suffixes, some of them at a time."""
     end = off[1:][which]
     order, lcp = suffix_order(buf, at, end, depth or int((end - at).max()))
     at, which = at[order], which[order]
     inner = at > off[:-1][which]
     left = np.where(inner, buf[np.maximum(at - 1, 0)].astype(np.int64), -1)
     nodes = np.array(interval_tree(lcp, left, ids[which], least), np.int64).reshape(-1, 4)
-    members = nodes[:, 2] - nodes[:, 1] + 1
-    group = np.repeat(np.arange(len(nodes)), members)
-    row = np.arange(len(group)) - np.repeat(np.cumsum(members) - members, members) + nodes[group, 1]
-    return group, which[row], at[row] - off[:-1][which[row]], nodes[group, 0], nodes[group, 3]
+    begin = at - off[:-1][which]
+    total = np.cumsum(nodes[:, 2] - nodes[:, 1] + 1)
+    a = 0
+    while a < len(nodes):  # nested intervals list their members again, so some at a time
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + LISTED_AT_ONCE, "right")))
+        part = nodes[a:b]
+        members = part[:, 2] - part[:, 1] + 1
+        group = np.repeat(np.arange(len(part)), members)
+        row = np.arange(len(group)) - np.repeat(np.cumsum(members) - members, members) + part[group, 1]
+        yield group, which[row], begin[row], part[group, 0], part[group, 3]
+        a = b
 
 
 def _kernel(buf, off, ids, known, units):
