@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,6 +17,15 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 BLOCK = 1 << 18
 
 
+@lru_cache(maxsize=1)
+def frugal() -> None:
+    """Large arrays of this worker go back to the system as soon as they are freed, in place of being kept for its whole life."""
+    try:
+        ctypes.CDLL(None).mallopt(-3, 1 << 20)  # glibc's M_MMAP_THRESHOLD; elsewhere there is nothing to set
+    except (AttributeError, OSError, TypeError):
+        pass
+
+
 def flat(column) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string or binary column on end, and the n + 1 offsets; null counts as empty."""
     column = column.cast(pa.large_binary())

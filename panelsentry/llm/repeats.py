@@ -167,6 +167,7 @@ def covered(docs: DataFrame, units: Units, kernel: Kernel, finish, schema: str,
     dealt = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), *whole, F.pmod(F.xxhash64(docs[id_col]), F.lit(buckets)).cast("int").alias("__b"))
 
     def listing(key, table):
+        A.frugal()
         table = _sorted(table)
         t = texts_of(table, units)
         keys, count, several = _listed(t, units, runs_of(t, units))
@@ -183,6 +184,7 @@ def covered(docs: DataFrame, units: Units, kernel: Kernel, finish, schema: str,
         })
 
     def asking(key, table):
+        A.frugal()
         parts = [A.from_six(np.frombuffer(x, np.uint8)) for x in table["keys"].to_pylist()]
         sizes = [len(p) for p in parts]
         several = [np.unpackbits(np.frombuffer(x, np.uint8), count=n).astype(bool) for x, n in zip(table["several"].to_pylist(), sizes, strict=True)]
@@ -204,6 +206,7 @@ def covered(docs: DataFrame, units: Units, kernel: Kernel, finish, schema: str,
         return pa.table({"__b": table["__b"], "__h": table["__h"], "bits": pa.array(out, pa.binary())})
 
     def sending(key, left, right):
+        A.frugal()
         left = _sorted(left)
         t = texts_of(left, units)
         lo, n, owner, text, twice = runs_of(t, units)
@@ -262,6 +265,7 @@ def covered(docs: DataFrame, units: Units, kernel: Kernel, finish, schema: str,
         return pa.table({"__h": pa.array(row["__h"], pa.int32()), "__b": pa.array(row["__b"], pa.int32()), "meta": pa.array(row["meta"], pa.binary()), "bytes": pa.array(row["bytes"], pa.binary())})
 
     def judging(key, table):
+        A.frugal()
         out = {"__b": [], "spans": []}
         metas, texts, where = [], [], []
         for b, meta, data in zip(table["__b"].to_pylist(), table["meta"].to_pylist(), table["bytes"].to_pylist(), strict=True):
@@ -310,6 +314,7 @@ def covered(docs: DataFrame, units: Units, kernel: Kernel, finish, schema: str,
         return pa.table({"__b": pa.array(out["__b"], pa.int32()), "spans": pa.array(out["spans"], pa.binary())})
 
     def ending(key, left, right):
+        A.frugal()
         left = _sorted(left)
         t = texts_of(left, units)
         spans = [A.unpack(data, np.int64, np.uint8) for data in right["spans"].to_pylist()]
