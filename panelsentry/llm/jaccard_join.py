@@ -1,8 +1,8 @@
 """Operator 4: exact Jaccard join of shingle sets, size-aware: subsets for small sets, inverted lists for large ones.
 
 Documents with equal sets are one class, found by an aggregate; only the least document of each class goes on. Sets of at most ``boundary``
-shingles are light: at a similarity of 0.9 two of them can only differ by one element, so each emits itself and its subsets of one element
-less, and equal keys are links. Larger sets are heavy: two of size a and b that link differ in at most (a + b) / 19 elements, so if shingles are
+shingles are light: at a similarity of 0.9 they and any set that links with them can only differ by one element, so each emits itself and its subsets
+of one element less, as do sets one larger, and equal keys are links. Larger sets are heavy: two of size a and b that link differ in at most (a + b) / 19 elements, so if shingles are
 dealt by hash into a good many parts more than that, so many parts are the same in both: each set emits its parts as keys for its size class and the
 one below, inverted lists of keys are scanned, and pairs that meet often enough are candidates. Empty parts are emitted only by sets with more of them
 than there are spare parts; a set with fewer needs as many meetings less. The boundary is where the histogram of set sizes makes the keys of both kinds cheapest.
@@ -132,8 +132,8 @@ def _rows(out: dict[int, dict[str, bytes]], kinds: tuple[str, ...]) -> pa.Table:
 
 
 def choose_boundary(histogram: dict[int, int], percent: int) -> int:
-    """The size up to which sets are light, where keys and checks cost least; at most the sizes that can differ by one element."""
-    most = min(LIGHT, 2 * 100 // (100 - percent) - 2)
+    """The size up to which sets are light, where keys and checks cost least; at most the sizes whose links, also with heavy sets, are of one element."""
+    most = max(b for b in range(LIGHT + 1) if b * 100 // percent <= b + 1)
     edges = size_classes(LIGHT + 2, percent)
 
     def heavy(n):

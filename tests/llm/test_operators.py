@@ -317,6 +317,20 @@ def test_4_similar(spark, limit, size, monkeypatch):
     assert rows_of(out, "doc_id", "n_shingles", "component_id") == brute_4(rows, size, percent)
 
 
+@pytest.mark.parametrize(("size", "percent"), [(3, 90), (5, 80)])
+def test_4_lone_pairs(spark, size, percent):
+    """Each set and the largest one around it that links, with no third text between them: 18 in 20 at 90 %, 8 in 10 at 80 %."""
+    from panelsentry.llm import jaccard_join as J
+
+    rows = []
+    for n in range(1, 45):
+        for most in (n * 100 // percent, n * 100 // percent + 1):
+            words = [f"w{n}x{most}x{k}" for k in range(most + size - 1)]
+            rows += [(len(rows), " ".join(words[: n + size - 1])), (len(rows) + 1, " ".join(words))]
+    out = J.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), shingle=size, percent=percent)
+    assert rows_of(out, "doc_id", "n_shingles", "component_id") == brute_4(rows, size, percent)
+
+
 def test_4_query_and_empty(spark, docs, empty, tmp_path):
     from panelsentry.llm.jaccard_join import keep_one_of_each, op4_jaccard_join
 
