@@ -23,8 +23,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least document of each group that links connect: five-word shingles, a similarity of 0.8 or more."""
-    return keep_one_of_each(docs, shingle=5, percent=80)
+    """The least row of each group that links connect, with or without an id: five-word shingles, a similarity of 0.8 or more."""
+    return keep_one_of_each(docs, shingle=5, percent=80, unnamed=False)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("benchmark_leaks", benchmark_leaks), ("encode", encode)]
 
-#: SQL has no classifier and no tokenizer: the tests hold run() against a brute-force version.
+#: SQL has no classifier and no tokenizer: the tests hold what run() makes of the documents that the classifier keeps against a brute-force version.
 ORACLE_SQL = None
 
 

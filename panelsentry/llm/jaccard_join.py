@@ -12,7 +12,8 @@ by one matrix product in place of pairs, long ones by pairs of blocks, and retur
 stars in Spark. Nothing but a histogram of at most ``LIGHT`` + 1 sizes reaches the driver.
 
 Null texts and texts without words have the empty set and link with nothing. Rows with the same doc_id are judged each; links count for the id.
-A null doc_id is larger than all others and comes back as null. Extra columns are ignored by the query and kept by ``keep_one_of_each``.
+A null doc_id is larger than all others and comes back as null. Extra columns are ignored by the query and kept by ``keep_one_of_each``,
+which chooses among rows, not ids.
 """
 
 from __future__ import annotations
@@ -187,12 +188,14 @@ def block_links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[t
     return out
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, class_id (least document with the same set) and component_id, a row for each document row."""
+def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, by_row: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (their place __b and i, id, n, mark and digest of the text), classes (n, mark and r, the least row) and labels of what links connect: ids or,
+    by row, places of the classes' least rows in one number."""
     spark = docs.sparkSession
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(buckets)).cast("int").alias("__b"))
     ids_in = lambda t: t["doc_id"].fill_null(NO_ID).to_numpy()
+    nodes_in = lambda key, t: (key[0].as_py() << 32) + np.arange(len(t)) if by_row else ids_in(t)
 
     def summing(key, table):
         table = _sorted(table)
@@ -200,9 +203,9 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         total = np.array([int(np.sum(A.mix(s), dtype=U64)) if len(s) else 0 for s in sets], U64)
         total = A.mix(total + np.array([len(s) for s in sets], U64)).astype(np.int64)
         n = len(sets)
-        return pa.table({"__b": pa.array(np.full(n, key[0].as_py()), pa.int32()), "i": pa.array(np.arange(n), pa.int32()), "id": pa.array(ids_in(table), pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()), "mark": pa.array(total, pa.int64())})
+        return pa.table({"__b": pa.array(np.full(n, key[0].as_py()), pa.int32()), "i": pa.array(np.arange(n), pa.int32()), "id": pa.array(ids_in(table), pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()), "mark": pa.array(total, pa.int64()), "digest": table["digest"]})
 
-    rows = dealt.groupBy("__b").applyInArrow(summing, "__b int, i int, id long, n long, mark long")
+    rows = dealt.withColumn("digest", F.xxhash64("text")).groupBy("__b").applyInArrow(summing, "__b int, i int, id long, n long, mark long, digest long")
     rows = cut_lineage(rows)
     classes = rows.where("n > 0").groupBy("n", "mark").agg(F.min(F.struct("id", "__b", "i")).alias("r"))
     heads = classes.select("r.__b", "r.i", "n")
@@ -282,7 +285,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def sending(key, left, right):
         left = _sorted(left)
-        ids = ids_in(left)
+        ids = nodes_in(key, left)
         got = [np.concatenate([np.zeros((3, 0), np.int64), *(np.stack(A.unpack(x, np.int64, np.int64, np.int64)) for x in right[c].to_pylist() if x)], 1) for c in ("pairs", "homes", "lists")]
         (i, j, times), (member, home, _), (one, _, met) = got
         i, j, times = _summed(i, j, times)
@@ -310,7 +313,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def checking(key, left, right):
         left = _sorted(left)
-        ids = ids_in(left)
+        ids = nodes_in(key, left)
         got, groups = [], {}
         for c, data in ((c, x) for c in ("pairs", "homes") for x in right[c].to_pylist() if x):
             i, n, flat, index, other = A.unpack(data, np.int64, np.int64, U64, np.int64, np.int64)
@@ -335,19 +338,32 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     candidates = postings.groupBy("__h").applyInArrow(pairing, "__b int, pairs binary, homes binary, lists binary")
     sets = dealt.groupBy("__b").cogroup(candidates.groupBy("__b")).applyInArrow(sending, "__b int, pairs binary, homes binary")
     links = dealt.groupBy("__b").cogroup(sets.groupBy("__b")).applyInArrow(checking, "a long, b long")
-    labels = components(links)
+    return rows, classes, components(links)
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, class_id (least document with the same set) and component_id, a row for each document row."""
+    rows, classes, labels = _classes(docs, id_col, text_col, shingle, percent, False)
     classes = classes.select("n", "mark", F.col("r.id").alias("class_id"))
     classes = classes.join(labels, classes["class_id"] == labels["node"], "left").select("n", "mark", "class_id", F.coalesce("component", "class_id").alias("component_id"))
-    whole = rows.join(classes, ["n", "mark"], "left")
+    whole = rows.select("id", "n", "mark").join(classes, ["n", "mark"], "left")
     known = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
     return whole.select(known("id").alias("doc_id"), F.col("n").alias("n_shingles"), known("class_id").alias("class_id"), F.coalesce(known("component_id"), known("id")).alias("component_id"))
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The documents that are the least of their component, with all their columns."""
-    found = similar_documents(docs, id_col, text_col, shingle, percent)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["gone"], "left_anti")
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, unnamed: bool = True) -> DataFrame:
+    """One row of each component, with all its columns: that of the least id, then of the least text, of rows alike in both the one least as JSON. Rows link
+    by their own texts, whatever other rows have their id; rows without shingles stay. Rows without an id stay too if ``unnamed``."""
+    rows, classes, labels = _classes(docs, id_col, text_col, shingle, percent, True)
+    classes = classes.select("r", F.expr("shiftleft(cast(r.__b as bigint), 32) + r.i").alias("at"))
+    best = classes.join(labels, classes["at"] == labels["node"], "left").groupBy(F.coalesce("component", "at")).agg(F.min("r").alias("r")).select("r.__b", "r.i", F.lit(1).alias("best"))
+    alike = rows.where("n > 0" + (f" AND id <> {NO_ID}" if unnamed else "")).join(best, ["__b", "i"], "left").groupBy("id", "digest").agg(F.count("*").alias("times"), F.count("best").alias("stay"))
+    changed = cut_lineage(alike.where("stay = 0 OR times > 1").select("id", "digest", "stay"))
+    row = F.struct(*docs.columns)
+    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text_col).alias("digest"), row.alias("row"))
+    whole = keyed.join(changed, ["id", "digest"], "left_anti")
+    one = keyed.join(changed.where("stay = 1"), ["id", "digest"], "left_semi").groupBy("id", "digest").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return whole.select("row.*").unionByName(one.select("row.*"))
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

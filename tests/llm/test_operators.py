@@ -550,3 +550,47 @@ def test_pipeline(spark, tmp_path):
     assert all(r.n_tokens == len(r["ids"]) for r in got.values())
     nothing = tables(spark, tmp_path / "e", docs.limit(0), labels=spark.createDataFrame([], "doc_id long, quality int, toxic int"), benchmark=spark.createDataFrame([], "item_id long, text string"))
     assert corpus_pipeline.run(spark, nothing).count() == 0
+
+
+def brute_pipeline(rows, items):
+    """(doc_id, text) of what the stages after the classifier keep of rows (doc_id, text)."""
+    sets = []
+    for _, t in rows:
+        w = lower(t).encode().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    left, kept = set(range(len(rows))), []
+    while left:
+        group, front = set(), [left.pop()]
+        while front:
+            group.add(a := front.pop())
+            near = {b for b in left if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) > 0}
+            left -= near
+            front += near
+        kept.append(min((rows[k] for k in group), key=lambda r: (LAST if r[0] is None else r[0], r[1] or "")))
+    texts = [(i, t, (t or "").split()) for i, t in kept]
+    count = Counter(tuple(w[s : s + 35]) for _, _, w in texts for s in range(len(w) - 34))
+    out = []
+    for i, t, w in texts:
+        hit = {k for s in range(len(w) - 34) if count[tuple(w[s : s + 35])] > 1 for k in range(s, s + 35)}
+        t = " ".join(x for k, x in enumerate(w) if k not in hit) if hit else t
+        if not brute_1([(i, t)], items)[0][5]:
+            out.append((i, t))
+    return sorted(out, key=str)
+
+
+def test_pipeline_rows(spark, tmp_path):
+    """The whole pipeline against brute force: repeated rows, copies without an id, one id for unlike texts, lone copies with two words more."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    say = lambda a, n: " ".join(f"{a}{k}" for k in range(n))
+    rows, marks = labelled()
+    passage, same = say("p", 50), say("d", 80)
+    more = [(2000, "intro here " + passage + " then more of it"), (2001, "other start " + passage + " and a new end"), (2002, "x " + say("q", 30) + " y"), (2003, same), (2003, same), (2004, same + " z"), (None, same), (None, say("e", 60)), (None, say("e", 60)), (None, say("e", 60) + " z"), (None, say("f", 40)), (None, say("g", 40)), (None, None), (None, None)]
+    more += [(2005, say("h", 40)), (2005, say("i", 40)), (2006, say("i", 40) + " z"), (2007, ""), (2007, ""), (2007, say("k", 9)), (2008, say("m", 12)), (2009, say("m", 14)), (2010, say("n", 60)), (2010, say("n", 60).upper())]
+    docs = spark.createDataFrame([(i, t, "en", "src1", 1) for i, t in [r[:2] for r in rows] + more], "doc_id long, text string, lang string, source string, n_chars long")
+    items = [(1, say("Q", 30))]
+    for name, labels in (("a", marks), ("b", [])):
+        d = tables(spark, tmp_path / name, docs, labels=spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), benchmark=spark.createDataFrame(items, "item_id long, text string"))
+        good = corpus_pipeline.quality(spark, spark.read.parquet(f"{d}/documents.parquet"), d)
+        want = brute_pipeline([(r.doc_id, r.text) for r in good.collect()], items)
+        assert rows_of(corpus_pipeline.run(spark, d), "doc_id", "text") == want
+    assert [t for i, t in want if i == 2003] == [same] and sum(i is None for i, _ in want) == 5 and [i for i, _ in want].count(2005) == 2
