@@ -3,8 +3,9 @@
 Rules judge pages; what they say about a host's pages seeds two personalised PageRanks over host edges: trust flows along links from allowed
 hosts, distrust flows against links from blocked ones (a host that links to blocked hosts earns some). A page without a rule is blocked if
 distrust exceeds trust by ``margin`` of a full seed on its host, else allowed. Ranks are whole numbers out of ``SCALE``, so sums don't depend
-on their order. Edges are summed by host pair before anything else; ranks hold a row a host and are written to the checkpoint folder each
-``CUT`` rounds.
+on their order. Ranks start from the own share of the seeds and can only grow, so rounds go on until ``CUT`` of them change nothing: the tolerance is
+less than one of ``SCALE`` for each host. Edges are summed by host pair before anything else; ranks hold a row a host and are written to the
+checkpoint folder each ``CUT`` rounds. Links with a scheme and links of the form //host/ are read.
 
 A null url, or one without "://", has an empty host and path and no rule; empty hosts have no seeds, so such pages are allowed. Repeated
 rows are judged alike; null html has no links; extra columns are ignored.
@@ -17,9 +18,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .components import cut_lineage
+
+#: ROUNDS and LINK_PATTERN are those of OP10_SQL, which ends after four rounds; the operator goes on and reads LINKS.
 SCALE, DAMPING, ROUNDS, MARGIN, CUT = 1_000_000, 85, 4, 50, 4
 HOST_PATTERN, PATH_PATTERN = r"(?s)^.*?://([^/?#]*)", r"(?s)^.*?://[^/?#]*([^?#]*)"
 LINK_PATTERN = r"""(?is)<a\s[^>]*?href\s*=\s*["']?([a-z][a-z0-9+.\-]*://[^"'>\s]+)"""
+LINKS = r"""(?is)<a\s[^>]*?href\s*=\s*["']?((?:[a-z][a-z0-9+.\-]*:)?//[^"'>\s]+)"""
 
 
 @dataclass(frozen=True)
@@ -56,36 +61,42 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 
 def host_edges(pages: DataFrame) -> DataFrame:
     """Links between different hosts, counted: source, target, links."""
-    links = pages.where(F.col("host") != "").select(F.col("host").alias("source"), F.explode(F.regexp_extract_all("html", F.lit(LINK_PATTERN), F.lit(1))).alias("link"))
-    return links.select("source", host_of(F.col("link")).alias("target")).where("target <> '' AND source <> target").groupBy("source", "target").agg(F.count("*").alias("links"))
+    links = pages.where(F.col("host") != "").select(F.col("host").alias("source"), F.explode(F.regexp_extract_all("html", F.lit(LINKS), F.lit(1))).alias("link"))
+    whole = F.when(F.startswith("link", F.lit("//")), F.concat(F.lit("http:"), "link")).otherwise(F.col("link"))
+    return links.select("source", host_of(whole).alias("target")).where("target <> '' AND source <> target").groupBy("source", "target").agg(F.count("*").alias("links"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Trust and distrust of each host, out of ``SCALE``; seeds: host, good, bad."""
+def propagate(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """Trust and distrust of each host, out of ``SCALE``, where further rounds change nothing; seeds: host, good, bad."""
+    edges = cut_lineage(edges)
     out_links = edges.groupBy("source").agg(F.sum("links").alias("of"))
     in_links = edges.groupBy("target").agg(F.sum("links").alias("of"))
     forth = edges.join(out_links, "source").select(F.col("source").alias("host"), F.col("target").alias("to"), (F.col("links") * SCALE / F.col("of")).cast("long").alias("good_share"), F.lit(0).cast("long").alias("bad_share"))
     back = edges.join(in_links, "target").select(F.col("target").alias("host"), F.col("source").alias("to"), F.lit(0).cast("long").alias("good_share"), (F.col("links") * SCALE / F.col("of")).cast("long").alias("bad_share"))
-    moves = forth.unionByName(back)
-    rank = seeds
-    for k in range(1, rounds + 1):
-        sent = rank.join(moves, "host").select(F.col("to").alias("host"), F.expr(f"good * good_share div {SCALE}").alias("good"), F.expr(f"bad * bad_share div {SCALE}").alias("bad"), F.lit(0).alias("own"))
-        start = seeds.select("host", "good", "bad", F.lit(1).alias("own"))
-        keep, pass_on = 100 - DAMPING, DAMPING
-        rank = start.unionByName(sent).groupBy("host").agg(*[F.expr(f"(sum(if(own = 1, {c} * {keep}, {c} * {pass_on})) div 100)").alias(c) for c in ("good", "bad")])
-        if k % CUT == 0 and k < rounds and rank.sparkSession.sparkContext.getCheckpointDir():
-            rank = rank.checkpoint()
-    return rank
-
-
-def judge_urls(pages: DataFrame, rules=RULES, rounds: int = ROUNDS, margin: int = MARGIN) -> DataFrame:
+    moves = cut_lineage(forth.unionByName(back))
+    seeds = cut_lineage(seeds)
+    keep, pass_on = 100 - DAMPING, DAMPING
+    start = seeds.select("host", *[F.expr(f"{c} * {keep}").alias(c) for c in ("good", "bad")])
+    rank, before = start.select("host", F.expr("good div 100").alias("good"), F.expr("bad div 100").alias("bad")), None
+    while True:
+        now = rank.agg(F.sum("good"), F.sum("bad")).first()
+        if now == before:  # no rank ever falls, so equal sums are equal ranks
+            return rank
+        before = now
+        for _ in range(CUT):
+            sent = rank.join(moves, "host").select(F.col("to").alias("host"), *[F.expr(f"good * good_share div {SCALE} * {pass_on}").alias("good"), F.expr(f"bad * bad_share div {SCALE} * {pass_on}").alias("bad")])
+            rank = start.unionByName(sent).groupBy("host").agg(*[F.expr(f"sum({c}) div 100").alias(c) for c in ("good", "bad")])
+        rank = cut_lineage(rank)
+
+
+def judge_urls(pages: DataFrame, rules=RULES, margin: int = MARGIN) -> DataFrame:
     """page_id, host, path, rule, verdict and the host's trust and distrust."""
     read = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
     ruled = read.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     allowed = F.col("rule").isin([r.name for r in rules if r.allow])
     hosts = ruled.where(F.col("host") != "").groupBy("host").agg(F.count("*").alias("n"), F.count_if(allowed).alias("yes"), F.count_if(F.col("rule").isNotNull() & ~allowed).alias("no"))
     seeds = hosts.select("host", F.expr(f"yes * {SCALE} div n").alias("good"), F.expr(f"no * {SCALE} div n").alias("bad"))
-    rank = propagate(seeds, host_edges(ruled), rounds).select("host", "good", "bad")
+    rank = propagate(seeds, host_edges(ruled)).select("host", "good", "bad")
     least = SCALE * (100 - DAMPING) * margin // 10_000
     poor = F.coalesce(F.col("bad") - F.col("good"), F.lit(0)) > least
     verdict = F.when(F.col("rule").isNull(), F.when(poor, "block").otherwise("allow")).when(allowed, "allow").otherwise("block")

@@ -527,6 +527,30 @@ def test_10_distrust_flows_back(spark):
     assert judge_urls(none).count() == 0
 
 
+def test_10_converges(spark):
+    """Ranks against the solved equations, on chains of more than four links, a ring, a hub and links without a scheme."""
+    from panelsentry.llm.url_filter import SCALE, judge_urls
+
+    links = [("c0.io", "bad.net", 1)] + [(f"c{k + 1}.io", f"c{k}.io", 1) for k in range(8)] + [(f"r{k}.io", f"r{(k + 1) % 5}.io", 2) for k in range(5)] + [("r0.io", "good.org", 1), ("good.org", "r2.io", 3)]
+    links += [(f"far{k}.io", "c1.io", 1) for k in range(2)] + [("gather.io", f"far{k}.io", 1) for k in range(2)] + [("fifth.io", "c2.io", 1)] + [(f"other{k}.io", "c2.io", 1) for k in range(3)]
+    html = defaultdict(str)
+    for k, (a, b, n) in enumerate(links):
+        html[a] += f'<a href="{("http:", "")[k % 2]}//{b}/x">l</a>' * n
+    hosts = sorted({h for a, b, _ in links for h in (a, b)})
+    rows = [(k, f"http://{h}/fr/x" if h == "good.org" else f"http://{h}/a", html[h]) for k, h in enumerate(hosts)]
+    got = {r.host: r for r in judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    at = {h: k for k, h in enumerate(hosts)}
+    m = np.zeros((len(hosts), len(hosts)))
+    for a, b, n in links:
+        m[at[b], at[a]] += n
+    for column, seed, move in (("good", "good.org", m / np.maximum(m.sum(0), 1)), ("bad", "bad.net", m.T / np.maximum(m.sum(1), 1))):
+        own = np.array([0.15 * (h == seed) for h in hosts])
+        want = np.linalg.solve(np.eye(len(hosts)) - 0.85 * move, own) * SCALE
+        assert max(abs(getattr(got[h], column) - want[at[h]]) for h in hosts) < 40, column
+        assert (np.array([getattr(got[h], column) > 0 for h in hosts]) == (want > 1)).all()
+    assert got["fifth.io"].verdict == "allow" and got["c0.io"].verdict == "block"
+
+
 # pipeline
 
 
