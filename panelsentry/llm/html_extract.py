@@ -6,7 +6,8 @@ length, link share and place, and labels each with the whole document as context
 get their labels from semantic markup, and on re-dressed copies of them (other wrappers, menus, notices, adverts, forms, comments), so that no single
 template decides. Pages are labelled in one pass without a shuffle; only the weights, of fixed size, are broadcast.
 
-Scripts, styles, templates and comments never become blocks. A line break inside a block is a space. Null or empty html, or a page without
+Scripts, styles, frames, templates, drawings and comments never become blocks. What is in a script, style or frame is not read as markup: it ends at its own
+end tag (a script or style without one at the end of the page, as in browsers; a frame, template or drawing without one is only its tag). A line break inside a block is a space. Null or empty html, or a page without
 article blocks, gives an empty text. Nothing is cut, however long a page is. Repeated rows are read alike; extra columns are ignored.
 """
 
@@ -28,21 +29,39 @@ SAMPLE, EPOCHS, HIDDEN, PATH, WORDS = 200, 9, 16, 96, 32
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"""(?i)\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 #: Elements of HTML by how they break text.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark noscript object q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg object".split())
+#: Elements whose content is no markup, and ones that hold markup but no text of the page.
+RAW = frozenset("script style iframe".split())
+INERT = frozenset("template svg".split())
+ENDS = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*>?", re.I) for n in RAW}
+PAIRS = {n: re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style)(?=[\s/>]).*?(?:</\1(?=[\s/>])|\Z)|<(/?){n}(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.I | re.S) for n in INERT}
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 BOILER = frozenset("nav header footer aside form menu button select dialog".split())
 HINTS = re.compile(r"(?i)(^|[-_ ])(ad|ads|advert\w*|banner|sponsor\w*|promo|menu|nav\w*|side ?bar|header|footer|foot|comments?|reply|replies|respond|cookie\w*|notice|alert|consent|newsletter|subscribe|signup|login|form|share|social|related|breadcrumbs?|widget|popup|modal|copyright|legal)($|[-_ ])")
 
 
+def _closed(page: str, name: str, start: int) -> dict[int, int]:
+    """Where elements of that name end, by where they begin, from start on; those without an end tag are left out."""
+    out, begun = {}, []
+    for m in PAIRS[name].finditer(page, start):
+        if m[2]:
+            if begun:
+                out[begun.pop()] = m.end()
+        elif m[3] is not None and not m[3].rstrip().endswith("/"):
+            begun.append(m.start())
+    return out
+
+
 def blocks_of(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
     """(path, text, share of the text inside links) of each leaf block that has text."""
     out: list[tuple[tuple[str, ...], str, float]] = []
     stack: list[tuple[str, str]] = []
     text: list[str] = []
     linked = link_depth = 0
-    skip = ""
+    page, pos = page or "", 0
+    closed: dict[str, dict[int, int]] = {}
+    endless: set[str] = set()
 
     def flush():
         nonlocal linked
@@ -54,21 +73,29 @@ def blocks_of(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
             text.clear()
         linked = 0
 
-    for m in TOKEN.finditer(page or ""):
+    while m := TOKEN.match(page, pos):
+        pos = m.end()
         name = m[2]
         if name is None:
-            if not skip and (m[0][0] != "<" or m[0] == "<"):
+            if m[0][0] != "<" or m[0] == "<":
                 text.append(m[0])
                 linked += len(m[0]) * (link_depth > 0)
             continue
         name = name.lower()
-        if skip:
-            if m[1] and name == skip:
-                skip = ""
-            continue
-        if name in RAW:
+        if name in RAW or name in INERT:
             if not m[1] and not m[3].rstrip().endswith("/"):
-                skip = name
+                if name in INERT:
+                    if name not in closed:
+                        closed[name] = _closed(page, name, m.start())
+                    pos = closed[name].get(m.start(), pos)
+                elif name not in endless:
+                    end = ENDS[name].search(page, pos)
+                    if end:
+                        pos = end.end()
+                    elif name == "iframe":
+                        endless.add(name)
+                    else:
+                        break
             continue
         if name == "br":
             text.append(" ")

@@ -467,6 +467,20 @@ def test_9_extract(spark, tmp_path):
     assert by[100].text == by[101].text == "" and by[103].n_chars > 400_000 and by[103].text.endswith("four")
 
 
+def test_9_code_is_no_markup():
+    from panelsentry.llm.html_extract import blocks_of
+
+    story = "<article><p>One two</p><p>three</p></article>"
+    for before in (
+        "<script>for(i=0;i<n;i++){f()}</script>", "<SCRIPT a='>'>x='<!--'</Script >", "<style>a<b{}/*<!--*/</style>", "<script>s='</scripts>'+\"<p title='\"</script>", "<iframe><p 'x</iframe>",
+        "<template><p>no</p><template>no</template>no</template>", "<svg><svg/><text>no</text><script>a<b;'</svg>'</script><svg><g/></svg></svg>", "<object data=x>", "<noscript>", "<svg>", "<iframe src=x>", "<template>", "<iframe>" * 3 + "<svg>" * 3,
+    ):
+        for page in (before + story, "<script>a<b</script>" + before + story + "<script>c<d</script>", story.replace("two", before + "two")):
+            assert [b[1] for b in blocks_of(page)] == ["One two", "three"], page
+    assert [b[1] for b in blocks_of("<noscript><p>a</p></noscript><object><p>b</p></object>" + story + "<script>no <p>no")] == ["a", "b", "One two", "three"]
+    assert len(blocks_of("<svg>" * 100_000 + "<iframe>" * 100_000 + story)) == 2
+
+
 def test_9_gradients_and_empty(spark, tmp_path):
     from panelsentry.llm.html_extract import BiLSTM, op9_html_extract
 
