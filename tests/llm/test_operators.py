@@ -412,7 +412,7 @@ def test_7_without_labels(spark, docs, empty):
 
 
 def brute_8(rows, k=5):
-    live = [(i, [int(np.floor(256 * float(np.float32(x)))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) and abs(x) < 2**19 for x in v)]
+    live = [(i, [int(np.floor(256 * float(np.float32(x)))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
     for q, x in {(i, tuple(v)) for i, v in live if i % 50 == 0}:
         best = sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in live if i != q)[:k]
@@ -427,11 +427,29 @@ def test_8_top_k(spark, pivots, tree):
     rng = np.random.default_rng(5)
     rows = [(i, rng.standard_normal(6).round(3).tolist()) for i in range(700)] + [(1000 + i, [0.5] * 6) for i in range(120)]
     rows += [(2000, None), (2050, [None, 1.0]), (2100, [float("nan"), 1.0]), (2150, [float("inf")]), (2200, []), (2250, [1.0, 2.0]), (3, rows[3][1]), (None, [1.0] * 6)]
-    t = spark.createDataFrame(rows, "vec_id long, embedding array<float>, tree int" if False else "vec_id long, embedding array<float>")
+    t = spark.createDataFrame([(*r, 1, "f") for r in rows], "vec_id long, embedding array<float>, tree int, floor string")
     got = rows_of(top_k(t, t.where("vec_id % 50 = 0"), pivots=pivots, tree=tree), "query_id", "rank", "vec_id", "score")
     assert got == brute_8(rows)
 
 
+@pytest.mark.parametrize(("pivots", "tree"), [(48, 4096), (4, 10)])
+def test_8_large_values_and_ids_with_several_vectors(spark, pivots, tree):
+    """Components of 2^19 and more, scores at the ends of a long and beyond, and two vectors under one id among the queries."""
+    from panelsentry.llm.mtree_search import top_k
+
+    rng = np.random.default_rng(6)
+    rows = [(i, (rng.standard_normal(4) * 2.0 ** rng.integers(0, 40)).tolist()) for i in range(400)]
+    rows += [(401, [600000.0, 1.0]), (402, [1.0, 2.0]), (403, [3e38, -3e38]), (404, [-3e38, 3e38]), (450, [1.0, 1.0]), (450, [-1.0, 1.0]), (500, [1.0, 1.0]), (500, [1.0, 1.0]), (403, [1e30])]
+    t = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = rows_of(top_k(t, t.where("vec_id % 50 = 0"), pivots=pivots, tree=tree), "query_id", "rank", "vec_id", "score")
+    live = [(i, [int(np.floor(256 * float(np.float32(x)))) for x in v]) for i, v in rows]
+    want = []
+    for q, x in {(i, tuple(v)) for i, v in live if i % 50 == 0}:
+        best = sorted((-min(max(sum(a * b for a, b in zip(x, y)), -(2**63)), 2**63 - 1), i) for i, y in live if i != q)[:5]
+        want += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    assert got == sorted(want, key=str)
+
+
 def test_8_empty_and_bounds(spark):
     from panelsentry.llm.mtree_search import MTree, top_k
 
