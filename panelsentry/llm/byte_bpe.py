@@ -2,8 +2,8 @@
 
 Each shard of the corpus (Arrow batches cut at ``SHARD_BYTES`` of text, or one document) is reduced to its distinct pre-tokens. An inverted
 index holds, for each rank, the places in those words where two neighbours join to the token of that rank; the least pending rank is popped,
-applied to all its words at once, and only the touched neighbours are looked up again. A pop merges the leftmost place of each word, so a lower
-rank that a merge creates comes first, exactly as a word-by-word encoder does. Text never leaves its task: a global index would give the
+applied to all its words at once, and only the touched neighbours are looked up again. A pop merges all places of a word from the left, every other one where
+they overlap, up to the first that makes a pair of a lower rank: that one comes first, exactly as in a word-by-word encoder. Text never leaves its task: a global index would give the
 same ids but send each occurrence of each word through a shuffle, so the index is built once a shard.
 
 Null and empty texts have no ids. Rows are independent: repeated ids or rows and extra columns don't matter. ``path`` names a rank file.
@@ -85,11 +85,10 @@ class Vocabulary:
             places = np.unique(places[alive[places] & (rank[places] == r)])
             if not len(places):
                 continue
-            lead = np.r_[True, word[places][1:] != word[places][:-1]]
-            if not lead.all():
-                index[r] = places[~lead].tolist()
+            places, later = self._turn(places, r, word, token, before, after, total)
+            if len(later):
+                index[r] = later.tolist()
                 heapq.heappush(heap, r)
-                places = places[lead]
             gone = after[places]
             end = after[gone]
             token[places] = r
@@ -114,6 +113,25 @@ class Vocabulary:
         alive = alive[:-1]
         return token[:-1][alive], np.r_[0, np.cumsum(np.bincount(word[alive], minlength=len(words)))]
 
+    def _turn(self, places, r, word, token, before, after, total) -> tuple[np.ndarray, np.ndarray]:
+        """Which places of rank r merge now, and which wait. In a row of overlapping places every other one merges, as from the left; in each word all up to the
+        first whose merge makes a pair of a lower rank, which has to come before the rest."""
+        chain = np.r_[True, after[places[:-1]] != places[1:]]
+        head = np.flatnonzero(chain)
+        places = places[(np.arange(len(places)) - head[np.cumsum(chain) - 1]) % 2 == 0]
+        end, prior = after[after[places]], before[places]
+        right = np.where(end < total, self.join(np.full(len(places), r), token[end]), -1)
+        left_token = np.where(np.r_[False, end[:-1] == places[1:]], r, token[prior])  # the neighbour on the left may have merged just before
+        left = np.where(prior < total, self.join(left_token, np.full(len(places), r)), -1)
+        stop = ((left >= 0) & (left < r)) | ((right >= 0) & (right < r))
+        if not stop.any():
+            return places, places[:0]
+        new = np.r_[True, word[places][1:] != word[places][:-1]]
+        begins = np.flatnonzero(new)[np.cumsum(new) - 1]
+        stops = np.cumsum(stop) - stop  # stops before this place, in all words
+        now = stops == stops[begins]
+        return places[now], places[~now]
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts on end, and the n + 1 offsets."""
         known: dict[str, int] = {}

@@ -364,6 +364,34 @@ def test_5_byte_bpe(spark, docs, empty, tmp_path):
     assert all(bytes(r.decoded) == (r.text or "").encode() for r in back) and len(back) == len(made())
 
 
+def test_5_long_words(spark):
+    """One pre-token of 200,000 equal letters in linear time, and odd words against the same encoder."""
+    tiktoken = pytest.importorskip("tiktoken")
+    import time
+
+    import public_tokenizers as P
+
+    from panelsentry.llm.byte_bpe import vocabulary
+
+    path = P.path("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(2)
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 90))) for letters in ("a", "ab", "aab", "etin", "the", "\u00e9e", "=-", " \n", "abcdefghijklmnopqrstuvwxyz") for _ in range(60)]
+    v = vocabulary(path, P.PATTERN)
+    for t in texts:
+        ids, _ = v.encode([t])
+        assert ids.tolist() == enc.encode_ordinary(t), t
+    ids, off = v.encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:])] == [enc.encode_ordinary(t) for t in texts]
+    began = time.perf_counter()
+    for long in ("a" * 200_000, "ab" * 100_000, " " * 100_000 + "x"):
+        ids, off = v.encode([long, None, "b"])
+        back, at = v.decode(ids, off)
+        assert back.tobytes() == (long + "b").encode() and at.tolist() == [0, len(long), len(long), len(long) + 1]
+    assert time.perf_counter() - began < 30
+
+
 # 7
 
 
