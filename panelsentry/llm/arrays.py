@@ -18,12 +18,21 @@ BLOCK = 1 << 18
 
 
 @lru_cache(maxsize=1)
-def frugal() -> None:
-    """Large arrays of this worker go back to the system as soon as they are freed, in place of being kept for its whole life."""
+def _own_pool() -> None:
     try:
         ctypes.CDLL(None).mallopt(-3, 1 << 20)  # glibc's M_MMAP_THRESHOLD; elsewhere there is nothing to set
     except (AttributeError, OSError, TypeError):
         pass
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
+def frugal() -> None:
+    """Large arrays of this worker, Arrow's too, go back to the system as soon as they are freed, in place of being kept for its whole life; small ones now."""
+    _own_pool()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):
+        pass
 
 
 def flat(column) -> tuple[np.ndarray, np.ndarray]:
@@ -183,7 +192,8 @@ def from_six(b: np.ndarray) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def bucket_edges(sorted_hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each of the equal ranges of hashes starts in the sorted array; buckets + 1 places."""
-    edges = np.array([(i << 64) // buckets for i in range(buckets)], dtype=object)
-    return np.append(np.searchsorted(sorted_hashes, edges.astype(U64)), len(sorted_hashes))
+def bucket_runs(sorted_hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The equal ranges of hashes (below 2^32 of them) that hold any, and where each starts in the sorted array, and its end."""
+    bucket = ((sorted_hashes >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
+    first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
+    return bucket[first], np.r_[first, len(bucket)]

@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of the session's own only where that is unset, as in tests."""
+    """The folder that the cluster names in spark.checkpoint.dir; one of the session's own only where that is unset and all runs on one machine, as in tests."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return context.getCheckpointDir()
 
 
@@ -22,11 +25,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, component: the least node that each node of links (a, b) can reach. Ends when a round changes nothing."""
+def components(links: DataFrame) -> DataFrame:
+    """node, component: the least node that each node of links (a, b) can reach. Rounds go on until one changes nothing."""
     edges = cut_lineage(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
-    for _ in range(rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -35,6 +38,5 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         edges = cut_lineage(small.where("u <> v").distinct())
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
-            break
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
         before = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -2,8 +2,9 @@
 
 Each shard of training text (an Arrow batch of at most ``SHARD_BYTES`` or one document) gets a word-level suffix array; every test suffix is
 searched in it by bisection, which gives all locations of its longest verbatim matches. Suffixes that share no first words with any test
-suffix can't match and are left out of the array before it is sorted. Training text never moves: the test side is sent to it in parts of at
-most ``TEST_BYTES`` (one part as a rule), each broadcast on its own; with more parts the partial matches are added up by document.
+suffix can't match and are left out of the array before it is sorted. Training text never moves: the test side is sent to it as an index of about seven times
+its text, in parts of at most ``TEST_BYTES`` of text (one part as a rule); with more parts each is a job of its own, and their matches are added up. Words
+are compared as 64-bit hashes, ten or so in a row for each match.
 
 Null and empty texts have no words and match nothing. Rows with the same item_id are one item; a null item_id is the item "null". Each
 document row is judged on its own, repeated or not. Extra columns are ignored by the query and kept by ``decontaminate``.
@@ -21,9 +22,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import arrays as A
+from .components import cut_lineage
 
 WIDTH, PREFIX = 10, 4
-SHARD_BYTES, TEST_BYTES = 8 << 20, 32 << 20
+SHARD_BYTES, TEST_BYTES, AT_ONCE = 8 << 20, 8 << 20, 1 << 16
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 WORD = np.ones(256, bool)
@@ -50,7 +52,7 @@ def word_hashes(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 class TestSet:
-    """All test windows of some items as rows of word ids, and the first words that a matching suffix needs."""
+    """All test windows of some items, as places in their word ids, and the first words that a matching suffix needs."""
 
     __test__ = False
 
@@ -59,25 +61,25 @@ class TestSet:
         self.names = ["null" if x is None else str(x) for x in items["item_id"].to_pylist()]
         self.width = width
         self.vocabulary = np.unique(h)
-        ids = (np.searchsorted(self.vocabulary, h) + 1).astype(np.int64)
-        rows, item, size, first = [], [], [], []
-        prefix: dict[int, list[np.ndarray]] = defaultdict(list)
-        for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
-            n = min(width, b - a)
-            for p in range(a, b - n + 1) if n else ():
-                rows.append(np.r_[ids[p : p + n], np.zeros(width - n, np.int64)])
-                item.append(i)
-                size.append(n)
-                first.append(p - a)
-                prefix[min(n, PREFIX)].append(h[p : p + min(n, PREFIX)])
-        self.rows = np.array(rows, np.int64).reshape(-1, width)
-        self.item, self.size, self.first = np.array(item, np.int64), np.array(size, np.int64), np.array(first, np.int64)
-        self.prefix = {}
-        for n, x in prefix.items():
-            keys = np.unique(np.concatenate([A.sequence_hashes(y, n) for y in x]))
+        self.ids = np.r_[np.searchsorted(self.vocabulary, h) + 1, np.zeros(width, np.int64)].astype(np.int32)
+        words = np.diff(at)
+        n = np.minimum(words, width)
+        count = np.where(n > 0, words - n + 1, 0)
+        self.item = np.repeat(np.arange(len(count), dtype=np.int32), count)
+        self.first = (np.arange(len(self.item)) - np.repeat(np.cumsum(count) - count, count)).astype(np.int32)
+        self.start, self.size = at[:-1][self.item] + self.first, n[self.item].astype(np.int32)
+        self.prefix = {}  # by number of first words: their distinct hashes, a filter of them, the windows and the hash of each
+        for p in np.unique(np.minimum(self.size, PREFIX)).tolist():
+            window = np.flatnonzero(np.minimum(self.size, PREFIX) == p)
+            keys, code = np.unique(A.sequence_hashes(h, p)[self.start[window]], return_inverse=True)
             seen = np.zeros(1 << 20, bool)
             seen[keys & np.uint64((1 << 20) - 1)] = True
-            self.prefix[n] = keys, seen
+            self.prefix[p] = keys, seen, window.astype(np.int32), code.astype(np.int32)
+
+    def rows(self, window: np.ndarray) -> np.ndarray:
+        """The word ids of some windows; 0 beyond their end."""
+        along = np.arange(self.width)[None, :]
+        return np.where(along < self.size[window][:, None], self.ids[self.start[window][:, None] + along], 0)
 
 
 def _text_keys(rows: np.ndarray) -> np.ndarray:
@@ -87,32 +89,40 @@ def _text_keys(rows: np.ndarray) -> np.ndarray:
 
 def matches(h: np.ndarray, at: np.ndarray, tests: TestSet) -> tuple[np.ndarray, np.ndarray]:
     """Word positions of the shard and test windows that start there, verbatim."""
-    some = np.zeros(len(h), bool)
-    for n, (keys, seen) in tests.prefix.items():
+    some, live = np.zeros(len(h), bool), np.zeros(len(tests.start), bool)
+    for n, (keys, seen, windows, code) in tests.prefix.items():
         g = A.sequence_hashes(h, n)
         maybe = np.flatnonzero(seen[g & np.uint64((1 << 20) - 1)])
         k = np.minimum(np.searchsorted(keys, g[maybe]), len(keys) - 1)
-        some[maybe[keys[k] == g[maybe]]] = True
-    suffix = np.flatnonzero(some)
+        hit = keys[k] == g[maybe]
+        some[maybe[hit]] = True
+        here = np.zeros(len(keys), bool)
+        here[k[hit]] = True
+        live[windows[here[code]]] = True
+    suffix, live = np.flatnonzero(some), np.flatnonzero(live)
     none = np.zeros(0, np.int64)
     if not len(suffix):
         return none, none
     end = at[np.searchsorted(at, suffix, "right")]
-    place = suffix[:, None] + np.arange(tests.width)[None, :]
-    inside = place < end[:, None]
-    x = h[np.minimum(place, len(h) - 1)]
-    k = np.minimum(np.searchsorted(tests.vocabulary, x), len(tests.vocabulary) - 1)
-    rows = np.where(inside & (tests.vocabulary[k] == x), k + 1, 0)
-    known = np.cumprod(rows > 0, axis=1, dtype=np.int64)  # nothing matches beyond the first unknown word
-    keys = _text_keys(rows * known)
+    keys = np.empty(len(suffix), f"S{4 * tests.width}")
+    for a in range(0, len(suffix), AT_ONCE):
+        place = suffix[a : a + AT_ONCE, None] + np.arange(tests.width)[None, :]
+        x = h[np.minimum(place, len(h) - 1)]
+        k = np.minimum(np.searchsorted(tests.vocabulary, x), len(tests.vocabulary) - 1)
+        rows = np.where((place < end[a : a + AT_ONCE, None]) & (tests.vocabulary[k] == x), k + 1, 0)
+        keys[a : a + AT_ONCE] = _text_keys(rows * np.cumprod(rows > 0, axis=1, dtype=np.int64))  # nothing matches beyond the first unknown word
     order = np.argsort(keys, kind="stable")
     array, suffix = keys[order], suffix[order]
-    lo = np.searchsorted(array, _text_keys(tests.rows), "left")
-    top = np.where(np.arange(tests.width)[None, :] < tests.size[:, None], tests.rows, 0xFFFFFFFF)
-    hi = np.searchsorted(array, _text_keys(top), "right")
-    count = np.maximum(hi - lo, 0)
-    window = np.repeat(np.arange(len(count)), count)
-    return suffix[np.repeat(lo, count) + np.arange(len(window)) - np.repeat(np.cumsum(count) - count, count)], window
+    found = [(none, none)]
+    for a in range(0, len(live), AT_ONCE):
+        some = live[a : a + AT_ONCE]
+        rows = tests.rows(some)
+        lo = np.searchsorted(array, _text_keys(rows), "left")
+        hi = np.searchsorted(array, _text_keys(np.where(np.arange(tests.width)[None, :] < tests.size[some][:, None], rows, 0xFFFFFFFF)), "right")
+        count = np.maximum(hi - lo, 0)
+        window = np.repeat(np.arange(len(count)), count)
+        found.append((suffix[np.repeat(lo, count) + np.arange(len(window)) - np.repeat(np.cumsum(count) - count, count)], some[window]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def longest(position: np.ndarray, window: np.ndarray, doc: np.ndarray, tests: TestSet) -> tuple[np.ndarray, ...]:
@@ -127,71 +137,106 @@ def longest(position: np.ndarray, window: np.ndarray, doc: np.ndarray, tests: Te
     return d[head], i[head], p[head], f[head], run - 1 + s[head]
 
 
-def _parts(benchmark: DataFrame, limit: int) -> list[pa.Table]:
-    """The items in parts of about ``limit`` bytes; each is fetched alone."""
+def _parts(benchmark: DataFrame, limit: int) -> list[DataFrame]:
+    """The items in parts of about ``limit`` bytes, none of them fetched yet."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
     total = items.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 32)).first()[0] or 0
     n = max(1, -(-int(total) // limit))
-    return [(items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i)).toArrow() for i in range(n)]
+    return [items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) for i in range(n)]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, test_bytes: int = TEST_BYTES) -> DataFrame:
-    """For each document row: n_words, spans (first, size: words under test windows), items, and matches (item, doc_word, item_word, n_words)."""
-    spark = docs.sparkSession
-    schema = "doc_id long, row long, n_words long, spans array<struct<first:long,size:long>>, items array<string>, matches array<struct<item:string,doc_word:long,item_word:long,n_words:long>>"
-    span_type = pa.list_(pa.struct([("first", pa.int64()), ("size", pa.int64())]))
-    match_type = pa.list_(pa.struct([("item", pa.string()), ("doc_word", pa.int64()), ("item_word", pa.int64()), ("n_words", pa.int64())]))
-    parts = _parts(benchmark, test_bytes)
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), (F.monotonically_increasing_id() if len(parts) > 1 else F.lit(0)).cast("long").alias("row"))
+def _each_part(spark: SparkSession, parts: list[DataFrame], width: int, job) -> DataFrame:
+    """job(sent) for each part of the benchmark, in one table. One part is one lazy job; of several only one is held at a time, by the driver and by tasks,
+    and its result is written to the shared folder before the next one is fetched."""
     out = None
     for part in parts:
-        sent = spark.sparkContext.broadcast(part)
-
-        def search(batches, sent=sent):
-            tests = TestSet(sent.value, width)
-            for batch in pieces(batches, "text"):
-                h, at = word_hashes(batch["text"])
-                n = len(batch)
-                spans, items, found = [[] for _ in range(n)], [[] for _ in range(n)], [[] for _ in range(n)]
-                if len(tests.rows) and len(h):
-                    position, window = matches(h, at, tests)
-                    doc = np.searchsorted(at, position, "right") - 1
-                    edge = np.zeros(len(h) + 1, np.int64)
-                    np.add.at(edge, position, 1)
-                    np.add.at(edge, position + tests.size[window], -1)
-                    cover = np.cumsum(edge[:-1]) > 0
-                    for i in np.unique(doc).tolist():
-                        a, b = int(at[i]), int(at[i + 1])
-                        turn = np.flatnonzero(np.diff(np.r_[False, cover[a:b], False].astype(np.int8)))
-                        spans[i] = [{"first": x, "size": y - x} for x, y in zip(turn[::2].tolist(), turn[1::2].tolist(), strict=True)]
-                    for d, i, p, f, s in zip(*(x.tolist() for x in longest(position, window, doc, tests)), strict=True):
-                        found[d].append({"item": tests.names[i], "doc_word": p - int(at[d]), "item_word": f, "n_words": s})
-                    items = [sorted({m["item"] for m in x}) for x in found]
-                yield pa.record_batch({"doc_id": batch["doc_id"].cast(pa.int64()), "row": batch["row"], "n_words": pa.array(np.diff(at), pa.int64()), "spans": pa.array(spans, span_type), "items": pa.array(items, pa.list_(pa.string())), "matches": pa.array(found, match_type)})
-
-        one = source.mapInArrow(search, schema)
+        sent = spark.sparkContext.broadcast(TestSet(part.toArrow(), width))
+        one = job(sent)
+        if len(parts) > 1:
+            one = cut_lineage(one)
+            sent.unpersist()
         out = one if out is None else out.unionByName(one)
+    return out
+
+
+SPAN = pa.list_(pa.struct([("first", pa.int64()), ("size", pa.int64())]))
+MATCH = pa.list_(pa.struct([("item", pa.string()), ("doc_word", pa.int64()), ("item_word", pa.int64()), ("n_words", pa.int64())]))
+
+
+def _search(source: DataFrame, sent) -> DataFrame:
+    """doc_id, n_words, spans, items and matches of each row of doc_id and text, with what else the row has."""
+    more = [c for c in source.columns if c not in ("doc_id", "text")]
+
+    def search(batches):
+        tests = sent.value
+        for batch in pieces(batches, "text"):
+            h, at = word_hashes(batch["text"])
+            n = len(batch)
+            spans, items, found = [[] for _ in range(n)], [[] for _ in range(n)], [[] for _ in range(n)]
+            if len(tests.start) and len(h):
+                position, window = matches(h, at, tests)
+                doc = np.searchsorted(at, position, "right") - 1
+                edge = np.zeros(len(h) + 1, np.int64)
+                np.add.at(edge, position, 1)
+                np.add.at(edge, position + tests.size[window], -1)
+                cover = np.cumsum(edge[:-1]) > 0
+                for i in np.unique(doc).tolist():
+                    a, b = int(at[i]), int(at[i + 1])
+                    turn = np.flatnonzero(np.diff(np.r_[False, cover[a:b], False].astype(np.int8)))
+                    spans[i] = [{"first": x, "size": y - x} for x, y in zip(turn[::2].tolist(), turn[1::2].tolist(), strict=True)]
+                for d, i, p, f, s in zip(*(x.tolist() for x in longest(position, window, doc, tests)), strict=True):
+                    found[d].append({"item": tests.names[i], "doc_word": p - int(at[d]), "item_word": f, "n_words": s})
+                items = [sorted({m["item"] for m in x}) for x in found]
+            yield pa.record_batch({"doc_id": batch["doc_id"].cast(pa.int64()), **{c: batch[c] for c in more}, "n_words": pa.array(np.diff(at), pa.int64()), "spans": pa.array(spans, SPAN), "items": pa.array(items, pa.list_(pa.string())), "matches": pa.array(found, MATCH)})
+
+    own = "".join(f"{c} long, " for c in more)
+    return source.mapInArrow(search, f"doc_id long, {own}n_words long, spans array<struct<first:long,size:long>>, items array<string>, matches array<struct<item:string,doc_word:long,item_word:long,n_words:long>>")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, test_bytes: int = TEST_BYTES) -> DataFrame:
+    """For each document row: n_words, spans (first, size: words under test windows), items, and matches (item, doc_word, item_word, n_words).
+
+    With several parts of the benchmark, rows alike in id and text are found again by a hash of both: they are judged alike."""
+    parts = _parts(benchmark, test_bytes)
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     if len(parts) == 1:
-        return out.drop("row")
-    return out.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("matches")).alias("matches")).drop("row")
+        return _each_part(docs.sparkSession, parts, width, lambda sent: _search(source, sent))
+    keyed = source.withColumns({"row": F.xxhash64("doc_id", "text"), "also": F.hash("text", "doc_id").cast("long")})
+    found = _each_part(docs.sparkSession, parts, width, lambda sent: _search(keyed, sent))
+    lists = {c: F.array_distinct(F.flatten(F.collect_set(c))).alias(c) for c in ("spans", "items", "matches")}  # rows alike give one set a part
+    whole = found.groupBy("doc_id", "row", "also").agg(F.count("*").alias("times"), F.first("n_words").alias("n_words"), *lists.values())
+    return whole.select("doc_id", "n_words", "spans", F.array_sort("items").alias("items"), "matches", F.explode(F.sequence(F.lit(1), F.expr(f"times div {len(parts)}"))).alias("k")).drop("k")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", width: int = WIDTH, test_bytes: int = TEST_BYTES) -> DataFrame:
-    """The documents that hold no test window, with all their columns; each row is judged on its own, and nothing is shuffled."""
-    for part in _parts(benchmark, test_bytes):
-        sent = docs.sparkSession.sparkContext.broadcast(part)
-
-        def drop(batches, sent=sent):
-            tests = TestSet(sent.value, width)
-            for batch in pieces(batches, text_col):
-                h, at = word_hashes(batch[text_col])
-                clean = np.ones(len(batch), bool)
-                if len(tests.rows) and len(h):
-                    clean[np.searchsorted(at, matches(h, at, tests)[0], "right") - 1] = False
-                yield batch.filter(pa.array(clean))
-
-        docs = docs.mapInArrow(drop, docs.schema)
-    return docs
+    """The documents that hold no test window, with all their columns. With one part of the benchmark nothing is shuffled; with several the hashes of hit texts are."""
+
+    def clean(batch, column, tests):
+        h, at = word_hashes(batch[column])
+        out = np.ones(len(batch), bool)
+        if len(tests.start) and len(h):
+            out[np.searchsorted(at, matches(h, at, tests)[0], "right") - 1] = False
+        return out
+
+    def job(source, column, schema, hit):
+        def run(sent):
+            def each(batches):
+                for batch in pieces(batches, column):
+                    good = clean(batch, column, sent.value)
+                    yield batch.filter(pa.array(~good if hit else good)).select(schema.names)
+
+            return source.mapInArrow(each, schema)
+
+        return run
+
+    parts = _parts(benchmark, test_bytes)
+    if len(parts) == 1:
+        return _each_part(docs.sparkSession, parts, width, job(docs, text_col, docs.schema, False))
+    keys = {"row": F.xxhash64(text_col), "also": F.hash(text_col)}
+    texts = docs.select(F.col(text_col).alias("text"), *(v.alias(k) for k, v in keys.items()))
+    hit = _each_part(docs.sparkSession, parts, width, job(texts, "text", texts.select(*keys).schema, True)).distinct()
+    row = F.struct(*docs.columns).alias("row_")
+    return docs.select(row, *(v.alias(k) for k, v in keys.items())).join(hit, list(keys), "left_anti").select("row_.*")
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

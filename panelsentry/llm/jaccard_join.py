@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import arrays as A
 from .components import components, cut_lineage
 from .decontaminate import LOWER
-from .repeats import NO_ID, _sorted
+from .repeats import NO_ID, _sorted, buckets_of
 
 SHINGLE, PERCENT = 3, 90
 LIGHT, SPARE, LIST, BLOCK, CHECK_COST = 18, 3, 24, 512, 8
@@ -191,9 +191,8 @@ def block_links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[t
 def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, by_row: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows (their place __b and i, id, n, mark and digest of the text), classes (n, mark and r, the least row) and labels of what links connect: ids or,
     by row, places of the classes' least rows in one number."""
-    spark = docs.sparkSession
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(buckets)).cast("int").alias("__b"))
+    buckets = buckets_of(docs, text_col)
+    dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(buckets)).cast("int").alias("__b"))
     ids_in = lambda t: t["doc_id"].fill_null(NO_ID).to_numpy()
     nodes_in = lambda key, t: (key[0].as_py() << 32) + np.arange(len(t)) if by_row else ids_in(t)
 
@@ -218,9 +217,9 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent:
         keys, owner, kind, _ = keys_of(shingle_sets(left["text"], mine, shingle), boundary, percent)
         order = np.argsort(keys, kind="stable")
         keys, owner, kind = keys[order], mine[owner[order]], kind[order]
-        edges = A.bucket_edges(keys, buckets)
+        hashes, edges = A.bucket_runs(keys, buckets)
         low = keys.astype("<u4")  # the high bits are in the bucket's number; a chance collision is one meeting too many
-        spans = [(h, int(edges[h]), int(edges[h + 1])) for h in np.flatnonzero(np.diff(edges)).tolist()]
+        spans = list(zip(hashes.tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True))
         return pa.table({
             "__h": pa.array([h for h, _, _ in spans], pa.int32()), "__b": pa.array([key[0].as_py()] * len(spans), pa.int32()),
             "keys": pa.array([low[a:b].tobytes() for _, a, b in spans], pa.binary()),
@@ -355,12 +354,20 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """One row of each component, with all its columns: that of the least id, then of the least text, of rows alike in both the one least as JSON. Rows link
     by their own texts, whatever other rows have their id; rows without shingles stay. Rows without an id stay too if ``unnamed``."""
     rows, classes, labels = _classes(docs, id_col, text_col, shingle, percent, True)
-    classes = classes.select("r", F.expr("shiftleft(cast(r.__b as bigint), 32) + r.i").alias("at"))
-    best = classes.join(labels, classes["at"] == labels["node"], "left").groupBy(F.coalesce("component", "at")).agg(F.min("r").alias("r")).select("r.__b", "r.i", F.lit(1).alias("best"))
-    alike = rows.where("n > 0" + (f" AND id <> {NO_ID}" if unnamed else "")).join(best, ["__b", "i"], "left").groupBy("id", "digest").agg(F.count("*").alias("times"), F.count("best").alias("stay"))
-    changed = cut_lineage(alike.where("stay = 0 OR times > 1").select("id", "digest", "stay"))
-    row = F.struct(*docs.columns)
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text_col).alias("digest"), row.alias("row"))
+    classes = classes.select("n", "mark", F.expr("shiftleft(cast(r.__b as bigint), 32) + r.i").alias("at"))
+    group = classes.join(labels, classes["at"] == labels["node"], "left").select("n", "mark", F.coalesce("component", "at").alias("group"))
+    known = rows.where("n > 0" + (f" AND id <> {NO_ID}" if unnamed else ""))
+    alike = cut_lineage(known.groupBy("id", "digest", "n", "mark").agg(F.count("*").alias("times")).join(group, ["n", "mark"]).select("group", "id", "digest", "times"))
+    first = alike.groupBy("group", "id").agg(F.min("digest").alias("digest"), F.max("digest").alias("other")).groupBy("group").agg(F.min(F.struct("id", "digest", "other")).alias("r"))
+    first = cut_lineage(first.select("group", "r.*"))
+    best = first.where("digest = other").select("id", "digest")
+    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text_col).alias("digest"), F.struct(*docs.columns).alias("row"))
+    ties = first.where("digest <> other")
+    if not ties.isEmpty():  # several texts under the least id: their own order decides
+        some = alike.join(ties.select("group", "id"), ["group", "id"], "left_semi").select("group", "id", "digest")
+        best = best.unionByName(keyed.select("id", "digest", F.col(f"row.`{text_col}`").alias("text")).join(some, ["id", "digest"]).groupBy("group").agg(F.min_by(F.struct("id", "digest"), "text").alias("r")).select("r.*"))
+    marked = alike.join(best.withColumn("stay", F.lit(1)), ["id", "digest"], "left")
+    changed = cut_lineage(marked.where("stay IS NULL OR times > 1").select("id", "digest", "stay"))
     whole = keyed.join(changed, ["id", "digest"], "left_anti")
     one = keyed.join(changed.where("stay = 1"), ["id", "digest"], "left_semi").groupBy("id", "digest").agg(F.min_by("row", F.to_json("row")).alias("row"))
     return whole.select("row.*").unionByName(one.select("row.*"))

@@ -6,8 +6,10 @@ with one owner is a run, about one for each W / 2 units. Four steps, each a plai
 1. each bucket of documents lists its owners once; 2. buckets of owners say which ones occur more than once; 3. only the runs of those send
 their bytes (a context) to the owner's bucket, each distinct context once a document bucket; 4. there a kernel looks for repeats and sends
 covered windows back to the documents. Steps 1, 3 and the finish read the same exchange of documents. No step holds more than one
-bucket; a context that many documents share costs one row a bucket, so hot passages don't pile up in one task. An owner with more than
-``hot`` occurrences is dealt out by whole windows in place of the owner.
+bucket, of ``BUCKET`` bytes at most on average whatever the number of partitions; a context that many documents share costs one row a bucket, so hot passages
+don't pile up in one task. An owner with more than ``hot`` occurrences is dealt out by whole windows in place of the owner. Two buckets exchange one packed row, if
+any: rows are never more than one an owner and bucket, so they grow with the text however many buckets there are. Documents are dealt by id and text, so
+many rows under one id are spread; only rows alike in both meet in one bucket.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from . import arrays as A
 RUN = 192
 SHARD = 8192  # contexts that a kernel sees at once, or all of one owner
 SMALL = 48  # more buckets than twice the shuffle partitions, so that few partitions don't mean large buckets
+BUCKET = 32 << 20  # bytes of text in a bucket at most, however few partitions there are
 NO_ID = np.iinfo(np.int64).max
 U64 = np.uint64
 
@@ -152,6 +155,24 @@ def _listed(t: Texts, u: Units, runs) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return keys[first], count, several
 
 
+def buckets_of(docs: DataFrame, text_col: str, more: int = 0) -> int:
+    """Buckets of documents: two a shuffle partition and ``more``, and so many that none holds over ``BUCKET`` bytes of text on average."""
+    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) + more, -(-int(total) // BUCKET))
+
+
+def shards_of(buf: np.ndarray, off: np.ndarray, u: Units):
+    """Contexts in order of owner, some at a time: about ``SHARD``, or all of one owner. Contexts of different owners share no window."""
+    owner = owners_of(buf, off[:-1], np.diff(off), u)
+    order = np.argsort(owner, kind="stable")
+    ends = np.r_[np.flatnonzero(owner[order][1:] != owner[order][:-1]) + 1, len(order)]
+    a = 0
+    while a < len(order):
+        b = int(ends[min(np.searchsorted(ends, a + SHARD), len(ends) - 1)])
+        yield order[a:b]
+        a = b
+
+
 Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, "Units"], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
@@ -161,26 +182,25 @@ def covered(docs: DataFrame, units: Units, kernel: Kernel, finish, schema: str,
 
     kernel(buf, offsets, least id, occurs elsewhere, units) gets distinct contexts and returns windows to cover: context, first, count.
     """
-    spark = docs.sparkSession
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions")) + SMALL
+    buckets = buckets_of(docs, text_col, SMALL)
     whole = [F.struct(*(docs[c] for c in columns)).alias("row")] if columns else []  # so that no name can clash
-    dealt = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), *whole, F.pmod(F.xxhash64(docs[id_col]), F.lit(buckets)).cast("int").alias("__b"))
+    dealt = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), *whole, F.pmod(F.xxhash64(docs[id_col], docs[text_col]), F.lit(buckets)).cast("int").alias("__b"))
 
     def listing(key, table):
         A.frugal()
         table = _sorted(table)
         t = texts_of(table, units)
         keys, count, several = _listed(t, units, runs_of(t, units))
-        edges = A.bucket_edges(keys, buckets)
-        rows = [(i, a, b) for i, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if b > a]
+        hashes, edges = A.bucket_runs(keys, buckets)
+        rows = list(zip(hashes.tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True))
         six = A.six_bytes(keys)
-        more = np.minimum(count, 255).astype(np.uint8)
+        more = np.minimum(count, 2**32 - 1).astype(np.uint32)
         return pa.table({
             "__h": pa.array([i for i, _, _ in rows], pa.int32()),
             "__b": pa.array([key[0].as_py()] * len(rows), pa.int32()),
             "keys": pa.array([six[6 * a : 6 * b].tobytes() for _, a, b in rows], pa.binary()),
             "several": pa.array([np.packbits(several[a:b]).tobytes() for _, a, b in rows], pa.binary()),
-            "count": pa.array([more[a:b].tobytes() for _, a, b in rows], pa.binary()),
+            "count": pa.array([A.pack(more[a:b]) for _, a, b in rows], pa.binary()),
         })
 
     def asking(key, table):
@@ -188,7 +208,7 @@ def covered(docs: DataFrame, units: Units, kernel: Kernel, finish, schema: str,
         parts = [A.from_six(np.frombuffer(x, np.uint8)) for x in table["keys"].to_pylist()]
         sizes = [len(p) for p in parts]
         several = [np.unpackbits(np.frombuffer(x, np.uint8), count=n).astype(bool) for x, n in zip(table["several"].to_pylist(), sizes, strict=True)]
-        count = [np.frombuffer(x, np.uint8) for x in table["count"].to_pylist()]
+        count = [A.unpack(x, np.uint32)[0] for x in table["count"].to_pylist()]
         keys, several, count = np.concatenate(parts), np.concatenate(several), np.concatenate(count).astype(np.int64)
         order = np.argsort(keys, kind="stable")
         k = keys[order]
@@ -211,9 +231,9 @@ def covered(docs: DataFrame, units: Units, kernel: Kernel, finish, schema: str,
         t = texts_of(left, units)
         lo, n, owner, text, twice = runs_of(t, units)
         keys, _, _ = _listed(t, units, (lo, n, owner, text, twice))
-        edges = A.bucket_edges(keys, buckets)
+        hashes, edges = A.bucket_runs(keys, buckets)
         answer = np.zeros(len(keys), np.uint8)
-        for h, bits in zip(right["__h"].to_pylist(), right["bits"].to_pylist(), strict=True):
+        for h, bits in zip(np.searchsorted(hashes, right["__h"].to_numpy()).tolist(), right["bits"].to_pylist(), strict=True):
             a, b = int(edges[h]), int(edges[h + 1])
             raw = np.frombuffer(bits, np.uint8)
             half = len(raw) // 2
@@ -250,10 +270,10 @@ def covered(docs: DataFrame, units: Units, kernel: Kernel, finish, schema: str,
         me = key[0].as_py()
         by = np.argsort(owner[rest], kind="stable")
         rest, elsewhere = rest[by], elsewhere[by]
-        cuts = A.bucket_edges(owner[rest], buckets) if len(rest) else np.zeros(buckets + 1, np.int64)
-        for h in np.flatnonzero(np.diff(cuts)).tolist():
+        hashes, cuts = A.bucket_runs(owner[rest], buckets)
+        for h in range(len(hashes)):
             pick = rest[cuts[h] : cuts[h + 1]]
-            row["__h"].append(h)
+            row["__h"].append(int(hashes[h]))
             row["__b"].append(me)
             row["meta"].append(A.pack(ids[pick], lo[pick], n[pick].astype(np.uint8), (b - a)[pick].astype(np.int32), elsewhere[cuts[h] : cuts[h + 1]]))
             row["bytes"].append(A.pack(A.gather(t.buf, a[pick], (b - a)[pick])))

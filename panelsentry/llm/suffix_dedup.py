@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import arrays as A
-from .repeats import Texts, Units, covered
+from .repeats import Texts, Units, covered, shards_of
 
 WIDTH = 50
 SORTED_AT_ONCE, LISTED_AT_ONCE = 1 << 16, 1 << 17
@@ -137,14 +137,23 @@ def _tree_of(buf, off, ids, at, which, least, depth):
 
 def _kernel(buf, off, ids, known, units):
     """Windows that also start in a document with a smaller id."""
-    n = np.maximum(np.diff(off) - units.width + 1, 0)
+    out = [(np.zeros(0, np.int64),) * 3]
+    for shard in shards_of(buf, off, units):
+        size = off[shard + 1] - off[shard]
+        string, first, count = _covered(A.gather(buf, off[shard], size), np.r_[0, np.cumsum(size)], ids[shard], units.width)
+        out.append((shard[string], first, count))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _covered(buf, off, ids, width):
+    n = np.maximum(np.diff(off) - width + 1, 0)
     base = np.r_[0, np.cumsum(n)]
     edge = np.zeros(int(base[-1]) + 1, np.int32)
-    for _, string, first, length, low in maximal_repeats(buf, off, ids, units.width):
+    for _, string, first, length, low in maximal_repeats(buf, off, ids, width):
         mine = low < ids[string]
         at = base[string[mine]] + first[mine]
         np.add.at(edge, at, 1)
-        np.add.at(edge, at + length[mine] - units.width + 1, -1)
+        np.add.at(edge, at + length[mine] - width + 1, -1)
     hit = np.cumsum(edge[:-1], dtype=np.int32) > 0
     new = np.zeros(len(hit) + 1, bool)
     new[base] = True
