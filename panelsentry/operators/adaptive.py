@@ -1,13 +1,14 @@
 """The chronological engine: every monitored period is judged by a baseline that ends before it.
 
 Baselines without memory (fixed, or rolling over everything) are set-based. The confirming policy lets a verdict decide the next baseline, so
-each entity is walked in order by one vectorised helper; a group is one series, never more.
+periods are walked in order, each for a block of series at once; tasks stream their series, so no partition is held whole.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from .charts import build_chart, classify_rule, clip_level, not_charted, robust_
 from .incidents import attach_incident_id, build_incidents, zero_periods
 
 CHARTED, NO_PRIOR, DORMANT, NONE, FEW, FLAT = range(6)
+CELLS = 1 << 19  # series times periods that a walk holds at once
 RAW = "entity string, period int, level double, code int, value double, center double, sigma double, n_baseline long, n_held_out long, n_lifecycle_skipped long, base_first int, base_last int, rule string, run_z double"
 POINT_COLUMNS = ["entity", "period", "level", "status", "value", "center", "lcl", "ucl", "sigma", "robust_z", "n_baseline", "n_held_out", "n_lifecycle_skipped", "baseline_span", "rule", "severity", "explanation"]
 
@@ -82,94 +84,138 @@ def judge_set_based(series: DataFrame, p: Params, baseline: str, lifecycle: bool
     return j.select("entity", "period", "level", "code", "value", keep("center").alias("center"), keep("sigma").alias("sigma"), F.coalesce("n_baseline", F.lit(0)).cast("long").alias("n_baseline"), F.lit(0).cast("long").alias("n_held_out"), "n_lifecycle_skipped", "base_first", "base_last", rule.alias("rule"), F.when(rule == "sustained_shift", middle / F.col("sigma")).alias("run_z"))
 
 
-def held_out(y: int, t: int, signs: dict[int, int]) -> bool:
-    """A period beyond its limits stays out of t's baseline while it may still be a passing event, and for good once it was reversed."""
-    s = signs.get(y)
-    if s is None:
-        return False
-    after = signs.get(y + 1) if y + 1 < t else None
-    return after == -s or signs.get(y - 1) == -s or y == t - 1
-
-
-def walk_series(period: np.ndarray, level: np.ndarray, p: Params, m: Method) -> list[tuple]:
-    """One series, judged in order; rows of schema ``RAW`` without entity."""
-    order = np.argsort(period, kind="stable")
-    period, level = period[order].astype(int), level[order].astype(float)
-    if not len(period):
-        return []
-    start = int(period[0])
-    span = int(period[-1]) - start + 1
-    x, here, zero = np.zeros(span), np.zeros(span, bool), np.zeros(span, bool)
-    raw = np.full(span, np.nan)
-    at = period - start
-    raw[at], x[at], here[at], zero[at] = level, np.maximum(level, 0.0), True, level <= 0
-    grows = here & np.r_[False, here[:-1]]
-    idle = grows & (zero | np.r_[False, zero[:-1]])
-    signs: dict[int, int] = {}
-    keep_all = m.policy == "include_all"
-    out = []
-    for t in range(max(p.monitor[0], start), min(p.monitor[1], start + span - 1) + 1):
-        i = t - start
-        if not here[i]:
+def _middle(values: np.ndarray, on: np.ndarray) -> np.ndarray:
+    """The median of the marked values of each row; 0 where none is."""
+    n = on.sum(1)
+    ordered = np.sort(np.where(on, values, np.inf), axis=1)
+    row = np.arange(len(n))
+    both = (ordered[row, np.maximum(n - 1, 0) // 2] + ordered[row, np.minimum(n // 2, max(values.shape[1] - 1, 0))]) / 2 if values.shape[1] else np.zeros(len(n))
+    return np.where(n > 0, both, 0.0)
+
+
+def _kept_out(sign: np.ndarray, now: int) -> np.ndarray:
+    """Cells of signed verdicts (series by period) that the baseline of column ``now`` does without: reversed by a neighbour before it, or the newest."""
+    known = sign.copy()
+    known[:, now:] = 0
+    undone = np.zeros(sign.shape, bool)
+    undone[:, 1:] = known[:, 1:] * known[:, :-1] < 0
+    undone[:, :-1] |= undone[:, 1:]
+    undone[:, now - 1 : now] |= known[:, now - 1 : now] != 0
+    return undone & (known != 0)
+
+
+def walk_many(which: np.ndarray, period: np.ndarray, level: np.ndarray, p: Params, m: Method) -> dict[str, np.ndarray]:
+    """Many series at once, one period after the other: columns of schema ``RAW`` with the number of the series in place of its entity."""
+    first = int(period.min(initial=p.monitor[0]))
+    n, span = int(which.max(initial=-1)) + 1, max(int(p.monitor[1]), p.baseline[1]) - first + 2
+    near = period <= max(p.monitor[1], p.baseline[1])
+    raw = np.full((n, max(span, 1)), np.nan)
+    raw[which[near], period[near] - first + 1] = level[near]  # the first column stays empty, so that every period has one before it
+    here = ~np.isnan(raw)
+    x = np.where(here, np.maximum(raw, 0.0), 0.0)
+    before = np.zeros_like(x)
+    before[:, 1:] = x[:, :-1]
+    zero = here & (raw <= 0)
+    grows, still = here.copy(), zero.copy()
+    grows[:, 0] = still[:, 0] = False
+    grows[:, 1:] &= here[:, :-1]
+    still[:, 1:] &= zero[:, :-1]
+    idle = grows.copy()
+    idle[:, 1:] &= zero[:, 1:] | zero[:, :-1]
+    asleep = idle if m.lifecycle else np.zeros_like(idle)
+    sign = np.zeros(raw.shape, np.int8)
+    column = np.arange(raw.shape[1]) + first - 1
+    in_base = (column >= p.baseline[0]) & (column <= p.baseline[1])
+    out: list[dict[str, np.ndarray]] = []
+    for t in range(max(p.monitor[0], first), p.monitor[1] + 1):
+        i = t - first + 1
+        s = np.flatnonzero(here[:, i])
+        if not len(s):
             continue
-        chosen, n_idle, n_held = [], 0, 0
-        fixed = m.baseline == "fixed"
-        for y in range(p.baseline[0], p.baseline[1] + 1) if fixed else range(t - 1, start, -1):
-            k = y - start
-            if not 0 <= k < span or not grows[k]:
-                continue
-            if m.lifecycle and idle[k]:
-                n_idle += 1
-            elif not keep_all and held_out(y, t, signs):
-                n_held += 1
-            else:
-                chosen.append(k)
-                if not fixed and len(chosen) == p.window:
-                    break
-        chosen = np.sort(np.array(chosen, int))
-        code, value, center, sigma, rule, run_z = CHARTED, None, None, None, "", None
-        if not grows[i]:
-            code = NO_PRIOR
-        elif m.lifecycle and zero[i] and zero[i - 1]:
-            code = DORMANT
-        elif not len(chosen):
-            code = NONE
-        elif len(chosen) < p.min_points:
-            code = FEW
-        else:
-            c = max(p.c_floor, p.c_fraction * float(np.median(x[np.union1d(chosen, chosen - 1)])))
-            base = np.log((x[chosen] + c) / (x[chosen - 1] + c))
-            middle = float(np.median(base))
-            scale = float(np.median(np.abs(base - middle))) * p.mad_scale
-            if not scale > 0:
-                code = FLAT
-            else:
-                center, sigma = middle, scale
-                value = float(np.log((x[i] + c) / (x[i - 1] + c)))
-                if value > center + p.sigmas * sigma or value < center - p.sigmas * sigma:
-                    rule, signs[t] = "beyond_limits", 1 if value > center else -1
-                elif i - p.run_length + 1 > 0:
-                    run = np.arange(i - p.run_length + 1, i + 1)
-                    if grows[run].all() and not (m.lifecycle and idle[run].any()):
-                        off = np.log((x[run] + c) / (x[run - 1] + c)) - center
-                        if (off > 0).all() or (off < 0).all():
-                            rule, run_z = "sustained_shift", float(np.median(np.abs(off))) / sigma
-        ends = (int(chosen[0]) + start, int(chosen[-1]) + start) if len(chosen) else (None, None)
-        out.append((t, raw[i], code, value, center, sigma, len(chosen), n_held, n_idle, *ends, rule, run_z))
-    return out
+        pool = grows[s] & (in_base if m.baseline == "fixed" else column < t)
+        held = pool & ~asleep[s] & (_kept_out(sign, i)[s] if m.policy != "include_all" else False)
+        chosen = pool & ~asleep[s] & ~held
+        seen = pool
+        if m.baseline != "fixed":  # back in time until the window is full
+            found = np.cumsum(chosen[:, ::-1], axis=1)[:, ::-1]
+            seen, chosen = pool & (found - chosen < p.window), chosen & (found <= p.window)
+        n_base = chosen.sum(1)
+        levels = chosen.copy()
+        levels[:, :-1] |= chosen[:, 1:]
+        c = np.maximum(p.c_floor, p.c_fraction * _middle(x[s], levels))[:, None]
+        growth = np.log((x[s] + c) / (before[s] + c))
+        center = _middle(growth, chosen)
+        sigma = _middle(np.abs(growth - center[:, None]), chosen) * p.mad_scale
+        code = np.select([~grows[s, i], still[s, i] if m.lifecycle else np.zeros(len(s), bool), n_base == 0, n_base < p.min_points, ~(sigma > 0)], [NO_PRIOR, DORMANT, NONE, FEW, FLAT], CHARTED)
+        on, value = code == CHARTED, growth[:, i]
+        beyond = on & ((value > center + p.sigmas * sigma) | (value < center - p.sigmas * sigma))
+        sign[s[beyond], i] = np.where(value > center, 1, -1)[beyond]
+        run_z, shifted = np.zeros(len(s)), np.zeros(len(s), bool)
+        if i + 1 >= p.run_length:
+            run = slice(i - p.run_length + 1, i + 1)
+            off = growth[:, run] - center[:, None]
+            shifted = on & ~beyond & (grows[s, run] & ~asleep[s, run]).all(1) & ((off > 0).all(1) | (off < 0).all(1))
+            run_z = np.median(np.abs(off), axis=1)
+        newest = raw.shape[1] - 1 - np.argmax(chosen[:, ::-1], axis=1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            run_z = run_z / sigma
+        out.append({
+            "which": s, "period": np.full(len(s), t), "level": raw[s, i], "code": code, "value": np.where(on, value, np.nan), "center": np.where(on, center, np.nan), "sigma": np.where(on, sigma, np.nan), "n_baseline": n_base,
+            "n_held_out": (held & seen).sum(1), "n_lifecycle_skipped": (pool & seen & asleep[s]).sum(1), "base_first": np.where(n_base > 0, column[np.argmax(chosen, axis=1)], -(2**31)), "base_last": np.where(n_base > 0, column[newest], -(2**31)),
+            "rule": np.where(beyond, "beyond_limits", np.where(shifted, "sustained_shift", "")).astype(object), "run_z": np.where(shifted, run_z, np.nan),
+        })
+    names = ["which", *(c.split()[0] for c in RAW.split(", ")[1:])]
+    return {c: np.concatenate([o[c] for o in out]) if out else np.zeros(0) for c in names}
+
+
+def raw_batch(entity, rows: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """What ``walk_many`` found, as Arrow; entity: the names of the series, by number."""
+    kinds = {"int": pa.int32(), "double": pa.float64(), "long": pa.int64(), "string": pa.string()}
+    out = {"entity": entity.take(pa.array(rows["which"].astype(np.int64)))}
+    for name, kind in (c.split() for c in RAW.split(", ")[1:]):
+        v = rows[name]
+        none = np.isnan(v) if kind == "double" else v == -(2**31) if name.startswith("base_") else None
+        out[name] = pa.array(v.tolist() if kind == "string" else v.astype({"int": np.int32, "long": np.int64}.get(kind, np.float64)), kinds[kind], mask=none)
+    return pa.record_batch(out)
 
 
 def judge_walking(series: DataFrame, p: Params, m: Method) -> DataFrame:
-    """The raw verdicts of any policy, a group a series."""
-    names = [c.split()[0] for c in RAW.split(", ")]
+    """The raw verdicts of any policy: each task streams its series in order and walks some thousands of cells at a time. Null levels don't count."""
 
-    def walk(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        live = pdf[pdf["value"].notna()]
-        rows = walk_series(live["period"].to_numpy(), live["value"].to_numpy(), p, m)
-        return pd.DataFrame([(key[0], *r) for r in rows], columns=names).astype({"base_first": "Int32", "base_last": "Int32"})
-
-    walk.__annotations__.clear()
-    return series.select("entity", "period", "value").groupBy("entity").applyInPandas(walk, RAW)
+    def walk(batches):
+        rest = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            entity = table["entity"].combine_chunks()
+            entity = entity if isinstance(entity, pa.Array) else pa.concat_arrays(entity.chunks)
+            start = _starts(entity)
+            rest = table.slice(int(start[-1]))  # the last series may go on
+            yield from some(table.slice(0, int(start[-1])))
+        if rest is not None:
+            yield from some(rest)
+
+    def some(table):
+        if table.num_rows:
+            entity = pa.concat_arrays(table["entity"].chunks)
+            start = _starts(entity)
+            period, level = table["period"].to_numpy().astype(np.int64), table["value"].to_numpy()
+            which = np.repeat(np.arange(len(start)), np.diff(np.r_[start, table.num_rows]))
+            wide = max(1, CELLS // max(1, int(p.monitor[1]) - int(period.min()) + 2))
+            for a in range(0, len(start), wide):
+                mine = slice(int(start[a]), int(start[a + wide]) if a + wide < len(start) else table.num_rows)
+                yield raw_batch(entity.take(pa.array(start[a : a + wide])), walk_many(which[mine] - a, period[mine], level[mine], p, m))
+
+    live = series.where(F.col("value").isNotNull() & ~F.isnan("value")).select(F.col("entity").cast("string").alias("entity"), F.col("period").cast("int").alias("period"), F.col("value").cast("double").alias("value"))
+    parts = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by a count: the walk is worth more tasks than its bytes
+    return live.repartition(parts, "entity").sortWithinPartitions("entity", "period").mapInArrow(walk, RAW)
+
+
+def _starts(entity: pa.Array) -> np.ndarray:
+    """Where a new series begins in a column of sorted names."""
+    same = pc.equal(entity.slice(1), entity.slice(0, max(len(entity) - 1, 0))).fill_null(True).to_numpy(zero_copy_only=False).astype(bool)
+    return np.r_[0, np.flatnonzero(~same) + 1]
 
 
 def point_status(p: Params) -> Column:
@@ -205,7 +251,7 @@ def method_points(series: DataFrame, name: str, p: Params, methods: dict[str, Me
         points = points.unionByName(rest, allowMissingColumns=True)
         extra = {"level": "double", "n_held_out": "long", "n_lifecycle_skipped": "long", "baseline_span": "string"}
         points = points.withColumns({k: F.lit(None).cast(v) for k, v in extra.items()}).select(*POINT_COLUMNS)
-    elif m.baseline == "fixed" or (m.policy == "include_all" and not m.lifecycle):
+    elif (m.baseline == "fixed" and (m.policy == "include_all" or p.baseline[1] < p.monitor[0])) or (m.policy == "include_all" and not m.lifecycle):
         points = finish_points(judge_set_based(series, p, m.baseline, m.lifecycle), p)
     else:
         points = finish_points(judge_walking(series, p, m), p)

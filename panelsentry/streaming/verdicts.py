@@ -1,15 +1,17 @@
 """An extension: the chronological engine over a stream. The engine never looks ahead, so a verdict can leave as soon as its period arrives.
 
 The state of an entity is its series so far, one number a period. Rows that come after a later period of their entity was judged are too late and
-are left out, like rows behind a watermark; each batch may hold any number of periods, in any order.
+are left out, like rows behind a watermark, and of rows that repeat a period in one batch one counts; each batch may hold any number of periods, in any order.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.adaptive import RAW, walk_series
+from ..operators.adaptive import RAW, raw_batch, walk_many
 from ..params import Method, Params
 
 STATE = "period array<int>, level array<double>"
@@ -17,7 +19,6 @@ STATE = "period array<int>, level array<double>"
 
 def stream_verdicts(stream: DataFrame, p: Params, m: Method) -> DataFrame:
     """Raw verdicts (schema ``RAW``) of a stream of entity, period, value, in append mode."""
-    names = [c.split()[0] for c in RAW.split(", ")]
 
     def judge(key, batches, state):
         period, level = (list(x) for x in state.get) if state.exists else ([], [])
@@ -28,10 +29,9 @@ def stream_verdicts(stream: DataFrame, p: Params, m: Method) -> DataFrame:
             period += [int(x) for x in new["period"]]
             level += [float(x) for x in new["value"]]
             state.update((period, level))
-            import numpy as np
-
-            rows = [(key[0], *r) for r in walk_series(np.array(period), np.array(level), p, m) if last is None or r[0] > last]
-            yield pd.DataFrame(rows, columns=names).astype({"base_first": "Int32", "base_last": "Int32"})
+            rows = walk_many(np.zeros(len(period), np.int64), np.array(period), np.array(level), p, m)
+            out = raw_batch(pa.array([key[0]], pa.string()), rows).to_pandas()
+            yield (out if last is None else out[out["period"] > last]).astype({"base_first": "Int32", "base_last": "Int32"})
 
     return stream.select("entity", "period", "value").groupBy("entity").applyInPandasWithState(judge, RAW, STATE, "append", "NoTimeout")
 
