@@ -76,8 +76,7 @@ def system_found(series: DataFrame, points: DataFrame, p: Params) -> DataFrame:
 
 def score_trials(series: DataFrame, picks: DataFrame, method: str, seed: int, p: Params, flows: list[str], whole: bool = False) -> DataFrame:
     """method, kind, trial: injected, charted, detected, collateral, silent_pct, surfaced_pct."""
-    series, picks = series.persist(), picks.persist()  # read for the panels, the truth and the clean run
-    broken = keyed(break_series(series, picks, seed, p, whole)).persist()
+    broken = keyed(break_series(series, picks, seed, p, whole))
     res = run_method(broken, method, p, flows)
     clean = system_found(series, method_points(series, method, p), p).withColumn("clean", F.lit(True))
     mark = lambda df, name: df.select(*SCENARIO, *KEY).withColumn(name, F.lit(True))
@@ -189,11 +188,20 @@ def upsert_ledger(ledger: DataFrame, new: DataFrame, keys: list[str]) -> DataFra
     return ledger.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def ledger_rows(report: DataFrame, version: str, split: str, kinds=ERROR_KINDS) -> DataFrame:
-    """A wide row a method: recall_, e2e_ and collateral_ of each kind."""
-    wide = report.groupBy("method").pivot("kind", list(kinds)).agg(F.first("recall_pct_mean").alias("recall"), F.first("e2e_recall_pct_mean").alias("e2e"), F.first("collateral_per_trial").alias("collateral"))
-    names = {f"{k}_{m}": f"{m}_{k}" for k in kinds for m in ("recall", "e2e", "collateral")}
-    return wide.withColumnsRenamed(names).select(F.lit(version).alias("version"), F.lit(split).alias("split"), "*")
+def ledger_rows(report: DataFrame, summary: DataFrame, version: str, split: str, p: Params, note: str = "", kinds=ERROR_KINDS, methods=METHODS) -> DataFrame:
+    """A wide row a method: its configuration, alarms and coverage on the clean panel (``summary``: rows of method_summary), recall_, e2e_ and collateral_ of
+    each kind, and how stopped feeds show."""
+    means = {"recall": "recall_pct_mean", "e2e": "e2e_recall_pct_mean", "collateral": "collateral_per_trial"}
+    wide = report.groupBy("method").agg(
+        *(F.max(F.when(F.col("kind") == k, F.col(c))).alias(f"{m}_{k}") for m, c in means.items() for k in kinds),
+        *(F.max(F.when(F.col("kind") == "feed_stops", F.col(c))).alias(c) for c in ("feed_silent_end_pct", "feed_surfaced_end_pct")),
+    )
+    by_method = lambda f: F.create_map(*[F.lit(x) for n, m in methods.items() for x in (n, f(m))])[F.col("method")]
+    settings = {
+        "seed": F.lit(p.seeds[split]), "baseline": by_method(lambda m: m.baseline), "window_periods": F.when(by_method(lambda m: m.baseline) == "rolling", p.window), "policy": by_method(lambda m: m.policy), "lifecycle": by_method(lambda m: m.lifecycle),
+        "sigmas": F.lit(p.sigmas), "min_points": F.lit(p.min_points), "note": F.lit(note),
+    }
+    return wide.join(summary.drop("excluded_reasons"), "method", "left").select(F.lit(version).alias("version"), F.lit(split).alias("split"), "*", *(v.alias(k) for k, v in settings.items()))
 
 
 def ledger_matrix(ledger: DataFrame, metric: str, methods=tuple(METHODS), kinds=ERROR_KINDS) -> DataFrame:
@@ -203,12 +211,14 @@ def ledger_matrix(ledger: DataFrame, metric: str, methods=tuple(METHODS), kinds=
 
 
 def check_reproduction(report: DataFrame, ledger: DataFrame, version: str, split: str, method: str = "v1.1-reference", tolerance: float = 1e-9) -> DataFrame:
-    """Kinds whose recall is not that of the stored row: kind, now, stored. Empty: reproduced."""
+    """kind, now, stored, status: each kind's recall beside that of the stored row. A kind without both numbers, as all are where no row is stored, is
+    "not checked"; then what is compared with this method can't be trusted yet."""
     old = ledger.where((F.col("version") == version) & (F.col("split") == split) & (F.col("method") == method))
     columns = [c for c in ledger.columns if c.startswith("recall_")]
     long = old.unpivot([], columns, "kind", "stored").withColumn("kind", F.substr("kind", F.lit(8)))
     now = report.where(F.col("method") == method).select("kind", F.col("recall_pct_mean").alias("now"))
-    return now.join(long, "kind").where(F.abs(F.col("now") - F.col("stored")) > tolerance)
+    apart = F.abs(F.col("now") - F.col("stored"))
+    return now.join(long, "kind", "full").select("kind", "now", "stored", F.when(apart.isNull(), "not checked").when(apart > tolerance, "differs").otherwise("reproduced").alias("status"))
 
 
 # comparisons

@@ -83,3 +83,9 @@ def gappy_series(coverage: DataFrame, group: str) -> DataFrame:
 def drift_detail(flagged: DataFrame) -> DataFrame:
     """For entities under several regions, when each was used."""
     return flagged.where("flag_R5_region_reassigned").groupBy("entity", "region").agg(F.min("period").alias("first_period"), F.max("period").alias("last_period"))
+
+
+def drift_summary(flagged: DataFrame) -> DataFrame:
+    """How many entities are under several regions, over how many rows; one row."""
+    some = flagged.where("flag_R5_region_reassigned")
+    return some.agg(F.countDistinct("entity").alias("n_entities"), F.count(F.lit(1)).alias("n_rows"))

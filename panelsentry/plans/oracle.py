@@ -199,6 +199,23 @@ def engine_parts(x: str, p: Params, name: str, baseline: str, lifecycle: bool, c
         FROM raw_{name}_{x})""")
 
 
+def summary_parts(x: str) -> None:
+    """cover_x and alarms_x: coverage and alarms of each method over allpts_x."""
+    part(f"cover_{x}", [f"allpts_{x}"], f"""
+      SELECT method, count(*) FILTER (n > 0) AS entities_monitored, CAST(sum(n) AS BIGINT) AS observations_monitored, count(*) FILTER (n = 0) AS entities_excluded, CAST(sum(d) AS BIGINT) AS dormant_observations, coalesce(any_value(excluded), '') AS excluded_reasons
+      FROM (SELECT method, entity, count(*) FILTER (status = 'charted') AS n, count(*) FILTER (status = 'dormant') AS d FROM allpts_{x} GROUP BY ALL)
+      LEFT JOIN (SELECT method, string_agg(reason || ': ' || k, ', ' ORDER BY k DESC, reason) AS excluded FROM (SELECT method, reason, count(*) AS k FROM (
+          SELECT method, entity, arg_min(reason, (-k, reason)) AS reason FROM (SELECT method, entity, split_part(status, ':', 1) AS reason, count(*) AS k FROM allpts_{x} GROUP BY ALL) GROUP BY ALL HAVING sum(CASE WHEN reason = 'charted' THEN 1 ELSE 0 END) = 0) GROUP BY ALL) GROUP BY ALL) USING (method)
+      GROUP BY method""")
+    part(f"islands_{x}", [f"allpts_{x}"], f"SELECT method, entity, island, count(*) AS n FROM (SELECT *, period - row_number() OVER (PARTITION BY method, entity ORDER BY period) AS island FROM allpts_{x} WHERE rule <> '') GROUP BY ALL")
+    part(f"alarms_{x}", [f"allpts_{x}", f"islands_{x}", f"lifecycle_{x}"], f"""
+      SELECT method, coalesce(alerts, 0) AS alerts, coalesce(alerts_high, 0) AS alerts_high, coalesce(shift_alerts, 0) AS shift_alerts, coalesce(recurring, 0) AS recurring_entities, coalesce(incidents, 0) AS incidents, coalesce(persistent, 0) AS persistent_incidents,
+        CASE WHEN method IN ('v2-fixed', 'v2-rolling') THEN (SELECT count(*) FROM lifecycle_{x}) ELSE 0 END AS lifecycle_incidents
+      FROM (SELECT method, count(*) AS alerts, count(*) FILTER (severity = 'high') AS alerts_high, count(*) FILTER (rule = 'sustained_shift') AS shift_alerts FROM allpts_{x} WHERE rule <> '' GROUP BY 1)
+      LEFT JOIN (SELECT method, count(*) AS recurring FROM (SELECT method, entity FROM allpts_{x} WHERE rule <> '' GROUP BY ALL HAVING count(DISTINCT period) >= 3) GROUP BY 1) USING (method)
+      LEFT JOIN (SELECT method, count(*) AS incidents, count(*) FILTER (n >= 3) AS persistent FROM islands_{x} GROUP BY 1) USING (method)""")
+
+
 for _x, _p in (("a", A), ("b", B), ("c", A)):
     engine_parts(_x, _p, "fixed", "fixed", True, False)
     engine_parts(_x, _p, "rolling", "rolling", True, True)

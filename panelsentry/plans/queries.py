@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -12,7 +14,7 @@ from ..operators import evaluation as E
 from ..operators import incidents as I
 from ..operators import rules as R
 from ..params import ERROR_KINDS, METHODS
-from ..sources.io import clean_labels
+from ..sources.io import BRONZE, LABEL_SCHEMA, clean_labels, load_bronze, load_labels, load_series, read_ledger, shared_folder, with_roles, write_ledger, write_outputs, write_silver
 from . import oracle as O
 from .panels import FLOWS_A, FLOWS_B, A, B, panel_a, panel_b, series_a, series_b, series_c, table
 
@@ -124,28 +126,46 @@ query("chronological_incidents_c", lambda s, d: rounded(D.run_method(series_c(s,
   UNION ALL SELECT entity, first_period, last_period, n_alerts, kind, max_abs_z, severity, source FROM lifecycle_c""", "pts_rolling_c", "lifecycle_c"))
 
 
-def _union(what, s, d):
-    return D.union_methods(series_c(s, d), what, A, FLOWS_A)
-
-
-query("method_alerts_c", lambda s, d: rounded(D.union_methods(series_c(s, d), "alerts", A, FLOWS_A).where("method <> 'v1.1-reference'"), "method entity period ~robust_z rule severity baseline_span"), O.sql(" UNION ALL ".join(f"SELECT '{m}' AS method, entity, period, round(robust_z, 6) AS robust_z, rule, severity, baseline_span FROM pts_{k}_c WHERE rule <> ''" for k, m in SHORT.items()), *(f"pts_{k}_c" for k in SHORT)))
+O.chart_parts("c", A)
+O.part("pts_v1_c", ["points_c", "series_c", "chart_c"], f"""
+  SELECT entity, period, CAST(NULL AS DOUBLE) AS level, 'charted' AS status, value, center, lcl, ucl, sigma, robust_z, n_baseline, '' AS baseline_span, rule, severity FROM points_c WHERE chart = 'B_growth'
+  UNION ALL SELECT entity, period, NULL, reason, NULL, NULL, NULL, NULL, NULL, NULL, NULL, '', '', '' FROM series_c JOIN (SELECT entity, reason FROM chart_c WHERE chart = 'B_growth' AND reason <> '') USING (entity) WHERE period BETWEEN {A.monitor[0]} AND {A.monitor[1]}""")
+ALL = {"v1": "v1.1-reference", **SHORT}
+_ALERTS = "method entity period ~robust_z rule severity"
+query("method_alerts_c", lambda s, d: rounded(D.run_methods(series_c(s, d), A, FLOWS_A)["alerts"].withColumn("baseline_span", F.coalesce("baseline_span", F.lit(""))), _ALERTS + " baseline_span"), O.sql(" UNION ALL ".join(f"SELECT '{m}' AS method, entity, period, round(robust_z, 6) AS robust_z, rule, severity, baseline_span FROM pts_{k}_c WHERE rule <> ''" for k, m in ALL.items()), *(f"pts_{k}_c" for k in ALL)))
+_TWO = {m: METHODS[m] for m in ("v2-fixed", "v2-rolling")}
 _DIFF = "SELECT {c} FROM (SELECT *, 'v2-fixed' AS only_in FROM pts_fixed_c WHERE rule <> '' AND (entity, period) NOT IN (SELECT (entity, period) FROM pts_rolling_c WHERE rule <> '') UNION ALL SELECT *, 'v2-rolling' FROM pts_rolling_c WHERE rule <> '' AND (entity, period) NOT IN (SELECT (entity, period) FROM pts_fixed_c WHERE rule <> ''))"
 _DIFF_COLUMNS = "entity period only_in rule severity ~robust_z ~value baseline_span"
-query("fixed_vs_rolling_c", lambda s, d: rounded(E.fixed_vs_rolling(_union("alerts", s, d)), _DIFF_COLUMNS), O.sql(_DIFF.format(c=pick(_DIFF_COLUMNS)), "pts_fixed_c", "pts_rolling_c"))
-query("classify_difference_c", lambda s, d: E.classify_difference(E.fixed_vs_rolling(_union("alerts", s, d)), _union("points", s, d)).groupBy("only_in", "why").agg(F.count(F.lit(1)).alias("n")), O.sql(f"SELECT only_in, CASE WHEN only_in = 'v2-rolling' AND entity NOT IN (SELECT entity FROM pts_fixed_c WHERE status = 'charted') THEN '{O.WHY[0]}' WHEN only_in = 'v2-rolling' THEN '{O.WHY[1]}' ELSE '{O.WHY[2]}' END AS why, count(*) AS n FROM (" + _DIFF.format(c="entity, only_in") + ") GROUP BY 1, 2", "pts_fixed_c", "pts_rolling_c"))
-O.part("allpts_c", [f"pts_{k}_c" for k in SHORT], " UNION ALL ".join(f"SELECT '{m}' AS method, entity, period, status, rule, severity FROM pts_{k}_c" for k, m in SHORT.items()))
-_V2 = [m for m in METHODS if m != "v1.1-reference"]
-query("method_coverage_c", lambda s, d: E.method_coverage(_union("points", s, d)).where("method <> 'v1.1-reference'"), O.sql("""
-  SELECT method, count(*) FILTER (n > 0) AS entities_monitored, CAST(sum(n) AS BIGINT) AS observations_monitored, count(*) FILTER (n = 0) AS entities_excluded, CAST(sum(d) AS BIGINT) AS dormant_observations, coalesce(any_value(excluded), '') AS excluded_reasons
-  FROM (SELECT method, entity, count(*) FILTER (status = 'charted') AS n, count(*) FILTER (status = 'dormant') AS d FROM allpts_c GROUP BY ALL)
-  LEFT JOIN (SELECT method, string_agg(reason || ': ' || k, ', ' ORDER BY k DESC, reason) AS excluded FROM (SELECT method, reason, count(*) AS k FROM (
-      SELECT method, entity, arg_min(reason, (-k, reason)) AS reason FROM (SELECT method, entity, split_part(status, ':', 1) AS reason, count(*) AS k FROM allpts_c GROUP BY ALL) GROUP BY ALL HAVING sum(CASE WHEN reason = 'charted' THEN 1 ELSE 0 END) = 0) GROUP BY ALL) GROUP BY ALL) USING (method)
-  GROUP BY method""", "allpts_c"))
-query("alarm_profile_c", lambda s, d: E.alarm_profile(_union("alerts", s, d), _union("incidents", s, d)).where("method <> 'v1.1-reference'").select("method", "alerts", "alerts_high", "shift_alerts", "recurring_entities", "lifecycle_incidents"), O.sql("""
-  SELECT method, count(*) AS alerts, count(*) FILTER (severity = 'high') AS alerts_high, count(*) FILTER (rule = 'sustained_shift') AS shift_alerts,
-    (SELECT count(*) FROM (SELECT entity FROM allpts_c b WHERE b.method = a.method AND rule <> '' GROUP BY 1 HAVING count(DISTINCT period) >= 3)) AS recurring_entities,
-    CASE WHEN method = 'v2-rolling-naive' THEN 0 ELSE (SELECT count(*) FROM lifecycle_c) END AS lifecycle_incidents FROM allpts_c a WHERE rule <> '' GROUP BY method""", "allpts_c", "lifecycle_c"))
-query("method_summary_c", lambda s, d: E.method_summary(_union("alerts", s, d), _union("incidents", s, d), _union("points", s, d)))
+query("fixed_vs_rolling_c", lambda s, d: rounded(E.fixed_vs_rolling(D.run_methods(series_c(s, d), A, FLOWS_A, _TWO)["alerts"]), _DIFF_COLUMNS), O.sql(_DIFF.format(c=pick(_DIFF_COLUMNS)), "pts_fixed_c", "pts_rolling_c"))
+
+
+def _differences(s, d):
+    res = D.run_methods(series_c(s, d), A, FLOWS_A, _TWO)
+    return E.classify_difference(E.fixed_vs_rolling(res["alerts"]), res["points"]).groupBy("only_in", "why").agg(F.count(F.lit(1)).alias("n"))
+
+
+query("classify_difference_c", _differences, O.sql(f"SELECT only_in, CASE WHEN only_in = 'v2-rolling' AND entity NOT IN (SELECT entity FROM pts_fixed_c WHERE status = 'charted') THEN '{O.WHY[0]}' WHEN only_in = 'v2-rolling' THEN '{O.WHY[1]}' ELSE '{O.WHY[2]}' END AS why, count(*) AS n FROM (" + _DIFF.format(c="entity, only_in") + ") GROUP BY 1, 2", "pts_fixed_c", "pts_rolling_c"))
+_STATUS = "SELECT '{m}' AS method, entity, period, status, rule, severity, robust_z FROM {t}"
+O.part("allpts_c", [f"pts_{k}_c" for k in ALL], " UNION ALL ".join(_STATUS.format(m=m, t=f"pts_{k}_c") for k, m in ALL.items()))
+O.summary_parts("c")
+_COVER = "method entities_monitored observations_monitored entities_excluded dormant_observations excluded_reasons"
+_ALARMS = "method alerts alerts_high shift_alerts recurring_entities incidents persistent_incidents lifecycle_incidents"
+query("method_coverage_c", lambda s, d: E.method_coverage(D.run_methods(series_c(s, d), A, FLOWS_A)["points"]), O.sql(f"SELECT {pick(_COVER)} FROM cover_c", "cover_c"))
+
+
+def _alarm_profile(s, d):
+    res = D.run_methods(series_c(s, d), A, FLOWS_A)
+    return E.alarm_profile(res["alerts"], res["incidents"])
+
+
+def _summary(f, s, d):
+    res = D.run_methods(f(s, d), A, FLOWS_A)
+    return E.method_summary(res["alerts"], res["incidents"], res["points"])
+
+
+query("alarm_profile_c", _alarm_profile, O.sql(f"SELECT {pick(_ALARMS)} FROM alarms_c", "alarms_c"))
+query("method_summary_c", lambda s, d: _summary(series_c, s, d), O.sql("SELECT * FROM cover_c LEFT JOIN alarms_c USING (method)", "cover_c", "alarms_c"))
+query("refused_rows_b", lambda s, d: D.refused_rows(series_b(s, d), C.not_charted(C.yoy_log_growth_v1(series_b(s, d), B), "growth", "B_growth", B), B), O.sql(f"SELECT entity, period, reason AS status FROM series_b JOIN (SELECT entity, reason FROM chart_b WHERE chart = 'B_growth' AND reason <> '') USING (entity) WHERE period BETWEEN {B.monitor[0]} AND {B.monitor[1]}", "series_b", "chart_b"))
 
 # planted errors and scores
 
@@ -184,36 +204,55 @@ O.engine_parts("k", A, "naive", "rolling", False, False)
 O.engine_parts("k", A, "rolling", "rolling", True, True)
 
 
-def _score_sql(points: str, charted: str, clean: str) -> list:
-    """Parts needed and the SQL of one method's trial scores."""
+O.zero_parts("k", FLOWS_A, A)
+
+
+def _score_sql(points: str, charted: str, clean: str, lifecycle: bool) -> str:
+    """One method's trial scores, and in how many trials' stops of two periods or more the last period looks calm or is seen."""
     stale = "(SELECT entity, period, value > 0 AND value = lag(value) OVER w AND lag(period) OVER w = period - 1 AS s FROM {t} WINDOW w AS (PARTITION BY entity ORDER BY period))"
-    mon = f"period BETWEEN {A.monitor[0]} AND {A.monitor[1]}"
+    mon, end = f"period BETWEEN {A.monitor[0]} AND {A.monitor[1]}", A.monitor[1]
+    found = f"SELECT entity, period FROM {points} WHERE rule <> '' UNION SELECT entity, period FROM {stale.format(t='series_k')} WHERE s AND {mon}"
+    live = f" UNION SELECT entity FROM lifecycle_k WHERE last_period >= {end}" if lifecycle else ""
     return f"""
+  SELECT kind, trial, injected, charted, detected, collateral, silent_pct, surfaced_pct FROM (
   SELECT kind, trial, count(*) FILTER (truth) AS injected, count(*) FILTER (truth AND covered) AS charted, count(*) FILTER (truth AND covered AND found) AS detected, count(*) FILTER (found AND NOT (truth AND covered) AND NOT clean) AS collateral FROM (
     SELECT k.kind, k.trial, k.e, k.period, p.period IS NOT NULL AS truth, f.period IS NOT NULL AS found, c.period IS NOT NULL AS covered, g.period IS NOT NULL AS clean
     FROM series_k k LEFT JOIN picks_a p ON p.kind = k.kind AND p.trial = k.trial AND p.entity = k.e AND p.period = k.period
-    LEFT JOIN (SELECT entity, period FROM {points} WHERE rule <> '' UNION SELECT entity, period FROM {stale.format(t='series_k')} WHERE s AND {mon}) f ON f.entity = k.entity AND f.period = k.period
+    LEFT JOIN ({found}) f ON f.entity = k.entity AND f.period = k.period
     LEFT JOIN (SELECT entity, period FROM {points} WHERE {charted}) c ON c.entity = k.entity AND c.period = k.period
-    LEFT JOIN (SELECT entity, period FROM {clean} WHERE rule <> '' UNION SELECT entity, period FROM {stale.format(t='series_a')} WHERE s AND {mon}) g ON g.entity = k.e AND g.period = k.period) GROUP BY ALL"""
+    LEFT JOIN (SELECT entity, period FROM {clean} WHERE rule <> '' UNION SELECT entity, period FROM {stale.format(t='series_a')} WHERE s AND {mon}) g ON g.entity = k.e AND g.period = k.period) GROUP BY ALL)
+  LEFT JOIN (SELECT kind, trial, 100.0 * count(*) FILTER (e IN (SELECT entity FROM {points} WHERE {charted} AND period = {end} AND rule = '')) / count(*) AS silent_pct,
+                    100.0 * count(*) FILTER (e IN (SELECT entity FROM ({found}) WHERE period = {end}{live})) / count(*) AS surfaced_pct
+             FROM (SELECT kind, trial, kind || '|' || trial || '|' || entity AS e FROM picks_a WHERE kind = 'feed_stops' AND period <= {end - 1} AND entity IN (SELECT entity FROM series_a WHERE period = {end})) GROUP BY ALL) USING (kind, trial)"""
 
 
 SCORE_SQL = {
-    "v1.1-reference": (_score_sql("(SELECT * FROM points_k WHERE chart = 'B_growth')", "true", "(SELECT * FROM points_a WHERE chart = 'B_growth')"), ["points_k", "points_a", "picks_a"]),
-    **{m: (_score_sql(f"pts_{k}_k", "status = 'charted'", f"pts_{k}_a"), [f"pts_{k}_k", f"pts_{k}_a", "picks_a"]) for k, m in SHORT.items()},
+    "v1.1-reference": (_score_sql("(SELECT * FROM points_k WHERE chart = 'B_growth')", "true", "(SELECT * FROM points_a WHERE chart = 'B_growth')", False), ["points_k", "points_a", "picks_a", "series_a"]),
+    **{m: (_score_sql(f"pts_{k}_k", "status = 'charted'", f"pts_{k}_a", METHODS[m].lifecycle), [f"pts_{k}_k", f"pts_{k}_a", "picks_a", "series_a", "lifecycle_k"]) for k, m in SHORT.items()},
 }
+r1 = lambda v: f"round_even({v}, 1)"
+_SCORES = "kind trial injected charted detected collateral ~silent_pct ~surfaced_pct"
+
+
+def _short(m: str) -> str:
+    return m.replace("v1.1-", "v1_").replace("v2-", "").replace("-", "_")
+
+
 for m, (body, needs) in SCORE_SQL.items():
-    name = m.replace("v1.1-", "v1_").replace("v2-", "").replace("-", "_")
-    query(f"score_trials_{name}", lambda s, d, m=m: E.score_trials(*_picks(s, d), m, SEED, A, FLOWS_A).select("kind", "trial", "injected", "charted", "detected", "collateral"), O.sql(body, *needs))
-    r1 = lambda v: f"round_even({v}, 1)"
-    report = f"""SELECT kind, count(*) AS trials, {r1('avg(injected)')} AS injected_per_trial, {r1('avg(charted)')} AS charted_per_trial, {r1('avg(detected)')} AS detected_per_trial, {r1('avg(100.0 * detected / greatest(charted, 1))')} AS recall_pct_mean,
-      {r1('min(100.0 * detected / greatest(charted, 1))')} AS recall_pct_min, {r1('max(100.0 * detected / greatest(charted, 1))')} AS recall_pct_max, {r1('avg(100.0 * detected / greatest(injected, 1))')} AS e2e_recall_pct_mean, {r1('avg(collateral)')} AS collateral_per_trial FROM ({body}) GROUP BY kind"""
-    query(f"recall_report_{name}", lambda s, d, m=m: E.recall_report(E.score_trials(*_picks(s, d), m, SEED, A, FLOWS_A)).drop("method", "feed_silent_end_pct", "feed_surfaced_end_pct"), O.sql(report, *needs))
-query("feed_visibility_fixed", lambda s, d: rounded(E.score_trials(*_picks(s, d, ("feed_stops",)), "v2-fixed", SEED, A, FLOWS_A), "kind trial ~silent_pct ~surfaced_pct"))
-query("evaluate_methods", lambda s, d: E.evaluate_methods(series_a(s, d), "holdout", A, FLOWS_A, kinds=("spike_x10", "feed_stops")))
-query("evaluation_pivot", lambda s, d: E.evaluation_pivot(E.evaluate_methods(series_a(s, d), "holdout", A, FLOWS_A, kinds=("drop_to_zero",), methods=("v1.1-reference", "v2-fixed")), "recall_pct_mean", ("v1.1-reference", "v2-fixed")))
+    O.part(f"score_{_short(m)}", needs, body)
+    O.part(f"report_{_short(m)}", [f"score_{_short(m)}"], f"""SELECT '{m}' AS method, kind, count(*) AS trials, {r1('avg(injected)')} AS injected_per_trial, {r1('avg(charted)')} AS charted_per_trial, {r1('avg(detected)')} AS detected_per_trial, {r1('avg(100.0 * detected / greatest(charted, 1))')} AS recall_pct_mean,
+      {r1('min(100.0 * detected / greatest(charted, 1))')} AS recall_pct_min, {r1('max(100.0 * detected / greatest(charted, 1))')} AS recall_pct_max, {r1('avg(100.0 * detected / greatest(injected, 1))')} AS e2e_recall_pct_mean, {r1('avg(collateral)')} AS collateral_per_trial,
+      {r1('avg(silent_pct)')} AS feed_silent_end_pct, {r1('avg(surfaced_pct)')} AS feed_surfaced_end_pct FROM score_{_short(m)} GROUP BY kind""")
+    query(f"score_trials_{_short(m)}", lambda s, d, m=m: rounded(E.score_trials(*_picks(s, d), m, SEED, A, FLOWS_A), _SCORES), O.sql(f"SELECT {pick(_SCORES)} FROM score_{_short(m)}", f"score_{_short(m)}"))
+    query(f"recall_report_{_short(m)}", lambda s, d, m=m: E.recall_report(E.score_trials(*_picks(s, d), m, SEED, A, FLOWS_A)), O.sql(f"SELECT * FROM report_{_short(m)}", f"report_{_short(m)}"))
+O.part("evaluation", [f"report_{_short(m)}" for m in METHODS], " UNION ALL ".join(f"SELECT * FROM report_{_short(m)}" for m in METHODS))
+query("feed_visibility_fixed", lambda s, d: rounded(E.score_trials(*_picks(s, d, ("feed_stops",)), "v2-fixed", SEED, A, FLOWS_A), "kind trial ~silent_pct ~surfaced_pct"), O.sql("SELECT kind, trial, round(silent_pct, 6) AS silent_pct, round(surfaced_pct, 6) AS surfaced_pct FROM score_fixed WHERE kind = 'feed_stops'", "score_fixed"))
+query("evaluate_methods", lambda s, d: E.evaluate_methods(series_a(s, d), "holdout", A, FLOWS_A), O.sql("SELECT * FROM evaluation", "evaluation"))
+query("evaluation_pivot", lambda s, d: E.evaluation_pivot(E.evaluate_methods(series_a(s, d), "holdout", A, FLOWS_A), "recall_pct_mean"), O.sql("SELECT kind, " + ", ".join(f"""max(recall_pct_mean) FILTER (method = '{m}') AS "{m}\"""" for m in METHODS) + " FROM evaluation GROUP BY kind", "evaluation"))
 _MISS = """SELECT kind, string_agg(e || ' FY' || period, '; ' ORDER BY trial, e, period) AS example_misses FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY trial, e, period) AS n FROM (
-  SELECT p.kind, p.trial, p.entity AS e, p.period FROM picks_a p JOIN (SELECT * FROM points_k WHERE chart = 'B_growth' AND rule = '') q ON q.entity = p.kind || '|' || p.trial || '|' || p.entity AND q.period = p.period WHERE p.kind <> 'stale_repeat')) WHERE n <= 5 GROUP BY 1"""
-query("example_misses", lambda s, d: E.example_misses(*_picks(s, d, tuple(k for k in ERROR_KINDS if k != "stale_repeat")), "v1.1-reference", SEED, A, FLOWS_A), O.sql(_MISS, "points_k", "picks_a"))
+  SELECT p.kind, p.trial, p.entity AS e, p.period FROM picks_a p JOIN (SELECT * FROM points_k WHERE chart = 'B_growth' AND rule = '') q ON q.entity = p.kind || '|' || p.trial || '|' || p.entity AND q.period = p.period
+  WHERE (q.entity, q.period) NOT IN (SELECT (entity, period) FROM (SELECT entity, period, value > 0 AND value = lag(value) OVER w AND lag(period) OVER w = period - 1 AS s FROM series_k WINDOW w AS (PARTITION BY entity ORDER BY period)) WHERE s))) WHERE n <= 5 GROUP BY 1"""
+query("example_misses", lambda s, d: E.example_misses(*_picks(s, d), "v1.1-reference", SEED, A, FLOWS_A), O.sql(_MISS, "points_k", "picks_a", "series_k"))
 
 # labels, ledger
 
@@ -240,12 +279,84 @@ query("precision_report", lambda s, d: E.precision_report(E.attach_labels(_alert
   (SELECT CASE WHEN count(*) = 10 AND count(*) FILTER (h < 3) = 10 THEN round_even(100.0 * count(*) FILTER (h = 0) / 10, 1) END FROM (SELECT * FROM ga ORDER BY abs(robust_z) DESC, entity, period LIMIT 10)) AS precision_at_10 FROM ga""", "ga"))
 
 
+O.part("allpts_a", ["points_a", "chart_a", *(f"pts_{k}_a" for k in SHORT)], "SELECT 'v1.1-reference' AS method, entity, period, 'charted' AS status, rule, severity, robust_z FROM points_a WHERE chart = 'B_growth'"
+       f" UNION ALL SELECT 'v1.1-reference', entity, period, reason, '', '', NULL FROM series_a JOIN (SELECT entity, reason FROM chart_a WHERE chart = 'B_growth' AND reason <> '') USING (entity) WHERE period BETWEEN {A.monitor[0]} AND {A.monitor[1]} UNION ALL " + " UNION ALL ".join(_STATUS.format(m=m, t=f"pts_{k}_a") for k, m in SHORT.items()))
+O.zero_parts("a", FLOWS_A, A)
+O.summary_parts("a")
+_MEANS = {"recall": "recall_pct_mean", "e2e": "e2e_recall_pct_mean", "collateral": "collateral_per_trial"}
+O.part("ledger", ["evaluation", "cover_a", "alarms_a"], f"""
+  SELECT 'p1' AS version, 'holdout' AS split, e.*, c.* EXCLUDE (method, excluded_reasons), a.* EXCLUDE (method), {SEED} AS seed, CASE WHEN method IN ('v1.1-reference', 'v2-fixed') THEN 'fixed' ELSE 'rolling' END AS baseline,
+    CASE WHEN method IN ('v1.1-reference', 'v2-fixed') THEN NULL ELSE {A.window} END AS window_periods, CASE WHEN method IN ('v1.1-reference', 'v2-rolling-naive') THEN 'include_all' ELSE 'confirm' END AS policy, method IN ('v2-fixed', 'v2-rolling') AS lifecycle,
+    CAST({A.sigmas} AS DOUBLE) AS sigmas, {A.min_points} AS min_points, '' AS note
+  FROM (SELECT method, {', '.join(f"max({c}) FILTER (kind = '{k}') AS {m}_{k}" for m, c in _MEANS.items() for k in ERROR_KINDS)}, max(feed_silent_end_pct) AS feed_silent_end_pct, max(feed_surfaced_end_pct) AS feed_surfaced_end_pct FROM evaluation GROUP BY method) e
+  LEFT JOIN cover_a c USING (method) LEFT JOIN alarms_a a USING (method)""")
+
+
 def _ledger(s, d):
-    kinds = ("spike_x10", "drop_to_zero")
-    report = E.recall_report(E.score_trials(*_picks(s, d, kinds), "v1.1-reference", SEED, A, FLOWS_A))
-    return E.ledger_rows(report, "p1", "holdout", kinds), report, kinds
+    report = E.evaluate_methods(series_a(s, d), "holdout", A, FLOWS_A)
+    return E.ledger_rows(report, _summary(series_a, s, d), "p1", "holdout", A), report
+
+
+def _kept(df, s, name: str):
+    """A ledger as it is read back from its folder."""
+    path = f"{shared_folder(s)}/{name}-{uuid.uuid4().hex}"
+    write_ledger(df, path)
+    return path, read_ledger(s, path)
+
+
+_LEDGER_KEYS = ["version", "method", "split"]
+
+
+def _upserted(s, d):
+    rows = _ledger(s, d)[0]
+    path, stored = _kept(rows, s, "ledger")
+    write_ledger(E.upsert_ledger(stored.withColumn("recall_spike_x10", F.lit(-1.0)), stored, _LEDGER_KEYS), path)
+    write_ledger(E.upsert_ledger(read_ledger(s, path), stored.withColumn("version", F.lit("p2")), _LEDGER_KEYS), path)
+    return read_ledger(s, path)
+
+
+def _reproduced(s, d):
+    rows, report = _ledger(s, d)
+    stored = _kept(rows, s, "ledger")[1]
+    old = stored.withColumns({"recall_spike_x10": F.col("recall_spike_x10") + 1, "recall_feed_stops": F.lit(None).cast("double")})
+    return E.check_reproduction(report, old, "p1", "holdout").withColumn("split", F.lit("holdout")).unionByName(E.check_reproduction(report, old, "p1", "tuning").withColumn("split", F.lit("tuning")))
+
+
+query("ledger_rows", lambda s, d: _ledger(s, d)[0], O.sql("SELECT * FROM ledger", "ledger"))
+query("ledger_upsert", _upserted, O.sql("SELECT * FROM ledger UNION ALL SELECT * REPLACE ('p2' AS version) FROM ledger", "ledger"))
+query("ledger_matrix", lambda s, d: E.ledger_matrix(_ledger(s, d)[0], "recall"), O.sql("SELECT 'holdout' AS split, kind, " + ", ".join(f"""max(recall_pct_mean) FILTER (method = '{m}') AS "{m}\"""" for m in METHODS) + " FROM evaluation GROUP BY kind", "evaluation"))
+query("check_reproduction", _reproduced, O.sql("""SELECT kind, recall_pct_mean AS now, CASE WHEN split = 'holdout' AND kind <> 'feed_stops' THEN recall_pct_mean + CASE WHEN kind = 'spike_x10' THEN 1 ELSE 0 END END AS stored,
+  CASE WHEN split = 'tuning' OR kind = 'feed_stops' THEN 'not checked' WHEN kind = 'spike_x10' THEN 'differs' ELSE 'reproduced' END AS status, split FROM evaluation, (SELECT unnest(['holdout', 'tuning']) AS split) WHERE method = 'v1.1-reference'""", "evaluation"))
+
+# files: what is written is read back by the library's readers
+
+_HEADS = {v: k for k, v in BRONZE.items()}
+
+
+def _silver(s, d):
+    """Panel A as a source file with the source's headers, read, renamed and stored as the pipeline does."""
+    base = f"{shared_folder(s)}/bronze-{uuid.uuid4().hex}"
+    names = {"grp": "financier", "period": "fiscal_year", "region": "region", "entity": "country", "gross": "gross_disbursement_usd", "repayments": "repayments_usd", "net": "net_disbursement_usd", "charges": "interest_usd"}
+    panel = panel_a(s, d).select(*(F.col(a).alias(_HEADS[b]) for a, b in names.items()), *(F.lit("NaN").alias(h) for h, n in BRONZE.items() if n not in names.values()))
+    panel.write.option("header", True).csv(f"{base}/bronze")
+    write_silver(with_roles(load_bronze(s, f"{base}/bronze")), f"{base}/silver")
+    return s.read.parquet(f"{base}/silver").withColumn("grp", F.col("grp").cast("string")), base
+
+
+def _stored_series(s, d):
+    silver, base = _silver(s, d)
+    write_outputs({"series": load_series(silver, "R", A, flows=["repayments", "fees_usd"])}, f"{base}/out")
+    return rounded(s.read.parquet(f"{base}/out/series"), "entity period ~value ~repayments ~fees_usd")
+
+
+def _stored_labels(s, d):
+    path = f"{shared_folder(s)}/labels-{uuid.uuid4().hex}"
+    sheet = _sheet(s, d, 100).withColumn("label", F.concat(F.lit(" "), F.upper("label")))
+    sheet.select([c.split()[0] for c in LABEL_SCHEMA.split(", ")]).write.option("header", True).csv(path)
+    return load_labels(s, path).select("entity", "period", "rule", "label", "note")
 
 
-query("ledger_upsert", lambda s, d: E.upsert_ledger(E.upsert_ledger(_ledger(s, d)[0].withColumn("recall_spike_x10", F.lit(-1.0)), _ledger(s, d)[0], ["version", "method", "split"]), _ledger(s, d)[0].withColumn("version", F.lit("p2")), ["version", "method", "split"]), O.sql("SELECT version, 'holdout' AS split, 'v1.1-reference' AS method, " + ", ".join(f"max({m}) FILTER (kind = '{k}') AS {n}_{k}" for k in ("spike_x10", "drop_to_zero") for n, m in (("recall", "recall_pct_mean"), ("e2e", "e2e_recall_pct_mean"), ("collateral", "collateral_per_trial"))) + f" FROM (SELECT kind, round_even(avg(100.0 * detected / greatest(charted, 1)), 1) AS recall_pct_mean, round_even(avg(100.0 * detected / greatest(injected, 1)), 1) AS e2e_recall_pct_mean, round_even(avg(collateral), 1) AS collateral_per_trial FROM ({SCORE_SQL['v1.1-reference'][0]}) GROUP BY kind), (SELECT unnest(['p1', 'p2']) AS version) GROUP BY version", *SCORE_SQL["v1.1-reference"][1]))
-query("ledger_matrix", lambda s, d: E.ledger_matrix(_ledger(s, d)[0], "recall", ("v1.1-reference",), _ledger(s, d)[2]))
-query("check_reproduction", lambda s, d: E.check_reproduction(_ledger(s, d)[1], _ledger(s, d)[0].withColumn("recall_spike_x10", F.col("recall_spike_x10") + 1), "p1", "holdout"))
+query("load_bronze", lambda s, d: rounded(_silver(s, d)[0].drop("ibrd_commitments_usd", "ida_grant_commitments_usd", "ida_nonconcessional_commitments_usd", "ida_concessional_commitments_usd", "ida_other_commitments_usd"), "grp entity period region ~gross ~repayments ~net ~interest_usd ~fees_usd"), O.sql("SELECT grp, entity, period, region, round(gross, 6) AS gross, round(repayments, 6) AS repayments, round(net, 6) AS net, round(charges, 6) AS interest_usd, CAST(NULL AS DOUBLE) AS fees_usd FROM panel_a", "panel_a"))
+query("load_series", _stored_series, O.sql(f"SELECT entity, period, round(gross, 6) AS value, round(repayments, 6) AS repayments, CAST(NULL AS DOUBLE) AS fees_usd FROM panel_a WHERE grp = 'R' AND period <= {A.last_complete}", "panel_a"))
+query("load_labels", _stored_labels, O.sql("SELECT entity, period, rule, label, '' AS note FROM sheet_a", "sheet_a"))
+query("drift_summary", lambda s, d: R.drift_summary(_order_regions(s, d)), _ORDER_REGIONS + "SELECT count(DISTINCT entity) AS n_entities, count(*) AS n_rows FROM f WHERE flag")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,11 +31,22 @@ ROLES = {"financier": "grp", "country": "entity", "fiscal_year": "period", "gros
 LABEL_SCHEMA = "entity string, period int, robust_z double, severity string, change_pct double, rule string, currently_alerting boolean, explanation string, label string, note string"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; one of the session's own only where that is unset and all runs on one machine, as in tests."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
+
+
 def check_columns(df: DataFrame, expected) -> None:
     """Fails on columns that are absent; others may be there."""
     absent = sorted(set(expected) - set(df.columns))
     if absent:
-        raise ValueError(f"SCHEMA DRIFT - expected columns absent: {absent}")
+        raise ValueError(f"SCHEMA DRIFT: the source has no {absent}")
 
 
 def load_bronze(spark: SparkSession, path: str, kind: str = "csv", names: dict[str, str] | None = None) -> DataFrame:
