@@ -1,14 +1,14 @@
 """Operator 3: chat formatting by schema fingerprints.
 
 ``fingerprint`` hashes the sorted nested field paths of a table; the hash selects a declarative mapping (``LAYOUTS``) that turns a prompt,
-instruction, message or one-row-a-turn layout into canonical turns: conv, turn, role, text. ``format_turns`` writes each turn as
+instruction, message or one-row-a-turn layout into canonical turns: conv, turn, role, text; a table with more fields is looked up by parts of its paths. ``format_turns`` writes each turn as
 
     <|im_start|>role\\n text <|im_end|>\\n
 
 with backslashes doubled and "<|" written "<\\|" inside roles and texts (in roles a line break is "\\n" in two signs), so control strings in
 texts can't end a turn and everything reads back exactly. Each formatted row carries its loss mask: where assistant text lies in it.
 
-Null role and text are empty; turns go by turn number (null first), then role and text, so repeated rows stay, in a defined order; a null
+Null role and text are empty, in every layout; a conversation whose list of turns is null or empty is one turn without role and text. Turns go by turn number (null first), then role and text, so repeated rows stay, in a defined order; a null
 conv_id is a conversation of its own. Empty tables give conversation -1 only in the query. Extra columns are ignored, but a table whose fields
 match no layout is an error that names its fields. A conversation may hold any number of rows: formatting is row by row, and reading back
 streams over sorted rows with a running hash, so no conversation is held in memory.
@@ -18,7 +18,9 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
+from itertools import combinations
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,13 +43,29 @@ def fingerprint(paths) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
 
 
-def _turn(role: str | Column, text: Column) -> Column:
-    return F.struct((F.lit(role) if isinstance(role, str) else role).alias("role"), text.alias("text"))
+@dataclass(frozen=True)
+class Layout:
+    """How a source lays out a conversation, declared by its field paths (the conversation's id aside): fixed turns of a row, each a role and the columns
+    whose non-empty texts are joined by an empty line; or a list of turns, with the fields of its items; or a row a turn."""
 
+    paths: tuple[str, ...]
+    turns: tuple[tuple[str, tuple[str, ...]], ...] = ()
+    items: tuple[str, str, str] | None = None
 
-def _pairs(*turns: Column) -> Column:
-    """Turns of a row; those without text are left out unless all are."""
-    return F.filter(F.array(*turns), lambda t: t["text"].isNotNull())
+    @property
+    def columns(self) -> list[str]:
+        return sorted({re.split(r"[.\[]", p)[0] for p in self.paths})
+
+    def array(self) -> Column:
+        """The turns of a row, in order; null texts stay as empty turns."""
+        if self.items:
+            column, role, text = self.items
+            return F.transform(column, lambda m: _turn(_role(m[role]), m[text]))
+        return F.array(*(_turn(F.lit(role), F.col(c[0]) if len(c) == 1 else F.concat_ws("\n\n", *(F.when(F.col(x) != "", F.col(x)) for x in c))) for role, c in self.turns))
+
+
+def _turn(role: Column, text: Column) -> Column:
+    return F.struct(role.cast("string").alias("role"), text.cast("string").alias("text"))
 
 
 _SAID = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
@@ -60,39 +78,51 @@ def _role(c: Column) -> Column:
     return out
 
 
-#: Field paths without the conversation's own id, and the turns they hold.
-LAYOUTS: dict[str, Callable[[], Column]] = {
-    fingerprint(p): turns
-    for p, turns in (
-        (["prompt", "response"], lambda: _pairs(_turn("user", F.col("prompt")), _turn("assistant", F.col("response")))),
-        (["prompt", "completion"], lambda: _pairs(_turn("user", F.col("prompt")), _turn("assistant", F.col("completion")))),
-        (["system", "prompt", "response"], lambda: _pairs(_turn("system", F.col("system")), _turn("user", F.col("prompt")), _turn("assistant", F.col("response")))),
-        (["instruction", "output"], lambda: _pairs(_turn("user", F.col("instruction")), _turn("assistant", F.col("output")))),
-        (["instruction", "input", "output"], lambda: _pairs(_turn("user", F.concat_ws("\n\n", "instruction", F.when(F.col("input") != "", F.col("input")))), _turn("assistant", F.col("output")))),
-        (["messages[].role", "messages[].content"], lambda: F.transform("messages", lambda m: _turn(_role(m["role"]), m["content"]))),
-        (["conversations[].from", "conversations[].value"], lambda: F.transform("conversations", lambda m: _turn(_role(m["from"]), m["value"]))),
+def _fixed(**turns: str) -> Layout:
+    named = tuple((role, tuple(columns.split("+"))) for role, columns in turns.items())
+    return Layout(tuple(c for _, columns in named for c in columns), named)
+
+
+ROWS = Layout(("turn", "role", "text"))
+LAYOUTS: dict[str, Layout] = {
+    fingerprint(x.paths): x
+    for x in (
+        ROWS, _fixed(user="prompt", assistant="response"), _fixed(user="prompt", assistant="completion"), _fixed(system="system", user="prompt", assistant="response"), _fixed(user="instruction", assistant="output"),
+        _fixed(user="instruction+input", assistant="output"), Layout(("messages[].role", "messages[].content"), items=("messages", "role", "content")), Layout(("conversations[].from", "conversations[].value"), items=("conversations", "from", "value")),
     )
 }
-ROWS = fingerprint(["turn", "role", "text"])
 
 
-def layout_of(table: DataFrame, id_col: str) -> str:
-    """The fingerprint of the fields that a layout uses; extra columns don't count. The layout with the most fields wins."""
+def layouts_of(table: DataFrame, id_col: str) -> list[Layout]:
+    """The layouts that the fingerprint of the table's paths selects: that of all paths, else those of parts of them, the largest first; a layout within one
+    already selected doesn't count, nor do paths that no layout has."""
     paths = field_paths(table.drop(id_col).schema)
-    known = [["turn", "role", "text"], ["system", "prompt", "response"], ["instruction", "input", "output"], ["messages[].role", "messages[].content"], ["conversations[].from", "conversations[].value"], ["prompt", "response"], ["prompt", "completion"], ["instruction", "output"]]
-    for want in known:
-        if set(want) <= set(paths):
-            return fingerprint(want)
-    raise ValueError(f"no layout for fields {sorted(paths)}")
+    if (mark := fingerprint(paths)) in LAYOUTS:
+        return [LAYOUTS[mark]]
+    known = sorted({p for x in LAYOUTS.values() for p in x.paths} & set(paths))
+    found: list[Layout] = []
+    for size in range(len(known), 0, -1):
+        for part in combinations(known, size):
+            x = LAYOUTS.get(fingerprint(part))
+            if x and not any(set(x.paths) <= set(y.paths) for y in found):
+                found.append(x)
+    if not found:
+        raise ValueError(f"no layout for fields {sorted(paths)}")
+    return found
 
 
 def canonical_turns(table: DataFrame, id_col: str = "conv_id") -> DataFrame:
-    """conv_id, turn, role, text of any known layout."""
-    mark = layout_of(table, id_col)
-    if mark == ROWS:
+    """conv_id, turn, role, text of any known layout. Where a table fits several layouts, as a union of sources does, each row goes by the first one whose columns
+    it fills, or else by the first."""
+    layouts = layouts_of(table, id_col)
+    if layouts[0] == ROWS:
         out = table.select(F.col(id_col).alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     else:
-        out = table.select(F.col(id_col).alias("conv_id"), F.posexplode(LAYOUTS[mark]()).alias("turn", "t")).select("conv_id", F.col("turn").cast("long").alias("turn"), "t.role", "t.text")
+        layouts = [x for x in layouts if x != ROWS]
+        turns = layouts[0].array()
+        for x in reversed(layouts if len(layouts) > 1 else []):
+            turns = F.when(reduce(Column.__and__, (F.col(c).isNotNull() for c in x.columns)), x.array()).otherwise(turns)
+        out = table.select(F.col(id_col).alias("conv_id"), F.posexplode_outer(turns).alias("turn", "t")).select("conv_id", F.col("turn").cast("long").alias("turn"), "t.role", "t.text")
     return out.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in ("role", "text")})
 
 

@@ -1,10 +1,10 @@
 """Operator 7: quality by co-training on two views, text content and page metadata.
 
 Each view has a logistic model with class-ratio weights for each head (quality, toxic). It starts from at most ``LABELLED`` labelled documents, picked by
-hash order; over ``ROUNDS`` rounds each view labels the unlabelled pool (at most ``POOL`` documents, picked alike) and hands what it is sure of to the
+hash order; over ``ROUNDS`` rounds each view judges every unlabelled document and hands the ``EACH`` of each class that it is surest of to the
 other view's training set. A fifth of the labelled documents is held out to calibrate each view; calibrated evidence of both views is added up.
-All documents are scored in one pass without a shuffle; only the fixed-size weights are broadcast. Content features are the words of the
-whole text, their first letters, and its style (shares of capitals and signs, word length, variety).
+Documents are scored where they lie; only the fixed-size weights are broadcast, and what the driver learns from is bounded by rows and by ``WIDTH`` features a
+row. Content features are the words of the whole text, their first letters, and its style (shares of capitals and signs, word length, variety).
 
 A document goes if its toxicity is above one half or its quality below. Null and empty texts have no words and are scored by style and
 metadata alone; null metadata is a value of its own. Labels that are null, or without a document, don't count; several labels of one
@@ -15,6 +15,7 @@ score alike; extra columns are kept by ``keep_good``.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +23,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import arrays as A
+from .components import cut_lineage
 from .decontaminate import LOWER, WORD, pieces
 
-LABELLED, POOL, ROUNDS, EACH, SURE = 12_000, 3_000, 2, 300, 0.97
+LABELLED, ROUNDS, EACH, SURE = 12_000, 2, 300, 0.97
 WIDTH, META_WIDTH, STEPS = 1 << 18, 1 << 12, 150
 HEADS = ("quality", "toxic")
 META = ("lang", "source", "n_chars")
@@ -186,59 +188,110 @@ class Head:
         return self.views[0].evidence(content) + self.views[1].evidence(meta) - self.prior
 
 
-def co_train(content: Rows, meta: Rows, y: np.ndarray, held: np.ndarray, rounds: int = ROUNDS) -> Head | None:
-    """y: 0, 1, or -1 for the pool; held: kept out for calibration."""
-    if len({*y[(y >= 0)].tolist()}) < 2:
-        return None
-    views, rows = (View(WIDTH, 3, 1.0, 5.0), View(META_WIDTH, 20, 0.2, 3.0)), (content, meta)
-    check = held & (y >= 0)
-    if len({*y[check].tolist()}) < 2 or len({*y[(y >= 0) & ~held].tolist()}) < 2:
-        check = y >= 0
-        held = np.zeros(len(y), bool)
-    given = [np.where(held, -1, y).astype(np.int64) for _ in views]  # what each view learns from
-    pool = y < 0
-    for k in range(rounds + 1):
-        for v, view in enumerate(views):
-            mine = np.flatnonzero(given[v] >= 0)
-            view.fit(rows[v].take(mine), given[v][mine].astype(np.float64))
-            view.calibrate(rows[v].take(np.flatnonzero(check)), y[check].astype(np.float64))
-        if k == rounds:
-            break
-        for v, view in enumerate(views):
-            z = view.evidence(rows[v])
-            other = given[1 - v]
-            for label, sure in ((1, z), (0, -z)):
-                pick = np.flatnonzero(pool & (other < 0) & (sure > np.log(SURE / (1 - SURE))))
-                other[pick[np.argsort(-sure[pick], kind="stable")[:EACH]]] = label
-    p = y[y >= 0].mean()
-    return Head(views, float(np.log(p / (1 - p))))
-
-
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta=META, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS) -> dict[str, Head | None]:
-    """A head for each column of ``HEADS``, from bounded samples."""
-    order = F.xxhash64(F.col(id_col), F.lit(11))
-    marks = labels.where(F.col(id_col).isNotNull() & (F.col("quality").isNotNull() | F.col("toxic").isNotNull()))
-    some = marks.select(F.col(id_col).alias("__id"), *(F.coalesce(F.col(h), F.lit(-1)).cast("long").alias(f"__{h}") for h in HEADS)).orderBy(F.xxhash64("__id", F.lit(11))).limit(labelled)
-    rest = docs.select(id_col).join(marks.select(id_col).distinct(), id_col, "left_anti").orderBy(order).limit(pool).select(F.col(id_col).alias("__id"), *(F.lit(-1).cast("long").alias(f"__{h}") for h in HEADS))
-    picked = some.unionByName(rest)  # at most labelled + pool rows, so broadcasting it is safe
-    own = [c for c in meta if c in docs.columns]
-    sample = docs.select(id_col, text_col, *own).join(F.broadcast(picked), F.col(id_col) == F.col("__id")).drop("__id")
+def joined(parts: list[Rows]) -> Rows:
+    size = np.concatenate([np.diff(r.off) for r in parts])
+    return Rows(np.concatenate([r.feature for r in parts]), np.r_[0, np.cumsum(size)])
 
-    def features(batches):
-        for batch in pieces(batches, text_col):
-            c, m = content_features(batch[text_col]), meta_features(batch, own)
-            lists = [pa.ListArray.from_arrays(pa.array(r.off, pa.int32()), pa.array(r.feature, pa.int32())) for r in (c, m)]
-            yield pa.record_batch([batch[id_col].cast(pa.int64()), *lists, *(batch[f"__{h}"] for h in HEADS)], ["id", "content", "meta", *HEADS])
 
-    got = sample.mapInArrow(features, "id long, content array<int>, meta array<int>, quality long, toxic long").toArrow().sort_by("id")
+class Learner:
+    """One head: labelled rows of both views, some held out for calibration, and what each view was told by the other one."""
+
+    def __init__(self, rows: tuple[Rows, Rows], y: np.ndarray, held: np.ndarray) -> None:
+        known = y >= 0
+        check = held & known
+        if len(set(y[check].tolist())) < 2 or len(set(y[known & ~held].tolist())) < 2:
+            check, held = known, np.zeros(len(y), bool)
+        learn, check = np.flatnonzero(known & ~held), np.flatnonzero(check)
+        self.learn, self.y = [r.take(learn) for r in rows], y[learn].astype(np.float64)
+        self.check, self.truth = [r.take(check) for r in rows], y[check].astype(np.float64)
+        self.told: list[dict[tuple[int, int], tuple[np.ndarray, int]]] = [{}, {}]
+        share = y[known].mean()
+        self.head = Head((View(WIDTH, 3, 1.0, 5.0), View(META_WIDTH, 20, 0.2, 3.0)), float(np.log(share / (1 - share))))
+
+    def fit(self) -> None:
+        for v, view in enumerate(self.head.views):
+            told = list(self.told[v].values())
+            feature, size = [f for f, _ in told], [len(f) for f, _ in told]
+            more = Rows(np.concatenate([np.zeros(0, np.int64), *feature]), np.r_[0, np.cumsum(size, dtype=np.int64)])
+            view.fit(joined([self.learn[v], more]), np.r_[self.y, [float(k) for _, k in told]])
+            view.calibrate(self.check[v], self.truth)
+
+
+def _features(batches, id_col: str, text_col: str, own: list[str], keep: list[str]):
+    """Both views' features of each row, with its id and other columns."""
+    for batch in pieces(batches, text_col):
+        c, m = content_features(batch[text_col]), meta_features(batch, own)
+        lists = [pa.ListArray.from_arrays(pa.array(r.off, pa.int32()), pa.array(r.feature, pa.int32())) for r in (c, m)]
+        yield pa.record_batch([batch[id_col].cast(pa.int64()), *lists, *(batch[k] for k in keep)], ["id", "content", "meta", *keep])
+
 
-    def rows(name):
-        column = got[name].combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
-        return Rows(column.flatten().to_numpy().astype(np.int64), column.offsets.to_numpy().astype(np.int64) - int(column.offsets[0].as_py() if len(column) else 0))
+def _rows(table: pa.Table, name: str) -> Rows:
+    column = table[name].combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.int32()))
+    column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+    return Rows(column.flatten().to_numpy().astype(np.int64), column.offsets.to_numpy().astype(np.int64) - int(column.offsets[0].as_py() if len(column) else 0))
 
-    content, meta_rows = rows("content"), rows("meta")
+
+def pseudo_labels(docs: DataFrame, marked: DataFrame, heads: dict[str, Head | None], most: int, id_col: str, text_col: str, meta) -> list[tuple]:
+    """What each view is surest of among all unlabelled documents: head, view, label, (id, digest), features of both views; at most ``most`` of each kind.
+
+    Every document is scored by each view where it lies; small rows of evidence leave out the labelled ones, and the surest of each kind are looked up again."""
+    live = [(h, v) for h, x in heads.items() if x is not None for v in (0, 1)]
+    names = [f"{h}_{v}" for h, v in live]
+
+    def finish(batch, evidence):
+        return pa.record_batch([batch[id_col].cast(pa.int64()), batch["digest__"], *(pa.array(evidence[h][v]) for h, v in live)], ["id", "digest", *names])
+
+    own = [c for c in meta if c in docs.columns]
+    read = docs.select(F.col(id_col), F.col(text_col), *own, F.xxhash64(text_col).alias("digest__"))
+    scored = _score(read, heads, finish, "id long, digest long, " + ", ".join(f"{n} double" for n in names), text_col, meta, raw=True)
+    pool = cut_lineage(scored.join(marked.select(F.col(id_col).cast("long").alias("id")).distinct(), "id", "left_anti"))
+    kinds = [(h, v, y, F.col(f"{h}_{v}") if y else -F.col(f"{h}_{v}")) for h, v in live for y in (0, 1)]
+    tops = [pool.where(sure > float(np.log(SURE / (1 - SURE)))).orderBy(F.desc(sure), F.xxhash64("id", "digest")).limit(most).select(F.lit(k).alias("kind"), "id", "digest", sure.alias("sure")) for k, (_, _, _, sure) in enumerate(kinds)]
+    picked = reduce(DataFrame.unionByName, tops).toArrow().to_pylist()  # at most 8 times ``most`` small rows
+    if not picked:
+        return []
+    wanted = docs.sparkSession.createDataFrame(sorted({(r["id"], r["digest"]) for r in picked}, key=str), "id__ long, digest__ long")
+    hits = read.join(F.broadcast(wanted), F.col(id_col).cast("long").eqNullSafe(F.col("id__")) & (read["digest__"] == wanted["digest__"])).select(id_col, text_col, *own, read["digest__"].alias("digest"))
+    got = hits.mapInArrow(lambda b: _features(b, id_col, text_col, own, ["digest"]), "id long, content array<int>, meta array<int>, digest long").dropDuplicates(["id", "digest"]).toArrow()
+    views = _rows(got, "content"), _rows(got, "meta")
+    at = {k: i for i, k in enumerate(zip(got["id"].to_pylist(), got["digest"].to_pylist(), strict=True))}
+    out = []
+    for r in sorted(picked, key=lambda r: (r["kind"], -r["sure"], r["id"] is None, r["id"] or 0, r["digest"])):
+        h, v, y, _ = kinds[r["kind"]]
+        i = at[r["id"], r["digest"]]
+        out.append((h, v, y, (r["id"], r["digest"]), tuple(x.feature[x.off[i] : x.off[i + 1]] for x in views)))
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta=META, labelled: int = LABELLED, each: int = EACH, rounds: int = ROUNDS) -> dict[str, Head | None]:
+    """A head for each column of ``HEADS``: from at most ``labelled`` labelled rows, and over ``rounds`` rounds from the ``each`` documents of the whole unlabelled corpus
+    that the other view is surest of, by class."""
+    marks = labels.where(F.col(id_col).isNotNull() & (F.col("quality").isNotNull() | F.col("toxic").isNotNull()))
+    some = marks.select(F.col(id_col).alias("__id"), *(F.coalesce(F.col(h), F.lit(-1)).cast("long").alias(h) for h in HEADS)).orderBy(F.xxhash64("__id", F.lit(11))).limit(labelled)
+    own = [c for c in meta if c in docs.columns and c not in HEADS]
+    # at most ``labelled`` rows, so broadcasting them is safe; an id may hold many rows, so what comes back is bounded again
+    read = docs.select(id_col, text_col, *own).join(F.broadcast(some), F.col(id_col) == F.col("__id")).drop("__id")
+    whole = read.mapInArrow(lambda b: _features(b, id_col, text_col, own, list(HEADS)), "id long, content array<int>, meta array<int>, quality long, toxic long")
+    got = whole.orderBy(F.xxhash64("id", F.lit(11)), F.xxhash64("content", *HEADS)).limit(labelled).toArrow()
+    rows = _rows(got, "content"), _rows(got, "meta")
     held = A.mix(got["id"].to_numpy().astype(U64)) % U64(5) == 0 if got.num_rows else np.zeros(0, bool)
-    return {h: co_train(content, meta_rows, got[h].to_numpy(), held, rounds) for h in HEADS}
+    learners: dict[str, Learner | None] = {}
+    for h in HEADS:
+        y = got[h].to_numpy() if got.num_rows else np.zeros(0, np.int64)
+        learners[h] = Learner(rows, y, held) if len(set(y[y >= 0].tolist())) > 1 else None
+    heads = {h: None if x is None else x.head for h, x in learners.items()}
+    for k in range(rounds + 1):
+        for x in learners.values():
+            if x is not None:
+                x.fit()
+        if k == rounds or not any(heads.values()):
+            return heads
+        new = {(h, v, y): 0 for h in HEADS for v in (0, 1) for y in (0, 1)}
+        for h, v, y, key, views in pseudo_labels(docs, marks, heads, each * (k + 1), id_col, text_col, meta):
+            told = learners[h].told[1 - v]  # the other view learns it, unless it was told so before
+            if key not in told and new[h, v, y] < each:
+                told[key] = views[1 - v], y
+                new[h, v, y] += 1
 
 
 def score_documents(docs: DataFrame, heads: dict[str, Head | None], id_col: str = "doc_id", text_col: str = "text", meta=META) -> DataFrame:
@@ -255,8 +308,8 @@ def score_documents(docs: DataFrame, heads: dict[str, Head | None], id_col: str
     return _score(docs, heads, finish, schema, text_col, meta)
 
 
-def _score(docs: DataFrame, heads: dict[str, Head | None], finish, schema, text_col: str, meta) -> DataFrame:
-    """finish(batch, quality, toxicity, keep) for all documents."""
+def _score(docs: DataFrame, heads: dict[str, Head | None], finish, schema, text_col: str, meta, raw: bool = False) -> DataFrame:
+    """finish(batch, quality, toxicity, keep) for all documents; if ``raw``, finish(batch, evidence of each head's views)."""
     own = [c for c in meta if c in docs.columns]
     flat = lambda v: (v.weight.astype(np.float32), v.bias, v.slope, v.shift)
     light = {h: None if x is None else (*flat(x.views[0]), *flat(x.views[1]), x.prior) for h, x in heads.items()}
@@ -274,6 +327,9 @@ def _score(docs: DataFrame, heads: dict[str, Head | None], finish, schema, text_
                 active |= a.weight != 0
         for batch in pieces(batches, text_col):
             content, m = content_features(batch[text_col], active), meta_features(batch, own)
+            if raw:
+                yield finish(batch, {h: (x.views[0].evidence(content), x.views[1].evidence(m)) for h, x in ready.items() if x is not None})
+                continue
             p = {h: np.full(len(batch), 1.0 if h == "quality" else 0.0) if x is None else 1 / (1 + np.exp(-np.clip(x.logit(content, m), -30, 30))) for h, x in ready.items()}
             yield finish(batch, p["quality"], p["toxic"], (p["quality"] >= 0.5) & (p["toxic"] <= 0.5))
 

@@ -266,6 +266,23 @@ def test_3_layouts(spark):
         canonical_turns(spark.createDataFrame([(1, 2)], "conv_id long, other long"))
 
 
+def test_3_nulls_and_mixed_layouts(spark):
+    from panelsentry.llm.chat_format import LAYOUTS, canonical_turns, fingerprint, format_turns, layouts_of, read_back
+
+    pairs = spark.createDataFrame([(1, None, None), (2, "q", None), (3, None, "a")], "conv_id long, prompt string, response string")
+    assert layouts_of(pairs, "conv_id") == [LAYOUTS[fingerprint(["prompt", "response"])]]
+    got = sorted((r.conv_id, r.turn, r.role, r.text) for r in canonical_turns(pairs).collect())
+    assert got == [(1, 0, "user", ""), (1, 1, "assistant", ""), (2, 0, "user", "q"), (2, 1, "assistant", ""), (3, 0, "user", ""), (3, 1, "assistant", "a")]
+    lists = spark.createDataFrame([(1, None), (2, []), (3, [("user", None), (None, "x")])], "conv_id long, messages array<struct<role:string,content:string>>")
+    got = sorted((r.conv_id, r.role, r.text) for r in canonical_turns(lists).collect())
+    assert got == [(1, "", ""), (2, "", ""), (3, "", "x"), (3, "user", "")]
+    assert sorted((r.conv_id, r.n_turns) for r in read_back(format_turns(canonical_turns(lists))).collect()) == [(1, 1), (2, 1), (3, 2)]
+    mixed = spark.createDataFrame([(1, "p", "r", None, None, None, "s"), (2, None, None, "i", "o", None, "s"), (3, None, None, None, None, [("human", "h")], "s"), (4, None, None, None, None, None, "s")],
+                                  "conv_id long, prompt string, response string, instruction string, output string, conversations array<struct<from:string,value:string>>, source string")
+    got = {(r.conv_id, r.role, r.text) for r in canonical_turns(mixed).collect()}
+    assert got == {(1, "user", "p"), (1, "assistant", "r"), (2, "user", "i"), (2, "assistant", "o"), (3, "user", "h")} | {(4, r.role, "") for r in canonical_turns(mixed).where("conv_id = 4").collect()}
+
+
 def test_3_empty(spark, tmp_path):
     from panelsentry.llm.chat_format import op3_chat_format
 
