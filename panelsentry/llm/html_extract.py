@@ -2,13 +2,13 @@
 
 A page is read into leaf blocks: runs of text between block-level tags, each with the path of tags above it (names, classes, ids, roles). A
 bidirectional LSTM in numpy reads, for every block in page order, a hashed tag-path vector, a hashed-word vector of the whole block and its
-length, link share and place, and labels each with the whole document as context. It is trained on at most ``SAMPLE`` pages, picked by hash order, whose blocks
-get their labels from semantic markup, and on re-dressed copies of them (other wrappers, menus, notices, adverts, forms, comments), so that no single
+length, link share and place, and labels each with the whole document as context. It is trained on at most ``SAMPLE`` pages (of ``SAMPLE_BYTES`` at most), picked by hash
+order, whose blocks get their labels from article markup or, on pages without any, from length, links and whether other pages hold the same text; and on re-dressed copies of them (other wrappers, menus, notices, adverts, forms, comments), so that no single
 template decides. Pages are labelled in one pass without a shuffle; only the weights, of fixed size, are broadcast.
 
 Scripts, styles, frames, templates, drawings and comments never become blocks. What is in a script, style or frame is not read as markup: it ends at its own
 end tag (a script or style without one at the end of the page, as in browsers; a frame, template or drawing without one is only its tag). A line break inside a block is a space. Null or empty html, or a page without
-article blocks, gives an empty text. Nothing is cut, however long a page is. Repeated rows are read alike; extra columns are ignored.
+blocks that the labeller takes for article, gives an empty text; if no page of the sample has any text there is no labeller and article markup alone decides. Nothing is cut, however long a page is. Repeated rows are read alike; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import html as entities
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import arrays as A
 
-SAMPLE, EPOCHS, HIDDEN, PATH, WORDS = 200, 9, 16, 96, 32
+SAMPLE, SAMPLE_BYTES, EPOCHS, HIDDEN, PATH, WORDS = 200, 1 << 18, 9, 16, 96, 32
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"""(?i)\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 #: Elements of HTML by how they break text.
@@ -314,6 +315,19 @@ def semantic_label(path: tuple[str, ...]) -> int:
     return int(inside >= 0 and not any(n in BOILER for n in names[inside + 1 :]))
 
 
+def plain_labels(blocks: list[tuple[tuple[str, ...], str, float]], common: set[str]) -> list[int]:
+    """What a page without article markup says of its blocks: text of some length with few links that is on no other page is article, and so are short blocks
+    between two of those; boilerplate elements and names never are."""
+    able = []
+    for path, text, links in blocks:
+        names = [s.split()[0] for s in path]
+        marks = [m.partition("=")[2] for s in path for m in s.split()[1:]]
+        able.append("head" not in names and not any(n in BOILER for n in names) and not any(HINTS.search(m) for m in marks) and text not in common and links < 0.5)
+    sure = [a and len(b[1].split()) >= 10 for a, b in zip(able, blocks, strict=True)]
+    at = [k for k, s in enumerate(sure) if s]
+    return [int(a and bool(at) and (s or max(0, at[0] - 1) <= k <= at[-1])) for k, (a, s) in enumerate(zip(able, sure, strict=True))]
+
+
 _NOTHING = {
     "nav": ["nav", 'div class="menu"', 'ul class="nav-links"', 'div id="navigation"', 'div class="breadcrumbs"', 'div role="navigation"', 'div class="navbar"', 'div class="main-menu"'],
     "top": ["header", 'div class="header"', 'div id="header"', 'div class="site-header"', 'div role="banner"', 'div class="masthead"', 'div class="topbar"'],
@@ -367,16 +381,19 @@ def redressed(good: list[str], bad: list[str], rng: random.Random) -> tuple[str,
     return f"<html><body>{inner}</body></html>", marks
 
 
-def train(pages: DataFrame, sample: int = SAMPLE) -> BiLSTM | None:
-    """A labeller from at most ``sample`` pages; None if none of them has article blocks."""
-    rows = pages.where(F.col("html").isNotNull()).orderBy(F.xxhash64("page_id", "html")).limit(sample).select("html").toArrow()
+def train(pages: DataFrame, sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> BiLSTM | None:
+    """A labeller from at most ``sample`` pages of at most ``most_bytes`` each; None if they have no text."""
+    fit = F.octet_length("html").between(1, most_bytes)
+    rows = pages.where(fit).orderBy(F.xxhash64("page_id", "html")).limit(sample).select("html").toArrow()
+    found = [b for b in map(blocks_of, rows["html"].to_pylist()) if b]
+    seen = Counter(t for page in found for t in {b[1] for b in page})
+    common = {t for t, n in seen.items() if n > 2 and n > len(found) // 50}
     rng = random.Random(5)
     xs, ys = [], []
-    for page in rows["html"].to_pylist():
-        blocks = blocks_of(page)
-        if not blocks:
-            continue
+    for blocks in found:
         y = [semantic_label(b[0]) for b in blocks]
+        if not any(y):
+            y = plain_labels(blocks, common)
         if not any(y):
             continue
         xs.append(blocks)

@@ -20,10 +20,9 @@ from pyspark.sql import functions as F
 
 from .components import cut_lineage
 
-#: ROUNDS and LINK_PATTERN are those of OP10_SQL, which ends after four rounds; the operator goes on and reads LINKS.
-SCALE, DAMPING, ROUNDS, MARGIN, CUT = 1_000_000, 85, 4, 50, 4
+#: ROUNDS are those of OP10_SQL: DAMPING to that power is less than one of SCALE, so ranks change no more.
+SCALE, DAMPING, ROUNDS, MARGIN, CUT = 1_000_000, 85, 100, 50, 4
 HOST_PATTERN, PATH_PATTERN = r"(?s)^.*?://([^/?#]*)", r"(?s)^.*?://[^/?#]*([^?#]*)"
-LINK_PATTERN = r"""(?is)<a\s[^>]*?href\s*=\s*["']?([a-z][a-z0-9+.\-]*://[^"'>\s]+)"""
 LINKS = r"""(?is)<a\s[^>]*?href\s*=\s*["']?((?:[a-z][a-z0-9+.\-]*:)?//[^"'>\s]+)"""
 
 
@@ -109,28 +108,24 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     def rank(k: int) -> str:
-        return f"""
-rank{k} AS (
-  SELECT host, CAST(sum(CASE WHEN own = 1 THEN good * {100 - DAMPING} ELSE good * {DAMPING} END) // 100 AS BIGINT) AS good,
-         CAST(sum(CASE WHEN own = 1 THEN bad * {100 - DAMPING} ELSE bad * {DAMPING} END) // 100 AS BIGINT) AS bad
-  FROM (SELECT host, good, bad, 1 AS own FROM rank0
-        UNION ALL SELECT m."to", good * good_share // {SCALE}, bad * bad_share // {SCALE}, 0 FROM rank{k - 1} JOIN moves m USING (host))
-  GROUP BY host)"""
+        sent = f"""UNION ALL SELECT m."to", good * good_share // {SCALE} * {DAMPING}, bad * bad_share // {SCALE} * {DAMPING} FROM rank{k - 1} JOIN moves m USING (host)""" if k else ""
+        return f"rank{k} AS MATERIALIZED (SELECT host, CAST(sum(good) // 100 AS BIGINT) AS good, CAST(sum(bad) // 100 AS BIGINT) AS bad FROM (SELECT host, good * {100 - DAMPING} AS good, bad * {100 - DAMPING} AS bad FROM seeds {sent}) GROUP BY host)"
 
     host = r"translate(regexp_extract(coalesce({}, ''), '(?s)^.*?://([^/?#]*)', 1), '" + _UPPER + "', '" + _LOWER + "')"
     cases = " ".join(f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{r.name}'" for r in sorted(RULES, key=lambda r: -len(r.name)))
     good = ", ".join(f"'{r.name}'" for r in RULES if r.allow)
-    link = LINK_PATTERN.replace("'", "''")
+    links = LINKS.replace("'", "''")
+    whole = "CASE WHEN starts_with(link, '//') THEN 'http:' || link ELSE link END"
     return f"""
-WITH read AS (SELECT page_id, html, {host.format('url')} AS host, regexp_extract(coalesce(url, ''), '{PATH_PATTERN}', 1) AS path FROM pages),
-ruled AS (SELECT *, CASE {cases} END AS rule FROM read),
-rank0 AS (SELECT host, count(*) FILTER (rule IN ({good})) * {SCALE} // count(*) AS good,
+WITH read AS MATERIALIZED (SELECT page_id, html, {host.format('url')} AS host, regexp_extract(coalesce(url, ''), '{PATH_PATTERN}', 1) AS path FROM pages),
+ruled AS MATERIALIZED (SELECT *, CASE {cases} END AS rule FROM read),
+seeds AS MATERIALIZED (SELECT host, count(*) FILTER (rule IN ({good})) * {SCALE} // count(*) AS good,
                  count(*) FILTER (rule IS NOT NULL AND rule NOT IN ({good})) * {SCALE} // count(*) AS bad FROM ruled WHERE host <> '' GROUP BY host),
-links AS (SELECT host AS source, unnest(regexp_extract_all(html, '{link}', 1)) AS link FROM ruled WHERE host <> ''),
-edges AS (SELECT source, target, count(*) AS links FROM (SELECT source, {host.format('link')} AS target FROM links) WHERE target <> '' AND source <> target GROUP BY ALL),
-moves AS (SELECT source AS host, target AS "to", CAST(floor(links * {SCALE} / sum(links) OVER (PARTITION BY source)) AS BIGINT) AS good_share, 0 AS bad_share FROM edges
+links AS (SELECT host AS source, unnest(regexp_extract_all(html, '{links}', 1)) AS link FROM ruled WHERE host <> ''),
+edges AS MATERIALIZED (SELECT source, target, count(*) AS links FROM (SELECT source, {host.format(whole)} AS target FROM links) WHERE target <> '' AND source <> target GROUP BY ALL),
+moves AS MATERIALIZED (SELECT source AS host, target AS "to", CAST(floor(links * {SCALE} / sum(links) OVER (PARTITION BY source)) AS BIGINT) AS good_share, 0 AS bad_share FROM edges
           UNION ALL SELECT target, source, 0, CAST(floor(links * {SCALE} / sum(links) OVER (PARTITION BY target)) AS BIGINT) FROM edges),
-{','.join(rank(k) for k in range(1, ROUNDS + 1))}
+{', '.join(rank(k) for k in range(ROUNDS + 1))}
 SELECT page_id, host, path, rule, CASE WHEN rule IN ({good}) THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
        WHEN coalesce(bad - good, 0) > {SCALE * (100 - DAMPING) * MARGIN // 10_000} THEN 'block' ELSE 'allow' END AS verdict
 FROM ruled LEFT JOIN rank{ROUNDS} USING (host)"""

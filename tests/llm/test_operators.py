@@ -530,6 +530,22 @@ def test_9_extract(spark, tmp_path):
     assert by[100].text == by[101].text == "" and by[103].n_chars > 400_000 and by[103].text.endswith("four")
 
 
+def test_9_pages_without_article_markup(spark):
+    """Only div and p, no telling names: menus and footers are on all pages, stories on one."""
+    from panelsentry.llm.html_extract import extract, train
+
+    rng = random.Random(7)
+    say = lambda n: " ".join(rng.choice(WORDS) + rng.choice("aeiou") for _ in range(n))
+    rows, want = [], {}
+    for i in range(80):
+        story = [say(rng.randint(12, 40)) for _ in range(rng.randint(2, 6))]
+        want[i] = "\n".join(story)
+        rows.append((i, f"http://h/{i}", "<html><body><div><a href=/>Home</a></div><div><a href=/s>Shop and more</a></div><div>" + "".join(f"<p>{t}</p>" for t in story) + "</div><div>All rights are kept by the owners of this site and its many friends</div></body></html>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract(pages, train(pages)).collect()}
+    assert sum(got[i] == want[i] for i in want) >= 76
+
+
 def test_9_code_is_no_markup():
     from panelsentry.llm.html_extract import blocks_of
 
@@ -604,6 +620,23 @@ def test_10_distrust_flows_back(spark):
     assert judge_urls(none).count() == 0
 
 
+def test_10_sql_on_linked_hosts(spark, tmp_path):
+    """The query's SQL goes on to the same ranks, on random links with and without a scheme."""
+    duckdb = pytest.importorskip("duckdb")
+    from panelsentry.llm.url_filter import OP10_SQL, op10_url_filter
+
+    rng = random.Random(11)
+    hosts = [f"h{k}.{rng.choice(['io', 'net', 'org'])}" for k in range(40)]
+    link = lambda: f'<a class="x" href={rng.choice([chr(34), chr(39), ""])}{rng.choice(["http://", "//", "HTTPS://"])}{rng.choice(hosts)}/p>l</a>'
+    rows = [(k, f"http://{rng.choice(hosts)}/{rng.choice(['fr/', 'en/', ''])}x", "".join(link() for _ in range(rng.randint(0, 4)))) for k in range(120)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = sorted(db.execute("SELECT page_id, host, path, rule, verdict FROM (" + OP10_SQL + ")").fetchall())
+    got = sorted(tuple(r) for r in op10_url_filter(spark, str(tmp_path)).collect())
+    assert got == want and {r[4] for r in got if r[3] is None} == {"allow", "block"}
+
+
 def test_10_converges(spark):
     """Ranks against the solved equations, on chains of more than four links, a ring, a hub and links without a scheme."""
     from panelsentry.llm.url_filter import SCALE, judge_urls
