@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import BASELINE_NOTE, explain_alert
 from ..params import METHODS, Method, Params
+from ..sources.io import cut_lineage
 from .charts import build_chart, classify_rule, clip_level, not_charted, robust_z, select_alerts, yoy_log_growth_v1
 from .incidents import attach_incident_id, build_incidents, zero_periods
 
@@ -261,9 +262,9 @@ def method_points(series: DataFrame, name: str, p: Params, methods: dict[str, Me
 
 
 def run_method(series: DataFrame, name: str, p: Params, flows: list[str], methods: dict[str, Method] = METHODS) -> dict[str, DataFrame]:
-    """points, alerts, incidents and zero periods of one method."""
+    """points, alerts, incidents and zero periods of one method. Points, which the rest is made of, are written to the checkpoint folder."""
     m = methods[name]
-    points = method_points(series, name, p, methods)
+    points = cut_lineage(method_points(series, name, p, methods))
     alerts = attach_incident_id(select_alerts(points))
     periods = zero_periods(series, flows)
     incidents = build_incidents(alerts, m.baseline == "fixed", periods if m.lifecycle else None, p).select(F.lit(name).alias("method"), "*")
@@ -271,7 +272,8 @@ def run_method(series: DataFrame, name: str, p: Params, flows: list[str], method
 
 
 def run_methods(series: DataFrame, p: Params, flows: list[str], methods: dict[str, Method] = METHODS) -> dict[str, DataFrame]:
-    """points, alerts and incidents of all methods, with a method column. Tables taken from one result share its exchanges in a plan."""
+    """points, alerts and incidents of all methods, with a method column; the series is read once."""
+    series = cut_lineage(series)
     each = [run_method(series, name, p, flows, methods) for name in methods]
     return {what: reduce(DataFrame.unionByName, (r[what] for r in each)) for what in ("points", "alerts", "incidents")}
 

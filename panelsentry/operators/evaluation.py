@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..params import ERROR_KINDS, METHODS, Params
+from ..sources.io import cut_lineage
 from .adaptive import method_points, run_method
 from .charts import in_order
 from .rules import rule_stale_repeat
@@ -74,9 +75,9 @@ def system_found(series: DataFrame, points: DataFrame, p: Params) -> DataFrame:
     return points.where("rule <> ''").select(*KEY).union(stale.select(*KEY)).distinct()
 
 
-def score_trials(series: DataFrame, picks: DataFrame, method: str, seed: int, p: Params, flows: list[str], whole: bool = False) -> DataFrame:
-    """method, kind, trial: injected, charted, detected, collateral, silent_pct, surfaced_pct."""
-    broken = keyed(break_series(series, picks, seed, p, whole))
+def score_trials(series: DataFrame, picks: DataFrame, method: str, seed: int, p: Params, flows: list[str], whole: bool = False, broken: DataFrame | None = None) -> DataFrame:
+    """method, kind, trial: injected, charted, detected, collateral, silent_pct, surfaced_pct. ``broken``: the panels with errors, if they are made already."""
+    broken = cut_lineage(keyed(break_series(series, picks, seed, p, whole))) if broken is None else broken
     res = run_method(broken, method, p, flows)
     clean = system_found(series, method_points(series, method, p), p).withColumn("clean", F.lit(True))
     mark = lambda df, name: df.select(*SCENARIO, *KEY).withColumn(name, F.lit(True))
@@ -126,11 +127,12 @@ def example_misses(series: DataFrame, picks: DataFrame, method: str, seed: int,
 
 
 def evaluate_methods(series: DataFrame, split: str, p: Params, flows: list[str], kinds=ERROR_KINDS, methods=tuple(METHODS)) -> DataFrame:
-    """Recall, collateral and visibility of every method on the same broken panels; one plan, no loop over scenarios."""
-    picks = pick_cells(series, scenarios(series.sparkSession, p, kinds), p.seeds[split], p)
-    out = None
+    """Recall, collateral and visibility of every method on the same broken panels, which are made once; no loop over scenarios."""
+    series, seed = cut_lineage(series), p.seeds[split]
+    picks = cut_lineage(pick_cells(series, scenarios(series.sparkSession, p, kinds), seed, p))
+    broken, out = cut_lineage(keyed(break_series(series, picks, seed, p))), None
     for m in methods:
-        one = score_trials(series, picks, m, p.seeds[split], p, flows)
+        one = score_trials(series, picks, m, seed, p, flows, broken=broken)
         out = one if out is None else out.unionByName(one)
     return recall_report(out)
 

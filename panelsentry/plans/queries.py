@@ -14,7 +14,7 @@ from ..operators import evaluation as E
 from ..operators import incidents as I
 from ..operators import rules as R
 from ..params import ERROR_KINDS, METHODS
-from ..sources.io import BRONZE, LABEL_SCHEMA, clean_labels, load_bronze, load_labels, load_series, read_ledger, shared_folder, with_roles, write_ledger, write_outputs, write_silver
+from ..sources.io import BRONZE, LABEL_SCHEMA, clean_labels, cut_lineage, load_bronze, load_labels, load_series, read_ledger, shared_folder, with_roles, write_ledger, write_outputs, write_silver
 from . import oracle as O
 from .panels import FLOWS_A, FLOWS_B, A, B, panel_a, panel_b, series_a, series_b, series_c, table
 
@@ -189,8 +189,8 @@ O.part("broken_a", ["cells_a", "picks_a"], f"""
 
 
 def _picks(s, d, kinds=ERROR_KINDS):
-    f = series_a(s, d)
-    return f, E.pick_cells(f, E.scenarios(s, A, kinds), SEED, A)
+    f = cut_lineage(series_a(s, d))
+    return f, cut_lineage(E.pick_cells(f, E.scenarios(s, A, kinds), SEED, A))
 
 
 query("pick_cells", lambda s, d: _picks(s, d)[1], O.sql("SELECT * FROM picks_a", "picks_a"))
