@@ -5,13 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.io import shared_folder
+from ..sources.io import cut_lineage, shared_folder
 
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """df as read from the shared checkpoint folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+__all__ = ["components", "cut_lineage", "shared_folder"]
 
 
 def components(links: DataFrame) -> DataFrame:

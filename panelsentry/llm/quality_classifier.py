@@ -46,12 +46,21 @@ class Rows:
 
     @property
     def owner(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.off) - 1), np.diff(self.off))
+        return np.repeat(np.arange(len(self.off) - 1, dtype=np.int32), np.diff(self.off))
+
+
+def _sums(at: np.ndarray, weight: np.ndarray | None, size: int, of: np.ndarray | None = None) -> np.ndarray:
+    """Sums of weights (ones; or weight[of]) by place, some at a time, so that no wide copy of all is made."""
+    out = np.zeros(size)
+    for a in range(0, len(at), 1 << 18):
+        some = slice(a, a + (1 << 18))
+        out += np.bincount(at[some], weights=None if weight is None else weight[some] if of is None else weight[of[some]], minlength=size)
+    return out
 
 
 def _distinct(doc: np.ndarray, feature: np.ndarray, n: int) -> Rows:
     both = np.unique((doc.astype(np.int64) << 32) | feature.astype(np.int64))
-    return Rows((both & 0xFFFFFFFF).astype(np.int64), np.searchsorted(both >> 32, np.arange(n + 1)))
+    return Rows((both & 0xFFFFFFFF).astype(np.int32), np.searchsorted(both >> 32, np.arange(n + 1)))
 
 
 def content_features(column, active: np.ndarray | None = None) -> Rows:
@@ -114,7 +123,7 @@ def meta_features(table, columns=META) -> Rows:
             h = A.span_hashes(buf, off[:-1], off[1:])
         out_doc.append(np.arange(n))
         out.append((A.mix(h + U64(7919 * (k + 1))) >> U64(64 - 12)).astype(np.int64))
-    return _distinct(np.concatenate(out_doc), np.concatenate(out), n) if out else Rows(np.zeros(0, np.int64), np.zeros(n + 1, np.int64))
+    return _distinct(np.concatenate(out_doc), np.concatenate(out), n) if out else Rows(np.zeros(0, np.int32), np.zeros(n + 1, np.int64))
 
 
 class View:
@@ -126,8 +135,8 @@ class View:
 
     def fit(self, rows: Rows, y: np.ndarray, steps: int = STEPS) -> None:
         owner, f = rows.owner, rows.feature
-        seen = np.bincount(f, minlength=self.width)
-        hits = np.bincount(f, weights=y[owner], minlength=self.width)
+        seen = _sums(f, None, self.width)
+        hits = _sums(f, y, self.width, owner)
         yes, no = max(y.sum(), 1), max((1 - y).sum(), 1)
         r = np.log((hits + 0.5) / (yes + 1)) - np.log((seen - hits + 0.5) / (no + 1))
         share = np.clip(y.mean(), 1e-3, 1 - 1e-3) if len(y) else 0.5
@@ -135,14 +144,21 @@ class View:
         r[(seen < self.least) | (np.abs(r) < self.ratio) | (sure < self.sure)] = 0  # rare features that side with a class by chance
         on = r[f] != 0
         owner, f = owner[on], f[on]
-        ids, code = np.unique(f, return_inverse=True)
-        scale = r[ids]
+        ids = np.flatnonzero(_sums(f, None, self.width))
+        place = np.zeros(self.width, np.int32)
+        place[ids] = np.arange(len(ids))
+        code, scale = place[f], r[ids]
         w, b, g2, gb = np.full(len(ids), 0.3), float(np.log(yes / no)), np.full(len(ids), 1e-6), 1e-6
         n = len(y)
-        for _ in range(steps):
-            z = b + np.bincount(owner, weights=(w * scale)[code], minlength=n)
+        code, owner = code.astype(np.int64), owner.astype(np.int64)
+        has, first = np.unique(owner, return_index=True)  # rows in order; features in order by a permutation
+        order = np.argsort(code, kind="stable")
+        by_code, begin = owner[order], np.searchsorted(code[order], np.arange(len(ids)))
+        for _ in range(steps if len(ids) else 0):
+            z = np.full(n, b)
+            z[has] += np.add.reduceat((w * scale)[code], first)
             e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
-            g = np.bincount(code, weights=e[owner], minlength=len(ids)) * scale + 1e-5 * w
+            g = np.add.reduceat(e[by_code], begin) * scale + 1e-5 * w
             g2 += g * g
             w -= 0.15 * g / np.sqrt(g2)
             gb += e.sum() ** 2
@@ -151,7 +167,7 @@ class View:
         self.weight[ids], self.bias = w * scale, b
 
     def margin(self, rows: Rows) -> np.ndarray:
-        return self.bias + np.bincount(rows.owner, weights=self.weight[rows.feature], minlength=len(rows.off) - 1)
+        return self.bias + _sums(rows.owner, self.weight, len(rows.off) - 1, rows.feature)
 
     def calibrate(self, rows: Rows, y: np.ndarray) -> None:
         """Platt scaling, with the targets drawn in from 0 and 1."""
@@ -201,9 +217,8 @@ class Learner:
         check = held & known
         if len(set(y[check].tolist())) < 2 or len(set(y[known & ~held].tolist())) < 2:
             check, held = known, np.zeros(len(y), bool)
-        learn, check = np.flatnonzero(known & ~held), np.flatnonzero(check)
-        self.learn, self.y = [r.take(learn) for r in rows], y[learn].astype(np.float64)
-        self.check, self.truth = [r.take(check) for r in rows], y[check].astype(np.float64)
+        self.rows, self.learn, self.check = rows, np.flatnonzero(known & ~held), np.flatnonzero(check)
+        self.y, self.truth = y[self.learn].astype(np.float64), y[self.check].astype(np.float64)
         self.told: list[dict[tuple[int, int], tuple[np.ndarray, int]]] = [{}, {}]
         share = y[known].mean()
         self.head = Head((View(WIDTH, 3, 1.0, 5.0), View(META_WIDTH, 20, 0.2, 3.0)), float(np.log(share / (1 - share))))
@@ -212,9 +227,10 @@ class Learner:
         for v, view in enumerate(self.head.views):
             told = list(self.told[v].values())
             feature, size = [f for f, _ in told], [len(f) for f, _ in told]
-            more = Rows(np.concatenate([np.zeros(0, np.int64), *feature]), np.r_[0, np.cumsum(size, dtype=np.int64)])
-            view.fit(joined([self.learn[v], more]), np.r_[self.y, [float(k) for _, k in told]])
-            view.calibrate(self.check[v], self.truth)
+            more = Rows(np.concatenate([np.zeros(0, np.int32), *feature]), np.r_[0, np.cumsum(size, dtype=np.int64)])
+            view.fit(joined([self.rows[v].take(self.learn), more]), np.r_[self.y, [float(k) for _, k in told]])
+            view.calibrate(self.rows[v].take(self.check), self.truth)
+            A.frugal()
 
 
 def _features(batches, id_col: str, text_col: str, own: list[str], keep: list[str]):
@@ -228,7 +244,7 @@ def _features(batches, id_col: str, text_col: str, own: list[str], keep: list[st
 def _rows(table: pa.Table, name: str) -> Rows:
     column = table[name].combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.int32()))
     column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
-    return Rows(column.flatten().to_numpy().astype(np.int64), column.offsets.to_numpy().astype(np.int64) - int(column.offsets[0].as_py() if len(column) else 0))
+    return Rows(column.flatten().to_numpy(), column.offsets.to_numpy().astype(np.int64) - int(column.offsets[0].as_py() if len(column) else 0))
 
 
 def pseudo_labels(docs: DataFrame, marked: DataFrame, heads: dict[str, Head | None], most: int, id_col: str, text_col: str, meta) -> list[tuple]:
@@ -274,6 +290,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     whole = read.mapInArrow(lambda b: _features(b, id_col, text_col, own, list(HEADS)), "id long, content array<int>, meta array<int>, quality long, toxic long")
     got = whole.orderBy(F.xxhash64("id", F.lit(11)), F.xxhash64("content", *HEADS)).limit(labelled).toArrow()
     rows = _rows(got, "content"), _rows(got, "meta")
+    got = got.drop_columns(["content", "meta"])
     held = A.mix(got["id"].to_numpy().astype(U64)) % U64(5) == 0 if got.num_rows else np.zeros(0, bool)
     learners: dict[str, Learner | None] = {}
     for h in HEADS:
