@@ -10,7 +10,7 @@ from .jaccard_join import OP4_SQL, op4_jaccard_join
 from .mtree_search import OP8_SQL, op8_mtree_search
 from .quality_classifier import op7_quality_classifier
 from .substring_dedup import OP6_SQL, op6_substring_dedup
-from .suffix_dedup import op2_suffix_dedup
+from .suffix_dedup import OP2_SQL, op2_suffix_dedup
 from .url_filter import OP10_SQL, op10_url_filter
 
 QUERIES = {
@@ -27,6 +27,7 @@ QUERIES = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_decontaminate": OP1_SQL,
+    "op2_suffix_dedup": OP2_SQL,
     "op3_chat_format": OP3_SQL,
     "op4_jaccard_join": OP4_SQL,
     "op6_substring_dedup": OP6_SQL,

@@ -161,14 +161,14 @@ def buckets_of(docs: DataFrame, text_col: str, more: int = 0) -> int:
     return max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) + more, -(-int(total) // BUCKET))
 
 
-def shards_of(buf: np.ndarray, off: np.ndarray, u: Units):
-    """Contexts in order of owner, some at a time: about ``SHARD``, or all of one owner. Contexts of different owners share no window."""
+def shards_of(buf: np.ndarray, off: np.ndarray, u: Units, most: int = SHARD):
+    """Contexts in order of owner, some at a time: about ``most``, or all of one owner. Contexts of different owners share no window."""
     owner = owners_of(buf, off[:-1], np.diff(off), u)
     order = np.argsort(owner, kind="stable")
     ends = np.r_[np.flatnonzero(owner[order][1:] != owner[order][:-1]) + 1, len(order)]
     a = 0
     while a < len(order):
-        b = int(ends[min(np.searchsorted(ends, a + SHARD), len(ends) - 1)])
+        b = int(ends[min(np.searchsorted(ends, a + most), len(ends) - 1)])
         yield order[a:b]
         a = b
 

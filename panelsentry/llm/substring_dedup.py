@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StringType, StructField, StructType
 
 from . import arrays as A
-from .repeats import Texts, Units, covered
+from .repeats import Texts, Units, covered, shards_of
 
 WIDTH = 35
 SHARD = 256
@@ -100,45 +100,28 @@ class SuffixAutomaton:
 
 
 def _kernel(buf, off, ids, known, units):
-    """Windows that occur at least twice among the distinct contexts, or lie in a context that does."""
-    start, end, at = A.words_of(buf, off, ~A.SPACE)
-    words = A.span_hashes(buf, start, end)
-    size = np.diff(at)
-    n = size - units.width + 1
-    which = np.repeat(np.arange(len(n)), n)
-    window = A.sequence_hashes(words, units.width)[at[:-1][which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)] if len(which) else np.zeros(0, np.uint64)
-    order = np.argsort(window, kind="stable")
-    twin = np.r_[False, window[order][1:] == window[order][:-1]] if len(order) else np.zeros(0, bool)
-    twin[:-1] |= twin[1:]
-    some = np.zeros(len(n), bool)
-    some[which[order[twin]]] = True  # only these can match anything: the rest need no automaton
-    shard = np.flatnonzero(some)
+    """Windows that occur at least twice among the distinct contexts, or lie in a context that does: what the automata of the reference shards say."""
     c, first, count = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    if len(shard):  # contexts that share a window share their owner, so the bucket splits into small reference shards by owner
-        grams = A.sequence_hashes(words, units.gram)
-        owner = np.minimum.reduceat(A.gather(grams, at[:-1][shard], np.full(len(shard), units.reach)), np.arange(len(shard)) * units.reach)
-        order = np.argsort(owner, kind="stable")
-        shard, owner = shard[order], owner[order]
-        ends = np.r_[np.flatnonzero(owner[1:] != owner[:-1]) + 1, len(owner)]
-        a = 0
-        while a < len(shard):
-            b = int(ends[min(np.searchsorted(ends, a + SHARD), len(ends) - 1)])
-            part, a = shard[a:b].tolist(), b
-            if all(known[i] for i in part):
-                continue
-            sequences = [words[at[i] : at[i + 1]].tolist() for i in part]
-            automaton = SuffixAutomaton()
-            for s in sequences:
-                automaton.add(s)
-            automaton.close()
-            for i, s in zip(part, sequences, strict=True):
-                if not known[i]:
-                    hit = np.array(automaton.matching(s, 2)) >= units.width
-                    if hit.any():
-                        turn = np.flatnonzero(np.diff(np.r_[False, hit, False].astype(np.int8)))
-                        c.append(np.full(len(turn) // 2, i))
-                        first.append(turn[::2] - units.width + 1)
-                        count.append(turn[1::2] - turn[::2])
+    for shard in shards_of(buf, off, units, SHARD):  # contexts that share a window share their owner, so they are in one shard
+        if known[shard].all():
+            continue
+        size = off[shard + 1] - off[shard]
+        text = A.gather(buf, off[shard], size)
+        start, end, at = A.words_of(text, np.r_[0, np.cumsum(size)], ~A.SPACE)
+        words = A.span_hashes(text, start, end)
+        sequences = [words[a:b].tolist() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        automaton = SuffixAutomaton()
+        for s in sequences:
+            automaton.add(s)
+        automaton.close()
+        for i, s in zip(shard.tolist(), sequences, strict=True):
+            if not known[i]:
+                hit = np.array(automaton.matching(s, 2)) >= units.width
+                if hit.any():
+                    turn = np.flatnonzero(np.diff(np.r_[False, hit, False].astype(np.int8)))
+                    c.append(np.full(len(turn) // 2, i))
+                    first.append(turn[::2] - units.width + 1)
+                    count.append(turn[1::2] - turn[::2])
     return np.concatenate(c), np.concatenate(first), np.concatenate(count)
 
 

@@ -184,3 +184,18 @@ def _digest(table: pa.Table, t: Texts, cover: np.ndarray) -> pa.Table:
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return repeated_bytes(docs, _digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+#: Bytes as two hexadecimal digits each; texts in pieces, so that no slice starts far into a long one.
+OP2_SQL = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS i, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+piece AS (SELECT r, i, n, c, h[2 * c + 1:2 * (c + 512 + {WIDTH - 1})] AS h FROM (SELECT *, unnest(range(0, n - {WIDTH - 1}, 512)) AS c FROM d WHERE n >= {WIDTH})),
+win AS MATERIALIZED (SELECT r, i, c + o AS s, md5_number(h[2 * o + 1:2 * o + {2 * WIDTH}]) AS k FROM (SELECT *, unnest(range(0, least(512, n - {WIDTH - 1} - c))) AS o FROM piece)),
+least_id AS (SELECT k, min(i) AS m FROM win GROUP BY k HAVING min(i) < max(i)),
+hit AS (SELECT r, s, lag(s) OVER (PARTITION BY r ORDER BY s) AS before FROM win JOIN least_id USING (k) WHERE i > m),
+run AS (SELECT r, s, sum(CASE WHEN s <= before + {WIDTH} THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY s) AS g FROM hit),
+gone AS MATERIALIZED (SELECT r, g, min(s) AS a, max(s) + {WIDTH} AS b FROM run GROUP BY ALL),
+kept AS (SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS f, a AS t FROM gone UNION ALL SELECT r, max(b), NULL FROM gone GROUP BY r),
+rest AS (SELECT r, string_agg(h[2 * f + 1:2 * coalesce(t, n)], '' ORDER BY f) AS x FROM kept JOIN d USING (r) GROUP BY r),
+sums AS (SELECT r, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM gone GROUP BY r)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(x, h))) AS kept_sha256 FROM d LEFT JOIN sums USING (r) LEFT JOIN rest USING (r)"""
