@@ -229,6 +229,64 @@ def test_6_automaton_counts():
                 assert n == longest
 
 
+def test_slices_and_blocks_do_not_matter(monkeypatch):
+    """What is made some at a time equals what is made at once: tiny slices, blocks and shards, in this process."""
+    import pyarrow as pa
+
+    from panelsentry.llm import arrays as A
+    from panelsentry.llm import repeats as R
+    from panelsentry.llm import substring_dedup, suffix_dedup
+
+    table = pa.table({"doc_id": pa.array([r[0] for r in made()], pa.int64()), "text": [r[1] for r in made()]})
+
+    def all_of():
+        out = []
+        for u, kernel in ((R.Units(False, 50, 16), suffix_dedup._kernel), (R.Units(True, 35, 8), substring_dedup._kernel)):
+            t = R.texts_of(table, u)
+            runs = R.runs_of(t, u)
+            a, b = R._bytes_of(t, u, runs[0], runs[1])
+            content = R.context_hashes(t, u, runs[0], runs[1], a, b)
+            _, lead = np.unique(content, return_index=True)
+            found = kernel(A.gather(t.buf, a[lead], (b - a)[lead]), np.r_[0, np.cumsum((b - a)[lead])], t.ids[runs[3][lead]], np.zeros(len(lead), bool), u)
+            cells = {(int(c), int(f) + k) for c, f, n in zip(*found) for k in range(int(n))}
+            out.append((*(x.tolist() for x in runs), content.tolist(), cells))
+        return out
+
+    whole = all_of()
+    for module, name, value in ((A, "BLOCK", 2048), (R, "SLICE", 300), (R, "SHARD", 2), (substring_dedup, "SHARD", 2), (suffix_dedup, "SORTED_AT_ONCE", 16), (suffix_dedup, "LISTED_AT_ONCE", 16)):
+        monkeypatch.setattr(module, name, value)
+    monkeypatch.setattr(substring_dedup, "shards_of", lambda b, o, u, n=2: R.shards_of(b, o, u, 2))
+    monkeypatch.setattr(suffix_dedup, "shards_of", lambda b, o, u, n=2: R.shards_of(b, o, u, 2))
+    assert all_of() == whole and any(x[-1] for x in whole)
+
+
+def test_documents_larger_than_a_shard(spark, tmp_path):
+    """Two equal documents of 9 MB, larger than any shard or slice, among short ones; each operator's result is known beforehand."""
+    from panelsentry.llm.byte_bpe import op5_byte_bpe
+    from panelsentry.llm.decontaminate import op1_decontaminate
+    from panelsentry.llm.jaccard_join import op4_jaccard_join
+    from panelsentry.llm.substring_dedup import op6_substring_dedup
+    from panelsentry.llm.suffix_dedup import op2_suffix_dedup
+
+    rng = np.random.default_rng(3)
+    words = [f"{x:x}" for x in rng.integers(0, 2**40, 900_000).tolist()]
+    long = " ".join(words)
+    rows = [(1, long), (2, long), (3, "short one"), (4, " ".join(words[500_000:500_060])), (5, None)]
+    d = tables(spark, tmp_path, spark.createDataFrame(rows, "doc_id long, text string"), benchmark=spark.createDataFrame([(7, " ".join(words[700_000:700_040]))], "item_id long, text string"))
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    one = {r.doc_id: r for r in op1_decontaminate(spark, d).collect()}
+    assert [(one[i].n_words, one[i].n_hit) for i in range(1, 6)] == [(900_000, 40), (900_000, 40), (2, 0), (60, 0), (0, 0)]
+    two = {r.doc_id: r for r in op2_suffix_dedup(spark, d).collect()}
+    assert [(two[i].n_bytes, two[i].n_removed, two[i].n_spans) for i in (1, 2, 4)] == [(len(long), 0, 0), (len(long), len(long), 1), (len(rows[3][1]), len(rows[3][1]), 1)]
+    assert two[1].kept_sha256 == sha(long.encode()) and two[2].kept_sha256 == two[5].kept_sha256 == sha(b"")
+    six = {r.doc_id: r for r in op6_substring_dedup(spark, d).collect()}
+    assert [(six[i].n_words, six[i].n_removed) for i in range(1, 6)] == [(900_000, 900_000), (900_000, 900_000), (2, 0), (60, 60), (0, 0)]
+    four = {r.doc_id: r.component_id for r in op4_jaccard_join(spark, d).collect()}
+    assert four == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+    five = {r.doc_id: r for r in op5_byte_bpe(spark, d).collect()}
+    assert five[1].decoded_sha256 == sha(long.encode()) and five[1].ids_sha256 == five[2].ids_sha256
+
+
 # 3
 
 
