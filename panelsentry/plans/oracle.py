@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from ..functions.text import ADAPTATION, COVERAGE, RULE_NOTES, SENSITIVITY
+import re
+
+from ..functions import text as X
 from ..params import Params
 from .panels import FLOWS_A, FLOWS_B, A, B
 
@@ -61,6 +63,27 @@ def usd(v: str) -> str:
     return f"(CASE WHEN {v} < 0 THEN '$-' ELSE '$' END || format('{{:,}}', CAST(abs(round({v})) AS BIGINT)))"
 
 
+def filled(template: str, *values: str) -> str:
+    """A sentence of functions.text as SQL."""
+    out, left = [], list(values)
+    for t in re.split(r"(%[.,\d]*[sdf])", template):
+        if t.startswith("%"):
+            v = left.pop(0)
+            out.append(f"CAST({v} AS VARCHAR)" if t in ("%s", "%d") else f"printf('{t}', CAST({v} AS DOUBLE))")
+        elif t:
+            out.append("'" + t.replace("'", "''") + "'")
+    return "(" + " || ".join(out) + ")"
+
+
+def said(kind: str, p: Params, span: str) -> str:
+    """The explanation of a flagged row, as functions.text.explain_alert has it."""
+    f = usd if kind == "usd" else pct
+    above, z = "value > ucl", "abs(robust_z)"
+    beyond = filled(X.BEYOND, "entity", "period", f"'{X.NOUN[kind]}'", f("value"), f"CASE WHEN {above} THEN 'above' ELSE 'below' END", f("lcl"), f("ucl"), span, f("center"), z, str(p.sigmas), f"({z} - {p.sigmas})", f"CASE WHEN {above} THEN {f('ucl')} ELSE {f('lcl')} END")
+    shift = filled(X.SHIFT, "entity", "period", str(p.run_length), "CASE WHEN value > center THEN 'above' ELSE 'below' END", f"'{X.NOUN[kind]}'", f("center"))
+    return f"CASE rule WHEN 'beyond_limits' THEN {beyond} WHEN 'sustained_shift' THEN {shift} ELSE '' END"
+
+
 def chart_parts(x: str, p: Params) -> None:
     """growth_x, chart_x (limits of both charts), points_x, alerts_x, incidents_x."""
     lo, hi = p.baseline
@@ -87,18 +110,8 @@ def chart_parts(x: str, p: Params) -> None:
         SELECT chart, entity, period, v AS value, center, lcl, ucl, sigma, (v - center) / sigma AS robust_z, n_baseline,
                CASE WHEN v > ucl OR v < lcl THEN 'beyond_limits' WHEN in_run THEN 'sustained_shift' ELSE '' END AS rule FROM runs_{x} WHERE period BETWEEN {ml} AND {mh})""")
 
-    def said(kind: str) -> str:
-        f, noun = (usd, "disbursement") if kind == "usd" else (pct, "year-over-year change")
-        above = "value > ucl"
-        beyond = (
-            f"entity || ' FY' || period || ': {noun} of ' || {f('value')} || ' is ' || CASE WHEN {above} THEN 'above' ELSE 'below' END || ' the expected range ' || {f('lcl')} || ' to ' || {f('ucl')}"
-            f" || ' (learned from FY{p.span}, where a typical year was ' || {f('center')} || '); that is ' || printf('%.1f', abs(robust_z)) || ' robust sigmas from the typical year (limits sit at {p.sigmas:.0f}), so '"
-            f" || printf('%.1f', abs(robust_z) - {p.sigmas}) || ' beyond the ' || CASE WHEN {above} THEN {f('ucl')} ELSE {f('lcl')} END || ' limit.'"
-        )
-        shift = f"entity || ' FY' || period || ': no single year breaks a control limit, but this is part of a run of {p.run_length}+ consecutive years ' || CASE WHEN value > center THEN 'above' ELSE 'below' END || ' the historical typical {noun} of ' || {f('center')} || ' - the level has shifted rather than spiked.'"
-        return f"CASE rule WHEN 'beyond_limits' THEN {beyond} WHEN 'sustained_shift' THEN {shift} ELSE '' END"
-
-    part(f"alerts_{x}", [f"points_{x}"], f"SELECT *, abs(robust_z) AS abs_z, CASE WHEN chart = 'A_level' THEN {said('usd')} ELSE {said('growth')} END AS explanation FROM points_{x} WHERE rule <> ''")
+    span = f"'{p.span}'"
+    part(f"alerts_{x}", [f"points_{x}"], f"SELECT *, abs(robust_z) AS abs_z, CASE WHEN chart = 'A_level' THEN {said('usd', p, span)} ELSE {said('growth', p, span)} END AS explanation FROM points_{x} WHERE rule <> ''")
     incident_parts(f"{x}", f"(SELECT * FROM alerts_{x} WHERE chart = 'B_growth')", [f"alerts_{x}"], f"The FY{p.span} baseline", p, "CASE WHEN bool_or(severity = 'high') THEN 'high' ELSE 'medium' END")
 
 
@@ -106,9 +119,9 @@ def incident_parts(x: str, source: str, needs: list[str], baseline: str, p: Para
     part(f"grouped_{x}", needs, f"SELECT *, min(period) OVER (PARTITION BY entity, island) AS a, max(period) OVER (PARTITION BY entity, island) AS b FROM (SELECT *, period - row_number() OVER (PARTITION BY entity ORDER BY period) AS island FROM {source})")
     part(f"incidents_{x}", [f"grouped_{x}"], f"""
       SELECT 'statistical' AS source, incident_id, entity, a AS first_period, b AS last_period, n_alerts, kind, max_abs_z, severity,
-        CASE kind WHEN 'persistent' THEN entity || ': flagged in ' || n_alerts || ' consecutive years FY' || a || '-FY' || b || ' (' || moves || '). {baseline} no longer describes this country - treat as one regime change and re-fit its limits, not as ' || n_alerts || ' separate investigations.'
-          WHEN 'spike_and_reversal' THEN entity || ': FY' || a || ' moved ' || {pct('v1')} || ' and FY' || b || ' moved ' || {pct('v2')} || ' straight back - most likely ONE unusual year (FY' || a || '); check that year''s level first.'
-          WHEN 'two_year_move' THEN entity || ': two unusual years in the same direction, FY' || a || ' ' || {pct('v1')} || ' and FY' || b || ' ' || {pct('v2')} || ' - a two-step change rather than a one-off.'
+        CASE kind WHEN 'persistent' THEN {filled(X.PERSISTENT, 'entity', 'n_alerts', 'a', 'b', 'moves', f"'{baseline}'", 'n_alerts')}
+          WHEN 'spike_and_reversal' THEN {filled(X.REVERSAL, 'entity', 'a', pct('v1'), 'b', pct('v2'), 'a')}
+          WHEN 'two_year_move' THEN {filled(X.TWO_STEP, 'entity', 'a', pct('v1'), 'b', pct('v2'))}
           ELSE said END AS summary
       FROM (SELECT *, entity || ' FY' || a || CASE WHEN b <> a THEN '-' || b ELSE '' END AS incident_id,
               CASE WHEN n_alerts >= {p.persistent} THEN 'persistent' WHEN n_alerts = 2 AND sign(z1) <> sign(z2) THEN 'spike_and_reversal' WHEN n_alerts = 2 THEN 'two_year_move' ELSE 'single' END AS kind
@@ -128,13 +141,11 @@ def zero_parts(x: str, flows: list[str], p: Params) -> None:
       FROM (SELECT *, period - row_number() OVER (PARTITION BY entity ORDER BY period) AS island FROM (
           SELECT *, value <= 0 AS z, {still} = 0 AS still, min(period) FILTER (value > 0) OVER e AS f, max(period) OVER e AS l, lead(period) OVER o AS nx, lead(value <= 0) OVER o AS nz
           FROM series_{x} WINDOW e AS (PARTITION BY entity), o AS (PARTITION BY entity ORDER BY period)) WHERE z) GROUP BY entity, island""")
+    state = "CASE WHEN ongoing THEN 'still zero at FY' || last_period WHEN reactivated_period IS NOT NULL THEN 'positive again in FY' || reactivated_period ELSE 'followed by a missing FY' || (last_period + 1) || ' row' END"
     part(f"lifecycle_{x}", [f"zeros_{x}"], f"""
       SELECT 'lifecycle' AS source, entity || ' FY' || first_period || '-' || last_period || ' zero' AS incident_id, entity, first_period, last_period, CAST(0 AS BIGINT) AS n_alerts,
         CASE WHEN ongoing THEN 'zero_period_ongoing' ELSE 'zero_period_ended' END AS kind, CAST(NULL AS DOUBLE) AS max_abs_z, CASE WHEN other_flows_zero THEN 'medium' ELSE 'info' END AS severity,
-        entity || ': gross disbursement at or below zero for ' || n_periods || ' consecutive years FY' || first_period || '-FY' || last_period || ' ('
-          || CASE WHEN ongoing THEN 'still zero at FY' || last_period WHEN reactivated_period IS NOT NULL THEN 'positive again in FY' || reactivated_period ELSE 'followed by a missing FY' || (last_period + 1) || ' row' END || '); '
-          || CASE WHEN other_flows_zero THEN 'repayments and commitments are ALSO zero - the whole country may be missing from the feed; verify' ELSE 'repayments/commitments continue, consistent with lending winding down' END
-          || '. The chart does not evaluate dormant years; this is an observation about the data, not an IDA status.' AS summary
+        {filled(X.LIFECYCLE, 'entity', 'n_periods', 'first_period', 'last_period', state, f"CASE WHEN other_flows_zero THEN '{X.ALSO_ZERO}' ELSE '{X.STILL_FLOWING}' END")} AS summary
       FROM zeros_{x} WHERE n_periods >= {p.min_zero} AND has_prior_activity AND last_period >= {p.monitor[0]}""")
 
 
@@ -192,8 +203,10 @@ def engine_parts(x: str, p: Params, name: str, baseline: str, lifecycle: bool, c
         names.append(f"raw_{k}")
     if confirm:
         part(f"raw_{name}_{x}", names, " UNION ALL ".join(f"SELECT * FROM {n}" for n in names))
+    note = filled(X.BASELINE_NOTE, "n_baseline", "n_held_out", "n_lifecycle_skipped")
     part(f"pts_{name}_{x}", [f"raw_{name}_{x}"], f"""
-      SELECT *, CASE WHEN rule = 'beyond_limits' THEN CASE WHEN abs(robust_z) >= {p.high_z} THEN 'high' ELSE 'medium' END WHEN rule = 'sustained_shift' THEN CASE WHEN run_z >= {p.shift_medium_z} THEN 'medium' ELSE 'low' END ELSE '' END AS severity FROM (
+      SELECT *, CASE WHEN rule = 'beyond_limits' THEN CASE WHEN abs(robust_z) >= {p.high_z} THEN 'high' ELSE 'medium' END WHEN rule = 'sustained_shift' THEN CASE WHEN run_z >= {p.shift_medium_z} THEN 'medium' ELSE 'low' END ELSE '' END AS severity,
+        CASE WHEN rule = '' THEN '' ELSE {said('growth', p, 'baseline_span')} || CASE WHEN n_held_out + n_lifecycle_skipped > 0 THEN {note} ELSE '' END END AS explanation FROM (
         SELECT *, (value - center) / sigma AS robust_z, center - {p.sigmas} * sigma AS lcl, center + {p.sigmas} * sigma AS ucl, CASE WHEN base_first IS NULL THEN '' ELSE base_first || '-' || base_last END AS baseline_span,
           CASE code WHEN 0 THEN 'charted' WHEN 1 THEN 'no_prior_year' WHEN 2 THEN 'dormant' WHEN 3 THEN 'insufficient_history: no eligible baseline years' WHEN 4 THEN 'insufficient_history: only ' || n_baseline || ' baseline years (<{p.min_points})' ELSE 'zero_mad: zero baseline variation (MAD = 0)' END AS status
         FROM raw_{name}_{x})""")
@@ -220,6 +233,7 @@ for _x, _p in (("a", A), ("b", B), ("c", A)):
     engine_parts(_x, _p, "fixed", "fixed", True, False)
     engine_parts(_x, _p, "rolling", "rolling", True, True)
     engine_parts(_x, _p, "naive", "rolling", False, False)
+    incident_parts(f"rolling_{_x}", f"(SELECT * FROM pts_rolling_{_x} WHERE rule <> '')", [f"pts_rolling_{_x}"], "The rolling baseline", _p, "CASE max(CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END")
 
-NOTES = RULE_NOTES
-WHY = (COVERAGE, SENSITIVITY, ADAPTATION)
+NOTES = X.RULE_NOTES
+WHY = (X.COVERAGE, X.SENSITIVITY, X.ADAPTATION)

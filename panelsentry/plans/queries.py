@@ -24,7 +24,7 @@ ORACLE_SQL: dict[str, str] = {}
 SERIES = {"a": (series_a, A, FLOWS_A), "b": (series_b, B, FLOWS_B), "c": (series_c, A, FLOWS_A)}
 SHORT = {"fixed": "v2-fixed", "rolling": "v2-rolling", "naive": "v2-rolling-naive"}
 POINTS = "chart entity period ~value ~center ~lcl ~ucl ~sigma ~robust_z n_baseline rule severity"
-CHRON = "entity period ~level status ~value ~center ~lcl ~ucl ~sigma ~robust_z n_baseline n_held_out n_lifecycle_skipped baseline_span rule severity"
+CHRON = "entity period ~level status ~value ~center ~lcl ~ucl ~sigma ~robust_z n_baseline n_held_out n_lifecycle_skipped baseline_span rule severity explanation"
 INCIDENTS = "source incident_id entity first_period last_period n_alerts kind ~max_abs_z severity summary"
 ZEROS = "entity first_period last_period n_periods has_prior_activity reactivated_period ongoing other_flows_zero"
 
@@ -119,11 +119,7 @@ for x, (series, p, flows) in SERIES.items():
 O.part("era_a", ["facts_a"], f"SELECT * FROM facts_a WHERE has_growth AND NOT idle AND {_ERA}")
 O.part("era_c_a", ["era_a"], f"SELECT entity, greatest({A.c_floor}, {A.c_fraction} * median(x)) AS c FROM (SELECT entity, period, x FROM era_a UNION SELECT entity, period - 1, x_prev FROM era_a) GROUP BY 1")
 query("growth_history_a", lambda s, d: rounded(D.growth_history(series_a(s, d), A)), O.sql(f"SELECT entity, period, round(ln((x + c) / (x_prev + c)), 6) AS value FROM facts_a JOIN era_c_a USING (entity) WHERE has_growth AND period BETWEEN {A.baseline[0] + 1} AND {A.monitor[0] - 1}", "facts_a", "era_c_a"))
-query("chronological_incidents_c", lambda s, d: rounded(D.run_method(series_c(s, d), "v2-rolling", A, FLOWS_A)["incidents"].select("entity", "first_period", "last_period", "n_alerts", "kind", "max_abs_z", "severity", "source")), O.sql("""
-  SELECT entity, a AS first_period, b AS last_period, count(*) AS n_alerts, CASE WHEN count(*) >= 3 THEN 'persistent' WHEN count(*) = 2 AND sign(min(robust_z)) <> sign(max(robust_z)) THEN 'spike_and_reversal' WHEN count(*) = 2 THEN 'two_year_move' ELSE 'single' END AS kind,
-    round_even(max(abs(robust_z)), 1) AS max_abs_z, CASE max(CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS severity, 'statistical' AS source
-  FROM (SELECT *, min(period) OVER (PARTITION BY entity, island) AS a, max(period) OVER (PARTITION BY entity, island) AS b FROM (SELECT *, period - row_number() OVER (PARTITION BY entity ORDER BY period) AS island FROM pts_rolling_c WHERE rule <> '')) GROUP BY entity, a, b
-  UNION ALL SELECT entity, first_period, last_period, n_alerts, kind, max_abs_z, severity, source FROM lifecycle_c""", "pts_rolling_c", "lifecycle_c"))
+query("chronological_incidents_c", lambda s, d: rounded(D.run_method(series_c(s, d), "v2-rolling", A, FLOWS_A)["incidents"], INCIDENTS), O.sql(f"SELECT {pick(INCIDENTS)} FROM incidents_rolling_c UNION ALL SELECT {pick(INCIDENTS)} FROM lifecycle_c", "incidents_rolling_c", "lifecycle_c"))
 
 
 O.chart_parts("c", A)
