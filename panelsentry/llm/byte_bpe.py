@@ -1,10 +1,11 @@
 """Operator 5: byte-level BPE by corpus-level merge replay.
 
-Each shard of the corpus (Arrow batches cut at ``SHARD_BYTES`` of text, or one document) is reduced to its distinct pre-tokens. An inverted
-index holds, for each rank, the places in those words where two neighbours join to the token of that rank; the least pending rank is popped,
-applied to all its words at once, and only the touched neighbours are looked up again. A pop merges all places of a word from the left, every other one where
-they overlap, up to the first that makes a pair of a lower rank: that one comes first, exactly as in a word-by-word encoder. Text never leaves its task: a global index would give the
-same ids but send each occurrence of each word through a shuffle, so the index is built once a shard.
+Some shards of the corpus at a time (Arrow batches cut at ``SHARD_BYTES`` of text, or one document; ``GROUP`` bytes) are reduced to the distinct pre-tokens that
+their worker hasn't met yet; a worker remembers about ``KNOWN`` of them. Pre-tokens that are tokens need no merges. For the rest an inverted index
+holds, for each rank, the places in those words where two neighbours join to the token of that rank; the least pending rank is popped, applied to all
+its words at once, and only the touched neighbours are looked up again. A pop merges all places of a word from the left, every other one where they
+overlap, up to the first that makes a pair of a lower rank: that one comes first, exactly as in a word-by-word encoder. Text never leaves its task: a
+global index would give the same ids but send each occurrence of each word through a shuffle, so an index is built for the new words of a group.
 
 Null and empty texts have no ids. Rows are independent: repeated ids or rows and extra columns don't matter. ``path`` names a rank file.
 """
@@ -15,6 +16,7 @@ import base64
 import hashlib
 import heapq
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import arrays as A
 from .decontaminate import pieces
 
-SHARD_BYTES = 24 << 20
+SHARD_BYTES, GROUP, KNOWN = 4 << 20, 24 << 20, 1 << 18
 
 
 class Vocabulary:
@@ -46,48 +48,59 @@ class Vocabulary:
         length = np.array([len(t) for t in self.tokens], np.int64)
         self.length, self.at = length, np.cumsum(length) - length
         self.bytes = np.frombuffer(b"".join(self.tokens), np.uint8)
+        self._forget()
 
     def join(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank that each pair joins to, or -1."""
-        key = (left << 32) | right
-        k = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
-        return np.where(self.pair[k] == key, self.joined[k], -1)
+        out = np.empty(len(left), np.int32)
+        for a in range(0, len(left), A.BLOCK):
+            key = (left[a : a + A.BLOCK].astype(np.int64) << 32) | right[a : a + A.BLOCK]
+            k = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+            out[a : a + A.BLOCK] = np.where(self.pair[k] == key, self.joined[k], -1)
+        return out
 
     def replay(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words on end, and the n + 1 offsets."""
         size = np.array([len(w) for w in words], np.int64)
         total = int(size.sum())
+        kind = np.int32 if total < 2**31 - 2 else np.int64
         raw = np.frombuffer(b"".join(words), np.uint8)
-        word = np.repeat(np.arange(len(words)), size)
-        token = np.append(self.byte_ids[raw], -1)
-        after, before = np.arange(1, total + 2), np.arange(-1, total)
+        word = np.repeat(np.arange(len(words), dtype=np.int32), size)
+        token = np.append(self.byte_ids[raw], -1).astype(np.int32)
+        after, before = np.arange(1, total + 2, dtype=kind), np.arange(-1, total, dtype=kind)
         last = np.cumsum(size)[size > 0] - 1
         first = last - size[size > 0] + 1
         after[last], before[first] = total, total  # place ``total`` is no token
         alive = np.ones(total + 1, bool)
         alive[total] = False
-        rank = np.full(total + 1, -1, np.int64)
-        inner = np.ones(total, bool)
-        inner[last] = False
-        inner = np.flatnonzero(inner)
-        rank[inner] = self.join(token[inner], token[inner + 1])
-        index: dict[int, list[int]] = {}
-        order = inner[np.argsort(rank[inner], kind="stable")]
-        order = order[np.searchsorted(rank[order], 0) :]
-        cut = np.flatnonzero(np.r_[True, rank[order][1:] != rank[order][:-1]]) if len(order) else []
-        for a, b in zip(cut, np.r_[cut[1:], len(order)] if len(order) else [], strict=True):
-            index[int(rank[order[a]])] = order[a:b].tolist()
-        heap = list(index)
-        heapq.heapify(heap)
+        rank = np.full(total + 1, -1, np.int32)
+        rank[: max(total - 1, 0)] = self.join(token[: max(total - 1, 0)], token[1:total])
+        rank[last] = -1
+        index: dict[int, list] = {}  # places, some as arrays
+        heap: list[int] = []
+
+        def put(ranks, places):
+            order = np.argsort(ranks, kind="stable")
+            ranks, places = ranks[order], places[order]
+            cut = np.flatnonzero(np.r_[True, ranks[1:] != ranks[:-1]]) if len(ranks) else np.zeros(0, np.int64)
+            for q, some in zip(ranks[cut].tolist(), np.split(places, cut[1:]) if len(cut) else (), strict=True):
+                if q in index:
+                    index[q].append(some)
+                else:
+                    index[q] = [some]
+                    heapq.heappush(heap, q)
+
+        some = np.flatnonzero(rank >= 0).astype(kind)
+        put(rank[some], some)
         while heap:
             r = heapq.heappop(heap)
-            places = np.array(index.pop(r), np.int64)
+            places = np.concatenate(index.pop(r))
             places = np.unique(places[alive[places] & (rank[places] == r)])
             if not len(places):
                 continue
             places, later = self._turn(places, r, word, token, before, after, total)
             if len(later):
-                index[r] = later.tolist()
+                index[r] = [later]
                 heapq.heappush(heap, r)
             gone = after[places]
             end = after[gone]
@@ -104,12 +117,8 @@ class Vocabulary:
             rank[prior] = self.join(token[prior], token[places[has]])
             touched = np.r_[places, prior]
             ranks = rank[touched]
-            for q, p in zip(ranks[ranks >= 0].tolist(), touched[ranks >= 0].tolist(), strict=True):
-                if q in index:
-                    index[q].append(p)
-                else:
-                    index[q] = [p]
-                    heapq.heappush(heap, q)
+            if (ranks >= 0).any():
+                put(ranks[ranks >= 0], touched[ranks >= 0])
         alive = alive[:-1]
         return token[:-1][alive], np.r_[0, np.cumsum(np.bincount(word[alive], minlength=len(words)))]
 
@@ -120,9 +129,9 @@ class Vocabulary:
         head = np.flatnonzero(chain)
         places = places[(np.arange(len(places)) - head[np.cumsum(chain) - 1]) % 2 == 0]
         end, prior = after[after[places]], before[places]
-        right = np.where(end < total, self.join(np.full(len(places), r), token[end]), -1)
+        right = np.where(end < total, self.join(np.full(len(places), r, np.int32), token[end]), -1)
         left_token = np.where(np.r_[False, end[:-1] == places[1:]], r, token[prior])  # the neighbour on the left may have merged just before
-        left = np.where(prior < total, self.join(left_token, np.full(len(places), r)), -1)
+        left = np.where(prior < total, self.join(left_token, np.full(len(places), r, np.int32)), -1)
         stop = ((left >= 0) & (left < r)) | ((right >= 0) & (right < r))
         if not stop.any():
             return places, places[:0]
@@ -134,15 +143,43 @@ class Vocabulary:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts on end, and the n + 1 offsets."""
-        known: dict[str, int] = {}
-        put, find = known.setdefault, self.split.findall
+        words = self.words_of(texts)
+        self.learn()
+        return self.ids_of(*words)
+
+    def words_of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The pre-tokens of all texts on end, as numbers of known words, and the n + 1 offsets; new words become known, but have no ids yet."""
+        put, find, known = self.known.setdefault, self.split.findall, self.known
         rows = [np.array([put(w, len(known)) for w in find(t)], np.int32) if t else np.zeros(0, np.int32) for t in texts]
-        ids, at = self.replay([w.encode() for w in known])
-        flow = np.concatenate(rows) if rows else np.zeros(0, np.int32)
-        size = np.diff(at)[flow]
-        done = np.r_[0, np.cumsum(size)]
-        ends = np.r_[0, np.cumsum([len(r) for r in rows], dtype=np.int64)]
-        return A.gather(ids, at[:-1][flow], size), done[ends]
+        return np.concatenate(rows) if rows else np.zeros(0, np.int32), np.r_[0, np.cumsum([len(r) for r in rows], dtype=np.int64)]
+
+    def learn(self) -> None:
+        """Ids for all words that have none. One that is a token by itself is that token; the others are replayed."""
+        new = [w.encode() for w in islice(self.known, len(self.known_at) - 1, None)]
+        whole = np.array([self.ranks.get(w, -1) for w in new], np.int64)
+        some = np.flatnonzero(whole < 0)
+        ids, at = self.replay([new[i] for i in some.tolist()])
+        size = np.ones(len(new), np.int64)
+        size[some] = np.diff(at)
+        ends = np.cumsum(size)
+        out = np.zeros(int(size.sum()), np.int32)
+        out[(ends - size)[whole >= 0]] = whole[whole >= 0]
+        out[np.repeat((ends - size)[some] - at[:-1], np.diff(at)) + np.arange(len(ids))] = ids
+        self.known_at = np.r_[self.known_at, self.known_at[-1] + ends]
+        self.known_ids = np.r_[self.known_ids, out]
+
+    def ids_of(self, flow: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = np.diff(self.known_at).astype(np.int32)[flow]
+        done = np.r_[0, np.cumsum(size, dtype=np.int64)]
+        return A.gather(self.known_ids, self.known_at[:-1][flow], size), done[ends]
+
+    def make_room(self) -> None:
+        if len(self.known) > KNOWN or len(self.known_ids) > 8 * KNOWN:
+            self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.known_ids, self.known_at = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def decode(self, ids: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of all texts on end, and the n + 1 offsets."""
@@ -161,6 +198,19 @@ def default_files() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def _groups(shards):
+    """Some shards at a time, ``GROUP`` of them at most in bytes."""
+    group, size = [], 0
+    for shard in shards:
+        if group and size + shard.nbytes > GROUP:
+            yield group
+            group, size = [], 0
+        group.append(shard)
+        size += shard.nbytes
+    if group:
+        yield group
+
+
 def encode_with(docs: DataFrame, finish, schema, text_col: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """finish(batch, ids, offsets, vocabulary) gives the output batch of each shard."""
     files = default_files() if path is None or pattern is None else ("", "")
@@ -168,9 +218,14 @@ def encode_with(docs: DataFrame, finish, schema, text_col: str = "text", path: s
 
     def encode(batches):
         v = vocabulary(path, pattern)
-        for batch in pieces(batches, text_col, SHARD_BYTES):
-            ids, off = v.encode(batch[text_col].to_pylist())
-            yield finish(batch, ids, off, v)
+        for group in _groups(pieces(batches, text_col, SHARD_BYTES)):
+            A.frugal()
+            v.make_room()
+            words = [v.words_of(piece[text_col].to_pylist()) for piece in group]
+            v.learn()
+            while group:
+                ids, off = v.ids_of(*words.pop(0))
+                yield finish(group.pop(0), ids, off, v)
 
     return docs.mapInArrow(encode, schema)
 
