@@ -29,12 +29,16 @@ def _draw(seed: int, *more: str) -> Column:
 
 
 def pick_cells(series: DataFrame, table: DataFrame, seed: int, p: Params) -> DataFrame:
-    """One cell an entity and scenario, then at most ``planted`` entities a scenario, both by hash order: kind, trial, entity, period."""
+    """At most ``planted`` entities a scenario, then one cell of each, both by hash order: kind, trial, entity, period. Entities are drawn from a row an entity, so
+    only the cells of drawn ones are hashed by scenario."""
     cells = series.withColumn("prev", F.lag("value").over(in_order())).where(F.col("period").between(*p.monitor) & (F.col("value") > 0))
-    pool = cells.crossJoin(F.broadcast(table)).where((F.col("kind") != "stale_repeat") | ((F.col("prev") > 0) & (F.col("prev") != F.col("value"))))
-    one = pool.groupBy(*SCENARIO, "entity").agg(F.min(F.struct(_draw(seed, "entity", "period").alias("h"), "period")).alias("s")).select(*SCENARIO, "entity", "s.period")
+    cells = cells.select("entity", "period", F.coalesce((F.col("prev") > 0) & (F.col("prev") != F.col("value")), F.lit(False)).alias("moves"))
+    fits = (F.col("kind") != "stale_repeat") | F.col("moves")
+    pool = cells.groupBy("entity").agg(F.bool_or("moves").alias("moves")).crossJoin(F.broadcast(table)).where(fits)
     order = Window.partitionBy(*SCENARIO).orderBy(_draw(seed, "entity"), "entity")
-    return one.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= p.planted).drop("__n")
+    drawn = pool.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= p.planted).select(*SCENARIO, "entity")
+    some = cells.join(F.broadcast(drawn), "entity").where(fits)  # at most scenarios x planted rows are drawn
+    return some.groupBy(*SCENARIO, "entity").agg(F.min(F.struct(_draw(seed, "entity", "period").alias("h"), "period")).alias("s")).select(*SCENARIO, "entity", "s.period")
 
 
 def break_series(series: DataFrame, picks: DataFrame, seed: int, p: Params, whole: bool = False) -> DataFrame:
