@@ -52,8 +52,8 @@ class Vocabulary:
 
     def join(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank that each pair joins to, or -1."""
-        out = np.empty(len(left), np.int32)
-        for a in range(0, len(left), A.BLOCK):
+        out = np.full(len(left), -1, np.int32)
+        for a in range(0, len(left) if len(self.pair) else 0, A.BLOCK):
             key = (left[a : a + A.BLOCK].astype(np.int64) << 32) | right[a : a + A.BLOCK]
             k = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
             out[a : a + A.BLOCK] = np.where(self.pair[k] == key, self.joined[k], -1)
@@ -127,6 +127,7 @@ class Vocabulary:
         first whose merge makes a pair of a lower rank, which has to come before the rest."""
         chain = np.r_[True, after[places[:-1]] != places[1:]]
         head = np.flatnonzero(chain)
+        all_places = places
         places = places[(np.arange(len(places)) - head[np.cumsum(chain) - 1]) % 2 == 0]
         end, prior = after[after[places]], before[places]
         right = np.where(end < total, self.join(np.full(len(places), r, np.int32), token[end]), -1)
@@ -138,8 +139,8 @@ class Vocabulary:
         new = np.r_[True, word[places][1:] != word[places][:-1]]
         begins = np.flatnonzero(new)[np.cumsum(new) - 1]
         stops = np.cumsum(stop) - stop  # stops before this place, in all words
-        now = stops == stops[begins]
-        return places[now], places[~now]
+        places = places[stops == stops[begins]]
+        return places, np.setdiff1d(all_places, places)  # those that overlap a merged one are dropped when their turn comes
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts on end, and the n + 1 offsets."""

@@ -467,6 +467,28 @@ def test_5_long_words(spark):
     assert time.perf_counter() - began < 30
 
 
+def test_5_any_ranks(tmp_path):
+    """Rank files in which a merge can make a pair of a lower rank, against merging one pair at a time."""
+    from panelsentry.llm.byte_bpe import Vocabulary
+
+    def merged(w, ranks):
+        parts = [w[i : i + 1] for i in range(len(w))]
+        while w not in ranks and (some := [(ranks[parts[i] + parts[i + 1]], i) for i in range(len(parts) - 1) if parts[i] + parts[i + 1] in ranks]):
+            i = min(some)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        return [ranks[w]] if w in ranks else [ranks[p] for p in parts]
+
+    rng = random.Random(5)
+    for trial in range(40):
+        tokens = [bytes([i]) for i in range(256)] + sorted({bytes(rng.choice(b"abc") for _ in range(rng.randint(2, 5))) for _ in range(rng.randint(0, 40))})
+        rng.shuffle(tokens)
+        (tmp_path / f"{trial}").write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % i for i, t in enumerate(tokens)))
+        v = Vocabulary(str(tmp_path / f"{trial}"), "[abc]+")
+        texts = ["".join(rng.choice("abc"[: rng.randint(1, 3)]) for _ in range(rng.randint(1, 40))) for _ in range(80)]
+        ids, off = v.encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:])] == [merged(t.encode(), v.ranks) for t in texts]
+
+
 # 7
 
 
