@@ -1,7 +1,10 @@
 """The chronological engine: every monitored period is judged by a baseline that ends before it.
 
-Baselines without memory (fixed, or rolling over everything) are set-based. The confirming policy lets a verdict decide the next baseline, so
-periods are walked in order, each for a block of series at once; tasks stream their series, so no partition is held whole.
+Rows without a level (null or NaN) don't count anywhere: they are no baseline years, no neighbours and not judged. Of rows that repeat an entity and period
+the one with the greatest level counts. Both hold for all engines, as all start from ``cells``.
+
+Baselines without memory (fixed, or rolling over everything) are window columns over one partitioning by entity. The confirming policy lets a verdict decide the
+next baseline, so periods are walked in order, each for a block of series at once and for all methods that are asked; tasks stream their series, so no partition is held whole.
 """
 
 from __future__ import annotations
@@ -26,65 +29,93 @@ RAW = "entity string, period int, level double, code int, value double, center d
 POINT_COLUMNS = ["entity", "period", "level", "status", "value", "center", "lcl", "ucl", "sigma", "robust_z", "n_baseline", "n_held_out", "n_lifecycle_skipped", "baseline_span", "rule", "severity", "explanation"]
 
 
+def cells(series: DataFrame) -> DataFrame:
+    """entity, period, value: one row a period that has a level."""
+    w = Window.partitionBy("entity").orderBy("period", "value")
+    live = series.where(F.col("value").isNotNull() & ~F.isnan("value")).select("entity", F.col("period").cast("int").alias("period"), F.col("value").cast("double").alias("value"))
+    return live.withColumn("__next", F.lead("period").over(w)).where(F.col("__next").isNull() | (F.col("__next") != F.col("period"))).drop("__next")
+
+
 def gap_aware(series: DataFrame) -> DataFrame:
-    """x, x_prev, has_growth and touches_zero of each row; a missing period is never bridged."""
-    w = Window.partitionBy("entity").orderBy("period")
+    """x, x_prev, has_growth and touches_zero of each row with a level; a missing period is never bridged."""
+    w = Window.partitionBy("entity").orderBy("period", "value")
     x = clip_level(F.col("value"))
-    df = series.select("entity", "period", F.col("value").alias("level"), x.alias("x"), (F.col("value") <= 0).alias("zero"))
+    df = cells(series).select("entity", "period", "value", F.col("value").alias("level"), x.alias("x"), (F.col("value") <= 0).alias("zero"))
     near = F.coalesce(F.lag("period").over(w) == F.col("period") - 1, F.lit(False))
     df = df.withColumns({"has_growth": near, "x_prev": F.when(near, F.lag("x").over(w)), "zero_prev": F.coalesce(near & F.lag("zero").over(w), F.lit(False))})
-    return df.withColumn("touches_zero", F.col("has_growth") & (F.col("zero") | F.col("zero_prev")))
+    return df.withColumn("touches_zero", F.col("has_growth") & (F.col("zero") | F.col("zero_prev"))).drop("value")
+
+
+def _growth(c: Column, x: Column, x_prev: Column) -> Column:
+    return F.log((x + c) / (x_prev + c))
+
 
+def _array_median(a: Column) -> Column:
+    """The median of an array of numbers; null if it is empty."""
+    a, n = F.sort_array(a), F.size(a)
+    half = (n / 2).cast("int")
+    return F.when(n > 0, (F.element_at(a, F.greatest(n - half, F.lit(1))) + F.element_at(a, half + 1)) / 2)
 
-def select_baseline(facts: DataFrame, p: Params, baseline: str, lifecycle: bool) -> DataFrame:
-    """entity, t, y, x, x_prev: the baseline periods y of each judged period t, for policies without memory."""
-    ok = F.col("has_growth") & ~(F.col("touches_zero") & F.lit(lifecycle))
-    judged = F.col("period").between(*p.monitor)
-    if baseline == "fixed":
-        base = facts.where(ok & F.col("period").between(*p.baseline)).select("entity", F.col("period").alias("y"), "x", "x_prev")
-        return facts.where(judged).select("entity", F.col("period").alias("t")).join(base, "entity")
+
+def _fixed_baseline(facts: DataFrame, p: Params) -> DataFrame:
+    """One fit an entity, carried to all its rows: nothing of it depends on the judged period."""
+    entity = Window.partitionBy("entity")
+    ordered = entity.orderBy("period")
+    based = facts.withColumn("__in", F.col("usable") & F.col("period").between(*p.baseline))
+    needed = F.col("__in") | F.coalesce(F.lead("__in").over(ordered) & (F.lead("period").over(ordered) == F.col("period") + 1), F.lit(False))  # levels at both ends of a change
+    fit = based.withColumn("c", F.greatest(F.lit(p.c_floor), p.c_fraction * F.median(F.when(needed, F.col("x"))).over(entity)))
+    fit = fit.withColumn("__g", F.when(F.col("__in"), _growth(F.col("c"), F.col("x"), F.col("x_prev"))))
+    when = F.when(F.col("__in"), F.col("period"))
+    fit = fit.withColumns({"center": F.median("__g").over(entity), "n_baseline": F.count("__g").over(entity), "base_first": F.min(when).over(entity), "base_last": F.max(when).over(entity)})
+    return fit.withColumn("sigma", F.median(F.abs(F.col("__g") - F.col("center"))).over(entity) * p.mad_scale).where(F.col("period").between(*p.monitor)).drop("__in", "__g")
+
+
+def _rolling_baseline(facts: DataFrame, p: Params) -> DataFrame:
+    """The last ``window`` usable rows before each judged one. Rows are numbered by the usable ones before them, so that a range of these numbers holds just those,
+    however many others lie between; no row meets more than ``window`` of them."""
     before = Window.partitionBy("entity").orderBy("period").rowsBetween(Window.unboundedPreceding, -1)
-    counted = facts.withColumn("__ok", ok).withColumn("k", F.coalesce(F.sum(F.col("__ok").cast("int")).over(before), F.lit(0)))
-    base = counted.where("__ok").select("entity", F.col("period").alias("y"), "x", "x_prev", "k")
-    slots = counted.where(judged).select("entity", F.col("period").alias("t"), F.explode(F.when(F.col("k") > 0, F.sequence(F.greatest(F.col("k") - p.window, F.lit(0)), F.col("k") - 1)).otherwise(F.array().cast("array<bigint>"))).alias("k"))
-    return slots.join(base, ["entity", "k"]).drop("k")
+    last = Window.partitionBy("entity").orderBy("__k").rangeBetween(-p.window, -1)
+    linked = F.coalesce(F.lag("usable").over(Window.partitionBy("entity").orderBy("period")), F.lit(False))  # the level before a usable row is that of a usable row too
+    some = facts.withColumns({"__k": F.coalesce(F.sum(F.col("usable").cast("long")).over(before), F.lit(0)), "__l": linked})
+    some = some.withColumn("__b", F.collect_list(F.when(F.col("usable"), F.struct(F.col("period").alias("y"), "x", "x_prev", F.col("__l").alias("l")))).over(last)).where(F.col("period").between(*p.monitor))
+    levels = F.flatten(F.transform("__b", lambda s, i: F.when((i > 0) & s["l"], F.array(s["x"])).otherwise(F.array(s["x"], s["x_prev"]))))  # each level once
+    some = some.withColumn("c", F.greatest(F.lit(p.c_floor), p.c_fraction * _array_median(levels)))
+    some = some.withColumn("__g", F.transform("__b", lambda s: _growth(F.col("c"), s["x"], s["x_prev"]))).withColumn("center", _array_median(F.col("__g")))
+    years = F.transform("__b", lambda s: s["y"])
+    fit = {"sigma": _array_median(F.transform("__g", lambda g: F.abs(g - F.col("center")))) * p.mad_scale, "n_baseline": F.size("__b").cast("long"), "base_first": F.array_min(years), "base_last": F.array_max(years)}
+    return some.withColumns(fit).drop("__k", "__l", "__b", "__g")
+
+
+def select_baseline(facts: DataFrame, p: Params, baseline: str) -> DataFrame:
+    """The monitored rows of facts (with ``usable``) and the fit of each one's baseline: c, center, sigma, n_baseline, base_first, base_last; for policies without memory."""
+    return (_fixed_baseline if baseline == "fixed" else _rolling_baseline)(facts, p)
 
 
 def judge_set_based(series: DataFrame, p: Params, baseline: str, lifecycle: bool) -> DataFrame:
-    """The raw verdicts (schema ``RAW``) without a memory: what a walk would give for fixed baselines or for include_all."""
-    facts = gap_aware(series)
-    base = select_baseline(facts, p, baseline, lifecycle)
-    levels = base.select("entity", "t", F.explode(F.array(F.struct(F.col("y").alias("q"), "x"), F.struct((F.col("y") - 1).alias("q"), F.col("x_prev").alias("x")))).alias("s")).select("entity", "t", "s.q", "s.x").distinct()
-    c = levels.groupBy("entity", "t").agg(F.greatest(F.lit(p.c_floor), p.c_fraction * F.median("x")).alias("c"))
-    w = Window.partitionBy("entity", "t")
-    g = base.join(c, ["entity", "t"]).withColumn("g", F.log((F.col("x") + F.col("c")) / (F.col("x_prev") + F.col("c")))).withColumn("m", F.median("g").over(w))
-    fit = g.groupBy("entity", "t").agg(F.first("c").alias("c"), F.first("m").alias("center"), (F.median(F.abs(F.col("g") - F.col("m"))) * p.mad_scale).alias("sigma"), F.count(F.lit(1)).alias("n_baseline"), F.min("y").alias("base_first"), F.max("y").alias("base_last"))
+    """The raw verdicts (schema ``RAW``) without a memory: what a walk would give for fixed baselines or for include_all. One exchange, by entity."""
     lately = Window.partitionBy("entity").orderBy("period").rangeBetween(1 - p.run_length, 0)
-    usable = F.col("has_growth") & ~(F.col("touches_zero") & F.lit(lifecycle))
-    rows = facts.withColumn("run", F.collect_list(F.when(usable, F.struct("x", "x_prev"))).over(lately))
+    facts = gap_aware(series).withColumn("usable", F.col("has_growth") & ~(F.col("touches_zero") & F.lit(lifecycle)))
+    facts = facts.withColumn("run", F.collect_list(F.when(F.col("usable"), F.struct("x", "x_prev"))).over(lately))
     if lifecycle and baseline == "fixed":
         skipped = F.count_if(F.col("touches_zero") & F.col("period").between(*p.baseline)).over(Window.partitionBy("entity"))
     else:
         skipped = F.lit(0).cast("long")
-    rows = rows.withColumn("n_lifecycle_skipped", skipped).where(F.col("period").between(*p.monitor))
-    j = rows.join(fit.withColumnRenamed("t", "period"), ["entity", "period"], "left")
+    j = select_baseline(facts.withColumn("n_lifecycle_skipped", skipped), p, baseline)
     code = (
-        F.when(~F.col("has_growth"), NO_PRIOR).when(F.lit(lifecycle) & F.col("zero") & F.col("zero_prev"), DORMANT).when(F.col("n_baseline").isNull(), NONE)
+        F.when(~F.col("has_growth"), NO_PRIOR).when(F.lit(lifecycle) & F.col("zero") & F.col("zero_prev"), DORMANT).when(F.col("n_baseline") == 0, NONE)
         .when(F.col("n_baseline") < p.min_points, FEW).when(~(F.col("sigma") > 0), FLAT).otherwise(CHARTED)
     )
     j = j.withColumn("code", code)
-    on = F.col("code") == CHARTED
-    growth = lambda s: F.log((s["x"] + F.col("c")) / (s["x_prev"] + F.col("c")))
-    j = j.withColumn("value", F.when(on, F.log((F.col("x") + F.col("c")) / (F.col("x_prev") + F.col("c")))))
+    on, c = F.col("code") == CHARTED, F.col("c")
+    j = j.withColumn("value", F.when(on, _growth(c, F.col("x"), F.col("x_prev"))))
     off = F.col("value") - F.col("center")
     beyond = F.coalesce(F.abs(off) > p.sigmas * F.col("sigma"), F.lit(False))
-    gaps = F.transform("run", lambda s: growth(s) - F.col("center"))
+    gaps = F.transform("run", lambda s: _growth(c, s["x"], s["x_prev"]) - F.col("center"))
     shift = on & (F.size("run") == p.run_length) & (F.forall(gaps, lambda d: d > 0) | F.forall(gaps, lambda d: d < 0))
-    apart = F.array_sort(F.transform("run", lambda s: F.abs(growth(s) - F.col("center"))))
-    middle = (F.try_element_at(apart, F.lit(p.run_length // 2)) + F.try_element_at(apart, F.lit(p.run_length // 2 + 1))) / 2 if p.run_length % 2 == 0 else F.try_element_at(apart, F.lit(p.run_length // 2 + 1))
+    middle = _array_median(F.transform(gaps, lambda d: F.abs(d)))
     rule = classify_rule(on & beyond, shift)
     keep = lambda x: F.when(on, F.col(x))
-    return j.select("entity", "period", "level", "code", "value", keep("center").alias("center"), keep("sigma").alias("sigma"), F.coalesce("n_baseline", F.lit(0)).cast("long").alias("n_baseline"), F.lit(0).cast("long").alias("n_held_out"), "n_lifecycle_skipped", "base_first", "base_last", rule.alias("rule"), F.when(rule == "sustained_shift", middle / F.col("sigma")).alias("run_z"))
+    return j.select(F.col("entity").cast("string").alias("entity"), "period", "level", "code", "value", keep("center").alias("center"), keep("sigma").alias("sigma"), "n_baseline", F.lit(0).cast("long").alias("n_held_out"), "n_lifecycle_skipped", "base_first", "base_last", rule.alias("rule"), F.when(rule == "sustained_shift", middle / F.col("sigma")).alias("run_z"))
 
 
 def _middle(values: np.ndarray, on: np.ndarray) -> np.ndarray:
@@ -107,13 +138,34 @@ def _kept_out(sign: np.ndarray, now: int) -> np.ndarray:
     return undone & (known != 0)
 
 
+def _columns(which: np.ndarray, period: np.ndarray, dense: int) -> np.ndarray:
+    """The column of each cell against that of period ``dense``, where columns begin that are periods. Before it only those that a series has get a column, and one
+    empty column stands for a gap of any length: one far period makes no wide array. Cells are in order of series and period."""
+    col = (period - dense).astype(np.int64)
+    old = np.flatnonzero(period < dense)
+    if len(old):
+        last = np.r_[which[old][1:] != which[old][:-1], True]
+        step = np.where(np.where(last, dense, np.r_[period[old][1:], dense]) - period[old] == 1, 1, 2)
+        whole = np.cumsum(step[::-1])[::-1]  # to the end of all
+        ends = np.flatnonzero(last)
+        rest = np.r_[whole, 0][ends + 1]
+        col[old] = -(whole - rest[np.searchsorted(ends, np.arange(len(old)))])
+    return col
+
+
 def walk_many(which: np.ndarray, period: np.ndarray, level: np.ndarray, p: Params, m: Method) -> dict[str, np.ndarray]:
-    """Many series at once, one period after the other: columns of schema ``RAW`` with the number of the series in place of its entity."""
-    first = int(period.min(initial=p.monitor[0]))
-    n, span = int(which.max(initial=-1)) + 1, max(int(p.monitor[1]), p.baseline[1]) - first + 2
+    """Many series at once, one period after the other: columns of schema ``RAW`` with the number of the series in place of its entity. Cells are in order of series
+    and period; of cells that repeat a period the last one counts."""
     near = period <= max(p.monitor[1], p.baseline[1])
-    raw = np.full((n, max(span, 1)), np.nan)
-    raw[which[near], period[near] - first + 1] = level[near]  # the first column stays empty, so that every period has one before it
+    which, period, level = which[near], period[near], level[near]
+    once = np.r_[(which[1:] != which[:-1]) | (period[1:] != period[:-1]), True] if len(which) else np.zeros(0, bool)
+    which, period, level = which[once], period[once], level[once]
+    dense = min(p.monitor[0] - p.run_length, p.monitor[0] - 1)
+    at = _columns(which, period, dense)
+    ahead = 1 - int(at.min(initial=0))  # the first column stays empty, so that every period has one before it
+    n, span = int(which.max(initial=-1)) + 1, max(int(p.monitor[1]), p.baseline[1]) - dense + 1 + ahead
+    raw, when = np.full((n, span), np.nan), np.full((n, span), -(2**31), np.int64)
+    raw[which, at + ahead], when[which, at + ahead] = level, period
     here = ~np.isnan(raw)
     x = np.where(here, np.maximum(raw, 0.0), 0.0)
     before = np.zeros_like(x)
@@ -127,15 +179,15 @@ def walk_many(which: np.ndarray, period: np.ndarray, level: np.ndarray, p: Param
     idle[:, 1:] &= zero[:, 1:] | zero[:, :-1]
     asleep = idle if m.lifecycle else np.zeros_like(idle)
     sign = np.zeros(raw.shape, np.int8)
-    column = np.arange(raw.shape[1]) + first - 1
-    in_base = (column >= p.baseline[0]) & (column <= p.baseline[1])
+    column = np.arange(raw.shape[1])
+    in_base = (when >= p.baseline[0]) & (when <= p.baseline[1])
     out: list[dict[str, np.ndarray]] = []
-    for t in range(max(p.monitor[0], first), p.monitor[1] + 1):
-        i = t - first + 1
+    for t in range(p.monitor[0], p.monitor[1] + 1):
+        i = t - dense + ahead
         s = np.flatnonzero(here[:, i])
         if not len(s):
             continue
-        pool = grows[s] & (in_base if m.baseline == "fixed" else column < t)
+        pool = grows[s] & (in_base[s] if m.baseline == "fixed" else column < i)
         held = pool & ~asleep[s] & (_kept_out(sign, i)[s] if m.policy != "include_all" else False)
         chosen = pool & ~asleep[s] & ~held
         seen = pool
@@ -164,7 +216,7 @@ def walk_many(which: np.ndarray, period: np.ndarray, level: np.ndarray, p: Param
             run_z = run_z / sigma
         out.append({
             "which": s, "period": np.full(len(s), t), "level": raw[s, i], "code": code, "value": np.where(on, value, np.nan), "center": np.where(on, center, np.nan), "sigma": np.where(on, sigma, np.nan), "n_baseline": n_base,
-            "n_held_out": (held & seen).sum(1), "n_lifecycle_skipped": (pool & seen & asleep[s]).sum(1), "base_first": np.where(n_base > 0, column[np.argmax(chosen, axis=1)], -(2**31)), "base_last": np.where(n_base > 0, column[newest], -(2**31)),
+            "n_held_out": (held & seen).sum(1), "n_lifecycle_skipped": (pool & seen & asleep[s]).sum(1), "base_first": np.where(n_base > 0, when[s, np.argmax(chosen, axis=1)], -(2**31)), "base_last": np.where(n_base > 0, when[s, newest], -(2**31)),
             "rule": np.where(beyond, "beyond_limits", np.where(shifted, "sustained_shift", "")).astype(object), "run_z": np.where(shifted, run_z, np.nan),
         })
     names = ["which", *(c.split()[0] for c in RAW.split(", ")[1:])]
@@ -183,7 +235,12 @@ def raw_batch(entity, rows: dict[str, np.ndarray]) -> pa.RecordBatch:
 
 
 def judge_walking(series: DataFrame, p: Params, m: Method) -> DataFrame:
-    """The raw verdicts of any policy: each task streams its series in order and walks some thousands of cells at a time. Null levels don't count."""
+    """The raw verdicts of any policy."""
+    return walk_methods(series, p, {"": m}).drop("method")
+
+
+def walk_methods(series: DataFrame, p: Params, methods: dict[str, Method]) -> DataFrame:
+    """method and the raw verdicts of each: every task streams its series in order and walks some thousands of cells at a time, by all methods while it holds them."""
 
     def walk(batches):
         rest = None
@@ -205,14 +262,18 @@ def judge_walking(series: DataFrame, p: Params, m: Method) -> DataFrame:
             start = _starts(entity)
             period, level = table["period"].to_numpy().astype(np.int64), table["value"].to_numpy()
             which = np.repeat(np.arange(len(start)), np.diff(np.r_[start, table.num_rows]))
-            wide = max(1, CELLS // max(1, int(p.monitor[1]) - int(period.min()) + 2))
+            most = int(np.diff(np.r_[start, table.num_rows]).max())
+            wide = max(1, CELLS // (2 * most + int(p.monitor[1] - p.monitor[0]) + p.run_length + 2))
             for a in range(0, len(start), wide):
                 mine = slice(int(start[a]), int(start[a + wide]) if a + wide < len(start) else table.num_rows)
-                yield raw_batch(entity.take(pa.array(start[a : a + wide])), walk_many(which[mine] - a, period[mine], level[mine], p, m))
+                names = entity.take(pa.array(start[a : a + wide]))
+                for name, m in methods.items():
+                    rows = raw_batch(names, walk_many(which[mine] - a, period[mine], level[mine], p, m))
+                    yield pa.record_batch([pa.array([name] * len(rows), pa.string()), *rows.columns], ["method", *rows.schema.names])
 
     live = series.where(F.col("value").isNotNull() & ~F.isnan("value")).select(F.col("entity").cast("string").alias("entity"), F.col("period").cast("int").alias("period"), F.col("value").cast("double").alias("value"))
     parts = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by a count: the walk is worth more tasks than its bytes
-    return live.repartition(parts, "entity").sortWithinPartitions("entity", "period").mapInArrow(walk, RAW)
+    return live.repartition(parts, "entity").sortWithinPartitions("entity", "period", "value").mapInArrow(walk, "method string, " + RAW)
 
 
 def _starts(entity: pa.Array) -> np.ndarray:
@@ -236,7 +297,7 @@ def finish_points(raw: DataFrame, p: Params) -> DataFrame:
     severity = F.when(F.col("rule") == "beyond_limits", F.when(F.abs("robust_z") >= p.high_z, "high").otherwise("medium")).when(F.col("rule") == "sustained_shift", F.when(F.col("run_z") >= p.shift_medium_z, "medium").otherwise("low")).otherwise("")
     note = F.when(F.col("n_held_out") + F.col("n_lifecycle_skipped") > 0, F.format_string(BASELINE_NOTE, n, "n_held_out", "n_lifecycle_skipped")).otherwise("")
     text = F.when(F.col("rule") == "", "").otherwise(F.concat(explain_alert(p, "growth", F.col("baseline_span")), note))
-    return df.withColumn("severity", severity).withColumn("explanation", text).select(*POINT_COLUMNS)
+    return df.withColumn("severity", severity).withColumn("explanation", text).select(*(c for c in ("method",) if c in raw.columns), *POINT_COLUMNS)
 
 
 def refused_rows(series: DataFrame, refused: DataFrame, p: Params) -> DataFrame:
@@ -261,21 +322,33 @@ def method_points(series: DataFrame, name: str, p: Params, methods: dict[str, Me
     return points.select(F.lit(name).alias("method"), "*")
 
 
-def run_method(series: DataFrame, name: str, p: Params, flows: list[str], methods: dict[str, Method] = METHODS) -> dict[str, DataFrame]:
-    """points, alerts, incidents and zero periods of one method. Points, which the rest is made of, are written to the checkpoint folder."""
-    m = methods[name]
-    points = cut_lineage(method_points(series, name, p, methods))
+def all_points(series: DataFrame, p: Params, methods: dict[str, Method] = METHODS) -> DataFrame:
+    """Points of several methods, with a method column. Chronological ones, if there are several, are judged by one walk."""
+    walked = {n: m for n, m in methods.items() if m.engine != "frozen"}
+    walked = walked if len(walked) > 1 else {}
+    each = [method_points(series, n, p, methods) for n in methods if n not in walked]
+    if walked:
+        each.append(finish_points(walk_methods(series, p, walked), p))
+    return reduce(DataFrame.unionByName, each)
+
+
+def _results(points: DataFrame, periods: DataFrame, name: str, m: Method, p: Params) -> dict[str, DataFrame]:
     alerts = attach_incident_id(select_alerts(points))
-    periods = zero_periods(series, flows)
     incidents = build_incidents(alerts, m.baseline == "fixed", periods if m.lifecycle else None, p).select(F.lit(name).alias("method"), "*")
     return {"points": points, "alerts": alerts, "incidents": incidents, "periods": periods}
 
 
+def run_method(series: DataFrame, name: str, p: Params, flows: list[str], methods: dict[str, Method] = METHODS) -> dict[str, DataFrame]:
+    """points, alerts, incidents and zero periods of one method. Points, which the rest is made of, are written to the checkpoint folder: a job runs at once."""
+    return _results(cut_lineage(method_points(series, name, p, methods)), zero_periods(series, flows), name, methods[name], p)
+
+
 def run_methods(series: DataFrame, p: Params, flows: list[str], methods: dict[str, Method] = METHODS) -> dict[str, DataFrame]:
-    """points, alerts and incidents of all methods, with a method column; the series is read once."""
+    """points, alerts and incidents of all methods, with a method column; the series is read once and written to the checkpoint folder, as are the points."""
     series = cut_lineage(series)
-    each = [run_method(series, name, p, flows, methods) for name in methods]
-    return {what: reduce(DataFrame.unionByName, (r[what] for r in each)) for what in ("points", "alerts", "incidents")}
+    points, periods = cut_lineage(all_points(series, p, methods)), zero_periods(series, flows)
+    each = [_results(points.where(F.col("method") == n), periods, n, m, p) for n, m in methods.items()]
+    return {"points": points, **{what: reduce(DataFrame.unionByName, (r[what] for r in each)) for what in ("alerts", "incidents")}}
 
 
 def growth_history(series: DataFrame, p: Params, lifecycle: bool = True) -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..params import ERROR_KINDS, METHODS, Params
 from ..sources.io import cut_lineage
-from .adaptive import method_points, run_method
+from .adaptive import all_points, method_points
 from .charts import in_order
+from .incidents import lifecycle_incidents, zero_periods
 from .rules import rule_stale_repeat
 
 KEY = ["entity", "period"]
@@ -79,31 +80,47 @@ def system_found(series: DataFrame, points: DataFrame, p: Params) -> DataFrame:
     return points.where("rule <> ''").select(*KEY).union(stale.select(*KEY)).distinct()
 
 
-def score_trials(series: DataFrame, picks: DataFrame, method: str, seed: int, p: Params, flows: list[str], whole: bool = False, broken: DataFrame | None = None) -> DataFrame:
-    """method, kind, trial: injected, charted, detected, collateral, silent_pct, surfaced_pct. ``broken``: the panels with errors, if they are made already."""
-    broken = cut_lineage(keyed(break_series(series, picks, seed, p, whole))) if broken is None else broken
-    res = run_method(broken, method, p, flows)
-    clean = system_found(series, method_points(series, method, p), p).withColumn("clean", F.lit(True))
-    mark = lambda df, name: df.select(*SCENARIO, *KEY).withColumn(name, F.lit(True))
-    truth = mark(picks, "truth")
-    found = mark(unkeyed(system_found(broken, res["points"], p)), "found")
-    covered = mark(unkeyed(res["points"].where("status = 'charted'").select(*KEY)), "covered")
-    keys = [*SCENARIO, *KEY]
-    flags = truth.join(found, keys, "full").join(covered, keys, "left").join(clean, KEY, "left").na.fill(False, ["truth", "found", "covered", "clean"])
+CLEAN = ""  # the kind under which the panel without errors travels with the broken ones
+
+
+def score_methods(series: DataFrame, picks: DataFrame, methods, seed: int, p: Params, flows: list[str], whole: bool = False) -> DataFrame:
+    """method, kind, trial: injected, charted, detected, collateral, silent_pct, surfaced_pct. The clean panel is one scenario more, so one pass judges all panels by all
+    methods; without ``whole`` only picked entities are in any. Panels and points are written to the checkpoint folder: jobs run at once."""
+    methods = {m: METHODS[m] for m in methods}
+    keys = ["method", *SCENARIO, *KEY]
+    clean = (series if whole else series.join(picks.select("entity").distinct(), "entity", "left_semi")).withColumns({"kind": F.lit(CLEAN), "trial": F.lit(0)})
+    panels = cut_lineage(keyed(break_series(series, picks, seed, p, whole).unionByName(clean)))
+    points = cut_lineage(unkeyed(all_points(panels, p, methods)).select(*keys, "status", "rule"))
+    each = F.explode(F.array(*[F.lit(m) for m in methods])).alias("method")
+    mark = lambda df, **on: df.select(*keys, *(on.get(c, F.lit(False)).alias(c) for c in ("truth", "found", "covered")))
+    stale = panels.select("*", rule_stale_repeat("value", "entity").alias("__s")).where(F.col("__s") & F.col("period").between(*p.monitor))
+    rows = mark(points.where("status = 'charted' or rule <> ''"), covered=F.col("status") == "charted", found=F.col("rule") != "")
+    rows = rows.unionByName(mark(unkeyed(stale).select("*", each), found=F.lit(True))).unionByName(mark(picks.select("*", each), truth=F.lit(True)))
+    flags = rows.groupBy(*keys).agg(*(F.bool_or(c).alias(c) for c in ("truth", "found", "covered")))
+    cell = Window.partitionBy("method", *KEY)
+    flags = flags.withColumn("clean", F.bool_or((F.col("kind") == CLEAN) & F.col("found")).over(cell)).where(F.col("kind") != CLEAN)
     hit = F.col("truth") & F.col("covered")
-    out = flags.groupBy(*SCENARIO).agg(F.count_if("truth").alias("injected"), F.count_if(hit).alias("charted"), F.count_if(hit & F.col("found")).alias("detected"), F.count_if(F.col("found") & ~hit & ~F.col("clean")).alias("collateral"))
-    return out.join(feed_visibility(series, picks, res, found, p), SCENARIO, "left").select(F.lit(method).alias("method"), "*")
+    out = flags.groupBy("method", *SCENARIO).agg(F.count_if("truth").alias("injected"), F.count_if(hit).alias("charted"), F.count_if(hit & F.col("found")).alias("detected"), F.count_if(F.col("found") & ~hit & ~F.col("clean")).alias("collateral"))
+    seen = feed_visibility(series, picks.select("*", each), points, flags.where("found"), lifecycle_incidents(zero_periods(panels, flows), p), p)
+    return out.where(F.col("injected") > 0).join(seen, ["method", *SCENARIO], "left")
 
 
-def feed_visibility(series: DataFrame, picks: DataFrame, res: dict[str, DataFrame], found: DataFrame, p: Params) -> DataFrame:
-    """Of stops of two periods or more in entities with a last row: % charted as in control there, % surfaced there."""
-    end = p.monitor[1]
+def score_trials(series: DataFrame, picks: DataFrame, method: str, seed: int, p: Params, flows: list[str], whole: bool = False) -> DataFrame:
+    """``score_methods`` of one method."""
+    return score_methods(series, picks, (method,), seed, p, flows, whole)
+
+
+def feed_visibility(series: DataFrame, picks: DataFrame, points: DataFrame, found: DataFrame, lifecycle: DataFrame, p: Params) -> DataFrame:
+    """Of stops of two periods or more in entities with a last row: % charted as in control there, % surfaced there, by a flag or (methods that know them) an incident
+    of the feed's life that reaches it. picks: by method; lifecycle: incidents of keyed panels."""
+    end, on = p.monitor[1], ["method", *SCENARIO, "entity"]
     last = series.where(F.col("period") == end).select("entity").distinct()
-    stops = picks.where((F.col("kind") == "feed_stops") & (F.col("period") <= end - 1)).select(*SCENARIO, "entity").join(last, "entity", "left_semi")
-    calm = unkeyed(res["points"].where((F.col("status") == "charted") & (F.col("period") == end) & (F.col("rule") == "")).select("entity")).withColumn("calm", F.lit(True))
-    loud = found.where(F.col("period") == end).select(*SCENARIO, "entity").union(unkeyed(res["incidents"].where((F.col("source") == "lifecycle") & (F.col("last_period") >= end)).select("entity")).select(*SCENARIO, "entity")).distinct().withColumn("loud", F.lit(True))
-    on = [*SCENARIO, "entity"]
-    return stops.join(calm, on, "left").join(loud, on, "left").groupBy(*SCENARIO).agg((100.0 * F.count_if("calm") / F.count(F.lit(1))).alias("silent_pct"), (100.0 * F.count_if("loud") / F.count(F.lit(1))).alias("surfaced_pct"))
+    stops = picks.where((F.col("kind") == "feed_stops") & (F.col("period") <= end - 1)).select(*on).join(last, "entity", "left_semi")
+    calm = points.where((F.col("status") == "charted") & (F.col("period") == end) & (F.col("rule") == "")).select(*on).withColumn("calm", F.lit(True))
+    knows = F.explode(F.array(*[F.lit(n) for n, m in METHODS.items() if m.lifecycle])).alias("method")
+    live = unkeyed(lifecycle.where(F.col("last_period") >= end).select("entity")).select("*", knows).select(*on)
+    loud = found.where(F.col("period") == end).select(*on).union(live).distinct().withColumn("loud", F.lit(True))
+    return stops.join(calm, on, "left").join(loud, on, "left").groupBy("method", *SCENARIO).agg((100.0 * F.count_if("calm") / F.count(F.lit(1))).alias("silent_pct"), (100.0 * F.count_if("loud") / F.count(F.lit(1))).alias("surfaced_pct"))
 
 
 def recall_report(scores: DataFrame) -> DataFrame:
@@ -131,14 +148,10 @@ def example_misses(series: DataFrame, picks: DataFrame, method: str, seed: int,
 
 
 def evaluate_methods(series: DataFrame, split: str, p: Params, flows: list[str], kinds=ERROR_KINDS, methods=tuple(METHODS)) -> DataFrame:
-    """Recall, collateral and visibility of every method on the same broken panels, which are made once; no loop over scenarios."""
+    """Recall, collateral and visibility of every method on the same broken panels: scenario and method are part of the key, nothing is looped over."""
     series, seed = cut_lineage(series), p.seeds[split]
     picks = cut_lineage(pick_cells(series, scenarios(series.sparkSession, p, kinds), seed, p))
-    broken, out = cut_lineage(keyed(break_series(series, picks, seed, p))), None
-    for m in methods:
-        one = score_trials(series, picks, m, seed, p, flows, broken=broken)
-        out = one if out is None else out.unionByName(one)
-    return recall_report(out)
+    return recall_report(score_methods(series, picks, methods, seed, p, flows))
 
 
 def evaluation_pivot(report: DataFrame, metric: str, methods=tuple(METHODS)) -> DataFrame:

@@ -55,6 +55,11 @@ part("series_c", ["series_a"], f"""
   FROM (SELECT *, CAST('0x' || substr(md5('stop|' || entity), 1, 6) AS BIGINT) AS h FROM series_a)""")
 
 
+part("series_n", ["series_a"], """
+  SELECT entity, period, CASE h WHEN 0 THEN NULL WHEN 2 THEN 0.0 ELSE value END AS value, repayments, charges
+  FROM (SELECT *, CAST('0x' || substr(md5('hole|' || entity || '|' || period), 1, 6) AS BIGINT) % 11 AS h FROM series_a) WHERE h <> 1""")  # rows there twice have no level the second time
+
+
 def pct(v: str) -> str:
     return f"printf('%+.0f%%', (exp({v}) - 1) * 100)"
 
@@ -160,7 +165,7 @@ def engine_parts(x: str, p: Params, name: str, baseline: str, lifecycle: bool, c
       SELECT *, has_growth AND (zero OR zero_prev) AS idle FROM (
         SELECT entity, period, value AS level, greatest(value, 0) AS x, value <= 0 AS zero, coalesce(lag(period) OVER w = period - 1, false) AS has_growth,
                CASE WHEN lag(period) OVER w = period - 1 THEN greatest(lag(value) OVER w, 0) END AS x_prev, coalesce(lag(period) OVER w = period - 1 AND lag(value) OVER w <= 0, false) AS zero_prev
-        FROM series_{x} WINDOW w AS (PARTITION BY entity ORDER BY period))""")
+        FROM series_{x} WHERE value IS NOT NULL WINDOW w AS (PARTITION BY entity ORDER BY period))""")
     live = "has_growth AND NOT idle" if lifecycle else "has_growth"
     names = []
     for t in range(t0, t1 + 1) if confirm else [None]:
@@ -229,7 +234,7 @@ def summary_parts(x: str) -> None:
       LEFT JOIN (SELECT method, count(*) AS incidents, count(*) FILTER (n >= 3) AS persistent FROM islands_{x} GROUP BY 1) USING (method)""")
 
 
-for _x, _p in (("a", A), ("b", B), ("c", A)):
+for _x, _p in (("a", A), ("b", B), ("c", A), ("n", A)):
     engine_parts(_x, _p, "fixed", "fixed", True, False)
     engine_parts(_x, _p, "rolling", "rolling", True, True)
     engine_parts(_x, _p, "naive", "rolling", False, False)

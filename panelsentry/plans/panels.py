@@ -53,3 +53,10 @@ def series_c(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = F.conv(F.substring(F.md5(F.concat(F.lit("stop|"), F.col("entity"))), 1, 6), 16, 10).cast("long")
     at = A.monitor[0] + F.floor(h / 10) % (A.monitor[1] - A.monitor[0])
     return series_a(spark, sf_dir).withColumn("value", F.when((h % 10 == 0) & (F.col("period") >= at), 0.0).otherwise(F.col("value")))
+
+
+def series_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series A with holes: by md5 an eleventh each of its cells has no level, is not there, is zero, or is there twice, once without a level."""
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("hole"), "entity", F.col("period").cast("string"))), 1, 6), 16, 10).cast("long") % 11
+    a = series_a(spark, sf_dir).withColumn("h", h).where("h <> 1").withColumn("value", F.when(F.col("h") == 0, F.lit(None)).when(F.col("h") == 2, 0.0).otherwise(F.col("value")))
+    return a.unionByName(a.where("h = 3").withColumn("value", F.when(F.col("period") % 2 == 0, F.lit(float("nan"))))).drop("h")

@@ -16,7 +16,7 @@ from ..operators import rules as R
 from ..params import ERROR_KINDS, METHODS
 from ..sources.io import BRONZE, LABEL_SCHEMA, clean_labels, cut_lineage, load_bronze, load_labels, load_series, read_ledger, shared_folder, with_roles, write_ledger, write_outputs, write_silver
 from . import oracle as O
-from .panels import FLOWS_A, FLOWS_B, A, B, panel_a, panel_b, series_a, series_b, series_c, table
+from .panels import FLOWS_A, FLOWS_B, A, B, panel_a, panel_b, series_a, series_b, series_c, series_n, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -116,6 +116,10 @@ for x, (series, p, flows) in SERIES.items():
     if x != "a":
         query(f"zero_periods_{x}", lambda s, d, f=series, w=flows: I.zero_periods(f(s, d), w), O.sql(f"SELECT {pick(ZEROS)} FROM zeros_{x}", f"zeros_{x}"))
         query(f"lifecycle_incidents_{x}", lambda s, d, f=series, w=flows, p=p: rounded(I.lifecycle_incidents(I.zero_periods(f(s, d), w), p), INCIDENTS), O.sql(f"SELECT {pick(INCIDENTS)} FROM lifecycle_{x}", f"lifecycle_{x}"))
+for short, method in SHORT.items():  # levels that are missing, and rows that repeat
+    query(f"points_{short}_n", lambda s, d, m=method: rounded(D.method_points(series_n(s, d), m, A), CHRON), O.sql(f"SELECT {pick(CHRON)} FROM pts_{short}_n", f"pts_{short}_n"))
+    if short != "rolling":  # which is walked anyway
+        query(f"walked_{short}_n", lambda s, d, m=method: rounded(D.finish_points(D.judge_walking(series_n(s, d), A, METHODS[m]), A), CHRON), O.sql(f"SELECT {pick(CHRON)} FROM pts_{short}_n", f"pts_{short}_n"))
 O.part("era_a", ["facts_a"], f"SELECT * FROM facts_a WHERE has_growth AND NOT idle AND {_ERA}")
 O.part("era_c_a", ["era_a"], f"SELECT entity, greatest({A.c_floor}, {A.c_fraction} * median(x)) AS c FROM (SELECT entity, period, x FROM era_a UNION SELECT entity, period - 1, x_prev FROM era_a) GROUP BY 1")
 query("growth_history_a", lambda s, d: rounded(D.growth_history(series_a(s, d), A)), O.sql(f"SELECT entity, period, round(ln((x + c) / (x_prev + c)), 6) AS value FROM facts_a JOIN era_c_a USING (entity) WHERE has_growth AND period BETWEEN {A.baseline[0] + 1} AND {A.monitor[0] - 1}", "facts_a", "era_c_a"))
@@ -257,21 +261,27 @@ def _alerts_a(s, d):
     return C.select_alerts(C.build_charts(series_a(s, d), A)[0]).where("chart = 'B_growth'")
 
 
-def _sheet(s, d, shift: int = 0):
-    """A label sheet made from the panel: md5 of each alert's key decides its label; ``shift`` moves periods, so some rows no longer alert."""
+def _sheet(alerts, shift: int = 0):
+    """A label sheet made from alerts: md5 of each one's key decides its label; ``shift`` moves periods, so some rows no longer alert."""
     h = F.conv(F.substring(F.md5(F.concat_ws("|", "entity", F.col("period").cast("string"))), 1, 4), 16, 10).cast("int") % 5
     label = F.when(h == 0, " Investigate").when(h == 1, "explained").when(h == 2, "NOISE ").when(h == 3, F.lit(None)).otherwise("")
-    a = _alerts_a(s, d).withColumn("label", label)
+    a = alerts.withColumn("label", label)
     return clean_labels(a.select("entity", (F.col("period") + F.when(h == 4, shift).otherwise(0)).alias("period"), F.bround("robust_z", 1).alias("robust_z"), "severity", F.lit(0.0).alias("change_pct"), "rule", F.lit(True).alias("currently_alerting"), "explanation", "label", F.lit(None).cast("string").alias("note")))
 
 
+def _labelled(job, s, d, shift: int = 0):
+    """job(alerts, sheet); the alerts, which the sheet is made of too, are written once."""
+    alerts = cut_lineage(_alerts_a(s, d))
+    return job(alerts, _sheet(alerts, shift))
+
+
 O.part("ga", ["alerts_a"], "SELECT *, CAST('0x' || substr(md5(entity || '|' || period), 1, 4) AS BIGINT) % 5 AS h FROM alerts_a WHERE chart = 'B_growth'")
 O.part("sheet_a", ["ga"], "SELECT entity, CAST(period + CASE WHEN h = 4 THEN 100 ELSE 0 END AS INTEGER) AS period, round_even(robust_z, 1) AS robust_z, severity, 0.0 AS change_pct, rule, explanation, CASE h WHEN 0 THEN 'investigate' WHEN 1 THEN 'explained' WHEN 2 THEN 'noise' ELSE '' END AS label FROM ga")
 O.part("merged_a", ["ga", "sheet_a"], "SELECT g.entity, g.period, round_even(g.robust_z, 1) AS robust_z, g.severity, round_even((exp(value) - 1) * 100, 0) AS change_pct, g.rule, true AS currently_alerting, g.explanation, coalesce(s.label, '') AS label, '' AS note FROM ga g LEFT JOIN sheet_a s USING (entity, period) UNION ALL SELECT entity, period, robust_z, severity, CAST(change_pct AS DOUBLE), rule, false, explanation, label, '' FROM sheet_a s ANTI JOIN ga g USING (entity, period)")
-query("attach_labels", lambda s, d: rounded(E.attach_labels(_alerts_a(s, d), _sheet(s, d)), "entity period ~robust_z label note"), O.sql("SELECT entity, period, round(robust_z, 6) AS robust_z, CASE h WHEN 0 THEN 'investigate' WHEN 1 THEN 'explained' WHEN 2 THEN 'noise' ELSE '' END AS label, '' AS note FROM ga", "ga"))
-query("merge_label_sheet", lambda s, d: rounded(E.label_sheet_order(E.merge_label_sheet(_alerts_a(s, d), _sheet(s, d, 100)))), O.sql("SELECT * FROM merged_a", "merged_a"))
-query("label_progress", lambda s, d: E.label_progress(E.merge_label_sheet(_alerts_a(s, d), _sheet(s, d, 100))), O.sql("SELECT count(*) FILTER (currently_alerting) AS live, count(*) FILTER (currently_alerting AND label <> '') AS labelled, count(*) FILTER (currently_alerting AND label = '') AS to_do, " + ", ".join(f"count(*) FILTER (currently_alerting AND label = '{x}') AS n_{x}" for x in ("investigate", "explained", "noise")) + ", count(*) FILTER (NOT currently_alerting) AS kept FROM merged_a", "merged_a"))
-query("precision_report", lambda s, d: E.precision_report(E.attach_labels(_alerts_a(s, d), _sheet(s, d)), A), O.sql("""SELECT count(*) FILTER (h < 3) AS alerts_labelled, count(*) FILTER (h >= 3) AS alerts_unlabelled, round_even(100.0 * count(*) FILTER (h = 0) / nullif(count(*) FILTER (h < 3), 0), 1) AS precision_strict, round_even(100.0 * count(*) FILTER (h < 2) / nullif(count(*) FILTER (h < 3), 0), 1) AS precision_lenient,
+query("attach_labels", lambda s, d: rounded(_labelled(E.attach_labels, s, d), "entity period ~robust_z label note"), O.sql("SELECT entity, period, round(robust_z, 6) AS robust_z, CASE h WHEN 0 THEN 'investigate' WHEN 1 THEN 'explained' WHEN 2 THEN 'noise' ELSE '' END AS label, '' AS note FROM ga", "ga"))
+query("merge_label_sheet", lambda s, d: rounded(E.label_sheet_order(_labelled(E.merge_label_sheet, s, d, 100))), O.sql("SELECT * FROM merged_a", "merged_a"))
+query("label_progress", lambda s, d: E.label_progress(_labelled(E.merge_label_sheet, s, d, 100)), O.sql("SELECT count(*) FILTER (currently_alerting) AS live, count(*) FILTER (currently_alerting AND label <> '') AS labelled, count(*) FILTER (currently_alerting AND label = '') AS to_do, " + ", ".join(f"count(*) FILTER (currently_alerting AND label = '{x}') AS n_{x}" for x in ("investigate", "explained", "noise")) + ", count(*) FILTER (NOT currently_alerting) AS kept FROM merged_a", "merged_a"))
+query("precision_report", lambda s, d: E.precision_report(_labelled(E.attach_labels, s, d), A), O.sql("""SELECT count(*) FILTER (h < 3) AS alerts_labelled, count(*) FILTER (h >= 3) AS alerts_unlabelled, round_even(100.0 * count(*) FILTER (h = 0) / nullif(count(*) FILTER (h < 3), 0), 1) AS precision_strict, round_even(100.0 * count(*) FILTER (h < 2) / nullif(count(*) FILTER (h < 3), 0), 1) AS precision_lenient,
   (SELECT CASE WHEN count(*) = 10 AND count(*) FILTER (h < 3) = 10 THEN round_even(100.0 * count(*) FILTER (h = 0) / 10, 1) END FROM (SELECT * FROM ga ORDER BY abs(robust_z) DESC, entity, period LIMIT 10)) AS precision_at_10 FROM ga""", "ga"))
 
 
@@ -347,7 +357,7 @@ def _stored_series(s, d):
 
 def _stored_labels(s, d):
     path = f"{shared_folder(s)}/labels-{uuid.uuid4().hex}"
-    sheet = _sheet(s, d, 100).withColumn("label", F.concat(F.lit(" "), F.upper("label")))
+    sheet = _sheet(_alerts_a(s, d), 100).withColumn("label", F.concat(F.lit(" "), F.upper("label")))
     sheet.select([c.split()[0] for c in LABEL_SCHEMA.split(", ")]).write.option("header", True).csv(path)
     return load_labels(s, path).select("entity", "period", "rule", "label", "note")
 
