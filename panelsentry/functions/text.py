@@ -30,6 +30,8 @@ RULE_NOTES = {
     "R6_stale_gross": "Gross disbursement identical to the cent to the prior fiscal year - stale feed?",
 }
 
+NULL_KEY_NOTE = "Rows without this key belong to no series; left out of rules that compare rows, of coverage and of charts"
+
 
 def fmt_usd(v: Column) -> Column:
     return F.format_string("$%,.0f", v)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import explain_alert
 from ..params import Params
+from ..sources.io import cut_lineage
+from .rules import BROADCAST_KEYS
 
 
 def by_entity():
@@ -49,10 +53,80 @@ def refusal(n: Column, sigma: Column, p: Params) -> Column:
     return F.when(n < p.min_points, F.format_string(f"only %d baseline years (<{p.min_points})", n)).when(~F.coalesce(sigma > 0, F.lit(False)), "zero baseline variation (MAD = 0)").otherwise("")
 
 
-def robust_center_sigma(df: DataFrame, value: str, keys: list[str], p: Params = Params()) -> DataFrame:
-    """Median and scaled median absolute deviation of each group; nulls don't count."""
-    w = Window.partitionBy(*keys)
-    return df.withColumn("__m", F.median(value).over(w)).groupBy(*keys).agg(F.count(value).alias("n"), F.first("__m").alias("center"), (F.median(F.abs(F.col(value) - F.col("__m"))) * p.mad_scale).alias("sigma"))
+SPREAD = 200_000  # values of a key that one task may hold
+GRID, ACCURACY = 256, 4096
+
+
+def exact_median(df: DataFrame, value: str, keys: list[str], spread: int = SPREAD) -> DataFrame:
+    """keys, n, median for keys of any size: the exact middle value (or mean of the two), without a task that holds a key's values.
+
+    Each key has a bracket of values that holds its middle ranks. A mergeable sketch of quantiles proposes a narrower one, exact counts below and inside confirm it, and
+    so on until a bracket holds at most ``spread`` values, or narrows no more as ties fill it; its distinct values are then counted and picked by rank. Each round narrows by a
+    hundred or so whatever the distribution, by two passes over the rows in brackets. It runs jobs at once. Keys without a value are left out; nulls and NaN don't count."""
+    v = F.col(value).cast("double")
+    rows = df.where(v.isNotNull() & ~F.isnan(v)).select(*(F.col(k).alias(f"__{k}") for k in keys), v.alias("__v"))
+    names = [f"__{k}" for k in keys]
+    bracket = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("n"), F.min("__v").alias("lo"), F.max("__v").alias("hi")).withColumns({"below": F.lit(0).cast("long"), "inside": F.col("n"), "done": (F.col("n") <= spread) | (F.col("lo") >= F.col("hi"))})
+    bracket = cut_lineage(bracket)
+
+    def within(some: DataFrame) -> DataFrame:
+        side = some.select(*(F.col(c).alias(f"_{c}") for c in names), *(c for c in some.columns if c not in names))
+        side = F.broadcast(side) if some.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else side
+        same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in names))
+        return rows.join(side, same).where(F.col("__v").between(F.col("lo"), F.col("hi"))).drop(*(f"_{c}" for c in names))
+
+    first, second = ((F.col("n") - 1) / 2).cast("long"), (F.col("n") / 2).cast("long")
+    accuracy = ACCURACY
+    while True:
+        wide = cut_lineage(bracket.where(~F.col("done")))
+        if wide.isEmpty():
+            break
+        grid = within(wide.select(*names, "lo", "hi")).groupBy(*names).agg(F.percentile_approx("__v", [k / GRID for k in range(GRID + 1)], accuracy).alias("q"))
+        grid = grid.select(*(F.col(c).alias(f"_{c}") for c in names), "q")
+        known = wide.join(grid, reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in names)))
+        at = lambda r, d: F.floor((r - F.col("below")) * GRID / F.col("inside")) + d
+        a = F.when(at(first, -1) >= 0, F.get("q", at(first, -1).cast("int"))).otherwise(F.col("lo"))
+        b = F.when(at(second, 2) <= GRID, F.get("q", at(second, 2).cast("int"))).otherwise(F.col("hi"))
+        tried = cut_lineage(known.select(*wide.columns, F.greatest("lo", a).alias("a"), F.least("hi", b).alias("b")))
+        counted = within(tried).groupBy(*names, "n", "lo", "hi", "below", "inside", "done", "a", "b").agg(F.count_if(F.col("__v") < F.col("a")).alias("under"), F.count_if(F.col("__v").between(F.col("a"), F.col("b"))).alias("held"))
+        good = (F.col("below") + F.col("under") <= first) & (second < F.col("below") + F.col("under") + F.col("held"))
+        new = {"lo": F.when(good, F.col("a")).otherwise(F.col("lo")), "hi": F.when(good, F.col("b")).otherwise(F.col("hi")), "below": F.when(good, F.col("below") + F.col("under")).otherwise(F.col("below")), "inside": F.when(good, F.col("held")).otherwise(F.col("inside"))}
+        stays = (good & (F.col("held") == F.col("inside"))) | F.lit(accuracy >= 1 << 20)  # ties at both ends hold nearly all
+        narrow = counted.select(*names, "n", *(c.alias(k) for k, c in new.items()), stays.alias("stays"))
+        narrow = narrow.withColumn("done", (F.col("inside") <= spread) | (F.col("lo") >= F.col("hi")) | F.col("stays")).drop("stays")
+        bracket = cut_lineage(bracket.where("done").unionByName(narrow))
+        accuracy *= 2  # a sketch that missed is followed by a finer one
+    counts = within(bracket).groupBy(*names, "n", "below", "__v").agg(F.count(F.lit(1)).alias("k"))
+    upto = F.col("below") + F.sum("k").over(Window.partitionBy(*names).orderBy("__v"))
+    ranked = counts.withColumn("upto", upto)
+    middle = [F.max(F.when((r < F.col("upto")) & (r >= F.col("upto") - F.col("k")), F.col("__v"))) for r in (first, second)]
+    return ranked.groupBy(*names, "n").agg((middle[0] * 0.5 + middle[1] * 0.5).alias("median")).select(*(F.col(f"__{k}").alias(k) for k in keys), "n", "median")
+
+
+def robust_center_sigma(df: DataFrame, value: str, keys: list[str], p: Params = Params(), spread: int = SPREAD) -> DataFrame:
+    """keys, n, center, sigma: median and scaled median absolute deviation of each group; nulls and NaN don't count. Keys are counted by a job at once: up to ``spread`` values a key
+    the rows are partitioned by key, larger keys go through ``exact_median``, twice."""
+    sizes = df.groupBy(*keys).agg(F.count(F.nanvl(F.col(value).cast("double"), F.lit(None))).alias("n"))
+    large = cut_lineage(sizes.where(F.col("n") > spread))
+    some = large.limit(BROADCAST_KEYS + 1).count()
+    value_or_null = df.withColumn(value, F.nanvl(F.col(value).cast("double"), F.lit(None)))
+
+    def plain(rows: DataFrame) -> DataFrame:
+        w = Window.partitionBy(*keys)
+        return rows.withColumn("__m", F.median(value).over(w)).groupBy(*keys).agg(F.count(value).alias("n"), F.first("__m").alias("center"), (F.median(F.abs(F.col(value) - F.col("__m"))) * p.mad_scale).alias("sigma"))
+
+    if not some:
+        return plain(value_or_null)
+    side = large.select(*(F.col(k).alias(f"__{k}") for k in keys))
+    side = F.broadcast(side) if some <= BROADCAST_KEYS else side
+    same = lambda x, y: reduce(lambda p, q: p & q, (x[k].eqNullSafe(y[f"__{k}"]) for k in keys))
+    big = value_or_null.join(side, same(value_or_null, side), "left_semi").select(*keys, value)
+    center = cut_lineage(exact_median(big, value, keys, spread).select(*(F.col(k).alias(f"__{k}") for k in keys), "n", F.col("median").alias("center")))
+    near = F.broadcast(center) if some <= BROADCAST_KEYS else center
+    off = big.join(near, same(big, near)).select(*keys, F.abs(F.col(value) - F.col("center")).alias("__off"))
+    mad = exact_median(off, "__off", keys, spread).drop("n")
+    fits = mad.join(center, same(mad, center)).select(*keys, "n", "center", (F.col("median") * p.mad_scale).alias("sigma"))
+    return plain(value_or_null.join(side, same(value_or_null, side), "left_anti")).unionByName(fits)
 
 
 def with_chart(df: DataFrame, value: str, p: Params, floor: bool) -> DataFrame:

@@ -60,3 +60,9 @@ def series_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("hole"), "entity", F.col("period").cast("string"))), 1, 6), 16, 10).cast("long") % 11
     a = series_a(spark, sf_dir).withColumn("h", h).where("h <> 1").withColumn("value", F.when(F.col("h") == 0, F.lit(None)).when(F.col("h") == 2, 0.0).otherwise(F.col("value")))
     return a.unionByName(a.where("h = 3").withColumn("value", F.when(F.col("period") % 2 == 0, F.lit(float("nan"))))).drop("h")
+
+
+def panel_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Panel A where, by md5, a ninth each of the rows have no entity, no group, or neither."""
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("key"), "entity", F.col("period").cast("string"))), 1, 6), 16, 10).cast("long") % 9
+    return panel_a(spark, sf_dir).withColumn("h", h).withColumns({"entity": F.when(~F.col("h").isin(0, 2), F.col("entity")), "grp": F.when(~F.col("h").isin(1, 2), F.col("grp"))}).drop("h")

@@ -13,10 +13,11 @@ from ..operators import charts as C
 from ..operators import evaluation as E
 from ..operators import incidents as I
 from ..operators import rules as R
+from ..functions.text import NULL_KEY_NOTE
 from ..params import ERROR_KINDS, METHODS
-from ..sources.io import BRONZE, LABEL_SCHEMA, clean_labels, cut_lineage, load_bronze, load_labels, load_series, read_ledger, shared_folder, with_roles, write_ledger, write_outputs, write_silver
+from ..sources.io import BRONZE, LABEL_SCHEMA, clean_labels, cut_lineage, load_bronze, load_labels, load_series, observe_bronze, read_ledger, rejected_values, shared_folder, update_ledger, with_roles, write_ledger, write_outputs, write_silver
 from . import oracle as O
-from .panels import FLOWS_A, FLOWS_B, A, B, panel_a, panel_b, series_a, series_b, series_c, series_n, table
+from .panels import FLOWS_A, FLOWS_B, A, B, panel_a, panel_b, panel_k, series_a, series_b, series_c, series_n, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -56,8 +57,17 @@ FLAGS = {
 O.part("flagged", ["panel_a"], f"SELECT *, {', '.join(f'{v} AS flag_{k}' for k, v in FLAGS.items())}, period <= {A.last_complete} AS is_complete FROM panel_a WINDOW e AS (PARTITION BY entity), o AS (PARTITION BY entity, grp ORDER BY period)")
 query("rule_flags", lambda s, d: rounded(R.run_rules(panel_a(s, d), A)), O.sql("SELECT grp, entity, period, region, " + pick("~gross ~repayments ~net ~charges") + ", n_lines, " + ", ".join(f"flag_{k}" for k in FLAGS) + ", is_complete FROM flagged", "flagged"))
 query("rule_report", lambda s, d: R.rule_report(R.run_rules(panel_a(s, d), A)), O.sql(" UNION ALL ".join(f"SELECT '{k}' AS rule, count(*) FILTER (flag_{k}) AS n_rows_flagged, round_even(100.0 * count(*) FILTER (flag_{k}) / count(*), 3) AS pct_of_rows, '{O.NOTES[k]}' AS note FROM flagged" for k in FLAGS), "flagged"))
+O.part("panel_k", ["panel_a"], """
+  SELECT * REPLACE (CASE WHEN h NOT IN (0, 2) THEN entity END AS entity, CASE WHEN h NOT IN (1, 2) THEN grp END AS grp)
+  FROM (SELECT *, CAST('0x' || substr(md5('key|' || entity || '|' || period), 1, 6) AS BIGINT) % 9 AS h FROM panel_a)""")
+_GUARDED = FLAGS | {"R5_region_reassigned": f"entity IS NOT NULL AND {FLAGS['R5_region_reassigned']}", "R6_stale_gross": f"entity IS NOT NULL AND grp IS NOT NULL AND {FLAGS['R6_stale_gross'].replace('gross', 'n_lines')}"}
+O.part("flagged_k", ["panel_k"], f"SELECT *, {', '.join(f'{v} AS flag_{k}' for k, v in _GUARDED.items())}, period <= {A.last_complete} AS is_complete FROM panel_k WINDOW e AS (PARTITION BY entity), o AS (PARTITION BY entity, grp ORDER BY period)")
+query("rule_flags_null_keys", lambda s, d: rounded(R.run_rules(panel_k(s, d), A, "n_lines")), O.sql("SELECT grp, entity, period, region, " + pick("~gross ~repayments ~net ~charges") + ", n_lines, " + ", ".join(f"flag_{k}" for k in FLAGS) + ", is_complete FROM flagged_k", "flagged_k"))
+query("rule_report_null_keys", lambda s, d: R.rule_report(R.run_rules(panel_k(s, d), A, "n_lines")).unionByName(R.null_key_report(panel_k(s, d))), O.sql(
+    " UNION ALL ".join([f"SELECT '{k}' AS rule, count(*) FILTER (flag_{k}) AS n_rows_flagged, round_even(100.0 * count(*) FILTER (flag_{k}) / count(*), 3) AS pct_of_rows, '{O.NOTES[k]}' AS note FROM flagged_k" for k in FLAGS]
+                       + [f"SELECT 'K_null_{k}', count(*) FILTER ({k} IS NULL), round_even(100.0 * count(*) FILTER ({k} IS NULL) / count(*), 3), '{NULL_KEY_NOTE}' FROM panel_k" for k in ("grp", "entity", "period")]), "flagged_k"))
 query("rule_negative_gross", lambda s, d: panel_b(s, d).where(R.rule_negative_gross()).select("entity", "period", F.round("gross", 6).alias("gross")), O.sql("SELECT entity, period, round(gross, 6) AS gross FROM panel_b WHERE gross < 0", "panel_b"))
-query("rule_duplicate_key", lambda s, d: table(s, d, "lineitem").withColumn("dup", R.rule_duplicate_key("l_orderkey", "l_linenumber")).where("dup").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS n FROM lineitem) WHERE n > 1")
+query("rule_duplicate_key", lambda s, d: R.rows_of_repeated_keys(table(s, d, "lineitem"), "l_orderkey", "l_linenumber").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS n FROM lineitem) WHERE n > 1")
 
 
 def _order_regions(s, d):
@@ -100,6 +110,7 @@ for x, (series, p, flows) in SERIES.items():
 QUERIES["growth_alerts"] = lambda s, d: rounded(C.rank_alerts(C.select_alerts(C.build_chart(C.yoy_log_growth_v1(series_a(s, d), A), "growth", "B_growth", A, False, "growth"))), POINTS + " ~abs_z explanation")
 ORACLE_SQL["growth_alerts"] = O.sql(f"SELECT {pick(POINTS + ' ~abs_z explanation')} FROM alerts_a WHERE chart = 'B_growth'", "alerts_a")
 query("robust_center_sigma", lambda s, d: rounded(C.robust_center_sigma(table(s, d, "lineitem"), "l_extendedprice", ["l_suppkey"])), "WITH m AS (SELECT l_suppkey, median(l_extendedprice) AS center FROM lineitem GROUP BY 1) SELECT l_suppkey, count(*) AS n, round(any_value(center), 6) AS center, round(median(abs(l_extendedprice - center)) * 1.4826, 6) AS sigma FROM lineitem JOIN m USING (l_suppkey) GROUP BY 1")
+query("robust_center_sigma_large_keys", lambda s, d: rounded(C.robust_center_sigma(table(s, d, "lineitem"), "l_extendedprice", ["l_returnflag", "l_linestatus"], spread=500)), "WITH m AS (SELECT l_returnflag, l_linestatus, median(l_extendedprice) AS center FROM lineitem GROUP BY ALL) SELECT l_returnflag, l_linestatus, count(*) AS n, round(any_value(center), 6) AS center, round(median(abs(l_extendedprice - center)) * 1.4826, 6) AS sigma FROM lineitem JOIN m USING (l_returnflag, l_linestatus) GROUP BY ALL")
 O.part("total_a", ["series_a"], "SELECT period, CAST(sum(CAST(round(value) AS BIGINT)) AS DOUBLE) AS value FROM series_a GROUP BY 1")
 _ERA = f"period BETWEEN {A.baseline[0]} AND {A.baseline[1]}"
 O.part("middle_t", ["total_a"], f"SELECT median(value) AS center FROM total_a WHERE {_ERA}")
@@ -316,8 +327,8 @@ _LEDGER_KEYS = ["version", "method", "split"]
 def _upserted(s, d):
     rows = _ledger(s, d)[0]
     path, stored = _kept(rows, s, "ledger")
-    write_ledger(E.upsert_ledger(stored.withColumn("recall_spike_x10", F.lit(-1.0)), stored, _LEDGER_KEYS), path)
-    write_ledger(E.upsert_ledger(read_ledger(s, path), stored.withColumn("version", F.lit("p2")), _LEDGER_KEYS), path)
+    update_ledger(s, path, lambda old: E.upsert_ledger(old.withColumn("recall_spike_x10", F.lit(-1.0)), stored, _LEDGER_KEYS))
+    update_ledger(s, path, lambda old: E.upsert_ledger(old, stored.withColumn("version", F.lit("p2")), _LEDGER_KEYS))
     return read_ledger(s, path)
 
 
@@ -363,6 +374,30 @@ def _stored_labels(s, d):
 
 
 query("load_bronze", lambda s, d: rounded(_silver(s, d)[0].drop("ibrd_commitments_usd", "ida_grant_commitments_usd", "ida_nonconcessional_commitments_usd", "ida_concessional_commitments_usd", "ida_other_commitments_usd"), "grp entity period region ~gross ~repayments ~net ~interest_usd ~fees_usd"), O.sql("SELECT grp, entity, period, region, round(gross, 6) AS gross, round(repayments, 6) AS repayments, round(net, 6) AS net, round(charges, 6) AS interest_usd, CAST(NULL AS DOUBLE) AS fees_usd FROM panel_a", "panel_a"))
+_DIRT = "md5(concat('dirt|', coalesce(entity, ''), '|', period))"
+
+
+def _dirty(s, d):
+    """Panel K as a source file in which, by md5, some amounts and periods are no numbers; read with what could not be parsed."""
+    base = f"{shared_folder(s)}/dirty-{uuid.uuid4().hex}"
+    h = F.conv(F.substring(F.expr(_DIRT), 1, 6), 16, 10).cast("long") % 20
+    names = {"grp": "financier", "period": "fiscal_year", "region": "region", "entity": "country", "gross": "gross_disbursement_usd", "repayments": "repayments_usd", "net": "net_disbursement_usd", "charges": "interest_usd"}
+    panel = panel_k(s, d).withColumn("h", h).withColumns({"gross": F.when(F.col("h") == 0, "n/a").when(F.col("h") == 1, "1,234.50").otherwise(F.col("gross").cast("string")), "net": F.when(F.col("h") == 2, " ").otherwise(F.col("net").cast("string")), "period": F.when(F.col("h").isin(1, 3), "FY12").otherwise(F.col("period").cast("string"))})
+    panel.select(*(F.col(a).alias(_HEADS[b]) for a, b in names.items()), *(F.lit("0").alias(x) for x, n in BRONZE.items() if n not in names.values())).write.option("header", True).csv(base)
+    return load_bronze(s, base, rescue=True)
+
+
+def _observed(s, d):
+    """What one scan counts, as rows."""
+    bronze, seen = observe_bronze(_dirty(s, d))
+    bronze.write.format("noop").mode("overwrite").save()
+    return s.createDataFrame(sorted((k, v) for k, v in seen.get.items() if v), "measure string, n long")
+
+
+O.part("dirty", ["panel_k"], "SELECT *, CAST('0x' || substr(md5('dirt|' || coalesce(entity, '') || '|' || period), 1, 6) AS BIGINT) % 20 AS dirt FROM panel_k")
+query("rejected_values", lambda s, d: rejected_values(_dirty(s, d)), O.sql("""SELECT 'gross_disbursement_usd' AS "column", CASE dirt WHEN 0 THEN 'n/a' ELSE '1,234.50' END AS value, count(*) AS n_rows FROM dirty WHERE dirt < 2 GROUP BY ALL UNION ALL SELECT 'fiscal_year', 'FY12', count(*) FROM dirty WHERE dirt IN (1, 3) HAVING count(*) > 0""", "dirty"))
+query("bronze_counts", _observed, O.sql("""SELECT * FROM (SELECT 'n_rows' AS measure, count(*) AS n FROM dirty UNION ALL SELECT 'null_financier', count(*) FILTER (grp IS NULL) FROM dirty UNION ALL SELECT 'null_country', count(*) FILTER (entity IS NULL) FROM dirty UNION ALL SELECT 'null_fiscal_year', count(*) FILTER (dirt IN (1, 3)) FROM dirty
+  UNION ALL SELECT 'rejected_gross_disbursement_usd', count(*) FILTER (dirt < 2) FROM dirty UNION ALL SELECT 'rejected_fiscal_year', count(*) FILTER (dirt IN (1, 3)) FROM dirty) WHERE n > 0""", "dirty"))
 query("load_series", _stored_series, O.sql(f"SELECT entity, period, round(gross, 6) AS value, round(repayments, 6) AS repayments, CAST(NULL AS DOUBLE) AS fees_usd FROM panel_a WHERE grp = 'R' AND period <= {A.last_complete}", "panel_a"))
 query("load_labels", _stored_labels, O.sql("SELECT entity, period, rule, label, '' AS note FROM sheet_a", "sheet_a"))
 query("drift_summary", lambda s, d: R.drift_summary(_order_regions(s, d)), _ORDER_REGIONS + "SELECT count(DISTINCT entity) AS n_entities, count(*) AS n_rows FROM f WHERE flag")

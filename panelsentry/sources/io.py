@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..params import LABELS, Params
@@ -55,15 +56,37 @@ def check_columns(df: DataFrame, expected) -> None:
         raise ValueError(f"SCHEMA DRIFT: the source has no {absent}")
 
 
-def load_bronze(spark: SparkSession, path: str, kind: str = "csv", names: dict[str, str] | None = None) -> DataFrame:
-    """The source under its own names; whole-number periods, double amounts, NaN as null."""
+RESCUED = "_rescued"
+
+
+def load_bronze(spark: SparkSession, path: str, kind: str = "csv", names: dict[str, str] | None = None, rescue: bool = False) -> DataFrame:
+    """The source under its own names; whole-number periods, double amounts, NaN as null. A value that can't be read is null; with ``rescue`` its text stays in the map
+    ``_rescued`` (by column; null where all could be read)."""
     names = BRONZE if names is None else names
     raw = spark.read.format(kind).options(**({"header": True} if kind == "csv" else {})).load(path)
     check_columns(raw, names)
     df = raw.withColumnsRenamed(names)
     money = [n for n in names.values() if n.endswith("_usd")]
     typed = {n: F.nanvl(F.expr(f"try_cast({n} as double)"), F.lit(None)) for n in money}
-    return df.withColumns(typed | ({"fiscal_year": F.expr("try_cast(fiscal_year as int)")} if "fiscal_year" in names.values() else {}))
+    typed |= {"fiscal_year": F.expr("try_cast(fiscal_year as int)")} if "fiscal_year" in names.values() else {}
+    if rescue:
+        failed = [F.struct(F.lit(n).alias("key"), F.when(F.expr(f"try_cast({n} as {'int' if n == 'fiscal_year' else 'double'})").isNull(), F.col(n).cast("string")).alias("value")) for n in typed]
+        lost = F.filter(F.array(*failed), lambda e: e["value"].isNotNull() & (F.trim(e["value"]) != ""))
+        df = df.withColumn(RESCUED, F.when(F.size(lost) > 0, F.map_from_entries(lost)))
+    return df.withColumns(typed)
+
+
+def observe_bronze(bronze: DataFrame, keys: tuple[str, ...] = ("financier", "country", "fiscal_year")) -> tuple[DataFrame, Observation]:
+    """bronze (with ``_rescued``) and what the same scan counts while an action runs over it: n_rows, null_<key>, and rejected_<column> for each column that is parsed."""
+    parsed = [n for n, t in bronze.dtypes if t in ("double", "int") and n not in ("_rescued",)]
+    seen = Observation()
+    count = [F.count(F.lit(1)).alias("n_rows"), *(F.count_if(F.col(k).isNull()).alias(f"null_{k}") for k in keys if k in bronze.columns)]
+    return bronze.observe(seen, *count, *(F.count_if(F.coalesce(F.col(RESCUED)[n].isNotNull(), F.lit(False))).alias(f"rejected_{n}") for n in parsed)), seen
+
+
+def rejected_values(bronze: DataFrame) -> DataFrame:
+    """column, value, n_rows: the texts that could not be read, and how often each."""
+    return bronze.where(F.col(RESCUED).isNotNull()).select(F.explode(RESCUED).alias("column", "value")).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 def with_roles(df: DataFrame, roles: dict[str, str] | None = None) -> DataFrame:
@@ -107,20 +130,82 @@ def clean_labels(raw: DataFrame, allowed=LABELS) -> DataFrame:
     return out
 
 
-def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """The newest state of the ledger."""
-    all_ = spark.read.parquet(path)
-    newest = all_.agg(F.max("state")).first()[0]
-    return all_.where(F.col("state") == newest).drop("state")
+class LedgerConflict(Exception):
+    """Another writer has taken the state that this one was to become."""
 
 
-def write_ledger(ledger: DataFrame, path: str) -> None:
-    """A new state beside the old ones: what is being read is never overwritten."""
-    spark = ledger.sparkSession
+def _log(spark: SparkSession, path: str):
+    """The file system of a ledger, its log folder, and the states in it."""
+    jvm = spark._jvm
+    log = jvm.org.apache.hadoop.fs.Path(f"{path}/_log")
+    fs = log.getFileSystem(spark._jsc.hadoopConfiguration())
+    states = [int(f.getPath().getName()) for f in fs.listStatus(log) if f.getPath().getName().isdigit()] if fs.exists(log) else []
+    return fs, log, states
+
+
+def ledger_state(spark: SparkSession, path: str) -> int:
+    """The number of the newest state; 0 without any."""
+    return max(_log(spark, path)[2], default=0)
+
+
+def read_ledger(spark: SparkSession, path: str, state: int | None = None) -> DataFrame:
+    """The newest state of the ledger, or a given one. A state is what its entry in the log names: files that no entry names yet are not seen."""
+    fs, log, states = _log(spark, path)
+    state = max(states, default=0) if state is None else state
+    if state not in states:
+        raise FileNotFoundError(f"no state {state} of a ledger in {path}")
+    entry = fs.open(spark._jvm.org.apache.hadoop.fs.Path(log, f"{state:020d}"))
+    try:
+        name = bytes(entry.readAllBytes()).decode()
+    finally:
+        entry.close()
+    return spark.read.parquet(f"{path}/{name}")
+
+
+def _claim(spark: SparkSession, path: str, state: int, name: str) -> bool:
+    """Puts the entry of a state into the log, whole and only if there is none: by a rename that never replaces, or on a local disk by a link."""
+    jvm = spark._jvm
+    fs, log, _ = _log(spark, path)
+    fs.mkdirs(log)
+    draft, entry = jvm.org.apache.hadoop.fs.Path(log, f"_{uuid.uuid4().hex}"), jvm.org.apache.hadoop.fs.Path(log, f"{state:020d}")
+    out = fs.create(draft, False)
+    out.write(bytearray(name.encode()))
+    out.close()
     try:
-        state = (spark.read.parquet(path).agg(F.max("state")).first()[0] or 0) + 1
+        if fs.getScheme() == "file":
+            jvm.java.nio.file.Files.createLink(jvm.java.io.File(entry.toUri().getPath()).toPath(), jvm.java.io.File(draft.toUri().getPath()).toPath())
+            fs.delete(draft, False)
+        else:
+            none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), spark._jsc.hadoopConfiguration()).rename(draft, entry, none)
     except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+        if "AlreadyExists" not in str(e) and not fs.exists(entry):
             raise
-        state = 1
-    ledger.write.parquet(f"{path}/state={state}")
+        fs.delete(draft, False)
+        return False
+    return True
+
+
+def write_ledger(ledger: DataFrame, path: str, after: int | None = None) -> int:
+    """A new state beside the old ones, which are never overwritten; its number. Files are written first and one entry in the log makes them the state, so a reader sees all of it or
+    nothing. ``after``: the state that the rows were made from; if another one has followed it since, nothing changes and ``LedgerConflict`` is raised."""
+    spark, name = ledger.sparkSession, f"data-{uuid.uuid4().hex}"
+    ledger.write.parquet(f"{path}/{name}")
+    while True:
+        state = (ledger_state(spark, path) if after is None else after) + 1
+        if _claim(spark, path, state, name):
+            return state
+        if after is not None:
+            raise LedgerConflict(f"state {state} of {path} is taken")
+
+
+def update_ledger(spark: SparkSession, path: str, change, attempts: int = 20) -> int:
+    """Commits change(newest state) as the next state, again from the then newest one if another writer was faster; change gets None where there is no state. Both
+    writers' changes survive. The number of the new state; files of lost attempts stay behind, unnamed."""
+    for _ in range(attempts):
+        state = ledger_state(spark, path)
+        try:
+            return write_ledger(change(read_ledger(spark, path, state) if state else None), path, after=state)
+        except LedgerConflict:
+            continue
+    raise LedgerConflict(f"{attempts} attempts on {path} were overtaken")

@@ -409,3 +409,92 @@ def test_all_methods_at_once(spark):
         for what in ("points", "alerts", "incidents"):
             drop = lambda df: sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.select(sorted(df.columns)).collect()), key=str)
             assert drop(both[what].where(F.col("method") == n)) == drop(one[what]), (n, what)
+
+
+@pytest.mark.parametrize("spread", [10, 40])
+def test_exact_median_of_large_keys(spark, spread):
+    """Keys of many values are narrowed to the middle and picked by rank: exact to the bit, with ties, far values, one value, two values, null keys."""
+    rng = np.random.default_rng(spread)
+    values = {
+        "normal": rng.normal(0, 1, 501), "even": rng.normal(5, 1e-9, 400), "wild": np.exp(rng.normal(0, 60, 700)) * rng.choice([-1, 1], 700), "ties": rng.integers(0, 3, 300).astype(float), "same": np.full(250, 7.5),
+        "half": np.r_[np.zeros(100), np.ones(100)], "two": np.array([1.0, 2.0]), "one": np.array([3.0]), None: rng.random(99), "ends": np.r_[-math.inf, np.arange(60.0), math.inf],
+    }
+    rows = [(k, float(v)) for k, a in values.items() for v in rng.permutation(a)] + [("normal", None), ("normal", math.nan), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    got = {r.k: (r.n, r.median) for r in C.exact_median(df, "v", ["k"], spread).collect()}
+    assert got == {k: (len(a), float(np.median(a))) for k, a in values.items()}
+    fits = {r.k: (r.n, r.center, r.sigma) for r in C.robust_center_sigma(df.where("k <> 'ends' or k is null"), "v", ["k"], P, spread).collect()}
+    plain = {r.k: (r.n, r.center, r.sigma) for r in C.robust_center_sigma(df.where("k <> 'ends' or k is null"), "v", ["k"], P).collect()}
+    assert fits == plain and fits["none"] == (0, None, None) and fits["normal"][0] == 501
+    assert C.exact_median(df.limit(0), "v", ["k"], spread).count() == 0
+
+
+def test_rows_without_keys(spark):
+    rows = [(g, e, 2020 + k % 3, r, 5.0, 0.0, 5.0) for e, g, r, k in [(None, "g", "r", 0), (None, "g", "q", 1), (None, "g", "q", 1), ("a", None, "r", 0), ("a", None, "r", 1), ("b", "g", "r", 0), ("b", "g", "r", 1), ("b", "g", None, 2)]]
+    df = spark.createDataFrame(rows, "grp string, entity string, period int, region string, gross double, repayments double, net double")
+    got = sorted(((str(r.entity), str(r.grp), r.period, r.flag_R4_duplicate_key, r.flag_R5_region_reassigned, r.flag_R6_stale_gross) for r in R.run_rules(df, P).collect()))
+    assert got == sorted([("None", "g", 2020, False, False, False), ("None", "g", 2021, True, False, False), ("None", "g", 2021, True, False, False), ("a", "None", 2020, False, False, False), ("a", "None", 2021, False, False, False), ("b", "g", 2020, False, False, False), ("b", "g", 2021, False, False, True), ("b", "g", 2022, False, False, True)])
+    assert {r.rule: (r.n_rows_flagged, r.pct_of_rows) for r in R.null_key_report(df).collect()} == {"K_null_grp": (2, 25.0), "K_null_entity": (3, 37.5), "K_null_period": (0, 0.0)}
+    alone = df.select("entity", R.rule_attribute_drift("region").alias("x"), R.rule_stale_repeat("gross", "entity").alias("y")).where("entity is null and (x or y)")
+    assert alone.count() == 0
+
+
+def test_rows_of_repeated_keys(spark, monkeypatch):
+    rows = [(k % 7 if k % 5 else None, k % 3, k) for k in range(30)] + [(100, 1, 31), (None, None, 32), (None, None, 33)]
+    df = spark.createDataFrame(rows, "a int, b int, c int").repartition(4)
+    key = lambda r: (r[0], r[1])
+    want = sorted((r for r in rows if sum(key(x) == key(r) for x in rows) > 1), key=str)
+    for limit in (R.BROADCAST_KEYS, 2):
+        monkeypatch.setattr(R, "BROADCAST_KEYS", limit)
+        assert sorted(map(tuple, R.rows_of_repeated_keys(df, "a", "b").collect()), key=str) == want
+
+
+def test_ledger_writers_do_not_lose_each_other(spark, tmp_path):
+    """Two writers start from one state: the slower one is told, and by update_ledger builds on the other's rows."""
+    path, keys = str(tmp_path / "ledger"), ["version"]
+    row = lambda v, x: spark.createDataFrame([(v, x)], "version string, x double")
+    with pytest.raises(FileNotFoundError):
+        io.read_ledger(spark, path)
+    assert io.update_ledger(spark, path, lambda old: row("a", 1.0)) == 1
+    before = io.read_ledger(spark, path)
+    tries = []
+
+    def slow(old):
+        tries.append(1)
+        if len(tries) == 1:  # meanwhile another writer commits
+            io.update_ledger(spark, path, lambda o: E.upsert_ledger(o, row("b", 2.0), keys))
+        return E.upsert_ledger(old, row("c", 3.0), keys)
+
+    assert io.update_ledger(spark, path, slow) == 3 and len(tries) == 2
+    assert sorted(map(tuple, io.read_ledger(spark, path).collect())) == [("a", 1.0), ("b", 2.0), ("c", 3.0)]
+    assert sorted(map(tuple, before.collect())) == [("a", 1.0)] == sorted(map(tuple, io.read_ledger(spark, path, 1).collect()))
+    with pytest.raises(io.LedgerConflict):
+        io.write_ledger(row("d", 4.0), path, after=1)
+    assert io.ledger_state(spark, path) == 3 and io.write_ledger(row("e", 5.0), path) == 4
+    row("f", 6.0).write.parquet(f"{path}/data-half-written")  # files without an entry are no state
+    assert [tuple(r) for r in io.read_ledger(spark, path).collect()] == [("e", 5.0)]
+
+
+def test_ledger_by_many_threads(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = str(tmp_path / "ledger")
+    add = lambda k: io.update_ledger(spark, path, lambda old: spark.createDataFrame([(k,)], "k int") if old is None else old.unionByName(spark.createDataFrame([(k,)], "k int")))
+    with ThreadPoolExecutor(4) as pool:
+        states = sorted(pool.map(add, range(8)))
+    assert states == list(range(1, 9)) and sorted(r.k for r in io.read_ledger(spark, path).collect()) == list(range(8))
+
+
+def test_rescued_values(spark, tmp_path):
+    row = {k: "1" for k in io.BRONZE} | {"Fiscal Year": "2020"}
+    dirty = row | {"Fiscal Year": "FY20", "Gross Disbursement (US$)": "1,5", "Net Disbursement (US$)": "", "Fees (US$)": "NaN", "Country / Economy": ""}
+    (tmp_path / "b.csv").write_text("\n".join(",".join(f'"{x}"' if "," in x else x for x in r) for r in (row, row.values(), dirty.values())) + "\n")
+    df = io.load_bronze(spark, str(tmp_path / "b.csv"), rescue=True)
+    a, b = df.orderBy(F.col("fiscal_year").isNull()).collect()
+    assert a._rescued is None and b._rescued == {"fiscal_year": "FY20", "gross_disbursement_usd": "1,5"} and b.gross_disbursement_usd is None and b.fiscal_year is None
+    assert df.drop("_rescued").columns == io.load_bronze(spark, str(tmp_path / "b.csv")).columns
+    watched, seen = io.observe_bronze(df)
+    assert watched.count() == 2
+    got = seen.get
+    assert (got["n_rows"], got["null_country"], got["rejected_gross_disbursement_usd"], got["rejected_fiscal_year"], got["rejected_fees_usd"]) == (2, 1, 1, 1, 0)
+    assert sorted(map(tuple, io.rejected_values(df).collect())) == [("fiscal_year", "FY20", 1), ("gross_disbursement_usd", "1,5", 1)]
