@@ -3,12 +3,13 @@
 A page is read into leaf blocks: runs of text between block-level tags, each with the path of tags above it (names, classes, ids, roles). A
 bidirectional LSTM in numpy reads, for every block in page order, a hashed tag-path vector, a hashed-word vector of the whole block and its
 length, link share and place, and labels each with the whole document as context. It is trained on at most ``SAMPLE`` pages (of ``SAMPLE_BYTES`` at most), picked by hash
-order, whose blocks get their labels from article markup or, on pages without any, from length, links and whether other pages hold the same text; and on re-dressed copies of them (other wrappers, menus, notices, adverts, forms, comments), so that no single
-template decides. Pages are labelled in one pass without a shuffle; only the weights, of fixed size, are broadcast.
+order, whose blocks get their labels from article markup or, on pages without any, from length and links, and everywhere from names below the page's frame and whether other pages hold the same text; and on
+re-dressed copies of them (other wrappers, menus, notices, adverts, forms, comments), so that no single template decides. Pages are labelled in one pass without a shuffle; only the weights, of fixed size, are broadcast.
 
 Scripts, styles, frames, templates, drawings and comments never become blocks. What is in a script, style or frame is not read as markup: it ends at its own
 end tag (a script or style without one at the end of the page, as in browsers; a frame, template or drawing without one is only its tag). A line break inside a block is a space. Null or empty html, or a page without
-blocks that the labeller takes for article, gives an empty text; if no page of the sample has any text there is no labeller and article markup alone decides. Nothing is cut, however long a page is. Repeated rows are read alike; extra columns are ignored.
+blocks that the labeller takes for article, gives an empty text; if no page of the sample has any text there is no labeller and what each page says itself decides. Nothing is cut, however long a page is, and reading takes
+time in proportion to its length, however its tags are broken or nested. Repeated rows are read alike; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +28,10 @@ from pyspark.sql import functions as F
 from . import arrays as A
 
 SAMPLE, SAMPLE_BYTES, EPOCHS, HIDDEN, PATH, WORDS = 200, 1 << 18, 9, 16, 96, 32
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+QUIET = r"""[^<>"']*+(?:(?:"[^"<>]*+"|'[^'<>]*+')[^<>"']*+)*+"""  # attributes whose quotes hold no < or >; never looks beyond the next of these
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/><]*+)({QUIET})>|[^<]+|<", re.S)
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/><]*+)")
+STOP = re.compile(r"""[>"']""")
 ATTRIBUTE = re.compile(r"""(?i)\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 #: Elements of HTML by how they break text.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark noscript object q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -36,8 +40,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style iframe".split())
 INERT = frozenset("template svg".split())
 ENDS = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*>?", re.I) for n in RAW}
-PAIRS = {n: re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style)(?=[\s/>]).*?(?:</\1(?=[\s/>])|\Z)|<(/?){n}(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.I | re.S) for n in INERT}
+PAIRS = {n: re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style)(?=[\s/>]).*?(?:</\1(?=[\s/>])|\Z)|<(/?){n}(?=[\s/>])({QUIET})>", re.I | re.S) for n in INERT}
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+BARRIERS = frozenset("ul ol table dl".split())
+OUTER, INNER = 64, 192  # steps of a path that are kept at either end
 BOILER = frozenset("nav header footer aside form menu button select dialog".split())
 HINTS = re.compile(r"(?i)(^|[-_ ])(ad|ads|advert\w*|banner|sponsor\w*|promo|menu|nav\w*|side ?bar|header|footer|foot|comments?|reply|replies|respond|cookie\w*|notice|alert|consent|newsletter|subscribe|signup|login|form|share|social|related|breadcrumbs?|widget|popup|modal|copyright|legal)($|[-_ ])")
 
@@ -54,41 +60,95 @@ def _closed(page: str, name: str, start: int) -> dict[int, int]:
     return out
 
 
-def blocks_of(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
-    """(path, text, share of the text inside links) of each leaf block that has text."""
-    out: list[tuple[tuple[str, ...], str, float]] = []
-    stack: list[tuple[str, str]] = []
+class _Tags:
+    """Where tags end that ``TOKEN`` can't read, as their quotes hold < or > or are not closed; all of a page's in time that grows with the page."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.last = page, page.rfind(">")
+        self.open = {'"': len(page), "'": len(page)}  # from here on no quote of this kind is closed
+        self.strict = True
+
+    def end(self, start: int) -> int:
+        """The place of the > that ends the tag, or -1. A quote that nothing closes is a sign like others; if no > stands outside quotes, quotes don't count from there on."""
+        if start > self.last:
+            return -1
+        at = start
+        while self.strict:
+            m = STOP.search(self.page, at)
+            if m is None:
+                self.strict = False
+            elif m[0] == ">":
+                return m.start()
+            elif m.start() >= self.open[m[0]] or (close := self.page.find(m[0], m.end())) < 0:
+                self.open[m[0]] = min(self.open[m[0]], m.start())
+                at = m.end()
+            else:
+                at = close + 1
+        return self.page.find(">", start)
+
+
+def blocks_of(page: str | None) -> list[tuple[tuple[str, ...], str, float, tuple[int, ...]]]:
+    """(path, text, share of the text inside links, number of each element on the path) of each leaf block that has text. Of a path of more than ``OUTER`` + ``INNER`` steps
+    its outermost and innermost ones stand for it."""
+    out: list[tuple[tuple[str, ...], str, float, tuple[int, ...]]] = []
+    names: list[str] = []  # of open elements, inline ones left out
+    steps: list[str] = []
+    numbers: list[int] = []
+    links: list[int] = []  # links open where each began
+    where: dict[str, list[int]] = {}  # places in the stack by name, and of those that keep an open p or li inside them
+    barriers: list[int] = []
+    path: tuple | None = None
     text: list[str] = []
-    linked = link_depth = 0
+    linked = link_depth = count = 0
     page, pos = page or "", 0
+    tags = _Tags(page)
     closed: dict[str, dict[int, int]] = {}
     endless: set[str] = set()
 
     def flush():
-        nonlocal linked
+        nonlocal linked, path
         if text:
             words = entities.unescape("".join(text)).split()
             if words:
                 block = " ".join(words)
-                out.append((tuple(x[1] for x in stack if x[0] not in INLINE), block, min(1.0, linked / max(1, len(block)))))
+                if path is None:
+                    path = tuple(tuple(x) if len(x) <= OUTER + INNER else (*x[:OUTER], *x[-INNER:]) for x in (steps, numbers))
+                out.append((path[0], block, min(1.0, linked / max(1, len(block))), path[1]))
             text.clear()
         linked = 0
 
+    def close(at):
+        nonlocal path, link_depth
+        link_depth, path = min(link_depth, links[at]), None
+        while len(names) > at:
+            gone = names.pop()
+            where[gone].pop()
+            if gone in BARRIERS:
+                barriers.pop()
+            steps.pop(), numbers.pop(), links.pop()
+
     while m := TOKEN.match(page, pos):
         pos = m.end()
-        name = m[2]
-        if name is None:
-            if m[0][0] != "<" or m[0] == "<":
-                text.append(m[0])
-                linked += len(m[0]) * (link_depth > 0)
+        ending, name, marks = m[1], m[2], m[3]
+        if name is None and m[0] == "<" and (m := NAME.match(page, pos - 1)):
+            to = tags.end(m.end())
+            if to < 0:
+                text.append("<")
+                linked += link_depth > 0
+                continue
+            ending, name, marks, pos = m[1], m[2], page[m.end() : to], to + 1
+        elif name is None:
+            if m is None or m[0][0] != "<":
+                text.append("<" if m is None else m[0])
+                linked += len(text[-1]) * (link_depth > 0)
             continue
-        name = name.lower()
+        begin, name, alone = m.start(), name.lower(), marks.rstrip().endswith("/")
         if name in RAW or name in INERT:
-            if not m[1] and not m[3].rstrip().endswith("/"):
+            if not ending and not alone:
                 if name in INERT:
                     if name not in closed:
-                        closed[name] = _closed(page, name, m.start())
-                    pos = closed[name].get(m.start(), pos)
+                        closed[name] = _closed(page, name, begin)
+                    pos = closed[name].get(begin, pos)
                 elif name not in endless:
                     end = ENDS[name].search(page, pos)
                     if end:
@@ -101,46 +161,40 @@ def blocks_of(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
         if name == "br":
             text.append(" ")
             continue
-        if name not in INLINE:
-            flush()
-        elif name in ("img", "wbr"):
+        if name in INLINE:
+            if name == "a":
+                link_depth = max(0, link_depth - 1) if ending else link_depth + 1
             continue
-        if m[1]:
-            at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            if at is not None:
-                if name in INLINE:
-                    del stack[at]
-                else:
-                    del stack[at:]
-            link_depth = sum(x[0] == "a" for x in stack)
+        flush()
+        if ending:
+            if where.get(name):
+                close(where[name][-1])
             continue
         if name in VOID:
             continue
         if name in CLOSES_P or name in ("li", "dt", "dd", "tr", "td", "th", "option"):
-            closes = "p" if name in CLOSES_P else name
-            at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == closes), None)
-            if at is not None and not any(x[0] in ("ul", "ol", "table", "dl") for x in stack[at + 1 :]) and (closes == "p" or stack[at][0] == name):
-                del stack[at:]
-        marks = " ".join(sorted(f"{a[0].lower()}={v.lower()}" for a in ATTRIBUTE.findall(m[3]) for v in (a[1] or a[2] or a[3]).split())) if m[3] else ""
-        if not m[3].rstrip().endswith("/") or name in INLINE:
-            stack.append((name, f"{name} {marks}".rstrip()))
-        link_depth += name == "a"
+            open_ = where.get("p" if name in CLOSES_P else name)
+            if open_ and not (barriers and barriers[-1] > open_[-1]):
+                close(open_[-1])
+        if not alone:
+            own = " ".join(sorted(f"{a[0].lower()}={v.lower()}" for a in ATTRIBUTE.findall(marks) for v in (a[1] or a[2] or a[3]).split())) if marks else ""
+            where.setdefault(name, []).append(len(names))
+            if name in BARRIERS:
+                barriers.append(len(names))
+            names.append(name), steps.append(f"{name} {own}".rstrip()), numbers.append(count), links.append(link_depth)
+            count, path = count + 1, None
     flush()
     return out
 
 
-def _signs(path: tuple[str, ...]) -> list[str]:
-    """What a path says: its elements alone, with their depth from the leaf, and in pairs; words of class names in parts."""
-    out = []
-    for depth, step in enumerate(reversed(path)):
-        name, *marks = step.split()
-        out.append(name)
-        if depth < 2:
-            out.append(f"{depth}:{name}")
-        for mark in marks:
-            out.append(mark.partition("=")[2])
-            out += re.split(r"[-_]+", mark.partition("=")[2])
-    return out
+#: What a class says of a page's layout is no name of the element: "no-comments", "has-sidebar".
+STATES = re.compile(r"(?i)(^|[-_])(no|not|has|have|with|without|is|hide|hidden|show)[-_][-\w]*")
+
+
+def told(step: str) -> list[str]:
+    """The class words, ids and roles of a step that name its element; those of html and body only tell the page's layout."""
+    name, *marks = step.split()
+    return [] if name in ("html", "body") else [v for v in (STATES.sub("", m.partition("=")[2]) for m in marks) if v]
 
 
 def _hash(s: str) -> int:
@@ -148,23 +202,39 @@ def _hash(s: str) -> int:
 
 
 _paths: dict[tuple[str, ...], np.ndarray] = {}
+_steps: dict[str, np.ndarray] = {}
+
+
+def _placed(signs: list[str]) -> np.ndarray:
+    v = np.zeros(PATH, np.float32)
+    for s in signs:
+        h = _hash(s)
+        for k in range(3):  # three signed places a sign, so two signs rarely look alike
+            v[(h >> (9 * k)) % PATH] += 1.0 if (h >> (28 + k)) & 1 else -1.0
+    return v
 
 
 def path_vector(path: tuple[str, ...]) -> np.ndarray:
+    """What a path says: its elements and the words of their class names, and again the names of the two next to the text."""
     v = _paths.get(path)
     if v is None:
         v = np.zeros(PATH, np.float32)
-        for s in _signs(path):
-            h = _hash(s)
-            for k in range(3):  # three signed places a sign, so two signs rarely look alike
-                v[(h >> (9 * k)) % PATH] += 1.0 if (h >> (28 + k)) & 1 else -1.0
+        for step in path:
+            own = _steps.get(step)
+            if own is None:
+                if len(_steps) > 20_000:
+                    _steps.clear()
+                marks = told(step)
+                own = _steps[step] = _placed([step.split()[0], *marks, *(w for m in marks for w in re.split(r"[-_]+", m))])
+            v += own
+        v += _placed([f"{depth}:{step.split()[0]}" for depth, step in enumerate(path[:-3:-1])])
         if len(_paths) > 20_000:
             _paths.clear()
         _paths[path] = v
     return v
 
 
-def features(pages: list[list[tuple[tuple[str, ...], str, float]]]) -> list[np.ndarray]:
+def features(pages: list[list[tuple]]) -> list[np.ndarray]:
     """A row of inputs for each block of each page."""
     flat = [b for page in pages for b in page]
     n = len(flat)
@@ -305,24 +375,37 @@ class BiLSTM:
         return out
 
 
-def semantic_label(path: tuple[str, ...]) -> int:
-    """What markup says of a block: 1 article, 0 not."""
-    names = [s.split()[0] for s in path]
-    marks = [m.partition("=")[2] for s in path for m in s.split()[1:]]
-    if "head" in names or any(HINTS.search(m) for m in marks):
-        return 0
-    inside = max((k for k, n in enumerate(names) if n in ("article", "main")), default=-1)
-    return int(inside >= 0 and not any(n in BOILER for n in names[inside + 1 :]))
+WIDE = 0.6  # an element with more of a page's text than this is the page's frame, whatever it is called
+
+
+def _framing(blocks: list[tuple]) -> set[int]:
+    """The elements that hold a page together: around article markup, or around most of the text."""
+    size, frames = Counter(), set()
+    for path, text, _, numbers in blocks:
+        inner = [k for k, s in enumerate(path) if s.split()[0] in ("article", "main")]
+        frames.update(numbers[: inner[0]] if inner else ())
+        for n in numbers:
+            size[n] += len(text)
+    whole = sum(len(b[1]) for b in blocks)
+    return frames | {n for n, k in size.items() if k > WIDE * whole}
 
 
-def plain_labels(blocks: list[tuple[tuple[str, ...], str, float]], common: set[str]) -> list[int]:
-    """What a page without article markup says of its blocks: text of some length with few links that is on no other page is article, and so are short blocks
-    between two of those; boilerplate elements and names never are."""
-    able = []
-    for path, text, links in blocks:
+def page_labels(blocks: list[tuple], common: set[str]) -> list[int]:
+    """What a page says of its blocks itself: 1 article, 0 not. Names count only below the frame of the page, and text that many pages hold is no article.
+
+    With article markup: what is in it but not in boilerplate inside it. Without: text of some length with few links, and short blocks between two of those."""
+    frames = _framing(blocks)
+    able, inside = [], []
+    for path, text, links, numbers in blocks:
         names = [s.split()[0] for s in path]
-        marks = [m.partition("=")[2] for s in path for m in s.split()[1:]]
-        able.append("head" not in names and not any(n in BOILER for n in names) and not any(HINTS.search(m) for m in marks) and text not in common and links < 0.5)
+        start = max((k for k, n in enumerate(names) if n in ("article", "main")), default=-1)
+        boiler = any(n in BOILER and k > start and numbers[k] not in frames for k, n in enumerate(names))
+        hinted = any(HINTS.search(v) for s, n in zip(path, numbers, strict=True) if n not in frames for v in told(s))
+        able.append("head" not in names and not boiler and not hinted and text not in common)
+        inside.append(start >= 0)
+    if any(a and i for a, i in zip(able, inside, strict=True)):
+        return [int(a and i) for a, i in zip(able, inside, strict=True)]
+    able = [a and b[2] < 0.5 for a, b in zip(able, blocks, strict=True)]
     sure = [a and len(b[1].split()) >= 10 for a, b in zip(able, blocks, strict=True)]
     at = [k for k, s in enumerate(sure) if s]
     return [int(a and bool(at) and (s or max(0, at[0] - 1) <= k <= at[-1])) for k, (a, s) in enumerate(zip(able, sure, strict=True))]
@@ -377,7 +460,7 @@ def redressed(good: list[str], bad: list[str], rng: random.Random) -> tuple[str,
     parts += [boiler(k) for k in rng.sample(["talk", "side", "foot", "ad", "form", "nav"], rng.randint(1, 4))]
     inner = "".join(parts)
     if rng.random() < 0.5:
-        inner = wrap(rng.choice(['div class="wrapper"', 'div id="page"', 'div class="container"']), inner)
+        inner = wrap(rng.choice(['div class="wrapper"', 'div id="page"', 'div class="container"', 'form id="aspnetForm"', "form", 'div class="has-sidebar"', 'div class="page-with-header"']), inner)
     return f"<html><body>{inner}</body></html>", marks
 
 
@@ -385,15 +468,15 @@ def train(pages: DataFrame, sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES
     """A labeller from at most ``sample`` pages of at most ``most_bytes`` each; None if they have no text."""
     fit = F.octet_length("html").between(1, most_bytes)
     rows = pages.where(fit).orderBy(F.xxhash64("page_id", "html")).limit(sample).select("html").toArrow()
+    if not len(rows):  # all are larger: the smallest few
+        rows = pages.where(F.octet_length("html") > 0).orderBy(F.octet_length("html"), F.xxhash64("page_id", "html")).limit(4).select("html").toArrow()
     found = [b for b in map(blocks_of, rows["html"].to_pylist()) if b]
     seen = Counter(t for page in found for t in {b[1] for b in page})
     common = {t for t, n in seen.items() if n > 2 and n > len(found) // 50}
     rng = random.Random(5)
     xs, ys = [], []
     for blocks in found:
-        y = [semantic_label(b[0]) for b in blocks]
-        if not any(y):
-            y = plain_labels(blocks, common)
+        y = page_labels(blocks, common)
         if not any(y):
             continue
         xs.append(blocks)
@@ -427,7 +510,7 @@ def extract(pages: DataFrame, model: BiLSTM | None) -> DataFrame:
             for a in range(0, len(batch), 256):
                 part = batch.slice(a, 256)
                 blocks = [blocks_of(h) for h in part["html"].to_pylist()]
-                labels = net.label(features(blocks)) if net else [[semantic_label(b[0]) for b in page] for page in blocks]
+                labels = net.label(features(blocks)) if net else [page_labels(page, set()) for page in blocks]
                 texts = ["\n".join(b[1] for b, k in zip(page, keep, strict=True) if k) for page, keep in zip(blocks, labels, strict=True)]
                 yield pa.record_batch([part["page_id"], part["url"], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 

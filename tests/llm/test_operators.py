@@ -626,6 +626,74 @@ def test_9_pages_without_article_markup(spark):
     assert sum(got[i] == want[i] for i in want) >= 76
 
 
+def stories(seed, n):
+    rng = random.Random(seed)
+    say = lambda k: " ".join(rng.choice(WORDS) + rng.choice("aeiou") for _ in range(k))
+    return [[say(rng.randint(12, 40)) for _ in range(rng.randint(2, 6))] for _ in range(n)]
+
+
+@pytest.mark.parametrize("frame", ['<body class="has-sidebar">{}</body>', '<body class="single no-comments">{}</body>', '<body class="page sidebar header-fixed"><div class="with-sidebar layout">{}</div></body>', '<body><form id="aspnetForm" action=".">{}</form></body>'])
+@pytest.mark.parametrize("marked", [True, False])
+def test_9_names_of_the_frame_say_nothing(spark, frame, marked):
+    """Classes on body, a wrapper that speaks of a sidebar, and a form around the whole page leave the article what it is."""
+    from panelsentry.llm.html_extract import extract, train
+
+    told = stories(11, 60)
+    tag = "article" if marked else "div"
+    rows = [(i, "u", "<html>" + frame.format(f"<nav><a href=/>Home</a> <a href=/s>Shop</a></nav><{tag}>" + "".join(f"<p>{t}</p>" for t in s) + f"</{tag}><footer>All rights are kept by the owners of this site</footer>") + "</html>") for i, s in enumerate(told)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2)
+    got = {r.page_id: r.text for r in extract(pages, train(pages)).collect()}
+    assert sum(got[i] == "\n".join(s) for i, s in enumerate(told)) >= 57
+
+
+#: Whole pages as unlike generators write them; the story's paragraphs go where [] stands.
+TEMPLATES = [
+    '<html><head><title>t</title></head><body><header><h2>Site</h2></header><nav><ul><li><a href=/>Home</a></li></ul></nav><main><article>[p]</article></main><aside><p>See these other pieces</p></aside><footer>Legal lines</footer></body></html>',
+    '<html><body class="post-template-default single has-sidebar"><div id="page"><div id="masthead" class="site-header"><a href=/>Blog</a></div><div id="content"><article class="post type-post"><div class="entry-content">[p]</div></article><div id="secondary" class="widget-area"><a href=/a>Recent</a></div></div></div></body></html>',
+    '<html><body><table><tr><td class="menu"><a href=/1>One</a><br><a href=/2>Two</a></td><td><article>[p]</article></td></tr></table></body></html>',
+    '<html><body><form method="post" id="form1"><div class="topbar"><a href=/>Portal</a></div><div role="main"><article>[p]</article></div><div class="copyright">Owned by them</div></form></body></html>',
+    '<!doctype html><html lang=en><body class="no-comments"><div class="cookie-notice"><p>We use cookies here</p><button>Yes</button></div><article itemscope>[p]</article><section class="comments"><div class="comment"><p>I liked what you wrote there very much indeed my friend and so did all</p></div></section></body></html>',
+    "<HTML><BODY><DIV ALIGN=center><A HREF=/>Index</A></DIV><ARTICLE>[P]</ARTICLE><HR><FOOTER><A HREF=/>Back</A></FOOTER></BODY></HTML>",
+    '<html><body><div class="wrapper with-header"><div class="header"><p>Daily</p></div><article><div class="ad"><p>Buy this thing right now</p></div>[p]<div class="share"><a href=/x>Share</a></div></article></div></body></html>',
+    '<html><body><article><section>[p]</section><aside class="related"><p>Other things that you may want to read as well today</p></aside></article></body></html>',
+    '<html><body><script>if(a<b){x="</p>"}</script><div><nav class="breadcrumbs"><a href=/>Top</a></nav><article>[p]</article></div><script>y=1<2</script></body></html>',
+    '<html><body class="layout-2col sidebar-left"><article class="h-entry is-footer-hidden">[p]</article><div class="sidebar"><p>About the one who writes these pages for you all</p></div></body></html>',
+]
+
+
+def test_9_templates_of_many_makers(spark):
+    from panelsentry.llm.html_extract import extract, train
+
+    told = stories(13, 200)
+    rows = []
+    for i, s in enumerate(told):
+        page = TEMPLATES[i % 10]
+        tag = "P" if "[P]" in page else "p"
+        rows.append((i, "u", page.replace(f"[{tag}]", "".join(f"<{tag}>{t}</{tag}>" for t in s))))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2)
+    seen, unseen = pages.where("page_id < 100"), pages.where("page_id >= 100")
+    got = {r.page_id: r.text for r in extract(unseen, train(seen)).collect()}
+    wrong = [i for i in got if got[i] != "\n".join(told[i])]
+    assert len(wrong) <= 3, [(i % 10, got[i][:200]) for i in wrong]
+
+
+def test_9_broken_and_nested_pages_take_no_long_time():
+    import time
+
+    from panelsentry.llm.html_extract import blocks_of
+
+    story = "<article><p>One two</p></article>"
+    pages = ["<a" * 300_000, '<a "' * 200_000, "<a '\">" * 120_000, "<div>" * 150_000, "<p><ul>" + "<div>x" * 60_000, '<a "x>" ' * 100_000, '<svg "' * 120_000, "<ul><li>x" * 50_000, "<" * 600_000, "<a>x" * 150_000]
+    for page in pages:
+        began = time.time()
+        blocks_of(page)
+        assert time.time() - began < 10, page[:20]
+    for a, want in (("<a b", ["<a b"]), ("<p title='a>b'>x</p>", ["x"]), ('<p title="<b>">x</p>', ["x"]), ("<p title=it's>x</p>", ["x"]), ('<p "a>x</p>', ["x"]), ("a < b <c", ["a < b <c"]), ("<a href='1'><div>in</a>out</div>", ["inout"])):
+        assert [b[1] for b in blocks_of(a)] == want, a
+    deep = blocks_of("<div>" * 5000 + story)
+    assert [b[1] for b in deep] == ["One two"] and len(deep[0][0]) == 256 and deep[0][0][-2] == "article"
+
+
 def test_9_code_is_no_markup():
     from panelsentry.llm.html_extract import blocks_of
 
