@@ -3,7 +3,7 @@
 A page is read into leaf blocks: runs of text between block-level tags, each with the path of tags above it (names, classes, ids, roles). A
 bidirectional LSTM in numpy reads, for every block in page order, a hashed tag-path vector, a hashed-word vector of the whole block and its
 length, link share and place, and labels each with the whole document as context. It is trained on at most ``SAMPLE`` pages (of ``SAMPLE_BYTES`` at most), picked by hash
-order, whose blocks get their labels from article markup or, on pages without any, from length and links, and everywhere from names below the page's frame and whether other pages hold the same text; and on
+order, whose blocks get their labels from article markup or, on pages without any, from length, links and whether other pages hold the same text, and everywhere from names below the page's frame; and on
 re-dressed copies of them (other wrappers, menus, notices, adverts, forms, comments), so that no single template decides. Pages are labelled in one pass without a shuffle; only the weights, of fixed size, are broadcast.
 
 Scripts, styles, frames, templates, drawings and comments never become blocks. What is in a script, style or frame is not read as markup: it ends at its own
@@ -391,9 +391,10 @@ def _framing(blocks: list[tuple]) -> set[int]:
 
 
 def page_labels(blocks: list[tuple], common: set[str]) -> list[int]:
-    """What a page says of its blocks itself: 1 article, 0 not. Names count only below the frame of the page, and text that many pages hold is no article.
+    """What a page says of its blocks itself: 1 article, 0 not. Names count only below the frame of the page.
 
-    With article markup: what is in it but not in boilerplate inside it. Without: text of some length with few links, and short blocks between two of those."""
+    With article markup: what is in it but not in boilerplate inside it, repeated elsewhere or not. Without: text of some length with few links that is on no other
+    page, and short blocks between two of those."""
     frames = _framing(blocks)
     able, inside = [], []
     for path, text, links, numbers in blocks:
@@ -401,11 +402,11 @@ def page_labels(blocks: list[tuple], common: set[str]) -> list[int]:
         start = max((k for k, n in enumerate(names) if n in ("article", "main")), default=-1)
         boiler = any(n in BOILER and k > start and numbers[k] not in frames for k, n in enumerate(names))
         hinted = any(HINTS.search(v) for s, n in zip(path, numbers, strict=True) if n not in frames for v in told(s))
-        able.append("head" not in names and not boiler and not hinted and text not in common)
+        able.append("head" not in names and not boiler and not hinted)
         inside.append(start >= 0)
     if any(a and i for a, i in zip(able, inside, strict=True)):
         return [int(a and i) for a, i in zip(able, inside, strict=True)]
-    able = [a and b[2] < 0.5 for a, b in zip(able, blocks, strict=True)]
+    able = [a and b[2] < 0.5 and b[1] not in common for a, b in zip(able, blocks, strict=True)]
     sure = [a and len(b[1].split()) >= 10 for a, b in zip(able, blocks, strict=True)]
     at = [k for k, s in enumerate(sure) if s]
     return [int(a and bool(at) and (s or max(0, at[0] - 1) <= k <= at[-1])) for k, (a, s) in enumerate(zip(able, sure, strict=True))]
