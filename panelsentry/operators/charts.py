@@ -11,6 +11,7 @@ from ..functions.text import explain_alert
 from ..params import Params
 from ..sources.io import cut_lineage
 from .rules import BROADCAST_KEYS
+from .runs import like, with_runs
 
 
 def by_entity():
@@ -158,9 +159,13 @@ def yoy_log_growth_v1(df: DataFrame, p: Params) -> DataFrame:
     return df.withColumn("growth", F.log((F.col("__x") + F.col("__c")) / (F.lag("__x").over(in_order()) + F.col("__c")))).drop("__c", "__x")
 
 
-def run_rule_retroactive(df: DataFrame, value: str, p: Params) -> DataFrame:
-    """df with ``in_run``: the row is part of ``run_length`` or more rows in a row on one side of the centre. Rows without value don't count."""
+def run_rule_retroactive(df: DataFrame, value: str, p: Params, stretch: int | None = None) -> DataFrame:
+    """df with ``in_run``: the row is part of ``run_length`` or more rows in a row on one side of the centre. Rows without value don't count. With ``stretch``, series are cut into
+    stretches of so many periods, for those that are too long for one task."""
     live = df.where(F.col(value).isNotNull()).withColumn("__side", F.signum(F.col(value) - F.col("center")))
+    if stretch is not None:
+        runs = with_runs(live, like("__side"), ("__side",), stretch)
+        return runs.withColumn("in_run", (F.col("run_size") >= p.run_length) & (F.col("__side") != 0)).drop("__side", "run", "run_size", "run_first", "run_last")
     live = live.withColumn("__new", F.coalesce((F.lag("__side").over(in_order()) != F.col("__side")), F.lit(True)).cast("int"))
     live = live.withColumn("__run", F.sum("__new").over(in_order().rowsBetween(Window.unboundedPreceding, 0)))
     size = F.count(F.lit(1)).over(Window.partitionBy("entity", "__run"))

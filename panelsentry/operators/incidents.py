@@ -7,12 +7,17 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..params import SEVERITY_RANK, Params
+from .runs import consecutive, with_runs
 
 INCIDENT_COLUMNS = ["source", "incident_id", "entity", "first_period", "last_period", "n_alerts", "kind", "max_abs_z", "severity", "summary"]
 
 
-def attach_incident_id(alerts: DataFrame) -> DataFrame:
-    """Alerts with the id of their island of consecutive periods; no join."""
+def attach_incident_id(alerts: DataFrame, stretch: int | None = None) -> DataFrame:
+    """Alerts with the id of their island of consecutive periods; no join. With ``stretch``, for entities whose alerts are too many for one task, islands are put together
+    from stretches of so many periods."""
+    if stretch is not None:
+        end = F.when(F.col("run_last") != F.col("run_first"), F.concat(F.lit("-"), F.col("run_last"))).otherwise("")
+        return with_runs(alerts, consecutive, ("period",), stretch).withColumn("incident_id", F.concat(F.col("entity"), F.lit(" FY"), F.col("run_first"), end)).drop("run", "run_size", "run_first", "run_last")
     island = F.col("period") - F.row_number().over(Window.partitionBy("entity").orderBy("period"))
     both = Window.partitionBy("entity", "__island")
     a, b = F.min("period").over(both), F.max("period").over(both)
@@ -20,10 +25,10 @@ def attach_incident_id(alerts: DataFrame) -> DataFrame:
     return alerts.withColumn("__island", island).withColumn("incident_id", F.concat(F.col("entity"), F.lit(" FY"), a, tail)).drop("__island")
 
 
-def group_incidents(alerts: DataFrame, baseline: str, p: Params = Params(), worst: bool = False) -> DataFrame:
-    """One row an island: kind, size, greatest |z|, severity and a summary. ``worst``: severity is the worst member's, which may be low."""
+def group_incidents(alerts: DataFrame, baseline: str, p: Params = Params(), worst: bool = False, stretch: int | None = None) -> DataFrame:
+    """One row an island: kind, size, greatest |z|, severity and a summary, which lists its members. ``worst``: severity is the worst member's, which may be low."""
     rank = F.coalesce(F.create_map(*[F.lit(x) for kv in SEVERITY_RANK.items() for x in kv])[F.col("severity")], F.lit(0))
-    g = attach_incident_id(alerts).groupBy("entity", "incident_id").agg(
+    g = attach_incident_id(alerts, stretch).groupBy("entity", "incident_id").agg(
         F.min("period").alias("first_period"), F.max("period").alias("last_period"), F.count(F.lit(1)).alias("n_alerts"),
         F.bround(F.max(F.abs("robust_z")), 1).alias("max_abs_z"), F.max(rank).alias("r"),
         F.array_sort(F.collect_list(F.struct("period", "robust_z", "value", "explanation"))).alias("m"),
@@ -52,14 +57,26 @@ def multi_period_incidents(incidents: DataFrame) -> DataFrame:
     return incidents.where("kind <> 'single'")
 
 
-def zero_periods(series: DataFrame, flows: list[str]) -> DataFrame:
-    """Runs of consecutive periods at or below zero."""
+def _zero_periods_by_stretch(df: DataFrame, stretch: int) -> DataFrame:
+    """As ``zero_periods``: islands from stretches, facts of an entity by aggregates, and the row after an island by its key."""
+    facts = df.groupBy(F.col("entity").alias("__e")).agg(F.min(F.when(~F.col("__zero"), F.col("period"))).alias("f"), F.max("period").alias("l"))
+    g = with_runs(df.where("__zero").select("entity", "period", "__still"), consecutive, ("period",), stretch)
+    g = g.groupBy("entity", "run").agg(F.min("period").alias("first_period"), F.max("period").alias("last_period"), F.count(F.lit(1)).alias("n_periods"), F.bool_and("__still").alias("other_flows_zero"))
+    next_ = df.where(~F.col("__zero")).select(F.col("entity").alias("__n"), (F.col("period") - 1).alias("__at")).distinct()
+    g = g.join(next_, F.col("entity").eqNullSafe(F.col("__n")) & (F.col("last_period") == F.col("__at")), "left").join(facts, F.col("entity").eqNullSafe(F.col("__e")))
+    return g.select("entity", "first_period", "last_period", "n_periods", F.coalesce(F.col("f") < F.col("first_period"), F.lit(False)).alias("has_prior_activity"), F.when(F.col("__at").isNotNull(), F.col("last_period") + 1).alias("reactivated_period"), (F.col("last_period") == F.col("l")).alias("ongoing"), "other_flows_zero")
+
+
+def zero_periods(series: DataFrame, flows: list[str], stretch: int | None = None) -> DataFrame:
+    """Runs of consecutive periods at or below zero. With ``stretch``, series are cut into stretches of so many periods, for those that are too long for one task."""
     by = Window.partitionBy("entity")
     ordered = by.orderBy("period")
     zero = F.coalesce(F.col("value") <= 0, F.lit(False))
     other = F.lit(0.0)
     for f in flows:
         other = other + F.coalesce(F.abs(F.col(f)), F.lit(0.0))
+    if stretch is not None:
+        return _zero_periods_by_stretch(series.select("entity", "period", zero.alias("__zero"), (other == 0).alias("__still")), stretch)
     df = series.withColumns({"__zero": zero, "__still": other == 0, "__first": F.min(F.when(~zero, F.col("period"))).over(by), "__last": F.max("period").over(by), "__next": F.lead("period").over(ordered), "__next_zero": F.lead(zero).over(ordered)})
     df = df.where("__zero").withColumn("__island", F.col("period") - F.row_number().over(ordered))
     g = df.groupBy("entity", "__island").agg(

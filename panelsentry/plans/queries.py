@@ -107,6 +107,15 @@ for x, (series, p, flows) in SERIES.items():
     query(f"incidents_{x}", lambda s, d, f=growth_alerts, p=p: rounded(I.incident_order(I.group_incidents(f(s, d), f"The FY{p.span} baseline", p)), INCIDENTS), O.sql(f"SELECT {pick(INCIDENTS)} FROM incidents_{x}", f"incidents_{x}"))
     query(f"multi_period_incidents_{x}", lambda s, d, f=growth_alerts, p=p: I.multi_period_incidents(I.group_incidents(f(s, d), f"The FY{p.span} baseline", p)).groupBy("kind").agg(F.count(F.lit(1)).alias("n")), O.sql(f"SELECT kind, count(*) AS n FROM incidents_{x} WHERE kind <> 'single' GROUP BY 1", f"incidents_{x}"))
     query(f"alert_load_{x}", lambda s, d, f=growth_alerts, p=p: E.alert_load(f(s, d), I.group_incidents(f(s, d), "", p), p), O.sql(f"SELECT (SELECT count(*) FROM alerts_{x} WHERE chart = 'B_growth') AS alerts, (SELECT round_even(count(*) / {p.monitor[1] - p.monitor[0] + 1}.0, 1) FROM alerts_{x} WHERE chart = 'B_growth') AS alerts_per_period, (SELECT count(*) FROM alerts_{x} WHERE chart = 'B_growth' AND severity = 'high') AS alerts_high, (SELECT count(*) FROM incidents_{x}) AS incidents, (SELECT round_even(count(*) / {p.monitor[1] - p.monitor[0] + 1}.0, 1) FROM incidents_{x}) AS incidents_per_period", f"incidents_{x}"))
+# the same runs and islands from stretches of a few periods, as series too long for one task need them
+def _charted_a(s, d):
+    return C.with_chart(C.yoy_log_growth_v1(series_a(s, d), A), "growth", A, False).where("reason = ''")
+
+
+query("run_rule_by_stretch_a", lambda s, d: C.run_rule_retroactive(_charted_a(s, d), "growth", A, 5).select("entity", "period", "in_run"), O.sql("SELECT entity, period, in_run FROM runs_a WHERE chart = 'B_growth'", "runs_a"))
+query("incidents_by_stretch_b", lambda s, d: rounded(I.group_incidents(C.select_alerts(C.build_charts(series_b(s, d), B)[0]).where("chart = 'B_growth'"), f"The FY{B.span} baseline", B, stretch=4), INCIDENTS), O.sql(f"SELECT {pick(INCIDENTS)} FROM incidents_b", "incidents_b"))
+query("zero_periods_by_stretch_b", lambda s, d: I.zero_periods(series_b(s, d), FLOWS_B, 4), O.sql(f"SELECT {pick(ZEROS)} FROM zeros_b", "zeros_b"))
+query("zero_periods_by_stretch_c", lambda s, d: I.zero_periods(series_c(s, d), FLOWS_A, 3), O.sql(f"SELECT {pick(ZEROS)} FROM zeros_c", "zeros_c"))
 QUERIES["growth_alerts"] = lambda s, d: rounded(C.rank_alerts(C.select_alerts(C.build_chart(C.yoy_log_growth_v1(series_a(s, d), A), "growth", "B_growth", A, False, "growth"))), POINTS + " ~abs_z explanation")
 ORACLE_SQL["growth_alerts"] = O.sql(f"SELECT {pick(POINTS + ' ~abs_z explanation')} FROM alerts_a WHERE chart = 'B_growth'", "alerts_a")
 query("robust_center_sigma", lambda s, d: rounded(C.robust_center_sigma(table(s, d, "lineitem"), "l_extendedprice", ["l_suppkey"])), "WITH m AS (SELECT l_suppkey, median(l_extendedprice) AS center FROM lineitem GROUP BY 1) SELECT l_suppkey, count(*) AS n, round(any_value(center), 6) AS center, round(median(abs(l_extendedprice - center)) * 1.4826, 6) AS sigma FROM lineitem JOIN m USING (l_suppkey) GROUP BY 1")

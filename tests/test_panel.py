@@ -498,3 +498,34 @@ def test_rescued_values(spark, tmp_path):
     got = seen.get
     assert (got["n_rows"], got["null_country"], got["rejected_gross_disbursement_usd"], got["rejected_fiscal_year"], got["rejected_fees_usd"]) == (2, 1, 1, 1, 0)
     assert sorted(map(tuple, io.rejected_values(df).collect())) == [("fiscal_year", "FY20", 1), ("gross_disbursement_usd", "1,5", 1)]
+
+
+@pytest.mark.parametrize("stretch", [1, 3, 50])
+def test_runs_by_stretch(spark, stretch):
+    """Runs that end at, cross and skip stretches, by equal values and by consecutive periods, against a plain loop; a null entity too."""
+    from panelsentry.operators.runs import consecutive, like, with_runs
+
+    rng = np.random.default_rng(stretch)
+    rows = [(e, y, int(rng.random() < 0.8)) for e in ("a", "b", None) for y in range(-20, 60) if rng.random() < 0.9] + [("c", 1000, 1)] + [("d", y, 1) for y in range(40)]
+    df = spark.createDataFrame(rows, "entity string, period int, v int").repartition(3)
+    for same, columns, plain in ((like("v"), ("v",), lambda a, b: a[2] == b[2]), (consecutive, ("period",), lambda a, b: a[1] == b[1] - 1)):
+        want = {}
+        for e in ("a", "b", None, "c", "d"):
+            own, run, groups = sorted(r for r in rows if r[0] == e), 0, {}
+            for k, r in enumerate(own):
+                run += not (k and plain(own[k - 1], r))
+                groups.setdefault(run, []).append(r[1])
+            want |= {(e, y): (g, len(ys), ys[0], ys[-1]) for g, ys in groups.items() for y in ys}
+        assert {(r.entity, r.period): (r.run, r.run_size, r.run_first, r.run_last) for r in with_runs(df, same, columns, stretch).collect()} == want
+    assert with_runs(df.limit(0), consecutive, ("period",), stretch).count() == 0
+
+
+def test_one_long_series_is_split(spark):
+    """A million periods of one entity: no task gets more than a stretch of it."""
+    from panelsentry.operators.runs import like, with_runs
+
+    n, stretch = 1_000_000, 50_000
+    long = spark.range(n).select(F.lit("x").alias("entity"), F.col("id").cast("int").alias("period"), (F.floor(F.col("id") / 300_000) % 2).alias("v"))
+    out = with_runs(long, like("v"), ("v",), stretch)
+    assert sorted(map(tuple, out.groupBy("run", "run_size", "run_first", "run_last").agg(F.count("*")).collect())) == [(1, 300_000, 0, 299_999, 300_000), (2, 300_000, 300_000, 599_999, 300_000), (3, 300_000, 600_000, 899_999, 300_000), (4, 100_000, 900_000, 999_999, 100_000)]
+    assert max(r[0] for r in long.withColumn("part", F.floor(F.col("period") / stretch)).repartition("entity", "part").groupBy(F.spark_partition_id(), "part").count().select("count").collect()) <= stretch
