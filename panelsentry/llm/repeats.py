@@ -7,8 +7,8 @@ with one owner is a run, about one for each W / 2 units. Four steps, each a plai
 their bytes (a context) to the owner's bucket, each distinct context once a document bucket; 4. there a kernel looks for repeats and sends
 covered windows back to the documents. Steps 1, 3 and the finish read the same exchange of documents. No step holds more than one
 bucket, of ``BUCKET`` bytes at most on average whatever the number of partitions; a context that many documents share costs one row a bucket, so hot passages
-don't pile up in one task. An owner with more than ``hot`` occurrences is dealt out by whole windows in place of the owner. Two buckets exchange one packed row, if
-any: rows are never more than one an owner and bucket, so they grow with the text however many buckets there are. Documents are dealt by id and text, so
+don't pile up in one task. An owner whose runs hold more units than ``hot`` runs of two windows' width is dealt out by whole windows in place of the owner, and equality of windows
+decides them; so a kernel holds at most ``hot * 2 * width`` units of one owner. Two buckets exchange one packed row, if any: rows are never more than one an owner and bucket, so they grow with the text however many buckets there are. Documents are dealt by id and text, so
 many rows under one id are spread; only rows alike in both meet in one bucket.
 """
 
@@ -141,14 +141,15 @@ def _sorted(table: pa.Table) -> pa.Table:
 
 
 def _listed(t: Texts, u: Units, runs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct owners in order, how often each occurs, and whether this bucket alone has a repeat."""
+    """Distinct owners in order, how many runs of two windows' width their runs come to, and whether this bucket alone has a repeat."""
     lo, n, owner, text, twice = runs
     order = np.argsort(owner, kind="stable")
     keys = owner[order]
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-    count = np.diff(np.r_[first, len(keys)])
+    worth = -(-(n[order] + u.width - 1) // (2 * u.width))
+    count = np.add.reduceat(worth, first) if len(first) else first
     if u.words:
-        several = (count > 1) | np.logical_or.reduceat(twice[order], first) if len(first) else np.zeros(0, bool)
+        several = (np.diff(np.r_[first, len(keys)]) > 1) | np.logical_or.reduceat(twice[order], first) if len(first) else np.zeros(0, bool)
     else:
         ids = t.ids[text[order]]
         several = np.minimum.reduceat(ids, first) < np.maximum.reduceat(ids, first) if len(first) else np.zeros(0, bool)
@@ -176,11 +177,12 @@ def shards_of(buf: np.ndarray, off: np.ndarray, u: Units, most: int = SHARD):
 Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, "Units"], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
-def covered(docs: DataFrame, units: Units, kernel: Kernel, finish, schema: str, id_col: str = "doc_id", text_col: str = "text", columns: list[str] | None = None, hot: int = 200_000) -> DataFrame:
+def covered(docs: DataFrame, units: Units, kernel: Kernel, finish, schema: str, id_col: str = "doc_id", text_col: str = "text", columns: list[str] | None = None, hot: int = 100_000) -> DataFrame:
     """finish(table, texts, covered) for some documents at a time; covered has a boolean for each unit: a repeated window lies over it. The table has
     doc_id, text and, with ``columns``, a struct ``row`` of those.
 
-    kernel(buf, offsets, least id, occurs elsewhere, units) gets distinct contexts and returns windows to cover: context, first, count.
+    kernel(buf, offsets, least id, occurs elsewhere, units) gets distinct contexts and returns windows to cover: context, first, count. ``hot`` bounds
+    what it holds of one owner.
     """
     buckets = buckets_of(docs, text_col, SMALL)
     whole = [F.struct(*(docs[c] for c in columns)).alias("row")] if columns else []  # so that no name can clash
@@ -275,7 +277,8 @@ def covered(docs: DataFrame, units: Units, kernel: Kernel, finish, schema: str,
             pick = rest[cuts[h] : cuts[h + 1]]
             row["__h"].append(int(hashes[h]))
             row["__b"].append(me)
-            row["meta"].append(A.pack(ids[pick], lo[pick], n[pick].astype(np.uint8), (b - a)[pick].astype(np.int32), elsewhere[cuts[h] : cuts[h + 1]]))
+            mark = elsewhere[cuts[h] : cuts[h + 1]] + 2 * hottest[pick].astype(np.uint8)
+            row["meta"].append(A.pack(ids[pick], lo[pick], n[pick].astype(np.uint8), (b - a)[pick].astype(np.int32), mark))
             row["bytes"].append(A.pack(A.gather(t.buf, a[pick], (b - a)[pick])))
         if len(certain):  # decided here; it only travels on to the last step
             row["__h"].append(me)
@@ -293,11 +296,12 @@ def covered(docs: DataFrame, units: Units, kernel: Kernel, finish, schema: str,
                 out["__b"].append(b)
                 out["spans"].append(data)
             else:
-                metas.append(A.unpack(meta, np.int64, np.int64, np.uint8, np.int32, bool))
+                metas.append(A.unpack(meta, np.int64, np.int64, np.uint8, np.int32, np.uint8))
                 texts.append(A.unpack(data, np.uint8)[0])
                 where.append(np.full(len(metas[-1][0]), b))
         if metas:
-            ids, lo, n, size, elsewhere = (np.concatenate(x) for x in zip(*metas, strict=True))
+            ids, lo, n, size, mark = (np.concatenate(x) for x in zip(*metas, strict=True))
+            elsewhere = (mark & 1).astype(bool)
             where, buf = np.concatenate(where), np.concatenate(texts)
             metas.clear()
             texts.clear()
@@ -315,10 +319,12 @@ def covered(docs: DataFrame, units: Units, kernel: Kernel, finish, schema: str,
             else:
                 known = np.zeros(len(lead), bool)
                 sure = order[same & (ids[order] > ids[leads][group])]
-            ctx_buf = A.gather(buf, off[leads], size[leads])
-            ctx_off = np.r_[0, np.cumsum(size[leads], dtype=np.int64)]
+            cold = np.flatnonzero(mark[leads] < 2)  # a window of a hot owner only ever equals whole contexts
+            ctx_buf = A.gather(buf, off[leads[cold]], size[leads[cold]])
+            ctx_off = np.r_[0, np.cumsum(size[leads[cold]], dtype=np.int64)]
             del buf, content
-            c, first, count = kernel(ctx_buf, ctx_off, ids[leads], known, units)
+            c, first, count = kernel(ctx_buf, ctx_off, ids[leads[cold]], known[cold], units)
+            c = cold[c]
             peers = ids[order] == ids[leads][group]  # the least document may hold a context more than once
             peer, its = order[peers], group[peers]
             begin, times = np.searchsorted(its, c), np.bincount(its, minlength=len(leads))[c]

@@ -21,6 +21,7 @@ from .repeats import Texts, Units, covered, shards_of
 
 WIDTH = 35
 SHARD = 256
+HOT = 10_000  # runs of one owner that an automaton may hold: 700,000 words, about 0.3 GB
 
 
 class SuffixAutomaton:
@@ -127,7 +128,7 @@ def _kernel(buf, off, ids, known, units):
 
 def repeated_words(docs: DataFrame, finish, schema, id_col: str = "doc_id", text_col: str = "text", columns=None, width: int = WIDTH, gram: int = 8) -> DataFrame:
     """finish(table, texts, covered) over all documents; covered marks each word under a window of ``width`` words that starts elsewhere too."""
-    return covered(docs, Units(True, width, min(gram, width)), _kernel, finish, schema, id_col, text_col, columns)
+    return covered(docs, Units(True, width, min(gram, width)), _kernel, finish, schema, id_col, text_col, columns, HOT)
 
 
 def kept_texts(t: Texts, cover: np.ndarray) -> list[bytes]:

@@ -172,6 +172,46 @@ def test_6_repeats(spark, docs, hot):
     assert rows_of(out, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_6(made())
 
 
+def test_6_one_owner_of_very_many_contexts(spark):
+    """A phrase between unlike words in 25,000 documents owns more runs than an automaton may hold: none holds them, and what repeats is found."""
+    import pyarrow as pa
+
+    from panelsentry.llm import arrays as A
+    from panelsentry.llm import repeats as R
+    from panelsentry.llm import substring_dedup as S
+
+    rng = np.random.default_rng(12)
+    spell = lambda n: [f"{x:x}" for x in rng.integers(0, 2**32, n).tolist()]
+    some = spell(200_000)
+    joined = np.frombuffer(" ".join(some).encode(), np.uint8)
+    start, end, _ = A.words_of(joined, np.array([0, len(joined)]), ~A.SPACE)
+    least = int(np.argmin(A.sequence_hashes(A.span_hashes(joined, start, end), 8)))
+    phrase = some[least : least + 8]  # owns nearly every window it lies in
+    words = [spell(29) + phrase + spell(29) for _ in range(25_000)]
+    words[7] = list(words[3])
+    words[11] = spell(4) + words[12][10:50] + spell(4)
+    words[13] = words[14][:36] + spell(9)
+    words[21], words[22] = spell(50), spell(50)
+    words[22][5:45] = words[21][3:43]  # a repeat that the phrase doesn't own
+    rows = [(i, " ".join(w)) for i, w in enumerate(words)]
+    u, most = R.Units(True, 35, 8), 2 * 35 * S.HOT
+
+    def kernel(buf, off, ids, known, units):
+        size = np.diff(off)
+        held = np.unique(R.owners_of(buf, off[:-1], size, units), return_inverse=True)[1]
+        assert not len(held) or np.bincount(held, weights=size // 2).max() <= most  # a word and its space are two bytes at least
+        return S._kernel(buf, off, ids, known, units)
+
+    t = R.texts_of(pa.table({"doc_id": [i for i, _ in rows], "text": [x for _, x in rows]}), u)
+    _, n, owner, _, _ = R.runs_of(t, u)
+    assert np.unique(owner, return_counts=True)[1].max() > 2 * S.HOT
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    out = R.covered(docs, u, kernel, S._digest, "doc_id long, n_words long, n_removed long, kept_sha256 string", hot=S.HOT)
+    want = brute_6(rows)
+    assert rows_of(out, "doc_id", "n_words", "n_removed", "kept_sha256") == want
+    assert {r[0]: r[2] for r in want if r[2]} == {3: 66, 7: 66, 11: 40, 12: 40, 13: 36, 14: 36, 21: 40, 22: 40}
+
+
 def test_2_6_queries_and_empty(spark, docs, empty, tmp_path):
     from panelsentry.llm.substring_dedup import op6_substring_dedup, substring_dedup
     from panelsentry.llm.suffix_dedup import op2_suffix_dedup
