@@ -573,6 +573,81 @@ def test_7_without_labels(spark, docs, empty):
     assert keep_good(empty, none).count() == 0
 
 
+
+def test_7_calibration_is_the_best_sigmoid():
+    """Platt scaling, with its small weight on the slope, against a plain search over slope and shift; margins are of usual, large, tiny and no spread."""
+    from panelsentry.llm.quality_classifier import Rows, View
+
+    rng = np.random.default_rng(2)
+    for n, spread, noise in ((200, 1.0, 1.0), (200, 40.0, 20.0), (60, 0.01, 0.01), (50, 0.0, 0.0)):
+        y = (np.arange(n) % 3 == 0).astype(np.float64)
+        z = spread * (2 * y - 1) + noise * rng.standard_normal(n)
+        view = View(n, 0, 0)
+        view.weight = z
+        view.calibrate(Rows(np.arange(n, dtype=np.int32), np.arange(n + 1)), y)
+        target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+        loss = lambda a, b: float((np.logaddexp(0, a * z + b) - target * (a * z + b)).sum() + 5e-4 * a * a)  # noqa: E731, B023
+        unit = max(float(np.abs(z).mean()), 1e-9)
+        best = min(loss(a / unit, b) for a in np.linspace(0, 12, 121) for b in np.linspace(-4, 4, 81))
+        assert view.slope >= 0 and loss(view.slope, view.shift) <= best + 0.05
+
+
+def test_7_pseudo_labels_are_the_surest_of_the_unlabelled(spark, monkeypatch):
+    """What each view hands on, against a plain pass over all unlabelled rows, repeated rows and equal texts under two ids among them."""
+    from pyspark.sql import functions as F
+
+    from panelsentry.llm import quality_classifier as Q
+
+    monkeypatch.setattr(Q, "SURE", 0.7)  # so few rows make no view surer
+    rows, marks = labelled(200)
+    docs = spark.createDataFrame([*rows, rows[3], rows[3], (7001, rows[6][1], "en", "src0", None, 1, "x"), (7002, rows[6][1], "en", "src0", None, 1, "x"), (7003, None, None, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long, score int, keep string")
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    heads = Q.train(docs, labels, rounds=0)
+    assert all(heads.values())
+    own = ["lang", "source", "n_chars"]
+    held = docs.join(labels.where("doc_id IS NOT NULL").select("doc_id").distinct(), "doc_id", "left_anti").withColumn("digest", F.xxhash64("text")).toArrow()
+    content, meta = Q.content_features(held["text"]), Q.meta_features(held, own)
+    keys = list(zip(held["doc_id"].to_pylist(), held["digest"].to_pylist()))
+    got = defaultdict(list)
+    for h, v, y, key, views in Q.pseudo_labels(docs, labels, heads, 10_000, "doc_id", "text", Q.META):
+        got[h, v, y].append(key)
+        i = keys.index(key)
+        for rows_, mine in ((content, views[0]), (meta, views[1])):
+            assert mine.tolist() == rows_.feature[rows_.off[i] : rows_.off[i + 1]].tolist()
+    edge = np.log(Q.SURE / (1 - Q.SURE))
+    some = 0
+    for h, head in heads.items():
+        for v, evidence in enumerate((head.views[0].evidence(content), head.views[1].evidence(meta))):
+            for y in (0, 1):
+                sure = evidence if y else -evidence
+                clear = {k for k, s in zip(keys, sure) if s > edge + 1e-4}
+                assert clear <= set(got[h, v, y]) <= {k for k, s in zip(keys, sure) if s > edge - 1e-4}
+                few = [k for a, b, c, k, _ in Q.pseudo_labels(docs, labels, heads, 3, "doc_id", "text", Q.META) if (a, b, c) == (h, v, y)] if clear and v == 0 else []
+                rank = dict(zip(keys, sure))
+                if few:
+                    assert len(few) == min(3, len(got[h, v, y])) and min(rank[k] for k in few) >= sorted((rank[k] for k in got[h, v, y]), reverse=True)[len(few) - 1] - 1e-4
+                some += len(clear)
+    assert some > 0
+
+
+def test_7_repeated_labels_and_long_texts(spark):
+    """Repeated labels, ids with many rows, a text of 2 MB and tied scores crash nothing; equal rows score alike."""
+    from panelsentry.llm.quality_classifier import score_documents, train
+
+    rows, marks = labelled(240)
+    long = " ".join(f"{k * 7919 % 65521:x}" for k in range(400_000))
+    rows = rows + [rows[4], rows[4]] + [(5000, long, "en", "src1", len(long), 1, "x"), (5000, long, "en", "src1", len(long), 1, "x")]
+    marks = marks + marks[:40] + [(marks[0][0], 1 - marks[0][1], 1 - marks[0][2]), (5000, 1, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score int, keep string")
+    out = score_documents(docs, train(docs, spark.createDataFrame(marks, "doc_id long, quality int, toxic int")))
+    got = defaultdict(set)
+    found = out.select("doc_id", "p_quality", "p_toxic", "keep").collect()
+    for r in found:
+        got[r.doc_id].add((r.p_quality, r.p_toxic, r.keep))
+    assert len(found) == len(rows) and all(len(x) == 1 for x in got.values())
+    assert all(0 <= q <= 1 and 0 <= t <= 1 for x in got.values() for q, t, _ in x)
+
+
 # 8
 
 
