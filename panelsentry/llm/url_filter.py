@@ -23,7 +23,7 @@ from .components import cut_lineage
 #: ROUNDS are those of OP10_SQL: DAMPING to that power is less than one of SCALE, so ranks change no more.
 SCALE, DAMPING, ROUNDS, MARGIN, CUT = 1_000_000, 85, 100, 50, 4
 HOST_PATTERN, PATH_PATTERN = r"(?s)^.*?://([^/?#]*)", r"(?s)^.*?://[^/?#]*([^?#]*)"
-LINKS = r"""(?is)<a\s[^>]*?href\s*=\s*["']?((?:[a-z][a-z0-9+.\-]*:)?//[^"'>\s]+)"""
+LINKS = r"""(?is)<a\s(?:[^>]*?[\s"'/])?href\s*=\s*["']?((?:[a-z][a-z0-9+.\-]*:)?//[^"'>\s]+)"""
 
 
 @dataclass(frozen=True)

@@ -883,6 +883,18 @@ def test_10_distrust_flows_back(spark):
     assert judge_urls(none).count() == 0
 
 
+def test_10_only_href_is_a_link(spark):
+    """Attributes that end in href aren't links; repeated rows and columns of clashing names change no verdict."""
+    from panelsentry.llm.url_filter import host_edges, judge_urls
+
+    html = ['<a data-href="http://bad.net/x">l</a>', '<a class="c" href="http://bad.net/x">l</a>', "<a title='t'href=//bad.net/x>l</a>", '<a xlink:href="http://bad.net">', "<a\nHREF = 'http://bad.net'>", '<abbr href="http://bad.net">', None]
+    pages = spark.createDataFrame([(f"h{k}.io", x) for k, x in enumerate(html)], "host string, html string")
+    assert {(r.source, r.target, r.links) for r in host_edges(pages).collect()} == {(f"h{k}.io", "bad.net", 1) for k in (1, 2, 4)}
+    rows = [(k, f"http://h{k}.io/a", x, "host", 5, "to", "rule") for k, x in enumerate(html)] * 2 + [(9, "http://bad.net/a", "", "", 0, "", "")]
+    got = judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string, host string, good int, to string, rule string"), margin=10).collect()
+    assert len(got) == len(rows) and {r.page_id: r.verdict for r in got} == {0: "allow", 1: "block", 2: "block", 3: "allow", 4: "block", 5: "allow", 6: "allow", 9: "block"}
+
+
 def test_10_sql_on_linked_hosts(spark, tmp_path):
     """The query's SQL goes on to the same ranks, on random links with and without a scheme."""
     duckdb = pytest.importorskip("duckdb")
