@@ -1,13 +1,17 @@
 """Operator 5: byte-level BPE by corpus-level merge replay.
 
-Some shards of the corpus at a time (Arrow batches cut at ``SHARD_BYTES`` of text, or one document; ``GROUP`` bytes) are reduced to the distinct pre-tokens that
-their worker hasn't met yet; a worker remembers about ``KNOWN`` of them. Pre-tokens that are tokens need no merges. For the rest an inverted index
-holds, for each rank, the places in those words where two neighbours join to the token of that rank; the least pending rank is popped, applied to all
+The corpus is first reduced to its distinct pre-tokens: each task emits those it meets, once each, and an aggregate counts in how many tasks each occurs. Pre-tokens that
+are tokens need no merges. What recurs is replayed once for the whole corpus (``recurring``): dealt by word into shards, each with an inverted index that
+holds, for each rank, the places in its words where two neighbours join to the token of that rank; the least pending rank is popped, applied to all
 its words at once, and only the touched neighbours are looked up again. A pop merges all places of a word from the left, every other one where they
-overlap, up to the first that makes a pair of a lower rank: that one comes first, exactly as in a word-by-word encoder. Text never leaves its task: a
-global index would give the same ids but send each occurrence of each word through a shuffle, so an index is built for the new words of a group.
+overlap, up to the first that makes a pair of a lower rank: that one comes first, exactly as in a word-by-word encoder.
 
-Null and empty texts have no ids. Rows are independent: repeated ids or rows and extra columns don't matter. ``path`` names a rank file.
+The words found in most tasks, as many as fit ``SENT`` bytes, are then sent to all tasks, which look them up. Text never leaves its task. A word that is not sent (it occurs
+in one task alone, or in fewer than those that fill the bound) is replayed by the same index among the new words of its group of shards (``GROUP`` bytes of
+text, in Arrow batches cut at ``SHARD_BYTES`` or one document); a worker remembers about ``KNOWN`` words. Words are compared as 63-bit hashes.
+
+Null and empty texts have no ids. Rows are independent: repeated ids or rows and extra columns don't matter. ``path`` names a rank file. Encoding
+reads the documents twice and runs the first pass when it is called.
 """
 
 from __future__ import annotations
@@ -15,18 +19,25 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import uuid
 from functools import lru_cache
-from itertools import islice
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import arrays as A
+from .components import cut_lineage
 from .decontaminate import pieces
+from .pretokens import Words, pretokens
 
-SHARD_BYTES, GROUP, KNOWN = 4 << 20, 24 << 20, 1 << 18
+SHARD_BYTES, GROUP, KNOWN, SENT = 4 << 20, 24 << 20, 1 << 20, 16 << 20
+#: Fixed value: the pattern whose pre-tokens module ``pretokens`` cuts with numpy; others are matched by ``regex``.
+CUT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+U64 = np.uint64
 
 
 class Vocabulary:
@@ -48,7 +59,8 @@ class Vocabulary:
         length = np.array([len(t) for t in self.tokens], np.int64)
         self.length, self.at = length, np.cumsum(length) - length
         self.bytes = np.frombuffer(b"".join(self.tokens), np.uint8)
-        self._forget()
+        self.known: Words | None = None
+        self.corpus = None
 
     def join(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank that each pair joins to, or -1."""
@@ -142,45 +154,59 @@ class Vocabulary:
         places = places[stops == stops[begins]]
         return places, np.setdiff1d(all_places, places)  # those that overlap a merged one are dropped when their turn comes
 
+    def cut(self, column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes, the start and end of each pre-token in them, and the n + 1 offsets into these by text."""
+        if self.split.pattern == CUT:
+            buf, off = A.flat(column)
+            start, at = pretokens(buf, off)
+            return buf, start[:-1], start[1:], at
+        rows = [[w.encode() for w in self.split.findall(t)] if t else [] for t in column.to_pylist()]
+        edge = np.r_[0, np.cumsum([len(w) for r in rows for w in r], dtype=np.int64)]
+        return np.frombuffer(b"".join(w for r in rows for w in r), np.uint8), edge[:-1], edge[1:], np.r_[0, np.cumsum([len(r) for r in rows], dtype=np.int64)]
+
+    def unknown(self, known: Words, h: np.ndarray, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+        """Hashes and bytes of the words that aren't known, once each."""
+        new = np.flatnonzero(known.find(h) < 0)
+        keys, first = np.unique(h[new], return_index=True)
+        at = new[first]
+        return keys, [buf[x:y].tobytes() for x, y in zip(start[at].tolist(), end[at].tolist(), strict=True)]
+
+    def tokens_known(self) -> Words:
+        """A table of known words that holds the tokens themselves."""
+        known, words = Words(), list(self.ranks)
+        known.learn(hashes_of(words), np.array([self.ranks[w] for w in words]), np.arange(len(words) + 1))
+        return known
+
+    def know(self, sent: Recurring | None) -> Words:
+        """The worker's table of known words, begun anew for another corpus or where it has grown too large."""
+        if self.known is None or self.corpus != (sent and sent.corpus) or self.known.n > KNOWN + (len(sent.hashes) if sent else 0):
+            self.known, self.corpus = self.tokens_known(), sent and sent.corpus
+            if sent:
+                self.known.learn(sent.hashes, sent.ids, sent.at)
+        return self.known
+
+    def encode_all(self, columns: list, sent: Recurring | None = None):
+        """The ids of all texts of a column on end, and the n + 1 offsets, for one column after the other; the words that aren't known yet share one index."""
+        known = self.know(sent)
+        hashed, new = [], {}
+        for column in columns:
+            buf, start, end, at = self.cut(column)
+            h = A.span_hashes(buf, start, end) | U64(1)
+            hashed.append((h, at))
+            keys, words = self.unknown(known, h, buf, start, end)
+            new.update(zip(keys.tolist(), words, strict=True))
+        if new:
+            known.learn(np.array(list(new), U64), *self.replay(list(new.values())))
+        size, first = np.diff(known.flat_at), known.flat_at[:-1]
+        while hashed:
+            h, at = hashed.pop(0)
+            flow = known.find(h)
+            done = np.r_[0, np.cumsum(size[flow])]
+            yield A.gather(known.flat_ids, first[flow], size[flow]), done[at]
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts on end, and the n + 1 offsets."""
-        words = self.words_of(texts)
-        self.learn()
-        return self.ids_of(*words)
-
-    def words_of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """The pre-tokens of all texts on end, as numbers of known words, and the n + 1 offsets; new words become known, but have no ids yet."""
-        put, find, known = self.known.setdefault, self.split.findall, self.known
-        rows = [np.array([put(w, len(known)) for w in find(t)], np.int32) if t else np.zeros(0, np.int32) for t in texts]
-        return np.concatenate(rows) if rows else np.zeros(0, np.int32), np.r_[0, np.cumsum([len(r) for r in rows], dtype=np.int64)]
-
-    def learn(self) -> None:
-        """Ids for all words that have none. One that is a token by itself is that token; the others are replayed."""
-        new = [w.encode() for w in islice(self.known, len(self.known_at) - 1, None)]
-        whole = np.array([self.ranks.get(w, -1) for w in new], np.int64)
-        some = np.flatnonzero(whole < 0)
-        ids, at = self.replay([new[i] for i in some.tolist()])
-        size = np.ones(len(new), np.int64)
-        size[some] = np.diff(at)
-        ends = np.cumsum(size)
-        out = np.zeros(int(size.sum()), np.int32)
-        out[(ends - size)[whole >= 0]] = whole[whole >= 0]
-        out[np.repeat((ends - size)[some] - at[:-1], np.diff(at)) + np.arange(len(ids))] = ids
-        self.known_at = np.r_[self.known_at, self.known_at[-1] + ends]
-        self.known_ids = np.r_[self.known_ids, out]
-
-    def ids_of(self, flow: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        size = np.diff(self.known_at).astype(np.int32)[flow]
-        done = np.r_[0, np.cumsum(size, dtype=np.int64)]
-        return A.gather(self.known_ids, self.known_at[:-1][flow], size), done[ends]
-
-    def make_room(self) -> None:
-        if len(self.known) > KNOWN or len(self.known_ids) > 8 * KNOWN:
-            self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.known_ids, self.known_at = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        return next(self.encode_all([pa.array(texts, pa.string())]))
 
     def decode(self, ids: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of all texts on end, and the n + 1 offsets."""
@@ -212,20 +238,75 @@ def _groups(shards):
         yield group
 
 
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    edge = np.r_[0, np.cumsum([len(w) for w in words], dtype=np.int64)]
+    return A.span_hashes(np.frombuffer(b"".join(words), np.uint8), edge[:-1], edge[1:]) | U64(1)
+
+
+class Recurring(NamedTuple):
+    """Words that are sent to all tasks: hashes, ids on end and the n + 1 offsets into these."""
+
+    corpus: str
+    hashes: np.ndarray
+    ids: np.ndarray
+    at: np.ndarray
+
+
+def recurring(docs: DataFrame, text_col: str, path: str, pattern: str) -> DataFrame:
+    """word, ids (32-bit, little-endian) and n, the number of tasks that met it (a task counts a word again after ``KNOWN`` others): all pre-tokens of the
+    corpus that more than one met and that are no tokens themselves."""
+
+    def meet(batches):
+        v = vocabulary(path, pattern)
+        seen = v.tokens_known()
+        for piece in pieces(batches, text_col, SHARD_BYTES):
+            if seen.n > KNOWN:
+                seen = v.tokens_known()
+            buf, start, end, _ = v.cut(piece[text_col])
+            keys, words = v.unknown(seen, A.span_hashes(buf, start, end) | U64(1), buf, start, end)
+            seen.learn(keys, np.zeros(0, np.int32), np.zeros(len(keys) + 1, np.int64))
+            yield pa.record_batch({"word": pa.array(words, pa.binary())})
+
+    def replayed(batches):
+        v = vocabulary(path, pattern)
+        for group in _groups(batches):
+            whole = pa.Table.from_batches(group)
+            ids, at = v.replay(whole["word"].to_pylist())
+            raw = pa.py_buffer(np.ascontiguousarray(ids, "<i4").tobytes())
+            rows = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(whole), [None, pa.py_buffer((4 * at).astype(np.int64).tobytes()), raw]).cast(pa.binary())
+            yield from pa.table({"word": whole["word"], "ids": rows, "n": whole["n"]}).to_batches()
+
+    met = docs.select(text_col).mapInArrow(meet, "word binary").groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return met.mapInArrow(replayed, "word binary, ids binary, n long")
+
+
+def most_common(words: DataFrame, bound: int | None = None) -> Recurring:
+    """The words that most tasks met, in whole powers of two of that number, as many as ``bound`` bytes hold."""
+    bound = SENT if bound is None else bound
+    level = F.floor(F.log2("n"))
+    words = cut_lineage(words)
+    total, least = 0, None
+    for r in words.groupBy(level.alias("level")).agg(F.sum(F.length("ids") + 16).alias("size")).orderBy(F.desc("level")).collect():  # 63 rows at most
+        total += r["size"]
+        if total > bound:
+            break
+        least = r["level"]
+    got = words.where(level >= least).select("word", "ids").toArrow() if least is not None else pa.table({"word": pa.array([], pa.binary()), "ids": pa.array([], pa.binary())})
+    flat, off = A.flat(got["ids"])
+    return Recurring(uuid.uuid4().hex, hashes_of(got["word"].to_pylist()), np.frombuffer(flat.tobytes(), "<i4"), off // 4)
+
+
 def encode_with(docs: DataFrame, finish, schema, text_col: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """finish(batch, ids, offsets, vocabulary) gives the output batch of each shard."""
+    """finish(batch, ids, offsets, vocabulary) gives the output batch of each shard. Runs the pass over the corpus's words when it is called."""
     files = default_files() if path is None or pattern is None else ("", "")
     path, pattern = path or files[0], pattern or files[1]
+    sent = docs.sparkSession.sparkContext.broadcast(most_common(recurring(docs, text_col, path, pattern)))
 
     def encode(batches):
         v = vocabulary(path, pattern)
         for group in _groups(pieces(batches, text_col, SHARD_BYTES)):
             A.frugal()
-            v.make_room()
-            words = [v.words_of(piece[text_col].to_pylist()) for piece in group]
-            v.learn()
-            while group:
-                ids, off = v.ids_of(*words.pop(0))
+            for ids, off in v.encode_all([piece[text_col] for piece in group], sent.value):
                 yield finish(group.pop(0), ids, off, v)
 
     return docs.mapInArrow(encode, schema)

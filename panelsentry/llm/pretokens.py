@@ -13,7 +13,7 @@ import regex
 from . import arrays as A
 
 OTHER, LETTER, NUMBER, SPACE = range(4)
-SLOTS, KNOWN = 1 << 22, 1 << 20  # of the table of known words, and how many it takes before it starts anew
+SLOTS, KNOWN = 1 << 16, 1 << 20  # of the table of known words at first, and how many it takes before it starts anew
 U64 = np.uint64
 
 
@@ -72,44 +72,48 @@ def pretokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 class Words:
-    """Known pre-tokens by hash, with their ids on end."""
+    """Known pre-tokens by hash (not 0), with their ids on end, in a table that doubles when it is half full. Word 0 has the ids ``first`` and no hash, if there are any."""
 
-    def __init__(self, tokenizer, eos: int) -> None:
-        self.tokenizer, self.eos = tokenizer, eos
-        self.forget()
-
-    def forget(self) -> None:
+    def __init__(self, first=()) -> None:
         self.keys, self.values = np.zeros(SLOTS, U64), np.zeros(SLOTS, np.int32)
-        self.ids, self.at = [np.array([self.eos], np.int32)], [np.array([0, 1], np.int64)]
-        self.n = 1  # word 0 ends a text
-        self.flat_ids, self.flat_at = self.ids[0], self.at[0]
+        self.n = int(len(first) > 0)
+        self.flat_ids, self.flat_at = np.array(first, np.int32), np.array([0, len(first)][: self.n + 1], np.int64)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The number of each known word, or -1."""
-        out = np.full(len(h), -1, np.int32)
-        left, slot = np.arange(len(h)), (h & U64(SLOTS - 1)).astype(np.int64)
+        out, last = np.full(len(h), -1, np.int32), len(self.keys) - 1
+        left, slot = np.arange(len(h)), (h & U64(last)).astype(np.int64)
         while len(left):
             key = self.keys[slot]
             same = key == h[left]
             out[left[same]] = self.values[slot[same]]
             more = ~same & (key != 0)
-            left, slot = left[more], (slot[more] + 1) & (SLOTS - 1)
+            left, slot = left[more], (slot[more] + 1) & last
         return out
 
-    def learn(self, h: np.ndarray, words: list[str]) -> None:
-        """Words that aren't known yet, with distinct hashes."""
-        got = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-        size = np.array([len(x) for x in got], np.int64)
-        self.flat_ids = np.concatenate([self.flat_ids, np.fromiter((x for ids in got for x in ids), np.int32, int(size.sum()))])
-        self.flat_at = np.r_[self.flat_at, self.flat_at[-1] + np.cumsum(size)]
-        left, slot = np.arange(len(h)), (h & U64(SLOTS - 1)).astype(np.int64)
+    def learn(self, h: np.ndarray, ids: np.ndarray, at: np.ndarray) -> None:
+        """Words that aren't known yet, with distinct hashes; their ids on end and the n + 1 offsets."""
+        self.flat_ids, self.flat_at = np.r_[self.flat_ids, ids.astype(np.int32)], np.r_[self.flat_at, self.flat_at[-1] + at[1:]]
+        size = len(self.keys)
+        while 2 * (self.n + len(h)) > size:
+            size *= 2
+        if size > len(self.keys):
+            old = np.flatnonzero(self.keys)
+            keys, values = self.keys[old], self.values[old]
+            self.keys, self.values = np.zeros(size, U64), np.zeros(size, np.int32)
+            self._place(keys, values)
+        self._place(h, np.arange(self.n, self.n + len(h), dtype=np.int32))
+        self.n += len(h)
+
+    def _place(self, h: np.ndarray, values: np.ndarray) -> None:
+        last = len(self.keys) - 1
+        left, slot = np.arange(len(h)), (h & U64(last)).astype(np.int64)
         while len(left):
             free = self.keys[slot] == 0
             self.keys[slot[free]] = h[left[free]]
             placed = self.keys[slot] == h[left]
-            self.values[slot[placed]] = self.n + left[placed]
-            left, slot = left[~placed], (slot[~placed] + 1) & (SLOTS - 1)
-        self.n += len(h)
+            self.values[slot[placed]] = values[left[placed]]
+            left, slot = left[~placed], (slot[~placed] + 1) & last
 
 
 class Encoder:
@@ -124,7 +128,7 @@ class Encoder:
         self.own = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
         cut = settings.get("pre_tokenizer") or {}
         self.by_words = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True) and settings.get("normalizer") is None
-        self.words = Words(self.tokenizer, eos)
+        self.words = Words([eos])
 
     def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts on end, and the n + 1 offsets; null is empty."""
@@ -132,16 +136,18 @@ class Encoder:
         if not self.by_words:
             got = [[*e.ids, self.eos] for e in self.tokenizer.encode_batch([buf[a:b].tobytes().decode() for a, b in zip(off[:-1], off[1:], strict=True)], add_special_tokens=False)]
             return np.array([x for ids in got for x in ids], np.int32), np.r_[0, np.cumsum([len(x) for x in got], dtype=np.int64)]
+        if self.words.n > KNOWN:
+            self.words = Words([self.eos])
         w = self.words
-        if w.n > KNOWN:
-            w.forget()
         start, at = pretokens(buf, off)
         h = A.span_hashes(buf, start[:-1], start[1:]) | U64(1)
         word = w.find(h)
         new = np.flatnonzero(word < 0)
         if len(new):
             keys, where = np.unique(h[new], return_index=True)
-            w.learn(keys, [buf[a:b].tobytes().decode() for a, b in zip(start[new[where]].tolist(), start[new[where] + 1].tolist(), strict=True)])
+            got = [e.ids for e in self.tokenizer.encode_batch([buf[a:b].tobytes().decode() for a, b in zip(start[new[where]].tolist(), start[new[where] + 1].tolist(), strict=True)], add_special_tokens=False)]
+            sizes = np.r_[0, np.cumsum([len(x) for x in got], dtype=np.int64)]
+            w.learn(keys, np.fromiter((x for ids in got for x in ids), np.int32, int(sizes[-1])), sizes)
             word[new] = w.find(h[new])
         flow = np.insert(word, at[1:], 0)  # word 0 is the end of a text
         size = np.diff(w.flat_at)[flow]

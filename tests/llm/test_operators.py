@@ -529,6 +529,67 @@ def test_5_any_ranks(tmp_path):
         assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:])] == [merged(t.encode(), v.ranks) for t in texts]
 
 
+def test_5_words_of_the_corpus(spark, docs, empty, monkeypatch):
+    """What recurs is replayed once for all tasks, the most common are sent within a bound, and what is sent isn't replayed again."""
+    tiktoken = pytest.importorskip("tiktoken")
+    import public_tokenizers as P
+    import regex
+    from pyspark.sql import functions as F
+
+    from panelsentry.llm import byte_bpe as B
+
+    path = P.path("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(11)
+    words = ["".join(rng.choice("qxzjv\u00e9") for _ in range(rng.randint(3, 9))) for _ in range(300)]
+    texts = [" ".join(words[min(int(rng.expovariate(0.02)), 299)] for _ in range(40)) for _ in range(40)] + [None, "", "alone-in-one-task-zqzq"]
+    some = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6, "doc_id")
+    parts = some.select(F.spark_partition_id().alias("p"), "text").collect()
+    met = defaultdict(set)
+    for r in parts:
+        for w in regex.findall(P.PATTERN, r.text or ""):
+            met[w.encode()].add(r.p)
+    want = {w: (enc.encode_ordinary(w.decode()), len(p)) for w, p in met.items() if len(p) > 1 and w not in ranks}
+    table = B.recurring(some, "text", path, P.PATTERN)
+    got = {bytes(r.word): (np.frombuffer(r.ids, "<i4").tolist(), r.n) for r in table.collect()}
+    assert got == want and 50 < len(want) < len(met)
+    whole = B.most_common(table)
+    assert len(whole.hashes) == len(want)
+    few = B.most_common(table, sum(4 * len(i) + 16 for i, n in want.values() if n >= 4))
+    assert sorted(few.hashes.tolist()) == sorted(B.hashes_of([w for w, (_, n) in want.items() if n >= 4]).tolist()) and 0 < len(few.hashes) < len(want)
+    assert len(B.most_common(table, 0).hashes) == 0 and len(B.most_common(B.recurring(empty, "text", path, P.PATTERN)).hashes) == 0
+    v, replayed = B.Vocabulary(path, P.PATTERN), []
+    replay = v.replay
+    monkeypatch.setattr(v, "replay", lambda w: (replayed.extend(w), replay(w))[1])
+    import pyarrow as pa
+
+    for sent in (whole, few, None):
+        replayed.clear()
+        ids, off = next(v.encode_all([pa.array(texts)], sent))
+        assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:])] == [enc.encode_ordinary(t or "") for t in texts]
+        known = set() if sent is None else set(sent.hashes.tolist())
+        assert sorted(replayed) == sorted(w for w in met if w not in ranks and int(B.hashes_of([w])[0]) not in known)
+
+
+def test_5_many_words_in_one_text():
+    """More distinct words than the table of known words begins with."""
+    import public_tokenizers as P
+    import pyarrow as pa
+
+    from panelsentry.llm import byte_bpe as B
+    from panelsentry.llm.pretokens import SLOTS, Encoder
+
+    text = " ".join(f"{x:x}" for x in np.random.default_rng(4).integers(0, 2**48, 2 * SLOTS).tolist())
+    v = B.Vocabulary(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    ids, off = v.encode([text, None])
+    back, _ = v.decode(ids, off)
+    assert back.tobytes() == text.encode() and v.known.n > SLOTS // 2
+    assert v.encode([text])[0].tolist() == ids.tolist()
+    other, ends = Encoder(P.path("byte_bpe_50k.json"), 2).encode(pa.array([text, None]))
+    assert ends.tolist()[1] - 1 > 2 * SLOTS and other[-2:].tolist() == [2, 2]
+
+
 # 7
 
 
