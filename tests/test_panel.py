@@ -529,3 +529,15 @@ def test_one_long_series_is_split(spark):
     out = with_runs(long, like("v"), ("v",), stretch)
     assert sorted(map(tuple, out.groupBy("run", "run_size", "run_first", "run_last").agg(F.count("*")).collect())) == [(1, 300_000, 0, 299_999, 300_000), (2, 300_000, 300_000, 599_999, 300_000), (3, 300_000, 600_000, 899_999, 300_000), (4, 100_000, 900_000, 999_999, 100_000)]
     assert max(r[0] for r in long.withColumn("part", F.floor(F.col("period") / stretch)).repartition("entity", "part").groupBy(F.spark_partition_id(), "part").count().select("count").collect()) <= stretch
+
+
+def test_numbers_are_printed_as_c_prints_them(spark):
+    from panelsentry.functions import text as X
+
+    random = np.random.default_rng(5)
+    values = [0.05, 0.25, 0.35, 0.45, 2.5, 5.25, 5.35, 12.15, 14300.5, 1544.5, -0.3, -2.25, *(random.integers(-4000, 4000, 3000) / 80).tolist(), *(random.normal(0, 50, 500)).tolist()]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    rows = df.select("v", F.format_string("%.0f", X.nearest(F.col("v"))).alias("a"), F.format_string("%.1f", X.nearest(F.col("v"), 1)).alias("b")).collect()
+    assert [(r.a, r.b) for r in rows] == [(f"{r.v:.0f}", f"{r.v:.1f}") for r in rows]
+    ratio = spark.createDataFrame([(144.005,), (16.445,), (38.705,), (167.325,)], "r double").select(((F.exp(F.log("r")) - 1) * 100).alias("x"), X.fmt_pct(F.log("r")).alias("s")).collect()
+    assert [r.s for r in ratio] == [f"{r.x:+.0f}%" for r in ratio]
