@@ -541,3 +541,13 @@ def test_numbers_are_printed_as_c_prints_them(spark):
     assert [(r.a, r.b) for r in rows] == [(f"{r.v:.0f}", f"{r.v:.1f}") for r in rows]
     ratio = spark.createDataFrame([(144.005,), (16.445,), (38.705,), (167.325,)], "r double").select(((F.exp(F.log("r")) - 1) * 100).alias("x"), X.fmt_pct(F.log("r")).alias("s")).collect()
     assert [r.s for r in ratio] == [f"{r.x:+.0f}%" for r in ratio]
+
+
+def test_six_places_as_in_sql(spark):
+    import duckdb
+
+    from panelsentry.plans.queries import rounded
+
+    values = [74.2343835, 4.1179215, 0.0000005, -1.0000005, 1e305, -1e305, *(np.random.default_rng(6).integers(-(10**9), 10**9, 3000) * 2 + 1).__truediv__(2e6).tolist()]
+    got = [r.v for r in rounded(spark.createDataFrame([(v,) for v in values], "v double")).collect()]
+    assert got == [duckdb.execute("SELECT round(CAST(? AS DOUBLE), 6)", [v]).fetchone()[0] for v in values]
