@@ -551,3 +551,32 @@ def test_six_places_as_in_sql(spark):
     values = [74.2343835, 4.1179215, 0.0000005, -1.0000005, 1e305, -1e305, *(np.random.default_rng(6).integers(-(10**9), 10**9, 3000) * 2 + 1).__truediv__(2e6).tolist()]
     got = [r.v for r in rounded(spark.createDataFrame([(v,) for v in values], "v double")).collect()]
     assert got == [duckdb.execute("SELECT round(CAST(? AS DOUBLE), 6)", [v]).fetchone()[0] for v in values]
+
+
+def test_one_pass_for_all_methods(spark):
+    """Each stored table is read once for all methods, and the frozen chart's refused rows come from the pass that judges the others."""
+    random = np.random.default_rng(3)
+    p = Params(baseline=(0, 11), monitor=(12, 19), last_complete=19, c_floor=1.0)
+    rows = [(f"e{e}", t, float(v), 1.0) for e in range(40) for t in range(20) for v in [max(0.0, random.normal(50, 4 + e % 7 * 3)) * (0 if e % 5 == 0 and t > 14 else 8 if random.random() < 0.06 else 1)] if e % 8 or t % 3]
+    series = spark.createDataFrame(rows, "entity string, period int, value double, other double")
+    res = D.run_methods(series, p, ["other"])
+    leaves = lambda df: df._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+    assert leaves(res["alerts"]) == 1 and leaves(res["incidents"]) == 2 and leaves(E.method_coverage(res["points"])) == 1 and leaves(E.alarm_profile(res["alerts"], res["incidents"])) == 3
+    grown = C.yoy_log_growth_v1(series, p)
+    two = D.refused_rows(series, C.not_charted(grown, "growth", "B_growth", p), p).select("entity", "period", "status").union(C.build_chart(grown, "growth", "B_growth", p, False, "growth").select("entity", "period", F.lit("charted")))
+    v1 = res["points"].where("method = 'v1.1-reference'").select("entity", "period", "status")
+    assert sorted(v1.collect()) == sorted(two.collect()) and v1.where("status <> 'charted'").count() > 0
+
+
+def test_stored_is_written_once(spark):
+    df = io.stored(spark.range(5))
+    assert io.stored(df) is df and sorted(r.id for r in df.collect()) == list(range(5))
+    assert io.stored(df.where("id > 2")).count() == 2 and df.count() == 5
+
+
+def test_whole_numbers_as_round_has_them(spark):
+    from panelsentry.plans.panels import whole
+
+    values = [0.49999999999999994, 0.5, 1.5, 2.5, -0.5, -2.5, 4503599627370497.5, 1e15 + 0.5, *(np.random.default_rng(7).integers(-(10**7), 10**7, 2000) / 4).tolist()]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select(whole(F.col("v")).alias("a"), F.round("v").cast("long").alias("b")).collect()
+    assert [r.a for r in got] == [r.b for r in got]
