@@ -212,6 +212,22 @@ def test_6_one_owner_of_very_many_contexts(spark):
     assert {r[0]: r[2] for r in want if r[2]} == {3: 66, 7: 66, 11: 40, 12: 40, 13: 36, 14: 36, 21: 40, 22: 40}
 
 
+def test_2_6_owners_are_dealt_evenly():
+    """Owners are least hashes, so small ones: buckets that go by their high bits get equal shares all the same."""
+    import pyarrow as pa
+
+    from panelsentry.llm import arrays as A
+    from panelsentry.llm import repeats as R
+
+    random = np.random.default_rng(9)
+    text = "".join(map(chr, random.choice([*range(97, 123), 32, 32, 32, 32, 32], 700_000)))
+    for u in (R.Units(False, 50, 16), R.Units(True, 35, 8)):
+        t = R.texts_of(pa.table({"doc_id": [1], "text": [text]}), u)
+        owner = R.runs_of(t, u)[2]
+        _, edges = A.bucket_runs(np.sort(owner), 40)
+        assert len(owner) > 5000 and np.diff(edges).max() < 1.5 * len(owner) / 40 and len(edges) == 41
+
+
 def test_2_6_queries_and_empty(spark, docs, empty, tmp_path):
     from panelsentry.llm.substring_dedup import op6_substring_dedup, substring_dedup
     from panelsentry.llm.suffix_dedup import op2_suffix_dedup
