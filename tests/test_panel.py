@@ -580,3 +580,16 @@ def test_whole_numbers_as_round_has_them(spark):
     values = [0.49999999999999994, 0.5, 1.5, 2.5, -0.5, -2.5, 4503599627370497.5, 1e15 + 0.5, *(np.random.default_rng(7).integers(-(10**7), 10**7, 2000) / 4).tolist()]
     got = spark.createDataFrame([(v,) for v in values], "v double").select(whole(F.col("v")).alias("a"), F.round("v").cast("long").alias("b")).collect()
     assert [r.a for r in got] == [r.b for r in got]
+
+
+def test_changes_are_printed_as_the_c_library_has_them(spark):
+    """Logarithms and exponentials go through the C library: the JVM's differ in the last bit, and a change that is half way between two percents shows it."""
+    from panelsentry.functions import logs
+    from panelsentry.functions import text as X
+
+    levels = [0.0, 25.355, *(np.arange(0, 4000) / 10 + 0.005).tolist()]
+    rows = spark.createDataFrame([(v,) for v in levels], "x double").select("x", D._growth(F.lit(1.0), F.col("x"), F.lit(0.0)).alias("v")).select("x", "v", X.fmt_pct(F.col("v")).alias("s")).collect()
+    assert [r.v for r in rows] == [math.log(r.x + 1.0) for r in rows]
+    assert [r.s for r in rows] == [f"{(math.exp(math.log(r.x + 1.0)) - 1) * 100:+.0f}%" for r in rows]
+    lists = spark.createDataFrame([(1, [1.5, 16.505]), (2, []), (3, None), (4, [2.0])], "i int, a array<double>").orderBy("i").select(logs.exp_each(F.col("a")).alias("a")).collect()
+    assert [r.a for r in lists] == [[math.exp(1.5), math.exp(16.505)], [], None, [math.exp(2.0)]]
